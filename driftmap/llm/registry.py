@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmap.llm import exact_dedup, mixing, oracles, url_filter
+from driftmap.llm import exact_dedup, mixing, oracles, packing, token_files, url_filter
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -33,10 +35,20 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact,
     "op5_source_mixing": mix,
     "op7_url_filter": urls,
+    "op8_packing": pack,
+    "op10_token_files": tokens,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
