@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmap.llm import exact_dedup, mixing, oracles, packing, token_files, url_filter
+from driftmap.llm import exact_dedup, media, mixing, oracles, packing, token_files, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [
@@ -39,6 +39,10 @@ def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": mix,
     "op7_url_filter": urls,
     "op8_packing": pack,
+    "op9_media_png": images,
     "op10_token_files": tokens,
 }
 ORACLES: dict[str, str] = {
