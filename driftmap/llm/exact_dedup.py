@@ -1,8 +1,9 @@
 """Exact duplicates by content-defined chunk recipes.
 
 A text is cut where its own content says so (``CUT``), so texts that share passages share chunks.
-Distinct chunks move through one shuffle; a chunk's identifier is its SHA-256, *verified* there: if
-two different chunks ever shared a digest, both get an ordinal appended.  From then on a document is
+Chunks move through one shuffle, where copies combine before they are sent; a chunk's identifier is
+its SHA-256, *verified* there: if two different chunks ever shared a digest, both would get an ordinal
+appended.  From then on a document is
 its recipe, the ordered list of identifiers, 32 bytes for about a thousand of text; equal recipes
 mean equal texts, and only recipes are grouped and joined.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmap.functions.joins import checked_broadcast, salted_join
@@ -39,15 +40,19 @@ def chunks_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CUT), F.lit(0))
 
 
-def ambiguous_chunks(texts: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """(chunk, id) of the chunks whose digest another chunk has too.  Chunk texts move once, here."""
-    chunks = texts.select(F.explode(chunks_of(F.col("norm"))).alias("chunk"))
-    distinct = chunks.select(digest(F.col("chunk")).alias("id"), "chunk").distinct()
-    shared = distinct.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    again = distinct.join(shared, "id", "left_semi")
-    earlier = again.alias("a").join(again.alias("b"), F.expr("a.id = b.id AND b.chunk < a.chunk"), "left")
-    ordinal = earlier.groupBy("a.id", "a.chunk").agg(F.count(F.col("b.chunk")).alias("ordinal"))
-    return ordinal.select("chunk", F.concat("id", F.encode(F.col("ordinal").cast("string"), "UTF-8")).alias("verified"))
+def ambiguous_ids(texts: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Digests that two different chunks share.  This is the one place where chunk texts move: each
+    task sends one least and one greatest chunk for a digest, and they must be the same bytes."""
+    chunks = texts.select(F.explode(chunks_of(F.col("norm"))).alias("chunk")).select(digest(F.col("chunk")).alias("id"), "chunk")
+    return chunks.groupBy("id").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).where("least <> most").select("id")
+
+
+def numbered_chunks(texts: DataFrame, ids: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """(chunk, verified) of all chunks with one of the digests ``ids``: the digest with an ordinal."""
+    chunks = texts.select(F.explode(chunks_of(F.col("norm"))).alias("chunk")).select(digest(F.col("chunk")).alias("id"), "chunk")
+    again = chunks.join(ids, "id", "left_semi").distinct()
+    ordinal = F.row_number().over(Window.partitionBy("id").orderBy("chunk"))
+    return again.select("chunk", F.concat("id", F.encode(ordinal.cast("string"), "UTF-8")).alias("verified"))
 
 
 def recipes(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -62,12 +67,12 @@ def recipes(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
         ),
         "recipes",
     )
-    clashes = materialize(ambiguous_chunks(texts, digest), "clashes")
+    clashes = materialize(ambiguous_ids(texts, digest), "clashes")
     if clashes.isEmpty():
         return found
     # Two chunks share a digest: rebuild the recipes of the documents that hold such chunks.
-    spelled = texts.select(F.monotonically_increasing_id().alias("_row"), F.posexplode(chunks_of(F.col("norm"))).alias("at", "chunk"))
-    named = spelled.join(clashes, "chunk").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "verified"))).alias("_new"))
+    spelled = texts.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.posexplode(chunks_of(F.col("norm"))).alias("at", "chunk"))
+    named = spelled.join(numbered_chunks(texts, clashes, digest), "chunk").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "verified"))).alias("_new"))
     better = F.transform("recipe", lambda id, at: F.coalesce(F.try_element_at("_new", at), id))
     return found.join(named, "_row", "left").withColumn("recipe", F.when(F.col("_new").isNull(), F.col("recipe")).otherwise(better)).drop("_new")
 
@@ -98,11 +103,13 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
     groups = materialize(exact_groups(docs).select("doc_id", "kept", "text_sha256"), "exact")
     per_id = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("kept").cast("int")).alias("stay"))
-    whole = checked_broadcast(per_id.where("stay = 0").select("doc_id"))
-    partly = checked_broadcast(per_id.where("stay > 0 AND stay < rows").select("doc_id"))
-    simple = docs.join(whole, F.col("doc_id").eqNullSafe(whole["doc_id"]), "left_anti").join(partly, docs["doc_id"].eqNullSafe(partly["doc_id"]), "left_anti")
+    named = lambda ids, name: checked_broadcast(ids.select(F.col("doc_id").alias(name)))
+    whole = named(per_id.where("stay = 0"), "_gone")
+    partly = named(per_id.where("stay > 0 AND stay < rows"), "_split")
+    same = lambda name: F.col("doc_id").eqNullSafe(F.col(name))
+    simple = docs.join(whole, same("_gone"), "left_anti").join(partly, same("_split"), "left_anti")
     # An id that occurs with kept and dropped rows: keep the texts that stay, once each.
     stays = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    mixed = docs.join(partly, docs["doc_id"].eqNullSafe(partly["doc_id"]), "left_semi").withColumn("_sha256", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
-    once = mixed.join(stays, mixed["doc_id"].eqNullSafe(stays["_id"]) & (mixed["_sha256"] == stays["_sha"]), "left_semi").dropDuplicates(["doc_id", "_sha256"])
+    mixed = docs.join(partly, same("_split"), "left_semi").withColumn("_sha256", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
+    once = mixed.join(stays, same("_id") & (F.col("_sha256") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "_sha256"])
     return simple.unionByName(once.select(docs.columns))
