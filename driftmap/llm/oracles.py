@@ -16,6 +16,21 @@ FROM t WINDOW w AS (PARTITION BY norm)
 """
 
 
+NGRAM_JACCARD = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+u AS (SELECT doc_id, unnest(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+        WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+s AS (SELECT DISTINCT doc_id, shingle FROM u),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 90 * (a.n + b.n - common)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, other) AS (SELECT x, x FROM e UNION SELECT e.y, r.other FROM r JOIN e ON r.doc_id = e.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.low, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(other) AS low FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
+
+
 def url_filter(rules: list[tuple[str, str, str]]) -> str:
     rows = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
     host = LOWER.format("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")

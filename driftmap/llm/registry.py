@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmap.llm import exact_dedup, media, mixing, oracles, packing, token_files, url_filter
+from driftmap.llm import exact_dedup, media, mixing, ngram_join, oracles, packing, token_files, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": near,
     "op2_exact_dedup": exact,
     "op5_source_mixing": mix,
     "op7_url_filter": urls,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": tokens,
 }
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op2_exact_dedup": oracles.EXACT_DEDUP,
     "op5_source_mixing": oracles.source_mixing(),
     "op7_url_filter": oracles.url_filter(RULES),
