@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftmap.llm import exact_dedup, media, mixing, ngram_join, oracles, packing, token_files, url_filter
+from driftmap.functions.joins import checked_broadcast
+from driftmap.llm import exact_dedup, language, lm_scoring, media, mixing, ngram_join, oracles, packing, quality, token_files, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [
@@ -31,6 +33,27 @@ def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def rank_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled good; background: all others."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
+    docs = table(spark, sf_dir, "documents").join(checked_broadcast(good), F.col("doc_id") == F.col("_good"), "left")
+    return lm_scoring.cross_entropy_difference(docs.select("doc_id", "text", F.col("_good").isNotNull().alias("target")))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page and every document; the text model learns from documents outside the held-out fold."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    held_out = quality.held_out(F.col("doc_id"))
+    known, log = language.train_text_model(docs.where(~held_out))
+    on_pages = language.identify(language.page_evidence(pages), known, log)
+    on_docs = language.identify(language.document_evidence(docs), known, log).withColumn("held_out", held_out)
+    return on_docs.unionByName(on_pages, allowMissingColumns=True)
+
+
 def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -54,7 +77,10 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": near,
     "op2_exact_dedup": exact,
+    "op3_quality_ranking": rank_quality,
+    "op4_lm_difference": lm_difference,
     "op5_source_mixing": mix,
+    "op6_language_id": languages,
     "op7_url_filter": urls,
     "op8_packing": pack,
     "op9_media_png": images,
