@@ -49,7 +49,7 @@ def water_level(sources: DataFrame, limit: int) -> DataFrame:
     ranked = sources.withColumn("_cap", cap).withColumn("_ratio", cap / F.col("weight"))
     left = F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("_cap").over(filled), F.lit(0.0))
     levels = ranked.withColumn("_level", left / F.sum("weight").over(rest))
-    level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(every)
+    level = F.max(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(every)
     return levels.withColumn("target", F.least("_cap", level * F.col("weight"))).drop("_cap", "_ratio", "_level")
 
 

@@ -68,7 +68,7 @@ s2 AS (SELECT *, ((sid - 1) % 3 + 1)::DOUBLE AS weight, source_size * {limit}.0:
 s3 AS (SELECT *, cap / weight AS ratio FROM s2),
 s4 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s3),
-s5 AS (SELECT *, least(cap, weight * min(CASE WHEN ratio >= level THEN level END) OVER ()) AS target,
+s5 AS (SELECT *, least(cap, weight * max(CASE WHEN ratio >= level THEN level END) OVER ()) AS target,
          ceil(source_size / {block})::BIGINT AS blocks FROM s4),
 s6 AS (SELECT *, CASE WHEN blocks > 0 THEN target * blocks / source_size ELSE 0 END AS want FROM s5),
 s7 AS (SELECT *, sum(want) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) AS upto FROM s6),
