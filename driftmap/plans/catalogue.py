@@ -1,15 +1,505 @@
-"""Named queries over the test tables, with their DuckDB counterparts."""
+"""Named queries over the test tables, with their DuckDB counterparts.
+
+Patterns are the rows of ``embeddings``: 64 values as 8 x 8 pixels, ``label`` as the dataset and the
+order of ``vec_id`` in it as the local index.  Views of coordinates take two embedding components,
+so that no eigenvector, whose sign is arbitrary, enters a comparison.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from driftmap.config import Settings
+from driftmap.operators import browse, graph, indexing, pixels, similarity, spectral
+from driftmap.plans import pipeline
+
+PIXELS, K, TAU = 64, 10, 0.5
+MASK = [0.0 if p % 4 == 3 else 1.0 for p in range(PIXELS)]
+POLYGON = [(-0.1, -0.1), (0.15, -0.05), (0.1, 0.12), (-0.05, 0.1)]
+IDS = [7, 3, 250, 3, 499, 120, 0]
+BATCHES = 7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# ---- inputs
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """global_idx, file_idx, dataset_idx, local_idx, vec_id, pattern"""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    local = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    numbered = rows.select(F.lit(0).alias("file_idx"), F.col("label").alias("dataset_idx"), local.cast("long").alias("local_idx"), "vec_id", F.col("embedding").cast("array<double>").alias("pattern"))
+    return indexing.global_index_map(numbered)
+
+
+def stats(spark: SparkSession, sf_dir: str, mask: list[float] | None = None) -> DataFrame:
+    return pixels.with_stats(patterns(spark, sf_dir), mask)
+
+
+def knn(spark: SparkSession, sf_dir: str, settings: Settings = Settings(neighbours_kept=K, neighbours_used=K)) -> DataFrame:
+    return pipeline.neighbours(patterns(spark, sf_dir), settings)[0]
+
+
+def weighted(spark: SparkSession, sf_dir: str, diagonal: str = "one", sign: int = -1) -> DataFrame:
+    return graph.kernel(graph.symmetrize(knn(spark, sf_dir), diagonal), TAU, sign)
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """global_idx, x, y, attribute, category: two components of each embedding, and its label."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("global_idx"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.col("embedding")[2].cast("double").alias("attribute"), F.col("label").alias("category"))
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Doubles to six places; adding zero drops the sign of zero."""
+    return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
+
+
+# ---- SQL building blocks
+
+P = """p AS (SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS global_idx, 0 AS file_idx, label AS dataset_idx,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS local_idx, vec_id, embedding::DOUBLE[] AS v FROM embeddings)"""
+R = "round({}, 6) + 0.0"
+
+
+def with_stats_sql(masked: bool = False) -> str:
+    source = "list_filter(v, lambda x, i: (i - 1) % 4 <> 3)" if masked else "v"
+    return f"""{P},
+q AS (SELECT global_idx, vec_id, dataset_idx, {source} AS g FROM p),
+m AS (SELECT *, list_sum(g) / len(g) AS mean FROM q),
+s AS (SELECT *, sqrt(list_sum(list_transform(g, lambda x: (x - mean) * (x - mean))) / len(g)) AS std FROM m)"""
+
+
+def value_sql(mode: str, pixels_: int = PIXELS) -> str:
+    c = f"list_inner_product(a.g, b.g) / {pixels_}"
+    if mode in ("pearson", "covariance"):
+        c = f"({c} - a.mean * b.mean)"
+    return f"{c} / nullif(a.std * b.std, 0)" if mode in ("pearson", "normalized") else c
+
+
+def knn_sql(mode: str = "pearson", k: int = K + 1, masked: bool = False) -> str:
+    return f"""{with_stats_sql(masked)},
+c AS (SELECT a.global_idx AS i, b.global_idx AS j, {value_sql(mode)} AS value FROM s a CROSS JOIN s b),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY value DESC, j) AS rank FROM c WHERE value IS NOT NULL),
+k AS (SELECT i, j, rank, value FROM r WHERE rank <= {k})"""
+
+
+def graph_sql(diagonal: str = "one", used: int = K) -> str:
+    """g: the symmetrised graph (i, j, w)."""
+    tail = {"keep": "SELECT * FROM y", "zero": "SELECT * FROM y WHERE i <> j", "one": "SELECT * FROM y WHERE i <> j UNION ALL SELECT DISTINCT i, i, 0.0 FROM (SELECT i FROM t UNION SELECT j FROM t)"}[diagonal]
+    return f"""{knn_sql()},
+t AS (SELECT i, j, value FROM k WHERE rank <= {used}),
+y AS (SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, greatest(coalesce(a.value, 0), coalesce(b.value, 0)) AS w
+      FROM t a FULL JOIN t b ON a.i = b.j AND a.j = b.i WHERE greatest(coalesce(a.value, 0), coalesce(b.value, 0)) <> 0),
+g AS ({tail})"""
+
+
+def kernel_sql(diagonal: str = "one", sign: int = -1) -> str:
+    return f"{graph_sql(diagonal, K + 1)},\nw AS (SELECT i, j, exp({sign} * w / {TAU}) AS w FROM g),\nd AS (SELECT j AS i, sum(w) AS deg FROM w GROUP BY j)"
+
+
+def laplacian_sql(kind: str, base: str | None = None) -> str:
+    scaled = {"plain": "w.w", "random_walk": "w.w / di.deg", "symmetric": "w.w / sqrt(di.deg) / sqrt(dj.deg)"}[kind]
+    one = "deg" if kind == "plain" else "1.0"
+    return f"""{base or kernel_sql()},
+e AS (SELECT w.i, w.j, -({scaled}) AS l FROM w JOIN d di ON di.i = w.i JOIN d dj ON dj.i = w.j UNION ALL SELECT i, i, {one} FROM d),
+l AS (SELECT i, j, sum(l) AS l FROM e GROUP BY i, j HAVING sum(l) <> 0)"""
+
+
+XY = "xy AS (SELECT vec_id AS global_idx, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS attribute, label AS category FROM embeddings)"
+
+# ---- numbering and batches
+
+
+@query(f"WITH {P} SELECT global_idx, file_idx, dataset_idx, local_idx, vec_id FROM p")
+def global_index_map(spark, sf_dir):
+    return patterns(spark, sf_dir).drop("pattern")
+
+
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS row_idx, l_orderkey, l_linenumber FROM lineitem")
+def dense_row_numbers(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    return indexing.dense_index(rows, ["l_orderkey", "l_linenumber"], "row_idx")
+
+
+@query(f"WITH {P} SELECT file_idx, dataset_idx, count(*) AS n FROM p GROUP BY ROLLUP (file_idx, dataset_idx)")
+def dataset_counts_rollup(spark, sf_dir):
+    return indexing.source_counts(patterns(spark, sf_dir))
+
+
+def _total(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+TILES = f"WITH {P}, b AS (SELECT *, (ntile({BATCHES}) OVER (ORDER BY global_idx) - 1)::INT AS batch FROM p)"
+
+
+@query(f"{TILES} SELECT batch, count(*) AS n FROM b GROUP BY batch")
+def batch_sizes(spark, sf_dir):
+    return indexing.batch_sizes(spark, _total(spark, sf_dir), BATCHES)
+
+
+@query(f'{TILES} SELECT batch, min(global_idx) AS start, max(global_idx) + 1 AS "end" FROM b GROUP BY batch')
+def batch_ranges(spark, sf_dir):
+    return indexing.batch_ranges(spark, _total(spark, sf_dir), BATCHES)
+
+
+@query(f'{TILES} SELECT batch, file_idx, dataset_idx, min(local_idx) AS start, max(local_idx) + 1 AS "end" FROM b GROUP BY ALL')
+def batch_ends(spark, sf_dir):
+    return indexing.batch_ends(patterns(spark, sf_dir), _total(spark, sf_dir), BATCHES)
+
+
+@query(f"SELECT a.range::INT AS batch, b.range::INT AS other FROM range({BATCHES}) a, range({BATCHES}) b WHERE a.range <> b.range")
+def batch_pairs_offdiag(spark, sf_dir):
+    return indexing.other_batches(spark, BATCHES)
+
+
+# ---- pixels
+
+
+@query(f"SELECT range::INT AS pixel_idx, range % 4 <> 3 AS good FROM range({PIXELS})")
+def mask_pixels(spark, sf_dir):
+    return pixels.mask_table(spark, MASK)
+
+
+@query(f"WITH {with_stats_sql()} SELECT global_idx, {R.format('mean')} AS mean, {R.format('std')} AS std FROM s")
+def pattern_stats(spark, sf_dir):
+    return rounded(stats(spark, sf_dir).select("global_idx", "mean", "std"), "mean", "std")
+
+
+@query(f"WITH {with_stats_sql(True)} SELECT global_idx, {R.format('mean')} AS mean, {R.format('std')} AS std FROM s")
+def masked_stats(spark, sf_dir):
+    return rounded(stats(spark, sf_dir, MASK).select("global_idx", "mean", "std"), "mean", "std")
+
+
+# ---- similarity
+
+
+def _similarity(mode: str, masked: bool = False, size: int = PIXELS):
+    def run(spark, sf_dir):
+        rows = stats(spark, sf_dir, MASK if masked else None)
+        return rounded(similarity.pair_scores(rows, size, mode, F.col("global_idx") % 25 == 0), "value")
+
+    return run, f"WITH {with_stats_sql(masked)} SELECT a.global_idx AS i, b.global_idx AS j, {R.format(value_sql(mode, size))} AS value FROM s a CROSS JOIN s b WHERE a.global_idx % 25 = 0"
+
+
+for _mode in similarity.MODES:
+    QUERIES[f"sim_{_mode}"], ORACLES[f"sim_{_mode}"] = _similarity(_mode)
+QUERIES["sim_pearson_masked_by_all_pixels"], ORACLES["sim_pearson_masked_by_all_pixels"] = _similarity("pearson", True)
+QUERIES["sim_pearson_masked_by_good_pixels"], ORACLES["sim_pearson_masked_by_good_pixels"] = _similarity("pearson", True, 48)
+
+KNN_OUT = f"SELECT i, j, rank, {R.format('value')} AS value FROM k"
+
+
+@query(f"WITH {knn_sql()} {KNN_OUT}")
+def knn_topk(spark, sf_dir):
+    return rounded(knn(spark, sf_dir), "value")
+
+
+@query(f"WITH {knn_sql(k=K)} {KNN_OUT}")
+def knn_topk_keepdiag(spark, sf_dir):
+    return rounded(knn(spark, sf_dir, Settings(neighbours_kept=K, neighbours_used=K, keep_diagonal=True)), "value")
+
+
+@query(f"WITH {knn_sql('covariance')} {KNN_OUT}")
+def knn_covariance(spark, sf_dir):
+    return rounded(knn(spark, sf_dir, Settings(neighbours_kept=K, neighbours_used=K, divide_by_std=False)), "value")
+
+
+@query(f"WITH {knn_sql()} {KNN_OUT}")
+def knn_array_functions(spark, sf_dir):
+    return rounded(similarity.best(similarity.pair_scores(stats(spark, sf_dir), PIXELS), K + 1), "value")
+
+
+@query(f"WITH {knn_sql()} {KNN_OUT}")
+def knn_block_pairs(spark, sf_dir):
+    """The way for patterns too large to broadcast: blocks meet in pairs."""
+    return rounded(similarity.nearest(stats(spark, sf_dir), K + 1, PIXELS, block_rows=200, matrix_bytes=0), "value")
+
+
+@query(f"WITH {knn_sql()} {KNN_OUT}")
+def knn_blocked_merge(spark, sf_dir):
+    rows = stats(spark, sf_dir)
+    parts = [similarity.best(similarity.pair_scores(rows, PIXELS).where(F.col("j") % 3 == b), K + 1) for b in range(3)]
+    return rounded(similarity.merge_best(parts, K + 1), "value")
+
+
+@query(f"WITH {knn_sql(k=4)} {KNN_OUT}")
+def knn_prune_k(spark, sf_dir):
+    return rounded(graph.prune(knn(spark, sf_dir), 4), "value")
+
+
+# ---- graph
+
+GRAPH_OUT = f"SELECT i, j, {R.format('w')} AS w FROM"
+
+
+@query(f"WITH {graph_sql('keep', K + 1)} {GRAPH_OUT} g")
+def symmetrized_graph(spark, sf_dir):
+    return rounded(graph.symmetrize(knn(spark, sf_dir), "keep"), "w")
+
+
+@query(f"WITH {graph_sql('zero')} {GRAPH_OUT} g")
+def symmetrized_no_diag(spark, sf_dir):
+    return rounded(graph.symmetrize(graph.prune(knn(spark, sf_dir), K), "zero"), "w")
+
+
+@query(f"WITH {graph_sql('one', K + 1)} {GRAPH_OUT} g")
+def symmetrized_zero_diag_stored(spark, sf_dir):
+    return rounded(graph.symmetrize(knn(spark, sf_dir), "one"), "w")
+
+
+@query(f"WITH {knn_sql()} SELECT i, j, {R.format('value')} AS w FROM k")
+def asymmetric_graph(spark, sf_dir):
+    return rounded(knn(spark, sf_dir).select("i", "j", F.col("value").alias("w")), "w")
+
+
+@query(f"WITH {kernel_sql()} {GRAPH_OUT} w")
+def kernel_neg(spark, sf_dir):
+    return rounded(weighted(spark, sf_dir), "w")
+
+
+@query(f"WITH {kernel_sql(sign=1)} {GRAPH_OUT} w")
+def kernel_pos(spark, sf_dir):
+    return rounded(weighted(spark, sf_dir, sign=1), "w")
+
+
+_FIRST = f"""{knn_sql()},
+t AS (SELECT i, j, exp(value / {TAU}) AS value FROM k),
+w AS (SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, greatest(coalesce(a.value, 0), coalesce(b.value, 0)) AS w FROM t a FULL JOIN t b ON a.i = b.j AND a.j = b.i WHERE coalesce(a.i, b.j) <> coalesce(a.j, b.i)),
+d AS (SELECT j AS i, sum(w) AS deg FROM w GROUP BY j)"""
+
+
+@query(f"WITH {laplacian_sql('symmetric', _FIRST)} SELECT i, j, {R.format('l')} AS l FROM l")
+def kernel_first_laplacian(spark, sf_dir):
+    return rounded(graph.kernel_first_laplacian(knn(spark, sf_dir), TAU), "l")
+
+
+@query(f"WITH {kernel_sql()} SELECT i, {R.format('deg')} AS deg FROM d")
+def degree(spark, sf_dir):
+    return rounded(graph.degree(weighted(spark, sf_dir)), "deg")
+
+
+@query(f"WITH {kernel_sql()} SELECT i, {R.format('1 / deg')} AS inv FROM d")
+def inv_degree(spark, sf_dir):
+    return rounded(graph.inverse_degree(weighted(spark, sf_dir)), "inv")
+
+
+@query(f"WITH {kernel_sql()} SELECT i, {R.format('1 / sqrt(deg)')} AS inv_sqrt FROM d")
+def inv_sqrt_degree(spark, sf_dir):
+    return rounded(graph.inverse_sqrt_degree(weighted(spark, sf_dir)), "inv_sqrt")
+
+
+def _laplacian(kind: str):
+    return (lambda spark, sf_dir: rounded(graph.laplacian(weighted(spark, sf_dir), kind), "l")), f"WITH {laplacian_sql(kind)} SELECT i, j, {R.format('l')} AS l FROM l"
+
+
+QUERIES["laplacian"], ORACLES["laplacian"] = _laplacian("plain")
+QUERIES["laplacian_rw"], ORACLES["laplacian_rw"] = _laplacian("random_walk")
+QUERIES["laplacian_sym"], ORACLES["laplacian_sym"] = _laplacian("symmetric")
+
+_STEPS = 60
+_CURVE = f"""{graph_sql('zero', K + 1)},
+grid AS (SELECT range AS idx, -10.0::DOUBLE + range * (20.0::DOUBLE / {_STEPS - 1}) AS log_eps FROM range({_STEPS})),
+dens AS (SELECT idx, log_eps, exp(log_eps) AS eps, ln(sum(exp(-w / exp(log_eps))) + 1e-10) AS density FROM g CROSS JOIN grid GROUP BY idx, log_eps),
+nrm AS (SELECT *, (density - min(density) OVER ()) / (max(density) OVER () - min(density) OVER ()) AS normalized FROM dens),
+curve AS (SELECT *, CASE WHEN lag(normalized) OVER o IS NULL THEN lead(normalized) OVER o - normalized WHEN lead(normalized) OVER o IS NULL THEN normalized - lag(normalized) OVER o
+  ELSE (lead(normalized) OVER o - lag(normalized) OVER o) / 2 END AS gradient FROM nrm WINDOW o AS (ORDER BY idx))"""
+
+
+def curve(spark, sf_dir):
+    return graph.tau_curve(graph.symmetrize(knn(spark, sf_dir), "zero"), steps=_STEPS)
+
+
+@query(f"WITH {_CURVE} SELECT idx::INT AS idx, {R.format('log_eps')} AS log_eps, {R.format('density')} AS density, {R.format('normalized')} AS normalized FROM curve")
+def tau_density_curve(spark, sf_dir):
+    return rounded(curve(spark, sf_dir).select("idx", "log_eps", "density", "normalized"), "log_eps", "density", "normalized")
+
+
+@query(f"WITH {_CURVE} SELECT idx::INT AS idx, {R.format('gradient')} AS gradient FROM curve")
+def tau_gradient(spark, sf_dir):
+    return rounded(curve(spark, sf_dir).select("idx", "gradient"), "gradient")
+
+
+@query(f"WITH {_CURVE} SELECT idx::INT AS idx, {R.format('eps')} AS eps FROM curve ORDER BY gradient DESC, idx LIMIT 1")
+def tau_optimal(spark, sf_dir):
+    return rounded(graph.best_tau(curve(spark, sf_dir)), "eps")
+
+
+# ---- spectrum
+
+_START = "v0 AS (SELECT i, (i % 7 + 1)::DOUBLE AS x FROM (SELECT DISTINCT i FROM l))"
+
+
+@query(f"WITH {laplacian_sql('symmetric')}, {_START} SELECT l.i, {R.format('sum(l.l * v0.x)')} AS x FROM l JOIN v0 ON l.j = v0.i GROUP BY l.i")
+def spmv(spark, sf_dir):
+    matrix = graph.laplacian(weighted(spark, sf_dir))
+    vector = matrix.select("i").distinct().select("i", (F.col("i") % 7 + 1).cast("double").alias("x"))
+    return rounded(graph.multiply(matrix, vector), "x")
+
+
+@query(f"""WITH {laplacian_sql('symmetric')}, {_START},
+a1 AS (SELECT l.i, sum(l.l * v.x) AS x FROM l JOIN v0 v ON l.j = v.i GROUP BY l.i), v1 AS (SELECT i, x / sqrt(sum(x * x) OVER ()) AS x FROM a1),
+a2 AS (SELECT l.i, sum(l.l * v.x) AS x FROM l JOIN v1 v ON l.j = v.i GROUP BY l.i), v2 AS (SELECT i, x / sqrt(sum(x * x) OVER ()) AS x FROM a2),
+a3 AS (SELECT l.i, sum(l.l * v.x) AS x FROM l JOIN v2 v ON l.j = v.i GROUP BY l.i), v3 AS (SELECT i, x / sqrt(sum(x * x) OVER ()) AS x FROM a3)
+SELECT i, {R.format('x')} AS x FROM v3""")
+def power_iteration_fixed_steps(spark, sf_dir):
+    matrix = graph.laplacian(weighted(spark, sf_dir))
+    vector = matrix.select("i").distinct().select("i", (F.col("i") % 7 + 1).cast("double").alias("x"))
+    for _ in range(3):
+        vector = graph.multiply(matrix, vector)
+        norm = vector.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        vector = vector.join(F.broadcast(norm)).select("i", (F.col("x") / F.col("norm")).alias("x"))  # one row
+    return rounded(vector, "x")
+
+
+@query(f"WITH {laplacian_sql('symmetric')} SELECT {R.format('sum(l)')} AS trace FROM l WHERE i = j")
+def laplacian_trace(spark, sf_dir):
+    return rounded(graph.laplacian(weighted(spark, sf_dir)).where("i = j").agg(F.sum("l").alias("trace")), "trace")
+
+
+def eigen(spark, sf_dir, which="largest", pairs=6):
+    return spectral.eigenpairs(graph.laplacian(weighted(spark, sf_dir)), pairs, which)
+
+
+@query()
+def eigenvalues_largest(spark, sf_dir):
+    return rounded(eigen(spark, sf_dir)[0].select("k", "value"), "value")
+
+
+@query()
+def eigenvalues_smallest(spark, sf_dir):
+    return rounded(eigen(spark, sf_dir, "smallest")[0].select("k", "value"), "value")
+
+
+@query()
+def eigen_residuals(spark, sf_dir):
+    return eigen(spark, sf_dir)[0].select("k", (F.col("residual") < 1e-8).alias("small"))
+
+
+@query()
+def embedding_wide(spark, sf_dir):
+    return spectral.embedding(eigen(spark, sf_dir, "smallest")[1], [1, 2])
+
+
+# ---- views
+
+_DRAW = "(global_idx % 2147483647 * 48271 + 9) % 2147483647 * 69621 % 2147483629"
+
+
+@query(f"WITH {P} SELECT global_idx, dataset_idx, local_idx FROM p ORDER BY {_DRAW}, global_idx LIMIT 50")
+def sample_patterns(spark, sf_dir):
+    return browse.sample(patterns(spark, sf_dir), 50, 9).select("global_idx", "dataset_idx", "local_idx").orderBy("global_idx")
+
+
+_WANTED = ", ".join(f"({k}, {g})" for k, g in enumerate(IDS))
+
+
+@query(f"WITH {P}, w(pos, g) AS (VALUES {_WANTED}) SELECT pos, global_idx, dataset_idx, local_idx FROM p JOIN w ON g = global_idx")
+def lookup_by_ids(spark, sf_dir):
+    return indexing.lookup(patterns(spark, sf_dir), IDS).select("pos", "global_idx", "dataset_idx", "local_idx").orderBy("pos")
+
+
+@query(f"WITH {P}, w(pos, g) AS (VALUES {_WANTED}) SELECT (row_number() OVER (ORDER BY file_idx, dataset_idx, pos) - 1)::INT AS out, pos, global_idx FROM p JOIN w ON g = global_idx")
+def lookup_grouped_order(spark, sf_dir):
+    return indexing.grouped_positions(indexing.lookup(patterns(spark, sf_dir), IDS)).select("out", "pos", "global_idx")
+
+
+def _edges() -> str:
+    terms = []
+    for (x0, y0), (x1, y1) in zip(POLYGON, POLYGON[1:] + POLYGON[:1]):
+        terms.append(f"CASE WHEN y >= {min(y0, y1)} AND y < {max(y0, y1)} AND x < {x0} + (y - {y0}) * ({(x1 - x0) / (y1 - y0)!r})::DOUBLE THEN 1 ELSE 0 END")
+    return " + ".join(terms)
+
+
+@query(f"WITH {XY} SELECT global_idx, {R.format('x')} AS x, {R.format('y')} AS y FROM xy WHERE ({_edges()}) % 2 = 1")
+def polygon_select(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    return rounded(rows.where(browse.in_polygon(F.col("x"), F.col("y"), POLYGON)).select("global_idx", "x", "y"), "x", "y")
+
+
+@query(f"WITH {XY} SELECT global_idx FROM xy WHERE x BETWEEN -0.05 AND 0.1 AND y BETWEEN -0.1 AND 0.07")
+def box_select(spark, sf_dir):
+    return points(spark, sf_dir).where(browse.in_box(F.col("x"), F.col("y"), -0.05, 0.1, -0.1, 0.07)).select("global_idx")
+
+
+def _rolling(by: str):
+    sql = f"""WITH {XY} SELECT global_idx, CASE WHEN count(*) OVER o = 50 THEN {R.format('avg(attribute) OVER o')} END AS rolling FROM xy
+WINDOW o AS (ORDER BY {by}, global_idx ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING)"""
+    return (lambda spark, sf_dir: rounded(browse.rolling_mean(points(spark, sf_dir), by, "attribute", block=128).select("global_idx", "rolling"), "rolling")), sql
+
+
+QUERIES["rolling_mean_x"], ORACLES["rolling_mean_x"] = _rolling("x")
+QUERIES["rolling_mean_y"], ORACLES["rolling_mean_y"] = _rolling("y")
+
+_BOX = (16, -0.4, 0.4, -0.4, 0.4)
+_BIN = "floor(({0} - -0.4::DOUBLE) / ((0.4::DOUBLE - -0.4::DOUBLE) / 16))::INT"
+_IN = f"WITH {XY} SELECT {_BIN.format('x')} AS bx, {_BIN.format('y')} AS by, count(*) AS n{{}} FROM xy WHERE x >= -0.4 AND x < 0.4 AND y >= -0.4 AND y < 0.4 GROUP BY ALL"
+
+
+@query(_IN.format(""))
+def raster_count(spark, sf_dir):
+    return browse.raster(points(spark, sf_dir), "x", "y", *_BOX)
+
+
+@query(_IN.format(f", {R.format('avg(attribute)')} AS mean_attribute"))
+def raster_mean(spark, sf_dir):
+    return rounded(browse.raster(points(spark, sf_dir), "x", "y", *_BOX, "attribute"), "mean_attribute")
+
+
+@query(f"""WITH {with_stats_sql()}, {XY} SELECT xy.global_idx, {R.format('x')} AS x, {R.format('y')} AS y, {R.format('mean')} AS mean, {R.format('std')} AS std, {R.format('std')} AS variance,
+{R.format('attribute')} AS attribute, category FROM xy JOIN s ON s.vec_id = xy.global_idx""")
+def browser_frame(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    own = stats(spark, sf_dir).select(F.col("vec_id").alias("global_idx"), "mean", "std")
+    frame = browse.browser_frame(rows.select("global_idx", "x", "y"), own, rows.select("global_idx", "attribute", "category"))
+    return rounded(frame, "x", "y", "mean", "std", "variance", "attribute")
+
+
+@query(f"WITH {XY}, v AS (SELECT 0 AS k, x AS value FROM xy UNION ALL SELECT 1, y FROM xy UNION ALL SELECT 2, attribute FROM xy) SELECT k, {R.format('min(value)')} AS low, {R.format('max(value)')} AS high FROM v GROUP BY k")
+def axis_limits(spark, sf_dir):
+    vectors = points(spark, sf_dir).select(F.posexplode(F.array("x", "y", "attribute")).alias("k", "value"))
+    return rounded(browse.axis_limits(vectors), "low", "high")
+
+
+@query(f"WITH {XY} SELECT global_idx, {R.format('(attribute - min(attribute) OVER ()) / (max(attribute) OVER () - min(attribute) OVER ())')} AS color FROM xy")
+def color_scale(spark, sf_dir):
+    return rounded(browse.color_scale(points(spark, sf_dir), "attribute").select("global_idx", "color"), "color")
+
+
+@query(f"""WITH {P}, f AS (SELECT * FROM p WHERE global_idx < 10), o AS (SELECT *, row_number() OVER (ORDER BY global_idx) - 1 AS at FROM f)
+SELECT (r.range // 4)::INT AS row, (r.range % 4)::INT AS col, global_idx, {R.format('coalesce(list_sum(v), 0)')} AS total FROM range(12) r LEFT JOIN o ON o.at = r.range""")
+def grid_pad(spark, sf_dir):
+    grid = browse.pattern_grid(patterns(spark, sf_dir).where("global_idx < 10"), 3, 4, PIXELS, 9)
+    total = F.aggregate("pattern", F.lit(0.0), lambda a, x: a + x)
+    return rounded(grid.select("row", "col", "global_idx", total.alias("total")), "total")
+
+
+@query(f"WITH {XY} SELECT global_idx, (ntile(5) OVER (ORDER BY x, global_idx) - 1)::INT AS category FROM xy")
+def angle_category(spark, sf_dir):
+    return browse.equal_blocks(points(spark, sf_dir).drop("category"), "x", 5, _total(spark, sf_dir)).select("global_idx", "category")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the spectral plan is in: the pattern table's labels."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    """vec_id, label, eigvec_0, eigvec_1: from patterns to coordinates."""
+    rows = patterns(spark, sf_dir)
+    settings = Settings(neighbours_kept=K, neighbours_used=K, eigenpairs=4)
+    found, _ = pipeline.neighbours(rows, settings)
+    _, vectors, _ = pipeline.eigensystem(found, settings)
+    coordinates = spectral.embedding(vectors, [0, 1])
+    return rows.select("global_idx", "vec_id", F.col("dataset_idx").alias("label")).join(coordinates, "global_idx").drop("global_idx")
