@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from driftmap.functions.joins import checked_broadcast, salted_join
 from driftmap.llm import words
-from driftmap.llm.tables import PARTS, summed_table
+from driftmap.llm.tables import summed_table
 from driftmap.llm.text import ascii_lower
 from driftmap.sources.scratch import materialize
 
@@ -65,7 +65,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def train_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their (2^TRIGRAM_BITS, languages + 1) log probabilities from ``labelled`` (text,
     lang); the last column is ``und``, all trigrams alike."""
-    found = [r.lang for r in labelled.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").limit(500).collect()]  # as many as there are languages
+    found = [r.lang for r in labelled.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").collect()]  # as many as there are languages
     size = 1 << TRIGRAM_BITS
 
     def count(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -80,7 +80,6 @@ def train_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     counts = summed_table(labelled.select("text", "lang"), max(1, len(found)) * size, count).reshape(-1, size)[: len(found)].T + 0.5
     log = np.log(counts / counts.sum(axis=0)) if found else np.zeros((size, 0))
-    assert size % PARTS == 0
     return found, np.hstack([log, np.full((size, 1), -np.log(size))]).astype(np.float32)
 
 
@@ -115,19 +114,20 @@ def softmax(logs: Column) -> Column:
     return F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
 
 
-def sums(by: list[str], size: int):
+def sums(size: int) -> list[Column]:
     """Aggregates that add up ``p`` element by element."""
     return [F.sum(F.col("p")[k]).alias(f"p{k}") for k in range(size)]
 
 
-def host_priors(pages: DataFrame, languages: list[str]) -> DataFrame:
-    """(host, prior array): host sums smoothed by their domain's, those by the sums of all."""
+def host_priors(pages: DataFrame, languages: list[str]) -> tuple[DataFrame, list[float]]:
+    """(host, prior array), host sums smoothed by their domain's, those by the sums of all; and the
+    prior of all."""
     size = len(languages) + 1
     fields = [f"p{k}" for k in range(size)]
     total = F.lit(0.0)
     for f in fields:
         total = total + F.col(f)
-    by_host = materialize(pages.where("host IS NOT NULL").groupBy("host", "domain").agg(*sums([], size)), "hosts")
+    by_host = materialize(pages.where("host IS NOT NULL").groupBy("host", "domain").agg(*sums(size)), "hosts")
     every = by_host.agg(*[F.sum(f).alias(f) for f in fields]).first()
     known = sum(every[f] or 0 for f in fields[:-1])
     root = [((every[f] or 0) + 1) / (known + size - 1) * (1 - UNKNOWN) for f in fields[:-1]] + [UNKNOWN]
@@ -146,7 +146,7 @@ def identify(pages: DataFrame, languages: list[str], log_table: np.ndarray) -> D
     seen = with_text_logs(pages, log, languages).withColumn("p", softmax(F.col("logs")))
     seen = materialize(seen, "seen")
     priors, root = host_priors(seen.where("n_trigrams > 0"), languages)
-    suffixes = seen.where("suffix IS NOT NULL AND n_trigrams > 0").groupBy(F.col("suffix").alias("_suffix")).agg(*sums([], size))
+    suffixes = seen.where("suffix IS NOT NULL AND n_trigrams > 0").groupBy(F.col("suffix").alias("_suffix")).agg(*sums(size))
     likelihood = F.array(*[(F.col(f"p{k}") + 1) / (sum((F.col(f"p{j}") for j in range(size)), F.lit(0.0)) + size) for k in range(size)])
     suffix_rows = checked_broadcast(materialize(suffixes.select("_suffix", likelihood.alias("by_suffix")), "suffixes"))
     few = checked_broadcast(priors)
