@@ -21,6 +21,8 @@ from driftmap.llm import words
 GROUP_BYTES = 16_000_000
 #: Bytes of distinct pieces in one call.
 CALL_BYTES = 64_000
+#: Runs put together at a time.
+GATHER = 250_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -68,7 +70,12 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def gather(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The runs ``values[first : first + count]`` one behind another."""
     ends = np.cumsum(counts)
-    return values[np.repeat(first - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    for at in range(0, len(ends), GATHER):  # in parts, for the index arrays
+        own, n = slice(at, at + GATHER), counts[at : at + GATHER]
+        begin = int(ends[at] - counts[at])
+        out[begin : begin + int(n.sum())] = values[np.repeat(first[own] - ends[own] + n, n) + np.arange(begin, begin + int(n.sum()))]
+    return out
 
 
 def encode_pieces(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +95,8 @@ def encode_pieces(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndar
         cuts = np.unique(np.searchsorted(stops, np.arange(CALL_BYTES, stops[-1] + CALL_BYTES, CALL_BYTES), "left").clip(max=len(stops) - 1))
         edges = np.concatenate(([0], stops[cuts]))
         calls = [text[a:b].tobytes().decode() for a, b in zip(edges[:-1], edges[1:])]
-        ids = np.concatenate([np.array(x.ids, np.int64) for x in tok.encode_batch_fast(calls, add_special_tokens=False)])
+        # One call at a time: an encoding takes far more memory than its ids.
+        ids = np.concatenate([np.array(tok.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.uint32) for x in calls])
         marks = np.flatnonzero(ids == newline)
         if len(marks) == len(which):
             first[which] = np.concatenate(([0], marks[:-1] + 1))
@@ -101,8 +109,8 @@ def encode_pieces(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndar
         got = [x.ids for x in tok.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(starts[rest], ends[rest])], add_special_tokens=False)]
         count[rest] = [len(x) for x in got]
         first[rest] = used + np.concatenate(([0], np.cumsum(count[rest])[:-1]))
-        flat.append(np.fromiter((i for x in got for i in x), np.int64))
-    return np.concatenate(flat).astype(np.uint32) if flat else np.zeros(0, np.uint32), first, count
+        flat.append(np.fromiter((i for x in got for i in x), np.uint32))
+    return np.concatenate(flat) if flat else np.zeros(0, np.uint32), first, count
 
 
 def encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,3 +143,4 @@ def encoded_groups(path: str, batch: pa.RecordBatch, column: str = "text"):
     for texts in words.slices(batch.column(column), GROUP_BYTES):
         yield (batch.slice(at, len(texts)), *encode(path, texts))
         at += len(texts)
+        words.give_back()

@@ -3,17 +3,21 @@
 Two texts link when their sets of distinct n-word shingles have a Jaccard similarity of at least
 ``num / den``.  The join is exact:
 
-1. A count sketch of fixed size over all shingles gives each shingle a frequency level.  A shingle's
+1. Sets that are equal (size and two 64-bit digests) link at once; the smallest doc_id stands for them.
+   A count sketch of fixed size over all shingles gives each shingle a frequency level.  A shingle's
    token is (level, hash), so sorting tokens puts rare shingles first, in one order for all texts.
    The order only steers cost; any order gives the same links.
-2. Texts that link share one of their first m - ceil(num / den * m) + 1 tokens (m: the set's size).
-   Those prefixes, a tenth of the tokens at 0.9, are grouped by token into lists of documents.
-3. Lists are compared in cells.  A cell's member sets form a prefix tree over their tokens; all probe
-   sets walk it at once with their overlaps so far, a path shared by members is walked once, and a
-   subtree ends where what is left of its sets can't reach the overlap asked for (``trie_links``).
-   First every list's smallest document probes the list's others.  That takes a number of rows in
-   proportion to the lists and mostly joins groups of copies whole.  Lists whose documents are then
-   in several components are compared exhaustively, in blocks, until no pair is left that could link.
+2. Sets that link have l common tokens among their first m - ceil(num / den * m) + l (m: a set's
+   size, l: 1 + 3% of it).  Those prefixes are grouped by token into lists of documents.  Lists of up
+   to ``PAIRED`` documents give pairs; pairs of too different sizes, or with too few common tokens,
+   can't link and are dropped before any set moves.
+3. What is left is compared in cells.  A cell's member sets form a prefix tree over their tokens; all
+   probe sets walk it at once with their overlaps so far, a path shared by members is walked once, and
+   a subtree ends where what is left of its sets can't reach the overlap asked for (``trie_links``).
+   First each document meets the smallest document it is paired with, and each large list's smallest
+   document meets that list.  That takes rows in proportion to documents and lists and mostly joins
+   groups of copies whole.  Pairs, and large lists, that are then in several components are compared
+   until no pair is left that could link.
 
 Large groups of copies cost rows in proportion to their size, not to its square, as pairs that are
 already in one component need no look.  Joins back from lists are salted.
@@ -45,8 +49,12 @@ SKETCH_BITS = 20
 HASH_BITS = 58
 #: Documents on either side of a cell.
 BLOCK = 256
-#: Lists up to this size are compared exhaustively in one cell.
-SMALL = 64
+#: Lists up to this size give pairs of documents, whose common tokens are counted.
+PAIRED = 64
+#: Larger lists up to this size are compared exhaustively in one cell.
+SMALL = 256
+#: Prefixes are longer by this share of a set, and linked sets have as many more tokens in common there.
+ELL_PERCENT = 3
 #: Rows of cells handled in one call.
 CELL_ROWS = 500
 #: Tokens of a path walked in one step.
@@ -78,21 +86,23 @@ def token_sets(texts: pa.Array, n: int, levels: np.ndarray) -> list[np.ndarray]:
 
 
 def prefixes(docs: DataFrame, n: int, num: int, den: int, levels) -> DataFrame:
-    """doc_id, n_shingles and the prefix tokens of each row."""
+    """doc_id, n_shingles, two digests of the whole set and its prefix tokens, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in words.slices(batch.column("text")):
                 sets = token_sets(texts, n, levels.value)
-                first = [s[: len(s) - -(-num * len(s) // den) + 1] if len(s) else s for s in sets]
+                first = [s[: len(s) - -(-num * len(s) // den) + 1 + len(s) * ELL_PERCENT // 100] for s in sets]
                 flat = np.concatenate(first).astype(np.int64) if first else np.zeros(0, np.int64)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in first]))).astype(np.int32)
-                columns = [batch.column("doc_id").slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "prefix"])
+                digests = [pa.array(np.array([words.mix(s ^ np.uint64(k)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for k in (1, 2)]
+                columns = [batch.column("doc_id").slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), *digests, pa.ListArray.from_arrays(offsets, flat)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "prefix"])
                 at += len(texts)
+        words.give_back()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
 
 
 # ---- cells
@@ -175,6 +185,7 @@ def compare(docs: DataFrame, cells: DataFrame, n: int, num: int, den: int, level
                 tokens = pa.array([s.tobytes() for s in token_sets(texts, n, levels.value)], pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column("call"), own.column("cell"), own.column("doc_id"), own.column("role"), tokens], names=["call", "cell", "doc_id", "role", "tokens"])
                 at += len(texts)
+        words.give_back()
 
     def links(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cell", "ascending"), ("doc_id", "ascending")])
@@ -215,36 +226,73 @@ def list_cells(entries: DataFrame, lists: DataFrame) -> DataFrame:
 # ---- the join
 
 
+def ell(m: str) -> str:
+    """SQL for the number of common prefix tokens asked of sets of at least ``m`` shingles."""
+    return f"(1 + {m} * {ELL_PERCENT} div 100)"
+
+
+def close_sizes(a: str, b: str, num: int, den: int) -> str:
+    """SQL: can sets of these sizes be similar enough?  A negative size is unknown."""
+    return f"({a} < 0 OR {b} < 0 OR {den} * least({a}, {b}) >= {num} * greatest({a}, {b}))"
+
+
+def candidate_pairs(lists: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) with a < b of the documents that meet in lists of at most PAIRED documents, have close
+    sizes and as many common prefix tokens as linked documents must have."""
+    twos = lists.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"), F.col("m_least").alias("ma"), F.col("m_most").alias("mb"))
+    members = entries.where(f"n <= {PAIRED}").groupBy("token").agg(F.collect_list(F.struct("doc_id", "m")).alias("d"))
+    close = f"filter(slice(d, i + 2, size(d)), y -> {close_sizes('x.m', 'y.m', num, den)})"  # others are never made
+    met = members.select(F.explode(F.expr(f"flatten(transform(d, (x, i) -> transform({close}, y -> struct(least(x, y) AS x, greatest(x, y) AS y))))")).alias("p"))
+    more = met.select(F.col("p.x.doc_id").alias("a"), F.col("p.y.doc_id").alias("b"), F.col("p.x.m").alias("ma"), F.col("p.y.m").alias("mb"))
+    pairs = twos.unionByName(more).where(f"a < b AND {close_sizes('ma', 'mb', num, den)}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("ma").alias("ma"), F.min("mb").alias("mb"))
+    # Common tokens may also lie in larger lists: at most as many as ``a`` has there.
+    large = checked_broadcast(entries.where(f"n > {PAIRED}").groupBy(F.col("doc_id").alias("a")).agg(F.count(F.lit(1)).alias("large")))
+    enough = f"least(ma, mb) < 0 OR common + coalesce(large, 0) >= {ell('least(ma, mb)')}"
+    return pairs.join(large, "a", "left").where(enough).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))  # 2^SKETCH_BITS bytes
     sets = materialize(prefixes(docs, n, num, den, levels), "prefixes")
     usable = docs.where("doc_id IS NOT NULL")
-    tokens = sets.where("doc_id IS NOT NULL").select(F.explode("prefix").alias("token"), "doc_id")
-    lists = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "lists")
-    twos = lists.where("n = 2").select(F.col("least").alias("center"), F.col("most").alias("doc_id"))
-    many = lists.where("n > 2").select("token", "least")
+    # Rows that share a doc_id may differ in size: theirs counts as unknown.
+    repeated = sets.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_id")
+    same = ["n_shingles", "d1", "d2"]
+    whole_sets = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = whole_sets.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("first")).where("_n > 1").drop("_n")
+    classed = salted_join(whole_sets, classes, same, ["doc_id"], "left")
+    equal = materialize(classed.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "equal")
+    sized = classed.where("first IS NULL OR doc_id = first").join(checked_broadcast(repeated), F.col("doc_id") == F.col("_id"), "left")
+    tokens = sized.select(F.explode("prefix").alias("token"), "doc_id", F.when(F.col("_id").isNull(), F.col("n_shingles")).otherwise(-1).alias("m"))
+    grouped = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min_by("m", "doc_id").alias("m_least"), F.max_by("m", "doc_id").alias("m_most"))
+    lists = materialize(grouped.where("least < most"), "lists")
+    many = lists.where("n > 2").select("token", "n", "least", "m_least")
     few = checked_broadcast(many)
-    entries = tokens.join(few, "token") if few is not many else salted_join(tokens, many, ["token"], ["doc_id"])
-    entries = materialize(entries, "entries")
-    stars = entries.select(F.col("least").alias("center"), "doc_id")
-    links = compare(usable, star_cells(twos.unionByName(stars)), n, num, den, levels)
+    entries = materialize(tokens.join(few, "token") if few is not many else salted_join(tokens, many, ["token"], ["doc_id"]), "entries")
+    pairs = materialize(candidate_pairs(lists, entries, num, den), "candidates")
+    large = entries.where(f"n > {PAIRED}")
+    stars = pairs.groupBy("b").agg(F.min("a").alias("center")).select("center", F.col("b").alias("doc_id"))
+    stars = stars.unionByName(large.where(close_sizes("m", "m_least", num, den)).select(F.col("least").alias("center"), "doc_id"))
+    links = equal.unionByName(compare(usable, star_cells(stars), n, num, den, levels))
     for last in (False, True):
         whole = components(links)
         labels = whole.select(F.col("id").alias("doc_id"), "component_id")
-        labelled = materialize(entries.join(labels, "doc_id", "left").select("token", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id")).distinct(), "labelled")
+        labelled = large.select("token", "doc_id").join(labels, "doc_id", "left")
+        labelled = materialize(labelled.select("token", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id")).distinct(), "labelled")
         open_lists = materialize(_open_lists(labelled), "open")
-        if open_lists.isEmpty():
-            break
         if last:
             cells = list_cells(labelled, open_lists.select("token", "n"))
-        else:  # large lists get another try with a document of another component as the centre
-            small = list_cells(labelled, open_lists.where(f"n <= {SMALL}").select("token", "n"))
+        else:  # what pairs are not in one component yet; large lists get another centre
+            in_lists = list_cells(labelled, open_lists.where(f"n <= {SMALL}").select("token", "n"))
             centres = open_lists.where(f"n > {SMALL}").select("token", F.col("other").alias("center"))
-            large = star_cells(salted_join(labelled, centres, ["token"], ["doc_id"]).select("center", "doc_id"))
-            cells = small.unionByName(large)
-            entries = entries.join(open_lists.where(f"n > {SMALL}").select("token"), "token", "left_semi")
+            in_stars = salted_join(labelled, centres, ["token"], ["doc_id"]).select("center", "doc_id")
+            cells = in_lists.unionByName(star_cells(in_stars.unionByName(_apart(pairs, whole))))
+            large = large.join(open_lists.where(f"n > {SMALL}").select("token"), "token", "left_semi")
+        cells = materialize(cells, "cells")
+        if cells.isEmpty():
+            break
         links = links.unionByName(compare(usable, cells, n, num, den, levels))
     else:
         whole = components(links)
@@ -252,6 +300,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _apart(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(center, doc_id) of the ``pairs`` whose ends are in different components."""
+    label = lambda end: whole.select(F.col("id").alias(end), F.col("component_id").alias(f"c{end}"))
+    found = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    return found.where("coalesce(ca, a) <> coalesce(cb, b)").select(F.col("a").alias("center"), F.col("b").alias("doc_id"))
+
+
 def _open_lists(labelled: DataFrame) -> DataFrame:
     """(token, n, other) of lists with documents of several components, of equal lists one; ``other``
     is a document outside the component with the smallest number."""

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmap.llm import words
+
 PARTS = 64
 
 
@@ -31,6 +33,7 @@ def summed_table(df: DataFrame, size: int, count: Callable[[pa.RecordBatch], Ite
         parts = [zlib.compress(total[k * width : (k + 1) * width].astype("<u4").tobytes(), 1) if total.max() < 2**32 else None for k in range(PARTS)]
         wide = [zlib.compress(total[k * width : (k + 1) * width].astype("<i8").tobytes(), 1) if x is None else None for k, x in enumerate(parts)]
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "narrow": pa.array(parts, pa.binary()), "wide": pa.array(wide, pa.binary())})
+        words.give_back()
 
     def values(narrow, wide) -> np.ndarray:
         return np.frombuffer(zlib.decompress(narrow), "<u4").astype(np.int64) if narrow is not None else np.frombuffer(zlib.decompress(wide), "<i8")

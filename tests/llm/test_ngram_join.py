@@ -62,6 +62,7 @@ def test_blocks_of_large_lists(spark, monkeypatch):
     """With tiny blocks every path is taken: stars in blocks, a second centre, blocks by blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "PAIRED", 2)
     rows = list(enumerate(corpus(2, 120, vocabulary=6, group=0.8)))
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA)
     assert rows_of(ngram_join.jaccard_components(df, 2, 7, 10)) == brute(rows, 2, 7, 10)
