@@ -17,7 +17,7 @@ Two texts link when their sets of distinct n-word shingles have a Jaccard simila
    First each document meets the smallest document it is paired with, and each large list's smallest
    document meets that list.  That takes rows in proportion to documents and lists and mostly joins
    groups of copies whole.  Pairs, and large lists, that are then in several components are compared
-   until no pair is left that could link.
+   until no pair is left that could link; large lists of mostly the same documents as one list.
 
 Large groups of copies cost rows in proportion to their size, not to its square, as pairs that are
 already in one component need no look.  Joins back from lists are salted.
@@ -283,7 +283,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
         labelled = materialize(labelled.select("token", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id")).distinct(), "labelled")
         open_lists = materialize(_open_lists(labelled), "open")
         if last:
-            cells = list_cells(labelled, open_lists.select("token", "n"))
+            cells = list_cells(*_merged(labelled, open_lists))
         else:  # what pairs are not in one component yet; large lists get another centre
             in_lists = list_cells(labelled, open_lists.where(f"n <= {SMALL}").select("token", "n"))
             centres = open_lists.where(f"n > {SMALL}").select("token", F.col("other").alias("center"))
@@ -321,6 +321,26 @@ def _open_lists(labelled: DataFrame) -> DataFrame:
     return found.where("low < high").groupBy("n", "s1", "s2").agg(F.min("token").alias("token"), F.max("other").alias("other")).select("token", "n", "other")
 
 
+def _merged(labelled: DataFrame, open_lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries (token, doc_id) and lists (token, n), where lists of mostly the same documents are one.
+
+    A passage that many documents share gives a list for each of its shingles.  Lists with the same
+    least hash of a document (as probable as their overlap) become one if their union has at most
+    twice the documents of the longest; comparing the union compares all that its lists would.
+    """
+    own = materialize(labelled.select("token", "doc_id").distinct().join(checked_broadcast(open_lists.select("token", "n")), "token"), "open-entries")
+    twins = own.groupBy("token", "n").agg(F.min(F.xxhash64("doc_id")).alias("twin"))
+    entries = salted_join(own.drop("n"), twins, ["token"], ["doc_id"])
+    longest = entries.groupBy("twin").agg(F.max("n").alias("longest"))
+    unions = entries.select("twin", "doc_id").distinct()
+    sizes = unions.groupBy("twin").agg(F.count(F.lit(1)).alias("n"))
+    merged = materialize(sizes.join(longest, "twin").where("n <= 2 * longest").select(F.col("twin").alias("token"), "n"), "merged")
+    together = salted_join(unions.withColumnRenamed("twin", "token"), merged.select("token"), ["token"], ["doc_id"])
+    alone = twins.join(merged.select(F.col("token").alias("twin")), "twin", "left_anti").select("token", "n")
+    apart = salted_join(own.drop("n"), alone.select("token"), ["token"], ["doc_id"])
+    return together.unionByName(apart), merged.unionByName(alone)
+
+
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """``docs`` without those that have a smaller doc_id in their component."""
     found = jaccard_components(docs, n, num, den)

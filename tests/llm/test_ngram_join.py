@@ -86,3 +86,19 @@ def test_components_of_chains_and_hubs(spark):
 
 def test_empty_table(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_overlapping_lists_become_one_and_others_stay(spark):
+    lists = {t: range(100) for t in (1, 2)} | {3: range(1, 99), 4: range(500, 600), 5: [*range(700, 800), 0]}
+    rows = [(t, d, d) for t, docs in lists.items() for d in docs]
+    labelled = spark.createDataFrame(rows, "token long, doc_id long, component_id long")
+    sizes = spark.createDataFrame([(t, len(d)) for t, d in lists.items()], "token long, n long")
+    entries, merged = ngram_join._merged(labelled, sizes)
+    found = {}
+    for r in entries.collect():
+        found.setdefault(r.token, []).append(r.doc_id)
+    assert {r.token: r.n for r in merged.collect()} == {t: len(d) for t, d in found.items()}
+    assert all(len(set(d)) == len(d) for d in found.values())
+    for docs in lists.values():
+        assert any(set(docs) <= set(d) for d in found.values())
+    assert len(found) <= 4
