@@ -2,9 +2,14 @@
 
 Both models interpolate bigrams and unigrams, with the same weights, add-one floor and vocabulary:
 the ``vocabulary`` most frequent words of all documents, everything else being one unknown word.
-Counts come from every word of every document: word counts by a shuffle over all distinct words,
-bigram counts in ``2^BIGRAM_BITS`` hashed cells a model, summed over all partitions.  The models have
-a fixed size, so they go to every task; the documents are scored where they are read.
+Every distinct word and bigram of the corpus keeps its exact count in either model; a bigram's key is
+a 64-bit hash of its two words.
+
+Counts are gathered by a shuffle.  Each slice of a few megabytes of text sends its distinct words and
+bigrams, sorted and dealt by key into buckets whose number grows with the text, and gets back the
+corpus's counts of the same keys in the same order.  So a key has at most one entry a slice however
+common it is, and neither the driver nor a task holds a model.  The slices are then scored by their
+own counts.
 
 A document's score is its loss a word (in nats) under the target model less that under the background
 model: the lower, the more it is like the target.
@@ -17,20 +22,25 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmap.llm import words
-from driftmap.llm.tables import PARTS, summed_table
 from driftmap.sources.scratch import materialize
 
 VOCABULARY = 65_535
-BIGRAM_BITS = 20
 BIGRAM_WEIGHT = 0.6
+#: Text bytes of a slice, and of a bucket: the least, and the most beyond FEW_BUCKETS of them.
+SLICE_BYTES, LEAST_BYTES, MOST_BYTES = 4_000_000, 1 << 17, 12 << 20
+FEW_BUCKETS = 1024
+#: The keys of all words out of the vocabulary and of the place before a text's first word.
+UNKNOWN, START = np.uint64(0), np.uint64(0xA0761D6478BD642F)
+_ODD = np.uint64(0xE7037ED1A0B428DB)
 
 
 class Vocabulary:
@@ -65,90 +75,144 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bigram_cells(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The hashed cell of each word with the one before it; ``first`` marks words that begin a text."""
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1] + 1
-    before[first] = 0
-    mixed = words.mix(before.astype(np.uint64) * np.uint64(0x100000001) + numbers.astype(np.uint64))
-    return (mixed & np.uint64((1 << BIGRAM_BITS) - 1)).astype(np.int64)
+def most_frequent(docs: DataFrame, size: int) -> Vocabulary:
+    counts = materialize(word_counts(docs), "word-counts")
+    top = counts.orderBy(F.col("n").desc(), "word").limit(size).select("word").toArrow()  # size rows
+    return Vocabulary(top.column("word").to_numpy().view(np.uint64))
+
 
+def sliced(texts: DataFrame) -> DataFrame:
+    """(slice, bytes, rows): ``texts`` (doc_id, text, target) in slices, each a compressed Arrow stream."""
 
-def numbered(texts: pa.Array, vocabulary: Vocabulary) -> tuple[words.Words, np.ndarray, np.ndarray]:
-    w = words.Words(texts)
-    first = np.ones(len(w.doc), bool)
-    first[1:] = w.doc[1:] != w.doc[:-1]
-    return w, vocabulary.numbers(w.hash), first
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            at = 0
+            for part in words.slices(batch.column("text"), SLICE_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(at, len(part)))
+                size = int(pc.sum(pc.binary_length(part)).as_py() or 0)
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int64()), "bytes": pa.array([size], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+                number += 1
+                at += len(part)
 
+    return materialize(texts.mapInArrow(run, "slice long, bytes long, rows binary"), "slices")
 
-@dataclass
-class Model:
-    """Counts of words, of hashed bigrams and of texts, and the losses they give."""
 
-    unigrams: np.ndarray
-    bigrams: np.ndarray
-    starts: float
+class Slice:
+    """The distinct words (with START) and bigrams of a slice in the order of their keys: ``keys``, the
+    place ``at`` of each word and bigram in them, and their ``counts`` in background and target."""
 
-    def loss(self, numbers: np.ndarray, first: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """Negative log probability of each word after the one before it."""
-        alone = (self.unigrams[numbers] + 1.0) / (self.unigrams.sum() + len(self.unigrams))
-        context = np.empty(len(numbers))
-        context[1:] = self.unigrams[numbers[:-1]]
-        context[first] = self.starts
-        pair = np.minimum(self.bigrams[cells] / np.maximum(context, 1), 1.0)
-        return -np.log(BIGRAM_WEIGHT * pair + (1 - BIGRAM_WEIGHT) * alone)
+    def __init__(self, rows: bytes, vocabulary: Vocabulary | None):
+        table = pa.ipc.open_stream(pa.py_buffer(rows)).read_all().combine_chunks()
+        self.doc_id = table.column("doc_id").combine_chunks()
+        self.words = w = words.Words(table.column("text").combine_chunks())
+        n = len(w.hash)
+        word = w.hash if vocabulary is None else np.where(vocabulary.numbers(w.hash) > 0, w.hash, UNKNOWN)
+        first = np.ones(n, bool)
+        first[1:] = w.doc[1:] != w.doc[:-1]
+        before = np.empty_like(word)
+        before[1:], before[first] = word[:-1], START
+        target = table.column("target").to_numpy()[w.doc].astype(np.int64)
+        single, at = np.unique(np.concatenate([word, np.full(first.sum(), START)]), return_inverse=True)
+        pair, pair_at = np.unique(words.mix(before * _ODD + word), return_inverse=True)
+        self.keys, self.at = (single, pair), (at[:n], pair_at)
+        self.context = np.empty(n, np.int64)
+        self.context[1:] = at[: max(n - 1, 0)]
+        self.context[first] = np.searchsorted(single, START)
+        sides = np.concatenate([target, target[first]])
+        self.counts = [np.bincount(p + len(k) * s, minlength=2 * len(k)).reshape(2, -1) for p, k, s in ((at, single, sides), (pair_at, pair, target))]
 
 
-def train(docs: DataFrame, vocabulary_size: int) -> tuple[Vocabulary, Model, Model]:
-    """The vocabulary and the target and background models of ``docs`` (text, target boolean)."""
-    counts = materialize(word_counts(docs), "word-counts")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(vocabulary_size).select("word").toArrow()  # vocabulary_size rows
-    vocabulary = Vocabulary(top.column("word").to_numpy().view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    cells = 1 << BIGRAM_BITS
-    plain = -(-(vocabulary.size + 1) // PARTS) * PARTS
-    one = plain + cells
-
-    def count(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        at = 0
-        for texts in words.slices(batch.column("text"), 8_000_000):
-            target = batch.column("target").slice(at, len(texts)).to_numpy(zero_copy_only=False)
-            at += len(texts)
-            w, numbers, first = numbered(texts, shared.value)
-            side = target[w.doc].astype(np.int64) * one
-            table = np.bincount(side + numbers, minlength=2 * one)
-            table += np.bincount(side + plain + bigram_cells(numbers, first), minlength=2 * one)
-            table += np.bincount(side[first] + vocabulary_end, minlength=2 * one)
-            yield table
-
-    vocabulary_end = vocabulary.size  # the cell behind the words counts the texts
-    total = summed_table(docs, 2 * one, count)
-    models = []
-    for side in (total[:one], total[one:]):
-        models.append(Model(side[: vocabulary.size].astype(np.float64), side[plain:].astype(np.float64), float(side[vocabulary_end])))
-    return vocabulary, models[1], models[0]
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers by planes of bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T), "zstd", asbytes=True)
 
 
-def cross_entropy_difference(docs: DataFrame, vocabulary_size: int = VOCABULARY) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss, score of ``docs`` (doc_id, text, target).
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).reshape(n)
 
-    The background is all documents that aren't target.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
-    models = docs.sparkSession.sparkContext.broadcast(train(texts.select("text", "target"), vocabulary_size))
+
+_NAMES = ["slice", "bucket", "n0", "keys0", "counts0", "n1", "keys1", "counts1"]
+_KEYS = "slice long, bucket int, n0 int, keys0 binary, counts0 binary, n1 int, keys1 binary, counts1 binary"
+_TOTALS = "slice long, bucket int, n0 int, counts0 binary, n1 int, counts1 binary, distinct long, background long, target long"
+
+
+def slice_keys(slices: DataFrame, buckets: int, shared) -> DataFrame:
+    """For each slice and bucket its distinct words (0) and bigrams (1) with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, target, background = models.value
         for batch in batches:
-            at = 0
-            for part in words.slices(batch.column("text")):
-                w, numbers, first = numbered(part, vocabulary)
-                cells = bigram_cells(numbers, first)
-                n = w.counts.astype(np.float64)
-                none = n == 0
-                losses = [np.bincount(w.doc, m.loss(numbers, first, cells), w.rows) / np.maximum(n, 1) for m in (target, background)]
-                columns = [batch.column("doc_id").slice(at, len(part)), pa.array(w.counts.astype(np.int64)), *(pa.array(x, mask=none) for x in (*losses, losses[0] - losses[1]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
-                at += len(part)
+            for number, rows in zip(batch.column("slice").to_pylist(), batch.column("rows")):
+                s = Slice(rows.as_buffer(), shared.value)
+                ends = [np.searchsorted(((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1)) for k in s.keys]
+                out: list[tuple] = []
+                for b in range(buckets):
+                    row: list = [number, b]
+                    for keys, counts, end in zip(s.keys, s.counts, ends):
+                        part = slice(end[b], end[b + 1])
+                        own = keys[part]
+                        row += [len(own), packed(np.diff(own, prepend=np.uint64(0))), packed(np.ascontiguousarray(counts[:, part]).reshape(-1))]
+                    if row[2] or row[5]:
+                        out.append(tuple(row))
+                columns = list(zip(*out)) or [()] * len(_NAMES)
+                kinds = [pa.int64(), pa.int32(), *[pa.int32(), pa.binary(), pa.binary()] * 2]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_NAMES)
+        words.give_back()
+
+    return slices.select("slice", "rows").mapInArrow(run, _KEYS)
+
+
+def add_bucket(table: pa.Table) -> pa.Table:
+    """The corpus's counts of the keys of one bucket, as each slice sent them; the first row also has the
+    bucket's distinct words and their sums of counts."""
+    out, sums = [table.column("slice"), table.column("bucket")], [0, 0, 0]
+    for kind in "01":
+        sizes = table.column(f"n{kind}").to_pylist()
+        keys = np.concatenate([np.cumsum(unpacked(x.as_buffer(), n), dtype=np.uint64) for x, n in zip(table.column(f"keys{kind}"), sizes)])
+        own = np.concatenate([unpacked(x.as_buffer(), 2 * n).view(np.int64).reshape(2, n) for x, n in zip(table.column(f"counts{kind}"), sizes)], axis=1)
+        distinct, at = np.unique(keys, return_inverse=True)
+        total = np.stack([np.bincount(at, side, len(distinct)).astype(np.int64) for side in own])
+        ends = np.cumsum([0, *sizes])
+        replies = [packed(np.ascontiguousarray(total[:, at[a:b]]).reshape(-1)) for a, b in zip(ends, ends[1:])]
+        out += [table.column(f"n{kind}"), pa.array(replies, pa.binary())]
+        if kind == "0":
+            plain = (distinct != START) & (distinct != UNKNOWN)
+            sums = [int(plain.sum()), *(int(x) for x in total[:, distinct != START].sum(axis=1))]
+    out += [pa.array([x, *[0] * (len(table) - 1)], pa.int64()) for x in sums]
+    return pa.Table.from_arrays(out, names=[x.split()[0] for x in _TOTALS.split(", ")])
+
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+def cross_entropy_difference(docs: DataFrame, vocabulary_size: int = VOCABULARY) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss, score of ``docs`` (doc_id, text, target).
+
+    The background is all documents that aren't target.
+    """
+    spark = docs.sparkSession
+    slices = sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target")))
+    size = slices.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(min(FEW_BUCKETS, size // LEAST_BYTES + 1), size // MOST_BYTES)
+    shared = spark.sparkContext.broadcast(most_frequent(docs, vocabulary_size))
+    totals = materialize(slice_keys(slices, buckets, shared).groupBy("bucket").applyInArrow(add_bucket, _TOTALS), "lm-counts")
+    distinct, *sums = (x or 0 for x in totals.agg(F.sum("distinct"), F.sum("background"), F.sum("target")).first())
+    floor = distinct + 1  # and the unknown word
+
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        s = Slice(rows.column("rows")[0].as_buffer(), shared.value)
+        found = found.sort_by("bucket")
+        single, pair = (np.concatenate([np.zeros((2, 0), np.int64), *(unpacked(x.as_buffer(), 2 * m).view(np.int64).reshape(2, m) for x, m in zip(found.column(f"counts{k}"), found.column(f"n{k}").to_pylist()))], axis=1) for k in "01")
+        w = s.words
+        n = w.counts.astype(np.float64)
+        losses = []
+        for side in (1, 0):
+            alone = (single[side][s.at[0]] + 1.0) / (sums[side] + floor)
+            both = np.minimum(pair[side][s.at[1]] / np.maximum(single[side][s.context], 1), 1.0)
+            losses.append(np.bincount(w.doc, -np.log(BIGRAM_WEIGHT * both + (1 - BIGRAM_WEIGHT) * alone), w.rows) / np.maximum(n, 1))
+        none = n == 0
+        columns = [s.doc_id, pa.array(w.counts.astype(np.int64)), *(pa.array(x, mask=none) for x in (*losses, losses[0] - losses[1]))]
+        return pa.Table.from_arrays(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+    counts = totals.select("slice", "bucket", "n0", "counts0", "n1", "counts1").groupBy("slice")
+    return slices.select("slice", "rows").groupBy("slice").cogroup(counts).applyInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")

@@ -88,6 +88,31 @@ def test_cross_entropy_difference_by_hand(spark):
     assert all((r.score is None) == (r.n_words == 0) for r in got)
 
 
+def exact_losses(rows):
+    """(target, background) loss of each of ``rows`` (text, target) by plain counts of all words and pairs."""
+    split = [(WORDS.findall(LOW(t)), g) for t, g in rows]
+    size, models = len({w for s, _ in split for w in s}) + 1, []
+    for side in (True, False):
+        own = [s for s, g in split if g == side]
+        models.append((Counter(w for s in own for w in [0, *s]), Counter(p for s in own for p in zip([0, *s], s)), sum(map(len, own))))
+    loss = lambda s, one, two, n: -sum(math.log(0.6 * two[a, b] / max(one[a], 1) + 0.4 * (one[b] + 1) / (n + size)) for a, b in zip([0, *s], s)) / len(s)
+    return [tuple(loss(s, *m) for m in models) for s, _ in split]
+
+
+def same_losses(spark, rows):
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, target boolean").repartition(3)
+    got = sorted(lm_scoring.cross_entropy_difference(docs).collect())
+    assert [r.doc_id for r in got] == list(range(len(rows)))
+    for r, (target, background) in zip(got, exact_losses(rows)):
+        assert r.target_loss == pytest.approx(target, rel=1e-9) and r.background_loss == pytest.approx(background, rel=1e-9)
+
+
+def test_bigram_counts_are_exact(spark):
+    rng = random.Random(11)
+    many = [f"w{k}" for k in range(1500)]
+    same_losses(spark, [(" ".join(rng.choice(many) for _ in range(80)), k % 2 == 0) for k in range(300)])
+
+
 def texts_of(letters, seed, n=60):
     rng = random.Random(seed)
     return [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(4, 40))) for _ in range(n)]
