@@ -1,7 +1,8 @@
 """Cross-entropy difference of two matched n-gram models.
 
 Both models interpolate bigrams and unigrams, with the same weights, add-one floor and vocabulary:
-the ``vocabulary`` most frequent words of all documents, everything else being one unknown word.
+all words of all documents.  (A caller may ask for the ``vocabulary_size`` most frequent words; then
+everything else is one unknown word.)
 Every distinct word and bigram of the corpus keeps its exact count in either model; a bigram's key is
 a 64-bit hash of its two words.
 
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 from driftmap.llm import words
 from driftmap.sources.scratch import materialize
 
-VOCABULARY = 65_535
 BIGRAM_WEIGHT = 0.6
 #: Text bytes of a slice, and of a bucket: the least, and the most beyond FEW_BUCKETS of them.
 SLICE_BYTES, LEAST_BYTES, MOST_BYTES = 4_000_000, 1 << 17, 12 << 20
@@ -185,7 +185,7 @@ def add_bucket(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(out, names=[x.split()[0] for x in _TOTALS.split(", ")])
 
 
-def cross_entropy_difference(docs: DataFrame, vocabulary_size: int = VOCABULARY) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, vocabulary_size: int | None = None) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score of ``docs`` (doc_id, text, target).
 
     The background is all documents that aren't target.
@@ -194,7 +194,7 @@ def cross_entropy_difference(docs: DataFrame, vocabulary_size: int = VOCABULARY)
     slices = sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target")))
     size = slices.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(min(FEW_BUCKETS, size // LEAST_BYTES + 1), size // MOST_BYTES)
-    shared = spark.sparkContext.broadcast(most_frequent(docs, vocabulary_size))
+    shared = spark.sparkContext.broadcast(None if vocabulary_size is None else most_frequent(docs, vocabulary_size))
     totals = materialize(slice_keys(slices, buckets, shared).groupBy("bucket").applyInArrow(add_bucket, _TOTALS), "lm-counts")
     distinct, *sums = (x or 0 for x in totals.agg(F.sum("distinct"), F.sum("background"), F.sum("target")).first())
     floor = distinct + 1  # and the unknown word

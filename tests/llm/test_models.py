@@ -113,6 +113,11 @@ def test_bigram_counts_are_exact(spark):
     same_losses(spark, [(" ".join(rng.choice(many) for _ in range(80)), k % 2 == 0) for k in range(300)])
 
 
+def test_every_word_is_in_the_vocabulary(spark):
+    rare = [" ".join(f"{side}{k}" for k in range(35_000)) for side in "tb"]
+    same_losses(spark, [(rare[0], True), (rare[1], False), ("t34000 t5 t34001", True), ("b34000 b5 b34001", False), ("t34000 b34000", False)])
+
+
 def texts_of(letters, seed, n=60):
     rng = random.Random(seed)
     return [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(4, 40))) for _ in range(n)]
