@@ -135,6 +135,19 @@ def test_views(spark):
     assert len(grid) == 4 and sorted(sum(r.pattern) for r in grid) == [0, 0, 4, 4]
 
 
+@pytest.mark.parametrize("which", ["largest", "smallest"])
+def test_iterated_vectors_and_residuals(spark, which):
+    turn = np.linalg.qr(np.random.default_rng(5).normal(size=(24, 24)))[0]
+    value = np.concatenate([[0.2, 0.201, 0.21], np.linspace(0.4, 1.7, 18), [1.9, 1.908, 1.909]])
+    full = turn * value @ turn.T
+    matrix = spark.createDataFrame([(i, j, float(full[i, j])) for i in range(24) for j in range(24)], "i long, j long, l double")
+    near, far = (spectral.eigenpairs(matrix, 3, which, dense_rows=n) for n in (4096, 0))
+    assert all(r.residual < 1e-8 for r in far[0].collect())
+    assert [r.value for r in far[0].orderBy("k").collect()] == pytest.approx([r.value for r in near[0].orderBy("k").collect()], abs=1e-12)
+    vectors = [np.array([r.value for r in x[1].orderBy("k", "global_idx").collect()]) for x in (near, far)]
+    assert np.abs(vectors[0] - vectors[1]).max() < 1e-5
+
+
 @pytest.mark.parametrize("bad", [{"neighbours_kept": 0}, {"tau": 1}, {"tau": -0.5}, {"neighbours_used": 2000}, {"which": "middle"}, {"shift_by_mean": 1}])
 def test_settings_are_checked(bad):
     with pytest.raises(ValueError):
