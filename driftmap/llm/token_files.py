@@ -75,9 +75,20 @@ class SequenceWriter:
         self.file.close()
 
 
+def largest_id(tokenizer_path: str, end_id: int) -> int:
+    return max(end_id, *bpe.tokenizer(tokenizer_path).get_vocab(with_added_tokens=True).values())
+
+
+def narrowest(tokenizer_path: str, end_id: int) -> pa.DataType:
+    """The type of the ids in the files: uint32 where one doesn't fit 16 bits."""
+    return pa.uint32() if largest_id(tokenizer_path, end_id) >> 16 else pa.uint16()
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, length: int = LENGTH, kind: pa.DataType | None = None, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Write the files below ``folder``; returns (part, path, docs, tokens), a row for each file pair."""
-    kind = kind or pa.uint16()
+    kind = kind or narrowest(tokenizer_path, end_id)
+    if largest_id(tokenizer_path, end_id) >> kind.bit_width:
+        raise ValueError(f"{kind} doesn't hold every id of the tokenizer and {end_id}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

@@ -82,6 +82,16 @@ def test_files_give_the_ids_back(spark):
     assert ids[mask].tolist() == first[len(first) // 32 * 32 :] and not ids.flags.owndata
 
 
+def test_large_ids_are_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    (file,) = token_files.write_tokens(docs, PATH, f"file://{tmp_path}/wide", end_id=70_000, length=8).collect()
+    (name,) = tmp_path.glob("wide/**/*tokens*")
+    with pa.ipc.open_file(name) as f:
+        assert 70_000 in f.read_all().column("input_ids").combine_chunks().flatten().to_pylist()
+    with pytest.raises(ValueError):
+        token_files.write_tokens(docs, PATH, f"file://{tmp_path}/narrow", end_id=70_000, kind=pa.uint16())
+
+
 def test_empty_tables(spark):
     assert packing.pack_documents(documents(spark, []), PATH).count() == 0
     assert token_files.token_round_trip(documents(spark, []), PATH).count() == 0
