@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
-#: Rows of a narrow key table that may be broadcast: 16 bytes a row make 32 MB at most.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that may be broadcast in one join.
+BROADCAST_BYTES = 8 << 20
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
@@ -21,6 +21,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (a shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame) -> int:
+    """About how much a row takes in a hash table: text and arrays count as 64 bytes."""
+    sizes = {"boolean": 8, "int": 8, "bigint": 8, "double": 8, "float": 8, "date": 8, "timestamp": 8}
+    return 16 + sum(sizes.get(f.dataType.simpleString(), 64) for f in df.schema.fields)
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most about ``most`` bytes, else as it is (a
+    shuffled join).  ``df`` is counted, so it should be a written table or cheap."""
+    return F.broadcast(df) if df.count() * row_bytes(df) <= most else df

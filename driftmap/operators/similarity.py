@@ -4,8 +4,12 @@ The score of patterns i and j is ``c = dot / pixels`` (of all pixels or of the g
 mode: pearson ``(c - mi mj) / (si sj)``, covariance ``c - mi mj``, normalized ``c / (si sj)``, inner ``c``.
 Undefined scores (a pattern without variance) are null and are no neighbours.  Ties go to the smaller j.
 
-``nearest`` multiplies blocks of patterns in numpy.  While the patterns fit ``MATRIX_BYTES`` they are
-one broadcast block; beyond that, blocks meet in pairs, and each pair of blocks keeps its best k only.
+``nearest`` multiplies blocks of patterns in numpy, a few rows at a time (``SCORE_BYTES``).  While the
+patterns fit ``MATRIX_BYTES`` they are one broadcast block; beyond that, blocks of ``BLOCK_BYTES`` meet in
+pairs, each pair once for both directions, and keep their best k only.
+
+``pair_scores`` makes every pair and is there to show scores and to check ``nearest``: its cost and its
+output grow with the square of the patterns.
 """
 
 from __future__ import annotations
@@ -13,14 +17,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODES = ("pearson", "covariance", "normalized", "inner")
 #: Patterns as doubles that may be broadcast.
 MATRIX_BYTES = 64_000_000
-BLOCK_ROWS = 2048
+#: Patterns as doubles in a block that meets others, and its rows at most.
+BLOCK_BYTES, BLOCK_ROWS = 32_000_000, 16_384
+#: Scores held at a time.
+SCORE_BYTES = 8_000_000
+COLUMNS = ["global_idx", "pattern", "mean", "std"]
 
 
 def score_of(mode: str, c: Column, mi: Column, si: Column, mj: Column, sj: Column) -> Column:
@@ -46,59 +54,72 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.where("value IS NOT NULL AND NOT isnan(value)").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "j", "rank", "value")
 
 
-def _block(ids, patterns, means, stds):
-    return np.asarray(ids, np.int64), np.stack([np.asarray(p, np.float64) for p in patterns]), np.asarray(means, np.float64), np.asarray(stds, np.float64)
+def _block(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Ids, patterns, means and stds of ``rows``, in the order of ids."""
+    ids, patterns, means, stds = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in map(rows.column, COLUMNS))
+    order = np.argsort(ids.to_numpy(), kind="stable")
+    matrix = np.asarray(patterns.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1 if len(ids) else 0)
+    return tuple(x[order] for x in (ids.to_numpy(), matrix, *(s.to_numpy(zero_copy_only=False) for s in (means, stds))))
 
 
-def _best_of_block(a, b, pixels: int, mode: str, k: int) -> pd.DataFrame:
+def _best_of_block(a: tuple, b: tuple, pixels: int, mode: str, k: int) -> Iterator[pa.RecordBatch]:
+    """The best k of ``b`` for each of ``a``, some rows of ``a`` at a time."""
     (ia, va, ma, sa), (ib, vb, mb, sb) = a, b
-    c = va @ vb.T / pixels
-    if mode in ("pearson", "covariance"):
-        c -= np.outer(ma, mb)
-    if mode in ("pearson", "normalized"):
-        scale = np.outer(sa, sb)
-        c = np.where(scale > 0, c / np.where(scale > 0, scale, 1), np.nan)
-    order = np.argsort(ib, kind="stable")
-    c, ib = np.where(np.isnan(c), -np.inf, c)[:, order], ib[order]
-    k = min(k, len(ib))
-    top = np.argsort(-c, axis=1, kind="stable")[:, :k]
-    values = np.take_along_axis(c, top, axis=1)
-    out = pd.DataFrame({"i": np.repeat(ia, k), "j": ib[top].ravel(), "value": values.ravel()})
-    return out[np.isfinite(out["value"])]
-
-
-def nearest(rows: DataFrame, k: int, pixels: int, mode: str = "pearson", block_rows: int = BLOCK_ROWS, matrix_bytes: int = MATRIX_BYTES) -> DataFrame:
+    k, step = min(k, len(ib)), max(1, SCORE_BYTES // (8 * max(1, len(ib))))
+    for at in range(0, len(ia) if k else 0, step):
+        own = slice(at, at + step)
+        c = va[own] @ vb.T
+        c /= pixels
+        if mode in ("pearson", "covariance"):
+            c -= np.outer(ma[own], mb)
+        if mode in ("pearson", "normalized"):
+            scale = np.outer(sa[own], sb)
+            c = np.divide(c, scale, out=np.full_like(c, np.nan), where=scale > 0)
+        c[np.isnan(c)] = -np.inf
+        # All above the k-th score, and of those equal to it as many as are left, the first ones.
+        last = np.partition(c, len(ib) - k, axis=1)[:, len(ib) - k, None]
+        above, equal = c > last, c == last
+        equal &= np.cumsum(equal, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)
+        row, column = np.nonzero((above | equal) & np.isfinite(c))
+        yield pa.RecordBatch.from_pydict({"i": ia[own][row], "j": ib[column], "value": c[row, column]})
+
+
+def nearest(rows: DataFrame, k: int, pixels: int | None = None, mode: str = "pearson", block_bytes: int = BLOCK_BYTES, matrix_bytes: int = MATRIX_BYTES) -> DataFrame:
     """(i, j, rank, value): the k best of each pattern, itself among them; ``rows`` have global_idx,
-    pattern (good pixels), mean and std."""
+    pattern (good pixels, all as many), mean and std.  Scores are divided by ``pixels``, or else by the
+    size of the patterns.  ``rows`` are counted and then read, so they should be a written table."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    columns = ["global_idx", "pattern", "mean", "std"]
-    rows = rows.select(*columns)
-    count = rows.count()
+    rows = rows.select(F.col("global_idx").cast("long").alias("global_idx"), F.col("pattern").cast("array<double>").alias("pattern"), "mean", "std")
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("pattern")).alias("width")).first()
+    count, width = found.n, max(1, found.width or 1)
+    pixels = pixels or width
     schema = "i long, j long, value double"
-    if count * pixels * 8 <= matrix_bytes:
-        block = rows.sparkSession.sparkContext.broadcast(_block(*(rows.toPandas()[c] for c in columns)) if count else None)  # matrix_bytes at most
+    if count * width * 8 <= matrix_bytes:
+        block = rows.sparkSession.sparkContext.broadcast(_block(rows.toArrow()) if count else None)  # matrix_bytes at most
 
-        def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for at in range(0, len(part), 512):
-                    yield _best_of_block(_block(*(part[c].iloc[at : at + 512] for c in columns)), block.value, pixels, mode, k)
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from _best_of_block(_block(batch), block.value, pixels, mode, k)
 
         spread = rows.repartition(min(64, max(1, count // 256)), "global_idx")
-        return best(spread.mapInPandas(score, schema), k)
-    blocks = -(-count // block_rows)
+        return best(spread.mapInArrow(score, schema), k)
+    blocks = -(-count // max(1, min(BLOCK_ROWS, block_bytes // (8 * width))))
     own = rows.withColumn("own", F.pmod(F.xxhash64("global_idx"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = own.withColumn("bj", every).withColumnRenamed("own", "bi").withColumn("side", F.lit(0))
-    right = own.withColumn("bi", every).withColumnRenamed("own", "bj").withColumn("side", F.lit(1))
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = (part[part["side"] == s] for s in (0, 1))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "j": [], "value": []})
-        return _best_of_block(*(_block(*(x[c] for c in columns)) for x in (a, b)), pixels, mode, k)
-
-    return best(left.unionByName(right).groupBy("bi", "bj").applyInPandas(meet, schema), k)
+    # A block meets itself and those after it; the pair gives the neighbours of both.
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = own.withColumn("other", other).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", *COLUMNS)
+
+    def meet(part: pa.Table) -> pa.Table:
+        a, b, side = part.column("a")[0].as_py(), part.column("b")[0].as_py(), part.column("own").to_numpy()
+        first, second = (_block(part.filter(pa.array(side == x))) for x in (a, b))
+        batches = [x for x in _best_of_block(first, second, pixels, mode, k)]
+        if a != b:
+            batches += _best_of_block(second, first, pixels, mode, k)
+        return pa.Table.from_batches(batches, pa.schema([("i", pa.int64()), ("j", pa.int64()), ("value", pa.float64())]))
+
+    return best(met.groupBy("a", "b").applyInArrow(meet, schema), k)
 
 
 def merge_best(parts: list[DataFrame], k: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from driftmap.config import Settings
 from driftmap.operators import browse, graph, indexing, pixels, similarity, spectral
 from driftmap.plans import pipeline
+from driftmap.sources.scratch import materialize
 
 PIXELS, K, TAU = 64, 10, 0.5
 MASK = [0.0 if p % 4 == 3 else 1.0 for p in range(PIXELS)]
@@ -51,8 +52,8 @@ def stats(spark: SparkSession, sf_dir: str, mask: list[float] | None = None) ->
     return pixels.with_stats(patterns(spark, sf_dir), mask)
 
 
-def knn(spark: SparkSession, sf_dir: str, settings: Settings = Settings(neighbours_kept=K, neighbours_used=K)) -> DataFrame:
-    return pipeline.neighbours(patterns(spark, sf_dir), settings)[0]
+def knn(spark: SparkSession, sf_dir: str, settings: Settings = Settings(neighbours_kept=K, neighbours_used=K), read_once: bool = False) -> DataFrame:
+    return pipeline.neighbours(patterns(spark, sf_dir), settings, read_once=read_once)[0]
 
 
 def weighted(spark: SparkSession, sf_dir: str, diagonal: str = "one", sign: int = -1) -> DataFrame:
@@ -208,17 +209,17 @@ KNN_OUT = f"SELECT i, j, rank, {R.format('value')} AS value FROM k"
 
 @query(f"WITH {knn_sql()} {KNN_OUT}")
 def knn_topk(spark, sf_dir):
-    return rounded(knn(spark, sf_dir), "value")
+    return rounded(knn(spark, sf_dir, read_once=True), "value")
 
 
 @query(f"WITH {knn_sql(k=K)} {KNN_OUT}")
 def knn_topk_keepdiag(spark, sf_dir):
-    return rounded(knn(spark, sf_dir, Settings(neighbours_kept=K, neighbours_used=K, keep_diagonal=True)), "value")
+    return rounded(knn(spark, sf_dir, Settings(neighbours_kept=K, neighbours_used=K, keep_diagonal=True), True), "value")
 
 
 @query(f"WITH {knn_sql('covariance')} {KNN_OUT}")
 def knn_covariance(spark, sf_dir):
-    return rounded(knn(spark, sf_dir, Settings(neighbours_kept=K, neighbours_used=K, divide_by_std=False)), "value")
+    return rounded(knn(spark, sf_dir, Settings(neighbours_kept=K, neighbours_used=K, divide_by_std=False), True), "value")
 
 
 @query(f"WITH {knn_sql()} {KNN_OUT}")
@@ -229,7 +230,7 @@ def knn_array_functions(spark, sf_dir):
 @query(f"WITH {knn_sql()} {KNN_OUT}")
 def knn_block_pairs(spark, sf_dir):
     """The way for patterns too large to broadcast: blocks meet in pairs."""
-    return rounded(similarity.nearest(stats(spark, sf_dir), K + 1, PIXELS, block_rows=200, matrix_bytes=0), "value")
+    return rounded(similarity.nearest(materialize(stats(spark, sf_dir), "stats"), K + 1, PIXELS, block_bytes=200 * 8 * PIXELS, matrix_bytes=0), "value")
 
 
 @query(f"WITH {knn_sql()} {KNN_OUT}")
@@ -241,7 +242,7 @@ def knn_blocked_merge(spark, sf_dir):
 
 @query(f"WITH {knn_sql(k=4)} {KNN_OUT}")
 def knn_prune_k(spark, sf_dir):
-    return rounded(graph.prune(knn(spark, sf_dir), 4), "value")
+    return rounded(graph.prune(knn(spark, sf_dir, read_once=True), 4), "value")
 
 
 # ---- graph

@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from driftmap.config import Settings
 from driftmap.operators import graph, pixels, similarity, spectral
 from driftmap.sources.scratch import materialize
 
 
-def neighbours(rows: DataFrame, settings: Settings, mask: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(knn, stats) of ``rows`` (global_idx, pattern)."""
+def neighbours(rows: DataFrame, settings: Settings, mask: list[float] | None = None, read_once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(knn, stats) of ``rows`` (global_idx, pattern); ``read_once`` says that knn needn't be written."""
     stats = materialize(pixels.with_stats(rows.select("global_idx", "pattern"), mask), "stats")
-    first = stats.select(F.size("pattern").alias("n")).first()
-    size = len(mask) if mask and settings.inner_norm == "total" else (first.n if first else 1)
-    knn = materialize(similarity.nearest(stats, settings.columns_stored, size, settings.mode), "knn")
-    return knn, stats.select("global_idx", "mean", "std")
+    size = len(mask) if mask and settings.inner_norm == "total" else None
+    knn = similarity.nearest(stats, settings.columns_stored, size, settings.mode)
+    return knn if read_once else materialize(knn, "knn"), stats.select("global_idx", "mean", "std")
 
 
 def weights(knn: DataFrame, settings: Settings) -> tuple[DataFrame, float]:

@@ -1,18 +1,21 @@
 """Intermediate tables in the folder that all executors share.
 
 A written table cuts lineage and survives the loss of any executor.  The folder is the one that the
-cluster names in ``spark.checkpoint.dir``; only where that setting is absent (tests, a laptop) is a
-folder made here.
+cluster names in ``spark.checkpoint.dir``; only where that setting is absent and all runs in one local
+process (tests, a laptop) is a folder made here.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 _own_folder: list[str] = []
@@ -23,6 +26,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="driftmap-"))
     return _own_folder[0]
@@ -42,14 +47,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every scratch table of this process."""
-    while _made:
-        spark, path = _made.pop()
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df``, written, with a number for each row in a new column, and that column's name.  A number
+    stays with its row however often, and on whatever executors, the table is read."""
+    column = free_name(df, "row")
+    return materialize(df.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
+def made() -> int:
+    """How many scratch tables there are: a mark for ``release``."""
+    return len(_made)
+
+
+def release(since: int = 0, upto: int | None = None) -> None:
+    """Delete the scratch tables of this process from the mark ``since`` on, all but those after ``upto``."""
+    gone = _made[since:upto]
+    del _made[since:upto]
+    for spark, path in gone:
         with contextlib.suppress(Exception):  # the session may have ended first
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-atexit.register(release)
+def clean_up() -> None:
+    release()
+    while _own_folder:
+        shutil.rmtree(_own_folder.pop().removeprefix("file://"), ignore_errors=True)
+
+
+atexit.register(clean_up)

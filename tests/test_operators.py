@@ -60,10 +60,33 @@ def test_neighbours_match_numpy(spark, mode):
     if mode in ("pearson", "normalized"):
         c = np.where(np.outer(s, s) > 0, c / np.where(np.outer(s, s) > 0, np.outer(s, s), 1), -np.inf)
     want = [(i, j, r + 1) for i in range(40) for r, j in enumerate(np.argsort(-c[i], kind="stable")[:5]) if np.isfinite(c[i, j])]
-    for found in (similarity.nearest(rows, 5, 6, mode), similarity.nearest(rows, 5, 6, mode, block_rows=9, matrix_bytes=0), similarity.best(similarity.pair_scores(rows, 6, mode), 5)):
+    for found in (similarity.nearest(rows, 5, 6, mode), similarity.nearest(rows, 5, 6, mode, block_bytes=9 * 48, matrix_bytes=0), similarity.best(similarity.pair_scores(rows, 6, mode), 5)):
         assert sorted((r.i, r.j, r["rank"]) for r in found.collect()) == sorted(want)
 
 
+def test_ties_go_to_the_smaller_index(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SCORE_BYTES", 300)
+    v = np.random.default_rng(6).integers(0, 2, size=(30, 3)).astype(float)
+    c = v @ v.T / 3
+    want = [(i, j, r + 1) for i in range(30) for r, j in enumerate(np.lexsort((np.arange(30), -c[i]))[:4])]
+    rows = pixels.with_stats(patterns(spark, v))
+    for found in (similarity.nearest(rows, 4, 3, "inner"), similarity.nearest(rows, 4, 3, "inner", block_bytes=7 * 24, matrix_bytes=0)):
+        assert sorted((r.i, r.j, r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_patterns_of_65536_pixels(spark):
+    """As large as 256 x 256; three patterns fill a block, so blocks meet in pairs."""
+    size = 65_536
+    value = lambda p: F.pmod(F.xxhash64("id", p), F.lit(1009)) / 1009.0
+    rows = pixels.with_stats(spark.range(7).select(F.col("id").alias("global_idx"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias("pattern"))).cache()
+    v = np.array([r.pattern for r in rows.orderBy("global_idx").collect()])
+    want = np.corrcoef(v)
+    got = similarity.nearest(rows, 3, size, block_bytes=3 * 8 * size, matrix_bytes=1).collect()
+    assert len(got) == 21 and all(abs(r.value - want[r.i, r.j]) < 1e-9 for r in got)
+    assert {(r.i, r.j) for r in got} == {(i, int(j)) for i in range(7) for j in np.argsort(-want[i])[:3]}
+    rows.unpersist()
+
+
 def test_fewer_patterns_than_neighbours(spark):
     rows = pixels.with_stats(patterns(spark, np.eye(3)))
     assert similarity.nearest(rows, 5, 3).count() == 9
