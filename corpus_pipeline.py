@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next stage's ``docs``.  All but the last return the columns of ``docs``.
 
+Rows are judged each by itself, also where they share a doc_id or have none; columns with any names stay
+as they are, and an empty table gives no rows.
+
 1. language_id: documents whose text is in no known language go.
 2. exact_dedup: of equal texts the row with the largest doc_id stays.
 3. ngram_jaccard: of texts linked by a similarity of 0.8 over 5-word shingles the smallest doc_id stays.
@@ -16,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftmap.llm import exact_dedup, language, mixing, ngram_join, packing
-from driftmap.sources.scratch import materialize
+from driftmap.sources.scratch import made, materialize, release
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = made()
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(before, -1)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)

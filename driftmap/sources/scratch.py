@@ -14,6 +14,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +57,14 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df``, written, with a number for each row in a new column, and that column's name.  A number
-    stays with its row however often, and on whatever executors, the table is read."""
+    """``df`` with a number for each row in a new column, and that column's name.  A number stays with
+    its row however often, and on whatever executors, the table is read: rows of files are numbered by
+    file and place; where that gives some number twice, or ``df`` isn't read from files, it is written."""
     column = free_name(df, "row")
+    with contextlib.suppress(AnalysisException):  # no such columns
+        placed = df.withColumn(column, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+        if placed.groupBy(column).count().where("count > 1").isEmpty():
+            return placed, column
     return materialize(df.withColumn(column, F.monotonically_increasing_id()), name), column
 
 
