@@ -54,6 +54,19 @@ def raster(rows: DataFrame, x: str, y: str, bins: int, x0: float, x1: float, y0:
     return inside.groupBy(at(x, x0, x1).alias("bx"), at(y, y0, y1).alias("by")).agg(*aggregates)
 
 
+def background_and_sample(vectors: DataFrame, dim0: int, dim1: int, bins: int, n: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a view of two eigenvectors (k, global_idx, value) shows: all coordinates (global_idx, x, y),
+    their raster (bx, by, n) over ``bins`` x ``bins`` equal parts of their own limits, the greatest in the
+    last, and the positions of ``n`` sampled rows (global_idx, x, y)."""
+    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
+    points = vectors.where(F.col("k").isin(dim0, dim1)).groupBy("global_idx").agg(pick(dim0).alias("x"), pick(dim1).alias("y"))
+    limits = points.agg(*[f(c).alias(f"{c}{s}") for c in "xy" for f, s in ((F.min, 0), (F.max, 1))])
+    at = lambda c: F.least(F.floor(F.try_divide(F.col(c) - F.col(f"{c}0"), (F.col(f"{c}1") - F.col(f"{c}0")) / bins)), F.lit(bins - 1)).cast("int")
+    placed = points.crossJoin(F.broadcast(limits))  # one row
+    counted = placed.groupBy(F.coalesce(at("x"), F.lit(0)).alias("bx"), F.coalesce(at("y"), F.lit(0)).alias("by")).agg(F.count(F.lit(1)).alias("n"))
+    return points, counted, sample(points, n, seed)
+
+
 def browser_frame(coordinates: DataFrame, stats: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
     """(global_idx, x, y, mean, std, variance, attribute, category); ``variance`` is the std, as browsers
     of such data name it.  Without ``attributes`` every row has attribute 1 and category 0."""

@@ -46,6 +46,12 @@ def batch_ranges(spark, total: int, batches: int) -> DataFrame:
     return spark.range(batches).select(F.col("id").cast("int").alias("batch"), start.cast("long").alias("start"), end.cast("long").alias("end"))
 
 
+def batch_grid(spark, total: int, batches0: int, batches1: int) -> DataFrame:
+    """(batch0, batch1, start0, end0, start1, end1): the tiles of all pairs of rows."""
+    side = lambda k, n: batch_ranges(spark, total, n).select(F.col("batch").alias(f"batch{k}"), F.col("start").alias(f"start{k}"), F.col("end").alias(f"end{k}"))
+    return side(0, batches0).crossJoin(F.broadcast(side(1, batches1)))  # numbers of tiles, no rows of data
+
+
 def batch_of(index: Column, total: int, batches: int) -> Column:
     """The batch of a row number, by arithmetic."""
     each, more = divmod(total, batches)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 
 def good_pixels(mask: Column) -> Column:
@@ -11,6 +12,31 @@ def good_pixels(mask: Column) -> Column:
     return F.transform(mask, lambda x: x > 0.5)
 
 
+def rank_of(kind: DataType) -> int:
+    """How deep arrays of this type nest."""
+    return 1 + rank_of(kind.elementType) if isinstance(kind, ArrayType) else 0
+
+
+def flat(pattern: Column, rank: int) -> Column:
+    """A pattern of nested arrays as one array of doubles, the last index running fastest."""
+    for _ in range(rank - 1):
+        pattern = F.flatten(pattern)
+    return pattern.cast("array<double>")
+
+
+def least_and_most(pattern: Column, rank: int) -> list[Column]:
+    """(least, greatest) length of the arrays at each depth of a pattern, outermost first; an array of
+    longs each."""
+    found = []
+    for depth in range(rank):
+        inner = pattern
+        for _ in range(depth - 1):
+            inner = F.flatten(inner)
+        sizes = F.array(F.size(pattern)) if depth == 0 else F.transform(inner, F.size)
+        found.append(F.array(F.array_min(sizes), F.array_max(sizes)).cast("array<long>"))
+    return found
+
+
 def mask_table(spark, mask: list[float]) -> DataFrame:
     """(pixel_idx, good)"""
     return spark.range(len(mask)).select(F.col("id").cast("int").alias("pixel_idx"), good_pixels(F.array(*map(F.lit, mask)))[F.col("id").cast("int")].alias("good"))

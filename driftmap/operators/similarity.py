@@ -84,10 +84,11 @@ def _best_of_block(a: tuple, b: tuple, pixels: int, mode: str, k: int) -> Iterat
         yield pa.RecordBatch.from_pydict({"i": ia[own][row], "j": ib[column], "value": c[row, column]})
 
 
-def nearest(rows: DataFrame, k: int, pixels: int | None = None, mode: str = "pearson", block_bytes: int = BLOCK_BYTES, matrix_bytes: int = MATRIX_BYTES) -> DataFrame:
+def nearest(rows: DataFrame, k: int, pixels: int | None = None, mode: str = "pearson", block_bytes: int = BLOCK_BYTES, matrix_bytes: int = MATRIX_BYTES, least_blocks: int = 1) -> DataFrame:
     """(i, j, rank, value): the k best of each pattern, itself among them; ``rows`` have global_idx,
     pattern (good pixels, all as many), mean and std.  Scores are divided by ``pixels``, or else by the
-    size of the patterns.  ``rows`` are counted and then read, so they should be a written table."""
+    size of the patterns.  ``rows`` are counted and then read, so they should be a written table.
+    ``least_blocks`` above one asks for as many blocks at least, which meet in pairs."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     rows = rows.select(F.col("global_idx").cast("long").alias("global_idx"), F.col("pattern").cast("array<double>").alias("pattern"), "mean", "std")
@@ -95,7 +96,7 @@ def nearest(rows: DataFrame, k: int, pixels: int | None = None, mode: str = "pea
     count, width = found.n, max(1, found.width or 1)
     pixels = pixels or width
     schema = "i long, j long, value double"
-    if count * width * 8 <= matrix_bytes:
+    if count * width * 8 <= matrix_bytes and least_blocks == 1:
         block = rows.sparkSession.sparkContext.broadcast(_block(rows.toArrow()) if count else None)  # matrix_bytes at most
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,7 @@ def nearest(rows: DataFrame, k: int, pixels: int | None = None, mode: str = "pea
 
         spread = rows.repartition(min(64, max(1, count // 256)), "global_idx")
         return best(spread.mapInArrow(score, schema), k)
-    blocks = -(-count // max(1, min(BLOCK_ROWS, block_bytes // (8 * width))))
+    blocks = max(least_blocks, -(-count // max(1, min(BLOCK_ROWS, block_bytes // (8 * width)))))
     own = rows.withColumn("own", F.pmod(F.xxhash64("global_idx"), F.lit(blocks)).cast("int"))
     # A block meets itself and those after it; the pair gives the neighbours of both.
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

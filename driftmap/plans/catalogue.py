@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from driftmap.config import Settings
 from driftmap.operators import browse, graph, indexing, pixels, similarity, spectral
 from driftmap.plans import pipeline
-from driftmap.sources.scratch import materialize
+from driftmap.sources import store
+from driftmap.sources.scratch import materialize, scratch_path
 
 PIXELS, K, TAU = 64, 10, 0.5
 MASK = [0.0 if p % 4 == 3 else 1.0 for p in range(PIXELS)]
@@ -188,6 +189,44 @@ def masked_stats(spark, sf_dir):
     return rounded(stats(spark, sf_dir, MASK).select("global_idx", "mean", "std"), "mean", "std")
 
 
+@query("SELECT vec_id, (unnest(range(64)))::INT AS pixel_idx, round(unnest(embedding::DOUBLE[]), 6) + 0.0 AS value FROM embeddings")
+def flatten_pattern(spark, sf_dir):
+    """Patterns stored as 8 x 8 arrays in arrays, flattened."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    square = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("embedding", r * 8 + 1, F.lit(8)))
+    nested = rows.select("vec_id", square.alias("pattern"))
+    whole = nested.select("vec_id", pixels.flat(F.col("pattern"), pixels.rank_of(nested.schema["pattern"].dataType)).alias("pattern"))
+    return rounded(whole.select("vec_id", F.posexplode("pattern").alias("pixel_idx", "value")), "value")
+
+
+@query(f"WITH {with_stats_sql(True)} SELECT global_idx, {R.format('mean')} AS mean, {R.format('std')} AS std FROM s")
+def mask_round_trip(spark, sf_dir):
+    """Statistics under a mask that was stored and read back."""
+    folder, rows = scratch_path(spark, "similarity"), patterns(spark, sf_dir)
+    store.save_similarity(folder, spark.createDataFrame([], "i long, j long, rank int, value double"), stats(spark, sf_dir), pixels.mask_table(spark, MASK))
+    found = pixels.with_stats(rows, store.load_mask(spark, folder))
+    return rounded(found.select("global_idx", "mean", "std"), "mean", "std")
+
+
+@query(f"{TILES} SELECT global_idx, dataset_idx, local_idx, {R.format('list_sum(v)')} AS total FROM b WHERE batch = 2")
+def batch_scan(spark, sf_dir):
+    """One batch of stored patterns, read by its ranges of each dataset."""
+    folder, total = scratch_path(spark, "patterns"), _total(spark, sf_dir)
+    store.save_patterns(patterns(spark, sf_dir), folder)
+    ends = indexing.batch_ends(patterns(spark, sf_dir), total, BATCHES).where("batch = 2")
+    found = store.scan_batch(spark, folder, ends)
+    value = F.aggregate("pattern", F.lit(0.0), lambda a, x: a + x)
+    return rounded(found.select("global_idx", "dataset_idx", "local_idx", value.alias("total")), "total")
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT row_number() OVER () - 1 AS g FROM embeddings),
+x AS (SELECT t AS batch0, min(g) AS start0, max(g) + 1 AS end0 FROM (SELECT g, (ntile({BATCHES}) OVER (ORDER BY g) - 1)::INT AS t FROM e) GROUP BY t),
+y AS (SELECT t AS batch1, min(g) AS start1, max(g) + 1 AS end1 FROM (SELECT g, (ntile(3) OVER (ORDER BY g) - 1)::INT AS t FROM e) GROUP BY t)
+SELECT * FROM x CROSS JOIN y""")
+def batch_grid_2d(spark, sf_dir):
+    return indexing.batch_grid(spark, _total(spark, sf_dir), BATCHES, 3)
+
+
 # ---- similarity
 
 
@@ -378,24 +417,71 @@ def eigen(spark, sf_dir, which="largest", pairs=6):
     return spectral.eigenpairs(graph.laplacian(weighted(spark, sf_dir)), pairs, which)
 
 
-@query()
+def spectrum_sql(pairs: int, which: str, squarings: int = 8, steps: int = 100) -> str:
+    """CTEs v0, v1 ... (v: a unit vector, value) of the first eigenpairs, for WITH RECURSIVE: ``steps`` steps
+    of power iteration with the matrix less a shift, squared ``squarings`` times before, each vector
+    made orthogonal to those before it in every step."""
+    shift = 0.4 if which == "largest" else 1.2  # the wanted end is the farther one
+    out = f"""{laplacian_sql('symmetric')},
+ids AS MATERIALIZED (SELECT i, row_number() OVER (ORDER BY i) AS r FROM (SELECT DISTINCT i FROM l)),
+q0 AS MATERIALIZED (SELECT a.r AS i, list(coalesce(l.l, 0) - CASE WHEN a.r = b.r THEN {shift} ELSE 0 END ORDER BY b.r) AS row
+  FROM ids a CROSS JOIN ids b LEFT JOIN l ON l.i = a.i AND l.j = b.i GROUP BY a.r)"""
+
+    def vector(k: int, power: str) -> str:
+        less = "".join(f" - list_inner_product(y, v{m}.v) * v{m}.v[j]" for m in range(k))
+        others = "".join(f" CROSS JOIN v{m}" for m in range(k))
+        return f""",
+r{k}(n, v) AS (SELECT 0, list((r * 7919 % 1009 / 1009.0 - 0.5)::DOUBLE ORDER BY r) FROM ids UNION ALL
+  SELECT n + 1, list_transform(z, lambda x: x / sqrt(list_inner_product(z, z))) FROM (
+    SELECT n, list_transform(y, lambda x, j: x{less}) AS z FROM (SELECT n, list(list_inner_product(row, v) ORDER BY i) AS y FROM r{k} CROSS JOIN {power} WHERE n < {steps} GROUP BY n){others})),
+v{k} AS MATERIALIZED (SELECT v, sum(v[i] * list_inner_product(row, v)) + {shift} AS value FROM q0 CROSS JOIN (SELECT v FROM r{k} WHERE n = {steps}) GROUP BY v)"""
+
+    last, begin = "q0", 0
+    if which == "smallest":  # far from the others, so that squares would hide them
+        out += vector(0, "q0") + """,
+p0 AS MATERIALIZED (SELECT i, list_transform(row, lambda x, j: x - (value - 1.2) * v[i] * v[j]) AS row FROM q0 CROSS JOIN v0)"""
+        last, begin = "p0", 1
+    for s in range(1, squarings + 1):
+        out += f""",
+q{s} AS MATERIALIZED (SELECT x.i, list(list_inner_product(x.row, y.row) / n ORDER BY y.i) AS row FROM {last} x CROSS JOIN {last} y
+  CROSS JOIN (SELECT sum(list_inner_product(row, row)) AS n FROM {last}) GROUP BY x.i)"""
+        last = f"q{s}"
+    return out + "".join(vector(k, last) for k in range(begin, pairs))
+
+
+def _values(which: str, pairs: int = 6) -> str:
+    return f"WITH RECURSIVE {spectrum_sql(pairs, which)} " + " UNION ALL ".join(f"SELECT {k} AS k, {R.format('value')} AS value FROM v{k}" for k in range(pairs))
+
+
+def _signed(k: int) -> str:
+    """(i, x): vector k with its entry of the greatest size positive."""
+    return f"SELECT ids.i, v[r] * sign(list_aggregate(v, 'max') + list_aggregate(v, 'min')) AS x FROM ids CROSS JOIN v{k}"
+
+
+@query(_values("largest"))
 def eigenvalues_largest(spark, sf_dir):
     return rounded(eigen(spark, sf_dir)[0].select("k", "value"), "value")
 
 
-@query()
+@query(_values("smallest"))
 def eigenvalues_smallest(spark, sf_dir):
     return rounded(eigen(spark, sf_dir, "smallest")[0].select("k", "value"), "value")
 
 
-@query()
+@query("SELECT range::INT AS k, true AS small FROM range(6)")
 def eigen_residuals(spark, sf_dir):
     return eigen(spark, sf_dir)[0].select("k", (F.col("residual") < 1e-8).alias("small"))
 
 
-@query()
+@query("SELECT 6 AS requested, 6 AS converged, true AS in_time")
+def eigen_diagnostics(spark, sf_dir):
+    told = spectral.solve(graph.laplacian(weighted(spark, sf_dir)), 6)[2]
+    return spark.range(1).select(F.lit(told.requested).alias("requested"), F.lit(told.converged).alias("converged"), F.lit(told.rounds <= told.most_rounds).alias("in_time"))
+
+
+@query(f"WITH RECURSIVE {spectrum_sql(3, 'smallest')} SELECT a.i AS global_idx, {R.format('a.x')} AS eigvec_1, {R.format('b.x')} AS eigvec_2 FROM ({_signed(1)}) a JOIN ({_signed(2)}) b USING (i)")
 def embedding_wide(spark, sf_dir):
-    return spectral.embedding(eigen(spark, sf_dir, "smallest")[1], [1, 2])
+    return rounded(spectral.embedding(eigen(spark, sf_dir, "smallest")[1], [1, 2]), "eigvec_1", "eigvec_2")
 
 
 # ---- views
@@ -439,6 +525,17 @@ def box_select(spark, sf_dir):
     return points(spark, sf_dir).where(browse.in_box(F.col("x"), F.col("y"), -0.05, 0.1, -0.1, 0.07)).select("global_idx")
 
 
+@query(f"""WITH {XY}, m AS (SELECT *, min(x) OVER () AS x0, max(x) OVER () AS x1, min(y) OVER () AS y0, max(y) OVER () AS y1 FROM xy),
+r AS (SELECT least(floor((x - x0) / ((x1 - x0) / 16)), 15)::INT AS bx, least(floor((y - y0) / ((y1 - y0) / 16)), 15)::INT AS "by", count(*) AS n FROM m GROUP BY ALL)
+SELECT 'raster' AS part, bx, "by", n, NULL::BIGINT AS global_idx, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM r UNION ALL
+SELECT 'sample', NULL, NULL, NULL, global_idx, {R.format('x')}, {R.format('y')} FROM (SELECT * FROM xy ORDER BY {_DRAW}, global_idx LIMIT 40)""")
+def background_sample(spark, sf_dir):
+    """The raster of all coordinates and the positions of a sample of them."""
+    vectors = points(spark, sf_dir).select(F.posexplode(F.array("x", "y")).alias("k", "value"), "global_idx")
+    _, counted, drawn = browse.background_and_sample(vectors, 0, 1, 16, 40, 9)
+    return counted.withColumn("part", F.lit("raster")).unionByName(rounded(drawn, "x", "y").withColumn("part", F.lit("sample")), allowMissingColumns=True)
+
+
 def _rolling(by: str):
     sql = f"""WITH {XY} SELECT global_idx, CASE WHEN count(*) OVER o = 50 THEN {R.format('avg(attribute) OVER o')} END AS rolling FROM xy
 WINDOW o AS (ORDER BY {by}, global_idx ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING)"""
@@ -483,10 +580,10 @@ def color_scale(spark, sf_dir):
     return rounded(browse.color_scale(points(spark, sf_dir), "attribute").select("global_idx", "color"), "color")
 
 
-@query(f"""WITH {P}, f AS (SELECT * FROM p WHERE global_idx < 10), o AS (SELECT *, row_number() OVER (ORDER BY global_idx) - 1 AS at FROM f)
+@query(f"""WITH {P}, f AS (SELECT * FROM p ORDER BY {_DRAW}, global_idx LIMIT 12), o AS (SELECT *, row_number() OVER (ORDER BY global_idx) - 1 AS at FROM f)
 SELECT (r.range // 4)::INT AS row, (r.range % 4)::INT AS col, global_idx, {R.format('coalesce(list_sum(v), 0)')} AS total FROM range(12) r LEFT JOIN o ON o.at = r.range""")
 def grid_pad(spark, sf_dir):
-    grid = browse.pattern_grid(patterns(spark, sf_dir).where("global_idx < 10"), 3, 4, PIXELS, 9)
+    grid = browse.pattern_grid(patterns(spark, sf_dir), 3, 4, PIXELS, 9)
     total = F.aggregate("pattern", F.lit(0.0), lambda a, x: a + x)
     return rounded(grid.select("row", "col", "global_idx", total.alias("total")), "total")
 

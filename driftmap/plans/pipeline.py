@@ -13,7 +13,7 @@ def neighbours(rows: DataFrame, settings: Settings, mask: list[float] | None = N
     """(knn, stats) of ``rows`` (global_idx, pattern); ``read_once`` says that knn needn't be written."""
     stats = materialize(pixels.with_stats(rows.select("global_idx", "pattern"), mask), "stats")
     size = len(mask) if mask and settings.inner_norm == "total" else None
-    knn = similarity.nearest(stats, settings.columns_stored, size, settings.mode)
+    knn = similarity.nearest(stats, settings.columns_stored, size, settings.mode, least_blocks=settings.column_batches)
     return knn if read_once else materialize(knn, "knn"), stats.select("global_idx", "mean", "std")
 
 

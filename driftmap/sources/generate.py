@@ -30,6 +30,20 @@ def squares_and_disks(spark: SparkSession, rows: int, side: int = 128, seed: int
     return spark.range(rows).select(F.col("id").alias("global_idx"), F.when(is_square, "square").otherwise("disk").alias("kind"), F.transform(_pixels(side), value).alias("pattern"))
 
 
+def flat_shapes(spark: SparkSession, rounds: int = 20, side: int = 128, seed: int = 4, low: int = 5, high: int = 100, noise: float = 30.0) -> DataFrame:
+    """(dataset, local_idx, pattern): in round r dataset 2r of noisy squares and 2r + 1 of noisy disks, with
+    low to high - 1 patterns each, chosen by ``seed``."""
+    sets = spark.range(2 * rounds).select(F.col("id").alias("set"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(high - low)) + low).alias("many"))
+    each = sets.select("set", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("local_idx"))
+    rows = each.withColumn("id", F.col("set") * high + F.col("local_idx"))
+    x, y = (lambda p: p % side), (lambda p: F.floor(p / side))
+    a, b, centre, radius = side * 45 // 128, side * 72 // 128, (side - 1) / 2, side * 20 / 128
+    square = lambda p: F.when((x(p) >= a) & (x(p) < b) & (y(p) >= a) & (y(p) < b), 40.0).otherwise(0.0)
+    disk = lambda p: F.when((x(p) - centre) * (x(p) - centre) + (y(p) - centre) * (y(p) - centre) <= radius * radius, 68.0).otherwise(0.0)
+    value = lambda p: F.when(F.col("set") % 2 == 0, square(p)).otherwise(disk(p)) + _noise(noise, seed)(p)
+    return rows.select(F.col("set").cast("string").alias("dataset"), "local_idx", F.transform(_pixels(side), value).alias("pattern"))
+
+
 def random_disks(spark: SparkSession, rows: int, side: int = 128, seed: int = 2) -> DataFrame:
     """(global_idx, pattern): disks of random centre, radius, amplitude and noise."""
     draw = lambda k: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0

@@ -5,17 +5,21 @@ and those that begin with ``#`` skipped; a dataset belongs to the file line befo
 before the first; other lines are ignored; a file without datasets gives all its datasets by name.
 A path that occurs twice, is missing, or has another pattern shape than the rest is an error.
 
-Patterns are Parquet tables with ``dataset``, ``local_idx`` and ``pattern``.
+Patterns are Parquet tables with ``dataset``, ``local_idx`` and ``pattern``, an array, or arrays in arrays
+for patterns of more dimensions, which are flattened with the last index running fastest.  The files
+are described by one job and read by another, however many they are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmap.operators.indexing import global_index_map
+from driftmap.operators.pixels import flat, least_and_most, rank_of
 
 FORMATS = ("parquet",)
 
@@ -50,21 +54,32 @@ def read_patterns(spark: SparkSession, manifest: str, fmt: str = "parquet") -> P
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     lines = [r.value for r in spark.read.text(manifest, wholetext=False).collect()]  # one small file
-    parts, facts, width = None, [], None
-    for file_idx, (path, names) in enumerate(parse_manifest(lines)):
-        table = spark.read.parquet(path)
-        counts = {r.dataset: (r.n, r.low, r.high) for r in table.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("pattern")).alias("low"), F.max(F.size("pattern")).alias("high")).collect()}  # a row a dataset
-        for dataset_idx, name in enumerate(names or sorted(counts)):
-            if name not in counts:
+    listed = parse_manifest(lines)
+    for path, _ in listed:
+        spark.read.parquet(path)  # a missing file is an error before any job
+    # A file may be a folder of part files: a row belongs to the listed path that begins its own.
+    table = spark.read.parquet(*(path for path, _ in listed))
+    rank = rank_of(table.schema["pattern"].dataType)
+    places = spark.createDataFrame([(k, PurePosixPath(path.split(":", 1)[-1]).as_posix()) for k, (path, _) in enumerate(listed)], "file_idx int, place string")
+    own = F.regexp_replace(F.regexp_replace("_metadata.file_path", "^[a-z0-9+.-]+:(//[^/]*)?", ""), "%20", " ")
+    named = table.select("dataset", "local_idx", "pattern", own.alias("own")).join(F.broadcast(places), F.expr("own = place OR startswith(own, concat(place, '/'))"))  # a row a listed file
+    lengths = [x for k, pair in enumerate(least_and_most(F.col("pattern"), rank)) for x in (F.min(pair[0]).alias(f"low{k}"), F.max(pair[1]).alias(f"high{k}"))]
+    counts = {(r.file_idx, r.dataset): r for r in named.groupBy("file_idx", "dataset").agg(F.count(F.lit(1)).alias("n"), *lengths).collect()}  # a row a dataset
+    facts, shape = [], None
+    for file_idx, (path, names) in enumerate(listed):
+        for dataset_idx, name in enumerate(names or sorted(d for f, d in counts if f == file_idx)):
+            if (file_idx, name) not in counts:
                 raise ValueError(f"no dataset {name!r} in {path}")
-            n, low, high = counts[name]
-            width = width or low
-            if (low, high) != (width, width):
+            found = counts[file_idx, name]
+            low, high = (tuple(found[f"{end}{k}"] for k in range(rank)) for end in ("low", "high"))
+            shape = shape or low
+            if low != shape or high != shape:
                 raise ValueError(f"patterns of {name!r} in {path} have another shape")
-            facts.append((file_idx, path, dataset_idx, name, n))
-            own = table.where(F.col("dataset") == name).select(F.lit(file_idx).alias("file_idx"), F.lit(dataset_idx).alias("dataset_idx"), F.col("local_idx").cast("long").alias("local_idx"), F.col("pattern").cast("array<double>").alias("pattern"))
-            parts = own if parts is None else parts.unionByName(own)
-    return PatternSource(global_index_map(parts), spark.createDataFrame(facts, "file_idx int, file string, dataset_idx int, dataset string, data_num long"), (width,))
+            facts.append((file_idx, path, dataset_idx, name, found.n))
+    table_of = spark.createDataFrame(facts, "file_idx int, file string, dataset_idx int, dataset string, data_num long")
+    wanted = named.join(F.broadcast(table_of.select("file_idx", "dataset_idx", "dataset")), ["file_idx", "dataset"])  # a row a dataset
+    rows = wanted.select("file_idx", "dataset_idx", F.col("local_idx").cast("long").alias("local_idx"), flat(F.col("pattern"), rank).alias("pattern"))
+    return PatternSource(global_index_map(rows), table_of, shape)
 
 
 def write_manifest(spark: SparkSession, paths: list[str], out: str) -> None:

@@ -23,6 +23,25 @@ def load_similarity(spark: SparkSession, folder: str, k: int | None = None) -> t
     return (knn.where(F.col("rank") <= k) if k else knn), spark.read.parquet(f"{folder}/stats")
 
 
+def load_mask(spark: SparkSession, folder: str) -> list[float]:
+    """The stored mask in the order of pixels, as the functions on patterns take it."""
+    return [float(r.good) for r in spark.read.parquet(f"{folder}/mask").orderBy("pixel_idx").collect()]  # a row a pixel
+
+
+def save_patterns(rows: DataFrame, folder: str) -> None:
+    """``rows`` in the order of datasets and local numbers, so that ranges of them are few row groups."""
+    rows.repartitionByRange("file_idx", "dataset_idx", "local_idx").sortWithinPartitions("file_idx", "dataset_idx", "local_idx").write.mode("overwrite").parquet(folder)
+
+
+def scan_batch(spark: SparkSession, folder: str, ends: DataFrame) -> DataFrame:
+    """The stored patterns of one batch: local rows [start, end) of each dataset in ``ends`` (file_idx,
+    dataset_idx, start, end).  The ranges reach the scan as filters."""
+    wanted = F.lit(False)
+    for r in ends.select("file_idx", "dataset_idx", "start", "end").collect():  # a row a dataset of the batch
+        wanted = wanted | ((F.col("file_idx") == r.file_idx) & (F.col("dataset_idx") == r.dataset_idx) & (F.col("local_idx") >= r.start) & (F.col("local_idx") < r.end))
+    return spark.read.parquet(folder).where(wanted)
+
+
 def save_eigensystem(folder: str, values: DataFrame, vectors: DataFrame, neighbours: int, tau: float, keep_diagonal: bool) -> str:
     """A new folder for each run, named by its time; never overwrites."""
     run = f"{folder}/run_ts={datetime.now():%Y_%m_%d_%H_%M_%S}"

@@ -7,7 +7,7 @@ import pytest
 from driftmap.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["global_index_map", "batch_ends", "masked_stats", "sim_pearson_masked_by_all_pixels", "knn_topk", "symmetrized_zero_diag_stored", "laplacian_sym", "tau_optimal", "polygon_select", "rolling_mean_x", "raster_mean", "angle_category"]
+NAMES = ["eigenvalues_smallest", "embedding_wide", "flatten_pattern", "mask_round_trip", "batch_scan", "batch_grid_2d", "background_sample", "grid_pad", "global_index_map", "batch_ends", "masked_stats", "sim_pearson_masked_by_all_pixels", "knn_topk", "symmetrized_zero_diag_stored", "laplacian_sym", "tau_optimal", "polygon_select", "rolling_mean_x", "raster_mean", "angle_category"]
 
 
 def plain(v):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmap import scaffold
-from driftmap.sources import generate, manifest, store
+from driftmap.sources import generate, manifest, scratch, store
 
 
 def write_patterns(spark, path, counts, width=3):
@@ -40,6 +40,50 @@ def test_patterns_of_a_manifest(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ["File:/a", "File:/B"]
 
 
+def test_shapes_of_patterns(spark, tmp_path):
+    """Patterns of two dimensions are flattened row by row; 2 x 3 isn't 3 x 2, and ragged ones are no shape."""
+    text = tmp_path / "file_list.txt"
+
+    def source(*tables):
+        for k, patterns in enumerate(tables):
+            spark.createDataFrame([("d", n, p) for n, p in enumerate(patterns)], "dataset string, local_idx long, pattern array<array<double>>").write.mode("overwrite").parquet(f"{tmp_path}/s{k} x.parquet")
+        text.write_text("".join(f"File:{tmp_path}/s{k} x.parquet\n" for k in range(len(tables))))
+        return manifest.read_patterns(spark, str(text))
+
+    wide, high = [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]], [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
+    found = source([wide, wide], [wide])
+    assert found.shape == (2, 3) and [r.pattern for r in found.rows.collect()] == [[1.0, 2.0, 3.0, 4.0, 5.0, 6.0]] * 3
+    for bad in ([[wide], [high]], [[[[1.0], [2.0, 3.0]]]]):
+        with pytest.raises(ValueError):
+            source(*bad)
+
+
+def test_batches_are_read_by_ranges(spark, tmp_path):
+    rows = spark.range(40).selectExpr("0 AS file_idx", "int(id % 2) AS dataset_idx", "id div 2 AS local_idx", "array(double(id)) AS pattern")
+    store.save_patterns(rows, f"{tmp_path}/patterns")
+    ends = spark.createDataFrame([(0, 0, 3, 7), (0, 1, 0, 2)], "file_idx int, dataset_idx int, start long, end long")
+    found = store.scan_batch(spark, f"{tmp_path}/patterns", ends)
+    assert sorted(r.pattern[0] for r in found.collect()) == [1.0, 3.0, 6.0, 8.0, 10.0, 12.0]
+    assert "PushedFilters: [IsNotNull(file_idx)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_numbers_stay(spark, tmp_path):
+    spark.range(50).withColumn("row", F.lit(1)).repartition(3).write.parquet(f"{tmp_path}/t")
+    for df in (spark.read.parquet(f"{tmp_path}/t"), spark.range(50).withColumn("row", F.lit(1)), spark.read.parquet(f"{tmp_path}/t").withColumn("x", F.explode(F.array(F.lit(1), F.lit(2))))):
+        found, name = scratch.numbered(df, "test")
+        assert name == "_row" and found.columns == [*df.columns, "_row"]
+        assert found.select("_row").distinct().count() == df.count()
+        assert sorted(found.collect()) == sorted(found.coalesce(1).collect())
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    class Cluster:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(ValueError):
+        scratch.scratch_root(Cluster())
+
+
 def test_stores(spark, tmp_path):
     knn = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 2, 0.5)], "i long, j long, rank int, value double")
     stats = spark.createDataFrame([(0, 1.0, 2.0), (1, 1.0, 2.0)], "global_idx long, mean double, std double")
@@ -47,6 +91,7 @@ def test_stores(spark, tmp_path):
     for _ in range(2):
         store.save_similarity(str(tmp_path), knn, stats, mask)
     assert store.load_similarity(spark, str(tmp_path), 1)[0].count() == 1
+    assert store.load_mask(spark, str(tmp_path)) == [1.0]
     assert store.load_attributes(spark, None, stats).where("attribute = 1").count() == 2
     values = spark.createDataFrame([(0, 1.0, 0.0)], "k int, value double, residual double")
     vectors = spark.createDataFrame([(0, 0, 1.0), (1, 0, 1.0)], "k int, global_idx long, value double")
@@ -62,6 +107,9 @@ def test_generators(spark):
     assert {r.top for r in shapes.select("kind", F.array_max("pattern").alias("top")).distinct().collect()} == {40.0, 68.0}
     a, b = (generate.random_disks(spark, 5, side=8).orderBy("global_idx").collect() for _ in range(2))
     assert a == b and len(a[0].pattern) == 64
+    flat = generate.flat_shapes(spark, rounds=3, side=8)
+    sizes = {r.dataset: r["count"] for r in flat.groupBy("dataset").count().collect()}
+    assert set(sizes) == set("012345") and all(5 <= n < 100 for n in sizes.values()) and flat.where("size(pattern) <> 64").count() == 0
     turned = generate.rotations(spark, 10, side=16).orderBy("global_idx").collect()
     assert [r.category for r in turned] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4] and turned[-1].angle == 355.0
     first, last = np.array(turned[0].pattern), np.array(turned[-1].pattern)
