@@ -1,34 +1,42 @@
 """Mixing sources to target weights over fixed-length blocks.
 
-Each source's words, documents one behind another, are cut into blocks of ``block`` words.  The mix
-is a row of slots in output shards.  Every shard draws how many of its slots each source gets: a
-multinomial draw by systematic sampling (one uniform offset a shard), so a source's count is its
-expectation rounded up or down at random and the mix stays near its targets.  The k-th slot of a
-source takes block perm(k), a pseudorandom permutation of its block numbers, anew for each pass over
-the source.  Slots and blocks meet in one join by (source, block).
+Each source's words, documents one behind another, are cut into blocks of ``block`` words.  Its target
+fixes how many blocks the mix takes of it, each a slot of an output shard.  A source's slots are dealt to
+the shards by a multinomial draw: every slot takes a shard uniformly at random, so the counts of a
+source over all shards are multinomial, and those of a shard have the targets' shares as means, while
+each source's total stays within half a block of its target.  The k-th slot of a source takes block
+perm(k), a pseudorandom permutation of its block numbers, anew for each pass over the source.  Slots
+and blocks meet in one join by (source, block).
 
 The permutation is a swap-or-not shuffle, a bijection for any number of blocks, written as plain
 column arithmetic; so are the random numbers, which depend on the seed and the position alone, so
-reruns agree.  All steps are DataFrame functions.  A large source is spread by its blocks, and the
-running totals that number its words go over hash buckets of documents, so it never meets in a task.
+reruns agree.  All steps are DataFrame functions.  The slots are made chunk by chunk in as many tasks
+as they need, a large source is spread by its blocks, and the running totals that number its words
+go over hash buckets of documents, so it never meets in a task.
 
 Defined cases: a null text has no words; a null source is a source, the last in order; sources
-without words get target 0; repeated rows are separate documents; an empty table gives an empty mix.
+without words get target 0; repeated rows, also with equal or null doc_id, are separate documents; an
+empty table gives an empty mix; other columns are ignored (``mix_documents``) or kept (``repeat_to_mix``).
+A text of any length is one row of counts and a row for each of its blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmap.functions.joins import checked_broadcast, salted_join
+from driftmap.functions.joins import checked_broadcast
 from driftmap.llm.text import WORD
-from driftmap.sources.scratch import materialize
+from driftmap.sources.scratch import free_name, made, materialize, numbered, release
 
 BLOCK = 64
+#: Slots of a shard, on average.
 SHARD = 4096
 ROUNDS = 8
-BUCKETS = 1024
+#: Slots made from one row, and in one task.
+CHUNK, TASK_SLOTS = 4096, 100_000
+#: Documents of a bucket of running totals, if there are more than LEAST_BUCKETS such.
+BUCKET_ROWS, LEAST_BUCKETS = 20_000, 1024
 PRIME = 2147483647
 SECOND = 2147483629
 
@@ -54,83 +62,95 @@ def water_level(sources: DataFrame, limit: int) -> DataFrame:
 
 
 def source_table(sized: DataFrame, cycle: tuple[int, ...], limit: int, block: int) -> DataFrame:
-    """One row a source: sid, source, weight, source_size, target, blocks, share_from, share_to, slots."""
+    """One row a source: sid, source, weight, source_size, target, blocks, slots."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row a source: this window and those below see sources, never documents.
+    # One row a source: this window and those of the water level see sources, never documents.
     sid = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*map(F.lit, cycle)), (F.col("sid") - 1) % len(cycle) + 1).cast("double")
     table = water_level(totals.withColumn("sid", sid).withColumn("weight", weight), limit)
     blocks = F.ceil(F.col("source_size") / block).cast("long")
-    table = table.withColumn("blocks", blocks).withColumn("_slots", F.when(F.col("blocks") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
-    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    table = table.withColumn("_sum", F.sum("_slots").over(upto)).withColumn("_all", F.max("_sum").over(every)).withColumn("slots", F.round("_all").cast("long"))
-    share = lambda x: F.when(F.col("_all") > 0, x / F.col("_all")).otherwise(0.0)
-    previous = F.coalesce(F.lag("_sum").over(Window.orderBy("sid")), F.lit(0.0))
-    return table.withColumn("share_from", share(previous)).withColumn("share_to", share(F.col("_sum"))).drop("_slots", "_sum", "_all")
-
-
-def shard_draws(sources: DataFrame, seed: int, shard: int) -> DataFrame:
-    """(sid, blocks, first, n): shard by shard how many slots a source gets and how many came before."""
-    spread = sources.where("blocks > 0 AND slots > 0").select("sid", "blocks", "slots", "share_from", "share_to", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {shard}"))).alias("shard"))
-    n = F.least(F.lit(shard).cast("long"), F.col("slots") - F.col("shard") * shard).cast("double")
-    offset = F.expr(f"{scattered(f'shard + {scattered(str(seed))}')} / {PRIME}D")
-    upto = lambda share: F.ceil(n * F.col(share) - offset)
-    counts = spread.withColumn("n", upto("share_to") - upto("share_from")).where("n > 0")
-    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("sid", "blocks", "shard", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-
-
-def permuted(slots: DataFrame, seed: int, rounds: int = ROUNDS) -> DataFrame:
-    """``slots`` (sid, blocks, k) with ``block``: k modulo blocks under the permutation of its pass."""
-    key = scattered(f"{scattered(f'sid + {scattered(str(seed + 1))}')} + k div blocks")
-    at = slots.selectExpr("sid", "blocks", "k", "k % blocks AS block", f"{key} AS _key")
+    slots = F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * limit)
+    return table.withColumn("blocks", blocks).withColumn("slots", F.when(F.col("blocks") > 0, slots).otherwise(0))
+
+
+def slot_chunks(sources: DataFrame, seed: int, rounds: int = ROUNDS, chunk: int = CHUNK) -> DataFrame:
+    """(sid, blocks, low, high, draw, t1, m1, t2 ...): the slots low to high (exclusive) of a pass over a
+    source, with the numbers that the draw of shards and each round of the pass's permutation take."""
+    passes = sources.where("slots > 0").selectExpr("sid", "blocks", "slots", "explode(sequence(0L, (slots - 1) div blocks)) AS pass")
+    sized = passes.selectExpr("sid", "blocks", f"{scattered(f'{scattered(f"sid + {seed}")} + pass')} AS key", "least(blocks, slots - pass * blocks) AS n")
+    turn = lambda i: f"({scattered(f'key + {3 * i}')} * {PRIME}L + {scattered(f'key + {3 * i + 1}')}) % blocks AS t{i}"
+    numbers = [x for i in range(1, rounds + 1) for x in (turn(i), f"{scattered(f'key + {3 * i + 2}')} AS m{i}")]
+    cut = sized.selectExpr("sid", "blocks", "n", f"{scattered('key')} AS draw", *numbers, f"explode(sequence(0L, (n - 1) div {chunk})) AS c")
+    rest = [f"{x}{i}" for i in range(1, rounds + 1) for x in "tm"]
+    return cut.selectExpr("sid", "blocks", f"c * {chunk} AS low", f"least(n, (c + 1) * {chunk}) AS high", "draw", *rest)
+
+
+def permuted(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``slots`` (``at``, blocks, t1, m1 ...) with ``block``: a bijection of 0 ... blocks - 1 applied to
+    ``at``.  A round swaps the block with its mirror image round the turn, or not, for both alike."""
+    out = slots.withColumn("block", F.col("at"))
     for i in range(1, rounds + 1):
-        turn = f"({scattered(f'_key + {i}')} * {PRIME}L + {scattered(f'_key + {rounds + i}')}) % blocks"
-        at = at.selectExpr("sid", "blocks", "k", "_key", "block", f"({turn} - block + blocks) % blocks AS _other")
-        odd = scattered(f"{scattered(f'greatest(block, _other) + {i}')} + _key") + " % 2 = 1"
-        at = at.selectExpr("sid", "blocks", "k", "_key", f"CASE WHEN {odd} THEN _other ELSE block END AS block")
-    return at.select("sid", "blocks", "k", "block")
-
-
-def block_uses(sources: DataFrame, seed: int, shard: int, limit: int) -> DataFrame:
-    """(sid, block, uses): how often the mix takes each block; no more than ``limit`` times."""
-    draws = shard_draws(sources, seed, shard)
-    slots = draws.select("sid", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("k")).where(F.col("k") < F.col("blocks") * limit)
-    return materialize(permuted(materialize(slots, "slots"), seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses")), "uses")
-
-
-def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = BLOCK, shard: int = SHARD, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target and taken (the words the mix takes), one row a document.
-
-    Sources in code point order, null last, weigh ``cycle`` repeating; targets share all words by
-    weight, but stop at ``limit`` times a source's size.
-    """
+        out = out.withColumn("_other", F.expr(f"(t{i} - block + blocks) % blocks"))
+        out = out.withColumn("_x", F.expr(f"(greatest(block, _other) + m{i}) % {PRIME}L"))
+        bit = f"(_x * _x % {SECOND}L * 784588716L) % {PRIME}L % 2"
+        out = out.withColumn("block", F.expr(f"CASE WHEN {bit} = 1 THEN _other ELSE block END"))
+    return out.drop("_other", "_x")
+
+
+def mix_slots(sources: DataFrame, seed: int = 11, shard: int = SHARD) -> DataFrame:
+    """(shard, sid, block), a row for each slot of the mix: what each output shard takes of each source."""
+    total = sources.agg(F.sum("slots")).first()[0] or 0  # one number
+    shards, tasks = max(1, -(-total // shard)), max(1, min(20_000, total // TASK_SLOTS))
+    spread = slot_chunks(sources, seed).repartition(tasks, "sid", "low", "draw")
+    slots = spread.withColumn("at", F.explode(F.expr("sequence(low, high - 1)")))
+    # Squares, as linear steps alone would deal neighbouring slots too evenly.
+    drawn = permuted(slots).selectExpr("sid", "block", f"{scattered('draw + at')} AS x")
+    return drawn.selectExpr(f"{scattered('x * x')} % {shards} AS shard", "sid", "block")
+
+
+def mixed_rows(docs: DataFrame, row: Column, cycle: tuple[int, ...], limit: int, block: int, shard: int, seed: int) -> DataFrame:
+    """_row, doc_id, size, source_size, target, taken, first_shard: one row a document."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    bucket = F.expr(f"int({scattered(f'abs(coalesce(doc_id, 0) % {PRIME})')} % {BUCKETS})")
-    sized = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", words.alias("size"), bucket.alias("bucket")), "sizes")
+    sized = materialize(docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("size")), "sizes")
+    buckets = max(LEAST_BUCKETS, sized.count() // BUCKET_ROWS)
     sources = materialize(source_table(sized, cycle, limit, block), "sources")
     ids = sources.select("sid", F.col("source").alias("_source"))
-    numbered = sized.join(checked_broadcast(ids), F.col("source").eqNullSafe(F.col("_source"))).select("_row", "doc_id", "sid", "size", "bucket")
-    totals = numbered.groupBy("sid", "bucket").agg(F.sum("size").alias("_words"))
+    bucket = F.expr(f"{scattered(f'abs(coalesce(doc_id, 0) % {PRIME}) + {scattered("size")}')} % {buckets}")
+    named = sized.join(checked_broadcast(ids), F.col("source").eqNullSafe(F.col("_source"))).select("_row", "doc_id", "sid", "size", bucket.alias("bucket"))
+    totals = named.groupBy("sid", "bucket").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("sid", "bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = numbered.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("_inside"))
+    placed = named.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("_inside"))
     spans = F.when(F.col("size") > 0, F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))
     pieces = placed.select("_row", "doc_id", "sid", "size", "start", F.explode_outer(spans).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    used = pieces.join(block_uses(sources, seed, shard, limit), ["sid", "block"], "left")
-    taken = used.groupBy("_row", "doc_id", "sid", "size").agg(F.coalesce(F.sum(overlap * F.col("uses")), F.lit(0)).alias("taken"))
+    uses = materialize(mix_slots(sources, seed, shard).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"), F.min("shard").alias("shard")), "uses")
+    used = pieces.join(uses, ["sid", "block"], "left")
+    taken = used.groupBy("_row", "doc_id", "sid", "size").agg(F.coalesce(F.sum(overlap * F.col("uses")), F.lit(0)).alias("taken"), F.min("shard").alias("first_shard"))
     facts = checked_broadcast(sources.select("sid", "source_size", "target"))
-    return taken.join(facts, "sid").select("doc_id", "size", "source_size", "target", "taken")
+    return taken.join(facts, "sid").select("_row", "doc_id", "size", "source_size", "target", "taken", "first_shard")
+
+
+def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = BLOCK, shard: int = SHARD, seed: int = 11) -> DataFrame:
+    """doc_id, size, source_size, target, taken (the words the mix takes) and first_shard (the first
+    shard that takes any of them, else null), one row a document.
+
+    Sources in code point order, null last, weigh ``cycle`` repeating; targets share all words by
+    weight, but stop at ``limit`` times a source's size.
+    """
+    return mixed_rows(docs, F.monotonically_increasing_id(), cycle, limit, block, shard, seed).drop("_row")
 
 
-def repeat_to_mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
+def repeat_to_mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = BLOCK, shard: int = SHARD, seed: int = 11) -> DataFrame:
     """``docs`` with each row as often as the mix takes its words: the whole part of taken / size,
-    and once more with the rest as probability.  Rows without words go."""
-    mix = mix_documents(docs, seed=seed, **options).where("taken > 0")
+    and once more with the rest as probability.  Rows without words go; rows that share a doc_id, or
+    have none, are taken each by itself.  All columns stay as they are."""
+    rows, row = numbered(docs, "mix-rows")
+    since, times = made(), free_name(rows, "times")
+    mix = mixed_rows(rows, F.col(row), cycle, limit, block, shard, seed).where("taken > 0")
     extra = F.expr(f"int({scattered(f'abs(coalesce(doc_id, 0) % {PRIME}) + {seed}')} / {PRIME}D < (taken % size) / size)")
-    copies = mix.groupBy("doc_id").agg(F.min(F.expr("taken div size") + extra).cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    copies = checked_broadcast(materialize(copies, "copies"))
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    many = mix.select(F.col("_row").alias(row), F.array_repeat(F.lit(0), (F.expr("taken div size") + extra).cast("int")).alias(times))
+    many = materialize(many.where(F.size(times) > 0), "copies")
+    release(since, -1)
+    return rows.join(checked_broadcast(many), row).withColumn(times, F.explode(times)).drop(row, times)

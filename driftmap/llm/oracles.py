@@ -50,18 +50,16 @@ def _scatter(x: str) -> str:
 
 
 def source_mixing(block: int = mixing.BLOCK, shard: int = mixing.SHARD, seed: int = 11, limit: int = 3) -> str:
-    p, rounds = mixing.PRIME, mixing.ROUNDS
-    lit = lambda n: eval(_scatter(str(n)))  # noqa: E731, S307  a constant folded here
-    steps, last = "", "k0"
+    p, q, rounds = mixing.PRIME, mixing.SECOND, mixing.ROUNDS
+    turns = ", ".join(f"(({_scatter(f'key + {3 * i}')}) * {p} + {_scatter(f'key + {3 * i + 1}')}) % blocks AS t{i}, {_scatter(f'key + {3 * i + 2}')} AS m{i}" for i in range(1, rounds + 1))
+    steps = ""
     for i in range(1, rounds + 1):
         steps += f"""
-a{i} AS (SELECT *, (({_scatter(f"key + {i}")}) * {p} + {_scatter(f"key + {rounds + i}")}) % blocks AS turn FROM {last}),
-b{i} AS (SELECT *, (turn - block + blocks) % blocks AS other FROM a{i}),
-k{i} AS (SELECT sid, blocks, key, CASE WHEN ({_scatter(f"({_scatter(f'greatest(block, other) + {i}')}) + key")}) % 2 = 1 THEN other ELSE block END AS block FROM b{i}),"""
-        last = f"k{i}"
+a{i} AS (SELECT *, (t{i} - block + blocks) % blocks AS other FROM k{i - 1}),
+k{i} AS (SELECT * EXCLUDE (block, other), CASE WHEN (((greatest(block, other) + m{i}) % {p}) * ((greatest(block, other) + m{i}) % {p}) % {q} * 784588716) % {p} % 2 = 1 THEN other ELSE block END AS block FROM a{i}),"""
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-             ({_scatter(f"abs(coalesce(doc_id, 0) % {p})")}) % {mixing.BUCKETS} AS bucket FROM documents),
+WITH d0 AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+d AS (SELECT *, ({_scatter(f"abs(coalesce(doc_id, 0) % {p}) + ({_scatter('size')})")}) % (SELECT greatest({mixing.LEAST_BUCKETS}, count(*) // {mixing.BUCKET_ROWS}) FROM documents) AS bucket FROM d0),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s0),
 s2 AS (SELECT *, ((sid - 1) % 3 + 1)::DOUBLE AS weight, source_size * {limit}.0::DOUBLE AS cap FROM s1),
@@ -70,23 +68,19 @@ s4 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (O
          / sum(weight) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s3),
 s5 AS (SELECT *, least(cap, weight * max(CASE WHEN ratio >= level THEN level END) OVER ()) AS target,
          ceil(source_size / {block})::BIGINT AS blocks FROM s4),
-s6 AS (SELECT *, CASE WHEN blocks > 0 THEN target * blocks / source_size ELSE 0 END AS want FROM s5),
-s7 AS (SELECT *, sum(want) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) AS upto FROM s6),
-s8 AS (SELECT *, max(upto) OVER () AS everything, coalesce(lag(upto) OVER (ORDER BY sid), 0) AS below FROM s7),
-s AS (SELECT sid, source, source_size, target, blocks, round(everything)::BIGINT AS slots, below / everything AS share_from, upto / everything AS share_to FROM s8),
-h0 AS (SELECT *, unnest(range(0, (slots - 1) // {shard} + 1)) AS shard FROM s WHERE blocks > 0 AND slots > 0),
-h1 AS (SELECT *, least({shard}, slots - shard * {shard})::DOUBLE AS wide, ({_scatter(f"shard + {lit(seed)}")}) / {p}.0::DOUBLE AS shift FROM h0),
-h2 AS (SELECT sid, blocks, shard, (ceil(wide * share_to - shift) - ceil(wide * share_from - shift))::BIGINT AS n FROM h1),
-h AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY sid ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM h2 WHERE n > 0),
-l0 AS (SELECT sid, blocks, unnest(range(first, first + n)) AS k FROM h),
-l1 AS (SELECT sid, blocks, k % blocks AS block, {_scatter(f"sid + {lit(seed + 1)}")} AS base, k // blocks AS pass FROM l0 WHERE k < blocks * {limit}),
-k0 AS (SELECT sid, blocks, block, {_scatter("base + pass")} AS key FROM l1),{steps}
-u AS (SELECT sid, block, count(*) AS uses FROM {last} GROUP BY ALL),
+s AS (SELECT *, CASE WHEN blocks > 0 THEN least(round(target * blocks / source_size)::BIGINT, {limit} * blocks) ELSE 0 END AS slots FROM s5),
+n AS (SELECT greatest(1, (sum(slots) + {shard} - 1) // {shard})::BIGINT AS shards FROM s),
+p0 AS (SELECT *, unnest(range(0, (slots - 1) // blocks + 1)) AS pass FROM s WHERE slots > 0),
+p1 AS (SELECT sid, blocks, {_scatter(f"({_scatter(f'sid + {seed}')}) + pass")} AS key, least(blocks, slots - pass * blocks) AS n FROM p0),
+p2 AS (SELECT sid, blocks, n, {_scatter("key")} AS draw, {turns} FROM p1),
+k0 AS (SELECT *, pos AS block FROM (SELECT *, unnest(range(0, n)) AS pos FROM p2)),{steps}
+x0 AS (SELECT sid, block, {_scatter("draw + pos")} AS x FROM k{rounds}),
+u AS (SELECT sid, block, count(*) AS uses, min(({_scatter("x * x")}) % (SELECT shards FROM n)) AS shard FROM x0 GROUP BY ALL),
 w AS (SELECT doc_id, size, sid, (sum(size) OVER (PARTITION BY sid ORDER BY bucket, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 x AS (SELECT doc_id, sid, size, start, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS block FROM w WHERE size > 0),
-y AS (SELECT x.doc_id, sid, size, start, sum((least(start + size, (block + 1) * {block}) - greatest(start, block * {block})) * uses)::BIGINT AS taken
+y AS (SELECT x.doc_id, sid, size, start, sum((least(start + size, (block + 1) * {block}) - greatest(start, block * {block})) * uses)::BIGINT AS taken, min(shard) AS first_shard
       FROM x JOIN u USING (sid, block) GROUP BY ALL)
-SELECT w.doc_id, w.size, s.source_size, s.target, coalesce(y.taken, 0)::BIGINT AS taken
+SELECT w.doc_id, w.size, s.source_size, s.target, coalesce(y.taken, 0)::BIGINT AS taken, y.first_shard
 FROM w JOIN s USING (sid) LEFT JOIN y ON y.sid = w.sid AND y.start = w.start AND y.size = w.size AND y.doc_id IS NOT DISTINCT FROM w.doc_id AND w.size > 0
 """

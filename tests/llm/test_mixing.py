@@ -1,8 +1,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from driftmap.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, size string, sid string"
@@ -47,18 +45,60 @@ def test_mix_meets_targets(spark):
         assert abs(r.target - want[s]) < 1e-6 and 0 <= r.taken <= 3 * r.size
         taken[s] = taken.get(s, 0) + r.taken
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 16 * 12
+        assert abs(taken[s] - want[s]) <= 16 * 2
     again = mixing.mix_documents(documents(spark, rows), block=16, shard=64).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
-def test_permutation_is_one(spark):
-    for n in (1, 2, 7, 1000):
-        slots = spark.range(3 * n).select(F.lit(4).alias("sid"), F.lit(n).cast("long").alias("blocks"), F.col("id").alias("k"))
-        rows = mixing.permuted(slots, 11).orderBy("k").collect()
-        orders = [[r.block for r in rows[e * n : (e + 1) * n]] for e in range(3)]
-        assert all(sorted(x) == list(range(n)) for x in orders)
-        assert n < 7 or orders[0] != orders[1] != list(range(n))
+P, Q = 2147483647, 2147483629
+
+
+def scatter(x):
+    return (((x % P * 1583458089 + 12345) % Q * 784588716 + 6789) % P * 1132489760 + 987654321) % Q
+
+
+def slots_by_hand(sid, blocks, slots, seed, shards, rounds=8):
+    """(shard, block) of each slot of a source: the draw of its shard, and swap-or-not rounds, one by one."""
+    out = []
+    for k in range(slots):
+        turn, at = divmod(k, blocks)
+        key = scatter(scatter(sid + seed) + turn)
+        b = at
+        for i in range(1, rounds + 1):
+            t, m = (scatter(key + 3 * i) * P + scatter(key + 3 * i + 1)) % blocks, scatter(key + 3 * i + 2)
+            mirror = (t - b) % blocks
+            if (((max(b, mirror) + m) % P) ** 2 % Q * 784588716) % P % 2:
+                b = mirror
+        out.append((scatter(scatter(scatter(key) + at) ** 2) % shards, b))
+    return out
+
+
+def test_slots_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 500)
+    facts = [(1, 1, 3), (2, 2, 5), (3, 700, 1650), (4, 5000, 4999), (5, 0, 0)]
+    sources = spark.createDataFrame(facts, "sid int, blocks long, slots long")
+    got = mixing.mix_slots(sources, 11, 64)
+    assert got.rdd.getNumPartitions() > 8  # no task makes all slots of a source
+    got = got.collect()
+    shards = -(-sum(n for _, _, n in facts) // 64)
+    want = sorted((shard, sid, block) for sid, blocks, n in facts for shard, block in slots_by_hand(sid, blocks, n, 11, shards))
+    assert sorted((r.shard, r.sid, r.block) for r in got) == want
+    uses = {}
+    for _, sid, block in want:
+        uses[sid, block] = uses.get((sid, block), 0) + 1
+    # Each pass is a permutation: uses differ by one at most.
+    assert all({uses.get((sid, b), 0) for b in range(blocks)} <= {n // blocks, n // blocks + 1} for sid, blocks, n in facts if blocks)
+    assert [b for _, b in slots_by_hand(4, 5000, 4999, 11, 1)] != list(range(4999))
+
+
+def test_draws_are_multinomial():
+    """Counts of a source's slots by shard: chi-square of a fair draw, and other shards another count."""
+    n, shards = 20_000, 100
+    counts = [0] * shards
+    for shard, _ in slots_by_hand(7, 30_000, n, 11, shards):
+        counts[shard] += 1
+    chi = sum((c - n / shards) ** 2 / (n / shards) for c in counts)
+    assert 55 < chi < 160 and len(set(counts)) > 10
 
 
 def test_repeated_documents_and_empty_tables(spark):
@@ -69,5 +109,15 @@ def test_repeated_documents_and_empty_tables(spark):
     times = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     for r in mixing.mix_documents(docs).collect():
         assert times.get(r.doc_id, 0) in (r.taken // max(1, r.size), -(-r.taken // max(1, r.size)))
+    assert all((r.first_shard is None) == (r.taken == 0) for r in mixing.mix_documents(docs).collect())
     assert mixing.mix_documents(documents(spark, [])).count() == 0 and mixing.repeat_to_mix(documents(spark, [])).count() == 0
     assert mixing.mix_documents(documents(spark, [(1, "", "a"), (2, None, None)])).where("taken = 0 AND target = 0").count() == 2
+
+
+def test_rows_that_share_an_id_are_taken_each_by_itself(spark):
+    rows = [(1, "a b c d", "s", "x"), (1, "", "s", "y"), (None, "e f g", "s", "z"), (None, None, None, "n"), (2, "w " * 200_000, "t", "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string").selectExpr("*", "1 AS _again", "2 AS row", "3 AS times", "4 AS `a.b`", "5 AS _copies")
+    got = mixing.repeat_to_mix(docs, cycle=(1, 1))
+    assert got.columns == docs.columns
+    found = [r["_id"] for r in got.collect()]
+    assert "y" not in found and "n" not in found and {"x", "z"} <= set(found) and all(r["_again"] == 1 and r["a.b"] == 4 for r in got.collect())
