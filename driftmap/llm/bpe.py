@@ -1,15 +1,21 @@
 """Token ids of a column of texts with the ``tokenizers`` library.
 
-A text is cut at places where the tokenizer's own rules always cut (``piece_starts``): before a blank
-that leads a word, round a single newline between words, and between ASCII letters and punctuation.
-Most of the pieces of a few megabytes of text repeat, so each distinct piece is encoded once, many
-in one call and apart by newlines, and the ids of all texts are put together by array indexing.
+A text is cut at places where the tokenizer's own rules always cut (``piece_starts``): round the strings
+of its added tokens, before a blank that leads a word, round a single newline between words, and between
+ASCII letters and punctuation.  Most pieces of a corpus repeat, so the pieces of two megabytes are told
+apart by their bytes, each distinct one is encoded once, many in one call and apart by newlines, and
+short ones are remembered; the ids of all texts are put together by array indexing.
 The result is the same as encoding each text whole; the tests hold it against that.
+
+Memory doesn't depend on the corpus: a task holds a slice of texts (``words.SLICE_BYTES``, or one longer
+text) with its ids, the temporaries of ``BLOCK`` bytes, and at most ``REMEMBERED`` pieces.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,11 +24,11 @@ import pyarrow as pa
 from driftmap.llm import words
 
 #: Text bytes whose distinct pieces are encoded together.
-GROUP_BYTES = 16_000_000
+BLOCK = 2_000_000
 #: Bytes of distinct pieces in one call.
 CALL_BYTES = 64_000
-#: Runs put together at a time.
-GATHER = 250_000
+#: Pieces that a worker remembers, and the longest of them.
+REMEMBERED, SHORT = 100_000, 64
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -37,26 +43,81 @@ _MARK = np.zeros(256, bool)
 _MARK[33:127] = True
 _MARK[48:58] = _MARK[39] = False
 _MARK &= ~_LETTER
-_TABLE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class Encoder:
+    """A tokenizer with what it knows of pieces."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.newline = self.tokenizer.token_to_id("Ċ")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Added tokens that take blanks round them, or not every occurrence: no cuts then.
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or "\n" in t.content for t in added)
+        strings = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, strings))) if strings else None
+        self.known: dict[bytes, bytes] = {}
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of ``pieces``, as little-endian 32-bit numbers."""
+        known = self.known
+        fresh = [p for p in pieces if p not in known]
+        got = dict(zip(fresh, self.encoded(fresh)))
+        out = [got[p] if p in got else known[p] for p in pieces]
+        short = {p: x for p, x in got.items() if len(p) <= SHORT}
+        if len(known) + len(short) > REMEMBERED:
+            known.clear()
+        known.update(short)
+        return out
+
+    def encoded(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """As ``ids``, all by the tokenizer.  Pieces without blanks, but for one in front, are encoded
+        together, each with a newline behind it."""
+        data, offsets = words.raw(pa.array(pieces, pa.large_binary()))
+        odd = np.concatenate(([0], np.cumsum(_BLANK[data] | _UNSURE[data])))
+        starts, ends = offsets[:-1], offsets[1:]
+        lead = (data[starts] == 32).astype(np.int64) if len(starts) else starts
+        plain = (odd[ends] == odd[starts + lead]) & (ends > starts + lead) & (self.newline is not None)
+        batch = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        at = 0
+        while at < len(pieces):
+            to = at + 1
+            if plain[at]:
+                while to < len(pieces) and plain[to] and ends[to] - starts[at] < CALL_BYTES:
+                    to += 1
+                # One call at a time: an encoding takes far more memory than its ids.
+                found = np.array(batch([b"\n".join([*pieces[at:to], b""]).decode()])[0].ids, "<u4")
+                marks = np.flatnonzero(found == self.newline).tolist()
+                if len(marks) == to - at:
+                    yield from (found[a:b].tobytes() for a, b in zip([0, *(m + 1 for m in marks)], marks))
+                    at = to
+                    continue
+            for piece in pieces[at:to]:
+                yield np.array(batch([piece.decode()])[0].ids, "<u4").tobytes()
+            at = to
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # such strings in a text are ordinary text
-    return found
+def added_spans(pattern: re.Pattern | None, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Where ``pattern`` occurs in the texts that ``offsets`` mark in ``data``; never across texts."""
+    if pattern is None or not pattern.search(memoryview(data)):
+        return []
+    edges = np.unique(offsets).tolist()
+    return [(m.start() + a, m.end() + a) for a, b in zip(edges, edges[1:]) for m in pattern.finditer(memoryview(data[a:b]))]
 
 
-def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sorted starts of the pieces of the texts that ``offsets`` mark in ``data``."""
+def piece_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Is there the start of a piece, for each byte of ``data``; ``first`` marks those that surely are."""
     n = len(data)
-    first = np.zeros(n + 1, bool)
-    first[offsets] = True
-    inner = ~first[1:n]  # of the bytes from 1 on: not the first of a text
-    start = first[:n].copy()
+    inner = ~first[1:]
+    start = first.copy()
     solid, blank, letter, mark = _SOLID[data], data == 32, _LETTER[data], _MARK[data]
     start[:-1] |= blank[:-1] & solid[1:] & inner
     start[1:] |= ((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) & inner
@@ -64,83 +125,60 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lone = (data[1:-1] == 10) & solid[:-2] & _ASCII[data[:-2]] & solid[2:] & inner[:-1] & inner[1:]
         start[1:-1] |= lone
         start[2:] |= lone
-    return np.flatnonzero(start)
+    return start
+
+
+def pieces(found: Encoder, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The edges of consecutive pieces, about BLOCK bytes at a time: the last edge of one array is the
+    first of the next."""
+    n, spans = len(data), added_spans(found.added, data, offsets)
+    marks = np.unique(np.concatenate([offsets[offsets < n], *(np.array(s, np.int64) for s in spans)]))
+    marks, last = marks[marks < n], 0
+    for at in range(0, n, BLOCK):
+        low, high = max(0, at - 2), min(n, at + BLOCK + 2)  # whether a byte starts a piece shows within two bytes
+        first = np.zeros(high - low, bool)
+        first[marks[np.searchsorted(marks, low) : np.searchsorted(marks, high)] - low] = True
+        start = first if found.whole else piece_starts(data[low:high], first)
+        own = np.flatnonzero(start[at - low : at - low + BLOCK]) + at
+        for a, b in spans:
+            if a < at + BLOCK and b > at:
+                own = own[(own <= a) | (own >= b)]
+        if len(own) and own[-1] > last:
+            edges = own if own[0] == last else np.concatenate(([last], own))
+            last = own[-1]
+            yield edges
+    yield np.array([last, n])
 
 
 def gather(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The runs ``values[first : first + count]`` one behind another."""
     ends = np.cumsum(counts)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
-    for at in range(0, len(ends), GATHER):  # in parts, for the index arrays
-        own, n = slice(at, at + GATHER), counts[at : at + GATHER]
-        begin = int(ends[at] - counts[at])
-        out[begin : begin + int(n.sum())] = values[np.repeat(first[own] - ends[own] + n, n) + np.arange(begin, begin + int(n.sum()))]
-    return out
-
-
-def encode_pieces(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat ids, and the first and count of each piece [start, end) of ``data``."""
-    tok = tokenizer(path)
-    odd = np.concatenate(([0], np.cumsum(_BLANK[data] | _UNSURE[data])))
-    lead = (data[starts] == 32).astype(np.int64)
-    plain = (odd[ends] == odd[starts + lead]) & (ends > starts + lead)
-    first, count, flat, used = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), [], 0
-    newline = tok.token_to_id("Ċ")
-    which = np.flatnonzero(plain)
-    if len(which):
-        sizes = (ends - starts)[which] + 1
-        text = gather(np.append(data, np.uint8(10)), starts[which], sizes)
-        stops = np.cumsum(sizes)
-        text[stops - 1] = 10
-        cuts = np.unique(np.searchsorted(stops, np.arange(CALL_BYTES, stops[-1] + CALL_BYTES, CALL_BYTES), "left").clip(max=len(stops) - 1))
-        edges = np.concatenate(([0], stops[cuts]))
-        calls = [text[a:b].tobytes().decode() for a, b in zip(edges[:-1], edges[1:])]
-        # One call at a time: an encoding takes far more memory than its ids.
-        ids = np.concatenate([np.array(tok.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.uint32) for x in calls])
-        marks = np.flatnonzero(ids == newline)
-        if len(marks) == len(which):
-            first[which] = np.concatenate(([0], marks[:-1] + 1))
-            count[which] = marks - first[which]
-            flat, used = [ids], len(ids)
-        else:
-            plain[:] = False
-    rest = np.flatnonzero(~plain)
-    if len(rest):
-        got = [x.ids for x in tok.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(starts[rest], ends[rest])], add_special_tokens=False)]
-        count[rest] = [len(x) for x in got]
-        first[rest] = used + np.concatenate(([0], np.cumsum(count[rest])[:-1]))
-        flat.append(np.fromiter((i for x in got for i in x), np.uint32))
-    return np.concatenate(flat) if flat else np.zeros(0, np.uint32), first, count
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(first - ends + counts, counts) + np.arange(total)]
 
 
 def encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all ``texts`` one behind another, and their number for each text."""
     data, offsets = words.raw(texts)
-    if not len(data):
-        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-    starts, hashes, at = [], [], 0
-    while at < len(offsets) - 1:  # in slices of whole texts, for the temporaries
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + words.SLICE_BYTES, "right")) - 1)
-        part = data[offsets[at] : offsets[to]]
-        if len(part):
-            own = piece_starts(part, offsets[at : to + 1] - offsets[at])
-            hashes.append(words.run_hashes(part, own, np.append(own[1:], len(part)), _TABLE))
-            starts.append(own + offsets[at])
-        at = to
-    start = np.concatenate(starts)
-    end = np.append(start[1:], len(data))
-    _, one, of = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    flat, first, count = encode_pieces(path, data, start[one], end[one])
-    counts = count[of]
-    ids = gather(flat, first[of], counts)
-    upto = np.concatenate(([0], np.cumsum(counts)))
-    return ids, np.diff(upto[np.searchsorted(start, offsets)])
-
-
-def encoded_groups(path: str, batch: pa.RecordBatch, column: str = "text"):
-    """(rows of ``batch``, ids, counts) for groups of consecutive rows of about GROUP_BYTES."""
+    found, parts, total, upto = encoder(path), [], 0, np.zeros(len(offsets), np.int64)
+    for edges in pieces(found, data, offsets) if len(data) else ():
+        own = words.runs_by_value(data, edges)
+        ids = found.ids(own.dictionary.to_pylist())
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        which = own.indices.to_numpy()
+        parts.append(gather(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(counts) - counts)[which], counts[which]))
+        reached = total + np.concatenate(([0], np.cumsum(counts[which])))
+        a, b = np.searchsorted(offsets, edges[0]), np.searchsorted(offsets, edges[-1])
+        upto[a:b] = reached[np.searchsorted(edges, offsets[a:b])]
+        total = int(reached[-1])
+        upto[b:] = total
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.diff(upto)
+
+
+def encoded_groups(path: str, batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows of ``batch``, ids, counts) for consecutive rows, a slice of texts at a time."""
     at = 0
-    for texts in words.slices(batch.column(column), GROUP_BYTES):
+    for texts in words.slices(batch.column(column)):
         yield (batch.slice(at, len(texts)), *encode(path, texts))
         at += len(texts)
-        words.give_back()
+    words.give_back()

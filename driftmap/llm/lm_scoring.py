@@ -16,8 +16,9 @@ A document's score is its loss a word (in nats) under the target model less that
 model: the lower, the more it is like the target.
 
 Defined cases: a null or empty text has no words, null losses and a null score; without target
-documents the target model is the floor alone; repeated rows count and are scored each; other
-columns are ignored.
+documents the target model is the floor alone; repeated rows count and are scored each; an empty table
+gives no rows; other columns are ignored.  A text is in the memory of one task, about twenty times its
+size.
 """
 
 from __future__ import annotations

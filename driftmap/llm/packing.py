@@ -9,7 +9,7 @@ with the least room that still holds it.  A segment tree over remaining capaciti
 in as many steps as the window's size has bits.
 
 Defined cases: a null or empty text has one token, the end id; repeated rows are separate documents;
-an empty table gives no pieces; other columns are ignored.
+an empty table gives no pieces; other columns are ignored.  A task holds the ids of its longest text.
 """
 
 from __future__ import annotations

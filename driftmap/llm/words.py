@@ -1,27 +1,29 @@
 """Words and shingles of a column of texts as numpy arrays.
 
-An Arrow string array is one run of UTF-8 bytes with offsets, so words, their 64-bit hashes and the
-shingles of a whole slice of rows come from a few array operations, without Python strings.  Words
-are runs of anything but ASCII white space; A-Z count as a-z.
+An Arrow string array is one run of UTF-8 bytes with offsets, so words and the shingles of a whole slice
+of rows come from a few array operations.  Words are runs of anything but ASCII white space; A-Z
+count as a-z.  The words of a slice are told apart by their bytes, and each distinct one gets a 64-bit
+hash that rests on a cryptographic digest (``digests``), so no choice of texts makes words collide but
+by chance.
+
+A text is never cut: a task holds its longest text, and takes about twenty times its size for it.
 """
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes handled at a time; the temporaries take about thirty times as much.
+#: Text bytes handled at a time; the temporaries take about twenty times as much.
 SLICE_BYTES = 2_000_000
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-for _c in range(26):
-    _BYTE[65 + _c] = _BYTE[97 + _c]
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -43,19 +45,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_INVERSE = np.uint64(pow(int(_STEP), -1, 2**64))
+_KEY = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.multiply.accumulate(np.full(64, np.uint64(0xD6E8FEB86659FD93)))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of an odd number and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_STEP, _INVERSE)):
-            out = np.full(max(n, SLICE_BYTES + 1), base)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
@@ -83,15 +74,28 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """A 64-bit hash of each of the runs [start, end): a polynomial in the bytes, taken as the
-    difference of two running sums and shifted back to the run's start."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+def digests(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of ``values`` (bytes): of up to seven bytes a bijection of bytes and length, so no
+    two collide; of longer ones the first 64 bits of their BLAKE2b digest."""
+    data, offsets = raw(values)
+    sizes = np.diff(offsets)
+    small = np.flatnonzero(sizes <= 7)
+    rows = np.zeros((len(small), 8), np.uint8)
+    place = np.arange(7)
+    rows[:, :7] = np.append(data, np.zeros(7, np.uint8))[offsets[small, None] + place] * (place < sizes[small, None])
+    rows[:, 7] = sizes[small]
+    out = np.empty(len(values), np.uint64)
+    out[small] = mix(rows.view("<u8").ravel() ^ _KEY)
+    large = np.flatnonzero(sizes > 7)
+    out[large] = np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in values.take(large).to_pylist()]), "<u8")
+    return out
+
+
+def runs_by_value(data: np.ndarray, edges: np.ndarray) -> pa.DictionaryArray:
+    """The runs of ``data`` between neighbouring ``edges``, each as the number of its value; equal bytes,
+    and only they, get equal numbers."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(edges, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, buffers).dictionary_encode()
 
 
 class Words:
@@ -108,7 +112,9 @@ class Words:
         before[1:], after[:-1] = word[:-1], word[1:]
         self.starts = np.flatnonzero(word & (~before | head[:-1]))
         self.ends = np.flatnonzero(word & (~after | head[1:])) + 1
-        self.hash = run_hashes(self.data, self.starts, self.ends)
+        # The runs are words and the blanks between them in turn.
+        runs = runs_by_value(_LOWER[self.data], np.stack([self.starts, self.ends], axis=1).ravel()) if len(self.starts) else None
+        self.hash = digests(runs.dictionary)[runs.indices.to_numpy()[::2]] if runs else np.zeros(0, np.uint64)
         self.counts = np.diff(np.searchsorted(self.starts, self.offsets))
         self.doc = np.repeat(np.arange(self.rows), self.counts)
 

@@ -5,17 +5,27 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from driftmap.llm import bpe, packing, token_files
 from driftmap.sources.scratch import scratch_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, start string, length string, _row string"
-ODD = ["", None, "a  b", "a   b\n\n c\n d\ne", "it's, don't!'s 'tis 9,9 x  y　", "<|endoftext|> hi", "x" * 5000, " \n ", "é,b !é\n€, €x\n\u0085y z\x1c w", "'s's''s.'s a'.s", "日本 語,x", "word, " * 3000]
+THUE = ["a"]
+for _ in range(12):
+    THUE.append(THUE[-1] + THUE[-1].translate(str.maketrans("ab", "ba")))
+#: Words of a and b that polynomial hashes modulo a power of two take for one another.
+TWINS = [t for n in (10, 11, 12) for t in (THUE[n], THUE[n].translate(str.maketrans("ab", "ba")))]
+SPECIAL = ["<|endoftext|> hi", "a <|endoftext|>b<|endoftext|><|endoftext|>", "<|endof", "text|> <|endoftext|", ">x", "<|endoftext|>"]
+ODD = [*TWINS, *SPECIAL, "", None, "a  b", "a   b\n\n c\n d\ne", "it's, don't!'s 'tis 9,9 x  y　", "x" * 5000, " \n ", "é,b !é\n€, €x\n\u0085y z\x1c w", "'s's''s.'s a'.s", "日本 語,x", "word, " * 3000]
+
+
+PLAIN = Tokenizer.from_file(PATH)
 
 
 def reference(text, end):
-    return [*bpe.tokenizer(PATH).encode(text or "", add_special_tokens=False).ids, end]
+    return [*PLAIN.encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
@@ -26,13 +36,18 @@ def documents(spark, rows):
     return spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], SCHEMA)
 
 
-def test_pieces_give_the_ids_of_whole_texts():
+@pytest.mark.parametrize("block", [7, 50, 1000, bpe.BLOCK])
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch, block):
+    """Also where the cuts between blocks fall anywhere, and with few pieces remembered."""
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    monkeypatch.setattr(bpe, "REMEMBERED", 100 if block < 1000 else 10_000)
     rng = random.Random(3)
-    letters = [" ", "\n", "a", "é", ",", "'", "s", "1", "\t", "😀", "_", "B", "!", "\r", "\x1c", "\x85"]
-    texts = ODD + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    letters = [" ", "\n", "a", "é", ",", "'", "s", "1", "\t", "😀", "_", "B", "!", "\r", "\x1c", "\x85", "<|endoftext|>", "<|", "endoftext", "|>"]
+    texts = ODD[: len(ODD) if block > 100 else -1] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(min(3000, 60 * block))]
     ids, counts = bpe.encode(PATH, pa.array(texts))
-    assert np.split(ids, np.cumsum(counts)[:-1])[5].tolist() == reference(texts[5], 1)[:-1]
-    assert ids.tolist() == [i for t in texts for i in reference(t, 1)[:-1]]
+    want = [reference(t, 1)[:-1] for t in texts]
+    assert counts.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
 
 
 @pytest.mark.parametrize("lengths", [[7, 5, 5, 3, 3, 2, 1], [10, 10, 1], [], [4] * 9])
@@ -68,7 +83,7 @@ def test_every_id_lies_in_one_piece(spark):
 def test_files_give_the_ids_back(spark):
     rows = list(enumerate(ODD))[::-1] + [(3, ODD[3]), (None, "null id")]
     folder = scratch_path(spark, "tokens-test")
-    manifest = token_files.write_tokens(documents(spark, rows), PATH, folder, length=32, rows_per_file=5)
+    manifest = token_files.write_tokens(documents(spark, rows), PATH, folder, length=32, tokens_per_file=2000)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_tokens(manifest).collect())
     at, want = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -85,8 +100,7 @@ def test_files_give_the_ids_back(spark):
 def test_large_ids_are_kept(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     (file,) = token_files.write_tokens(docs, PATH, f"file://{tmp_path}/wide", end_id=70_000, length=8).collect()
-    (name,) = tmp_path.glob("wide/**/*tokens*")
-    with pa.ipc.open_file(name) as f:
+    with pa.ipc.open_file(next(tmp_path.glob("wide/**/*tokens*"))) as f:
         assert 70_000 in f.read_all().column("input_ids").combine_chunks().flatten().to_pylist()
     with pytest.raises(ValueError):
         token_files.write_tokens(docs, PATH, f"file://{tmp_path}/narrow", end_id=70_000, kind=pa.uint16())
