@@ -12,7 +12,9 @@ back with salted keys, so a text that a third of all rows share is no burden to
 
 Defined cases: a null text counts as empty; the empty text is a text like any other (empty recipe);
 of rows that repeat both text and doc_id exactly one stays; a null doc_id is smaller than any other
-and stays only if its whole group is null; other columns are ignored.
+and stays only if its whole group is null; an empty table gives no rows; other columns are ignored, or
+kept (``drop_exact_copies``), whatever their names.  A chunk moves as one value, so a text of any
+length is a row of digests.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from driftmap.functions.joins import checked_broadcast, salted_join
 from driftmap.llm.text import ascii_lower
-from driftmap.sources.scratch import materialize
+from driftmap.sources.scratch import made, materialize, numbered, release
 
 #: Chunks have 256 to 4,096 characters and end behind a blank that follows two letters of these
 #: classes; a text without such places is cut at the longest length.
@@ -55,61 +57,51 @@ def numbered_chunks(texts: DataFrame, ids: DataFrame, digest: Callable[[Column],
     return again.select("chunk", F.concat("id", F.encode(ordinal.cast("string"), "UTF-8")).alias("verified"))
 
 
-def recipes(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row a document: _row, doc_id, recipe, text_sha256."""
-    texts = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
-    found = materialize(
-        texts.select(
-            F.monotonically_increasing_id().alias("_row"),
-            "doc_id",
-            F.transform(chunks_of(F.col("norm")), digest).alias("recipe"),
-            F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-        ),
-        "recipes",
-    )
+def recipes(docs: DataFrame, row: Column, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row a document: _row (what ``row`` gives), doc_id, recipe, text_sha256."""
+    texts = docs.select(row.alias("_row"), "doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
+    spelled = lambda t: materialize(t.select("_row", "doc_id", F.transform(chunks_of(F.col("norm")), digest).alias("recipe"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "recipes")
+    found = spelled(texts)
     clashes = materialize(ambiguous_ids(texts, digest), "clashes")
     if clashes.isEmpty():
         return found
-    # Two chunks share a digest: rebuild the recipes of the documents that hold such chunks.
-    spelled = texts.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.posexplode(chunks_of(F.col("norm"))).alias("at", "chunk"))
-    named = spelled.join(numbered_chunks(texts, clashes, digest), "chunk").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "verified"))).alias("_new"))
+    # Two chunks share a digest: rebuild the recipes of the documents that hold such chunks, from a
+    # written table, so that rows keep their numbers.
+    texts = materialize(texts, "texts")
+    found = spelled(texts)
+    chunks = texts.select("_row", F.posexplode(chunks_of(F.col("norm"))).alias("at", "chunk"))
+    named = chunks.join(numbered_chunks(texts, clashes, digest), "chunk").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "verified"))).alias("_new"))
     better = F.transform("recipe", lambda id, at: F.coalesce(F.try_element_at("_new", at), id))
     return found.join(named, "_row", "left").withColumn("recipe", F.when(F.col("_new").isNull(), F.col("recipe")).otherwise(better)).drop("_new")
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Of equal texts (after lower-casing A-Z) the row with the largest doc_id stays.
-    """
-    found = recipes(docs, digest)
-    groups = (
-        found.groupBy("recipe")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"), F.max_by("_row", "doc_id").alias("keep_row"), F.max("_row").alias("last_row"))
-        .where("n > 1")
-        .select("recipe", "n", "keep_id", F.coalesce("keep_row", "last_row").alias("keep_row"))
-    )
+def grouped_rows(docs: DataFrame, row: Column, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """_row, doc_id, keep_id, group_size, kept, text_sha256."""
+    found = recipes(docs, row, digest)
+    groups = found.groupBy("recipe").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "_row")).alias("keep")).where("n > 1")
     joined = salted_join(found, groups, ["recipe"], ["_row"], "left")
     return joined.select(
+        "_row",
         "doc_id",
-        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("n").isNull() | (F.col("_row") == F.col("keep_row"))).alias("kept"),
+        (F.col("n").isNull() | (F.col("_row") == F.col("keep._row"))).alias("kept"),
         "text_sha256",
     )
 
 
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts (after lower-casing A-Z) the row with the largest doc_id stays.
+    """
+    return grouped_rows(docs, F.monotonically_increasing_id(), digest).drop("_row")
+
+
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
-    groups = materialize(exact_groups(docs).select("doc_id", "kept", "text_sha256"), "exact")
-    per_id = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("kept").cast("int")).alias("stay"))
-    named = lambda ids, name: checked_broadcast(ids.select(F.col("doc_id").alias(name)))
-    whole = named(per_id.where("stay = 0"), "_gone")
-    partly = named(per_id.where("stay > 0 AND stay < rows"), "_split")
-    same = lambda name: F.col("doc_id").eqNullSafe(F.col(name))
-    simple = docs.join(whole, same("_gone"), "left_anti").join(partly, same("_split"), "left_anti")
-    # An id that occurs with kept and dropped rows: keep the texts that stay, once each.
-    stays = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    mixed = docs.join(partly, same("_split"), "left_semi").withColumn("_sha256", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
-    once = mixed.join(stays, same("_id") & (F.col("_sha256") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "_sha256"])
-    return simple.unionByName(once.select(docs.columns))
+    rows, row = numbered(docs, "exact-rows")
+    since = made()
+    gone = materialize(grouped_rows(rows, F.col(row)).where("NOT kept").select(F.col("_row").alias(row)), "exact-copies")
+    release(since, -1)
+    return rows.join(checked_broadcast(gone), row, "left_anti").drop(row)

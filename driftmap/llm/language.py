@@ -7,7 +7,8 @@ The posterior of a language is proportional to
 * Text: naive Bayes over hashed byte trigrams of the letters, tempered (``TEMPER``), as neighbouring
   trigrams aren't independent.  Counts come from all labelled training texts.
 * Declared markup language: right with probability ``DECLARED``, else any language alike.
-* Address suffix: counts of languages by suffix, add-one smoothed, from all pages with that suffix.
+* Address suffix: posteriors of the texts of all pages with that suffix, add-one smoothed, relative to
+  the prior of all and to the power ``SUFFIX_WEIGHT``.
 * Host prior: grouped sums of text posteriors by host, smoothed towards those of its domain, which
   are smoothed towards those of all (``SMOOTHING`` pseudo-counts a level), a page's own text left in:
   one page among many hardly moves its host.
@@ -18,8 +19,10 @@ texts that are no language at all, or empty, end there and are rejected.
 Sums by host combine in the tasks before they are shuffled, and the join back to pages is salted.
 
 Defined cases: null or empty text, declared language, host or suffix is no evidence; unknown declared
-languages too; repeated rows get one row each; without training texts all is ``und``; other columns
-are ignored.
+languages too; of equally probable languages the first by name wins; repeated rows get one row each;
+without training texts all is ``und``; an empty table gives no rows; other columns are ignored, or kept
+(``keep_known_languages``), whatever their names.  A text is in the memory of one task, about twenty
+times its size.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from driftmap.functions.joins import checked_broadcast, salted_join
 from driftmap.llm import words
 from driftmap.llm.tables import summed_table
 from driftmap.llm.text import ascii_lower
-from driftmap.sources.scratch import materialize
+from driftmap.sources.scratch import made, materialize, numbered, release
 
 TRIGRAM_BITS = 16
 TEMPER = 0.1
@@ -43,6 +46,10 @@ DECLARED = 0.9
 SMOOTHING = 20.0
 #: Prior probability of no language at all.
 UNKNOWN = 0.01
+#: Languages are told apart up to this number (a task holds 2^TRIGRAM_BITS counts for each); more is an error.
+MOST_LANGUAGES = 200
+#: Weight of the suffix, whose pages' texts count already by host.
+SUFFIX_WEIGHT = 0.5
 NONE = "und"
 
 _FOLD = np.arange(256, dtype=np.int64)
@@ -65,7 +72,9 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def train_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their (2^TRIGRAM_BITS, languages + 1) log probabilities from ``labelled`` (text,
     lang); the last column is ``und``, all trigrams alike."""
-    found = [r.lang for r in labelled.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").collect()]  # as many as there are languages
+    found = [r.lang for r in labelled.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values; give only rows with true language names")
     size = 1 << TRIGRAM_BITS
 
     def count(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -149,6 +158,7 @@ def identify(pages: DataFrame, languages: list[str], log_table: np.ndarray) -> D
     suffixes = seen.where("suffix IS NOT NULL AND n_trigrams > 0").groupBy(F.col("suffix").alias("_suffix")).agg(*sums(size))
     likelihood = F.array(*[(F.col(f"p{k}") + 1) / (sum((F.col(f"p{j}") for j in range(size)), F.lit(0.0)) + size) for k in range(size)])
     suffix_rows = checked_broadcast(materialize(suffixes.select("_suffix", likelihood.alias("by_suffix")), "suffixes"))
+    priors = materialize(priors, "priors")  # a row for each host
     few = checked_broadcast(priors)
     joined = seen.join(few, "host", "left") if few is not priors else salted_join(seen, priors, ["host"], keys, "left")
     joined = joined.join(suffix_rows, F.col("suffix") == F.col("_suffix"), "left")
@@ -157,7 +167,7 @@ def identify(pages: DataFrame, languages: list[str], log_table: np.ndarray) -> D
         *[
             F.col("logs")[k]
             + F.log(F.coalesce(F.col("prior")[k], F.lit(root[k])))
-            + F.when(F.col("by_suffix").isNull(), 0.0).otherwise(F.log(F.col("by_suffix")[k] / F.lit(root[k])) * 0.5)
+            + F.when(F.col("by_suffix").isNull(), 0.0).otherwise(F.log(F.col("by_suffix")[k] / F.lit(root[k])) * SUFFIX_WEIGHT)
             + F.when(F.coalesce(declared, F.lit(0)) == 0, 0.0).otherwise(F.when(declared == k + 1, F.lit(float(np.log(DECLARED)))).otherwise(F.lit(float(np.log((1 - DECLARED) / max(1, size - 1))))))
             for k in range(size)
         ]
@@ -171,7 +181,7 @@ def identify(pages: DataFrame, languages: list[str], log_table: np.ndarray) -> D
 
 def page_evidence(pages: DataFrame) -> DataFrame:
     """page_id, host, domain, suffix, declared, text of raw web pages."""
-    host = ascii_lower(F.regexp_extract("url", r"://([^/?#:]*)", 1))
+    host = ascii_lower(F.regexp_extract("url", r"://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     html = F.coalesce("html", F.lit(""))
     body = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", " ")
     declared = ascii_lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
@@ -180,15 +190,19 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return named.select("page_id", "host", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"), "declared", "text")
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
-    """doc_id, then evidence: a document has its text, and its source in the place of a host."""
+def document_evidence(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, then evidence: a document has its text, and its source in the place of a host."""
     none = F.lit(None).cast("string")
-    return docs.select("doc_id", F.col("source").alias("host"), none.alias("domain"), none.alias("suffix"), none.alias("declared"), "text")
+    return docs.select(key, F.col("source").alias("host"), none.alias("domain"), none.alias("suffix"), none.alias("declared"), "text")
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose text is in none of the languages that ``lang`` names."""
-    languages, log = train_text_model(docs)
-    found = identify(document_evidence(docs), languages, log)
-    gone = checked_broadcast(materialize(found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "rejected"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` without the rows whose text is in none of the languages that ``lang`` names.  Each row is
+    judged by itself, also where rows share a doc_id or have none; all columns stay as they are."""
+    rows, row = numbered(docs, "language-rows")
+    since = made()
+    languages, log = train_text_model(rows)
+    found = identify(document_evidence(rows, row), languages, log)
+    gone = materialize(found.where("NOT kept").select(row), "rejected")
+    release(since, -1)
+    return rows.join(checked_broadcast(gone), row, "left_anti").drop(row)

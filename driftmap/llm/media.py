@@ -106,6 +106,8 @@ def decode_png(image: bytes) -> np.ndarray:
             header = part
         elif kind == b"IDAT":
             data.append(part)
+    if len(header) != 13:
+        raise ValueError("no image header")
     width, height, *form = struct.unpack(">IIBBBBB", header)
     if form != [8, 0, 0, 0, 0]:
         raise ValueError("only 8-bit greyscale without interlacing")

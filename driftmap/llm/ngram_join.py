@@ -22,12 +22,15 @@ Two texts link when their sets of distinct n-word shingles have a Jaccard simila
 Large groups of copies cost rows in proportion to their size, not to its square, as pairs that are
 already in one component need no look.  Joins back from lists are salted.
 
-Hashes are of 58 bits besides the level.  Within a pair of sets a collision has a probability under
-1e-11 for sets of a thousand shingles.
+A shingle is a 58-bit hash of the hashes of its words, which rest on cryptographic digests
+(``words.digests``).  Two different shingles are taken for one by chance only: for a pair of sets of a
+thousand shingles with a probability under 1e-11.
 
 Defined cases: a null or empty text, or one of blanks only, has no shingles and no links; a text with
 fewer than n words is one shingle; rows that share a doc_id are one document, whose links are those
-of any of its rows; a null doc_id has no links and a null component; other columns are ignored.
+of any of its rows; a null doc_id has no links and a null component; an empty table gives no rows; other
+columns are ignored, or kept (``drop_near_copies``), whatever their names.  A text is a set in the
+memory of one task, about twenty times its size.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ from driftmap.functions.joins import checked_broadcast, salted_join
 from driftmap.llm import words
 from driftmap.llm.components import components
 from driftmap.llm.tables import summed_table
-from driftmap.sources.scratch import materialize
+from driftmap.sources.scratch import made, materialize, numbered, release
 
 SKETCH_BITS = 20
 HASH_BITS = 58
@@ -173,8 +176,12 @@ def cell_links(cell: pa.Table, num: int, den: int) -> Iterator[tuple[int, int]]:
 
 
 def compare(docs: DataFrame, cells: DataFrame, n: int, num: int, den: int, levels) -> DataFrame:
-    """Links (a, b) found in ``cells`` (cell, doc_id, role: 1 probe, 2 member, 3 both)."""
-    cells = materialize(cells, "cells")
+    """Links (a, b) found in ``cells`` (cell, doc_id, role: 1 probe, 2 member, 3 both).
+
+    A cell's name is hashed to 62 bits and a role, so that a row of the join is two numbers; should two
+    names meet in one number, their sets are compared with one another in vain.
+    """
+    cells = materialize(cells.select(F.col("doc_id").alias("_id"), F.expr("shiftleft(xxhash64(cell), 2) | role").alias("cell")), "cells")
     calls = max(1, -(-cells.count() // CELL_ROWS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +201,9 @@ def compare(docs: DataFrame, cells: DataFrame, n: int, num: int, den: int, level
         found = [x for a, b in zip(edges[:-1], edges[1:]) for x in cell_links(table.slice(a, b - a), num, den)]
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    named = cells.select(F.pmod(F.xxhash64("cell"), F.lit(calls)).alias("call"), "cell", F.col("doc_id").alias("_id"), "role")
-    rows = docs.join(checked_broadcast(named), F.col("doc_id") == F.col("_id")).select("call", "cell", "doc_id", "role", "text")
-    shipped = rows.mapInArrow(sets, "call long, cell string, doc_id long, role int, tokens binary")
+    met = docs.join(checked_broadcast(cells), F.col("doc_id") == F.col("_id")).withColumn("role", F.expr("int(cell & 3)")).withColumn("cell", F.expr("cell - role"))
+    rows = met.select(F.pmod(F.xxhash64("cell"), F.lit(calls)).alias("call"), "cell", "doc_id", "role", "text")
+    shipped = rows.mapInArrow(sets, "call long, cell long, doc_id long, role int, tokens binary")
     return materialize(shipped.groupBy("call").applyInArrow(links, "a long, b long"), "links")
 
 
@@ -342,7 +349,16 @@ def _merged(labelled: DataFrame, open_lists: DataFrame) -> tuple[DataFrame, Data
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` without those that have a smaller doc_id in their component."""
-    found = jaccard_components(docs, n, num, den)
-    gone = checked_broadcast(materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group of linked texts, the one with the smallest doc_id (null is the
+    greatest).  Rows are judged by their own texts, also where they share a doc_id or have none."""
+    rows, row = numbered(docs, "near-rows")
+    since = made()
+    found = materialize(jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), n, num, den).where("component_id < doc_id").select("component_id", F.col("doc_id").alias("_row")), "near")
+    heads = found.select("component_id", F.col("component_id").alias("_row")).distinct()
+    ids = rows.select(F.col(row).alias("_row"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("order"))
+    members = materialize(ids.join(checked_broadcast(found.unionByName(heads)), "_row"), "near-members")
+    first = members.groupBy("component_id").agg(F.min("order").alias("first"))
+    gone = salted_join(members, first, ["component_id"], ["_row"]).where("order > first").select(F.col("_row").alias(row))
+    gone = materialize(gone, "near-copies")
+    release(since, -1)
+    return rows.join(checked_broadcast(gone), row, "left_anti").drop(row)
