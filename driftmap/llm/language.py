@@ -19,7 +19,7 @@ texts that are no language at all, or empty, end there and are rejected.
 Sums by host combine in the tasks before they are shuffled, and the join back to pages is salted.
 
 Defined cases: null or empty text, declared language, host or suffix is no evidence; unknown declared
-languages too; of equally probable languages the first by name wins; repeated rows get one row each;
+languages too; a row with neither a trigram nor a known declared language is ``und``; of equally probable languages the first by name wins; repeated rows get one row each;
 without training texts all is ``und``; an empty table gives no rows; other columns are ignored, or kept
 (``keep_known_languages``), whatever their names.  A text is in the memory of one task, about twenty
 times its size.

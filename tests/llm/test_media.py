@@ -66,3 +66,8 @@ def test_query_columns(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert by[2].feature == by[None].feature and by[2].media_sha256 == by[None].media_sha256
     assert media.media_features(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_stream_without_header_is_refused():
+    with pytest.raises(ValueError, match="no image header"):
+        media.decode_png(media.SIGNATURE + media.chunk(b"IDAT", b"") + media.chunk(b"IEND", b""))

@@ -149,3 +149,90 @@ def test_other_evidence_decides_short_texts(spark):
     by = {r.page_id: r for r in language.identify(language.page_evidence(pages), languages, log).collect()}
     assert by[50].lang == "xx" and by[51].lang == "yy" and by[52].lang == "und" and by[53].lang == "und"
     assert language.identify(language.page_evidence(pages.where("false")), languages, log).count() == 0
+
+
+def plain_features(text):
+    """The features of one text, byte by byte."""
+    data = (text or "").encode()
+    kind = lambda b: 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3 if 48 <= b <= 57 else 4 if b in (32, 9, 10, 11, 12, 13) else 5 if b >= 128 else 0
+    total = max(len(data), 1)
+    shares = [math.sqrt(sum(min(b, 128) == k for b in data) / total) for k in range(129)]
+    pairs = Counter(kind(b) * 6 + kind(a) for a, b in zip(data, data[1:]))
+    shares += [math.sqrt(pairs[k] / total) for k in range(36)]
+    split = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    n, lines = max(len(split), 1), data.count(b"\n")
+    low = {re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in split}
+    mean = sum(map(len, split)) / n
+    part = lambda f: sum(map(f, split)) / n
+    return shares + [min(mean / 10, 3), math.log1p(len(split)) / 10, len(low) / n, part(lambda w: kind(w[0]) == 1), part(lambda w: kind(w[-1]) == 0), part(lambda w: len(w) > 20), math.log1p(lines) / 10, lines / n]
+
+
+def test_quality_by_hand():
+    """Features byte by byte; weights by plain gradient ascent on the same pairs' likelihood; the threshold
+    leaves as many training texts below it as were labelled bad."""
+    rng = random.Random(8)
+    texts = [None, "", " \n"] + ["".join(rng.choice("aB c.1é\n# ") for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    got = quality.text_features(pa.array(texts))
+    assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-6)
+    x = np.random.default_rng(1).normal(size=(40, 3)).astype(np.float32)
+    good = x[:, 0] + 0.5 * x[:, 1] > 0.1
+    model = quality.fit_ranking(x, good, pairs=10**6)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 0.01)
+    # All pairs, each once or about once: the slope of the likelihood must vanish at the weights.
+    order = np.random.default_rng(5)
+    better, worse = np.flatnonzero(good), np.flatnonzero(~good)
+    n = len(better) * len(worse)
+    pick = lambda side: np.concatenate([order.permutation(side) for _ in range(-(-n // len(side)))])[:n]
+    d = z[pick(better)] - z[pick(worse)]
+    weights = np.zeros(3)
+    for _ in range(20_000):
+        weights += 2.0 * (d.T @ (1 / (1 + np.exp(d @ weights))) / n - quality.RIDGE * weights)
+    assert np.allclose(model.weights, weights, atol=1e-3)
+    assert (model.score(x) < 0.5).sum() == len(worse) and (model.score(x)[good] >= 0.5).mean() > 0.9
+
+
+def test_languages_by_hand(spark):
+    """The posterior of each document by plain sums over trigrams, hosts and all."""
+    labelled = [(t, lang) for lang, letters in (("xx", "abcdé"), ("yy", "efghü")) for t in texts_of(letters, 4, 15)]
+    languages, log = language.train_text_model(spark.createDataFrame(labelled, "text string, lang string"))
+    rows = [(k, t, f"h{k % 3}") for k, t in enumerate(texts_of("abcdéefghü", 5, 20))] + [(50, "ab", None), (51, "éü ab", "h9")]
+    got = language.identify(language.document_evidence(spark.createDataFrame(rows, "doc_id long, text string, source string")), languages, log).collect()
+
+    def grams(text):
+        fold = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+        return [fold[k : k + 3] for k in range(len(fold) - 2) if fold[k + 1] != 32]
+
+    cell = lambda g: int(words.mix(np.array([g[0] << 16 | g[1] << 8 | g[2]], np.uint64))[0]) % 2**language.TRIGRAM_BITS
+    size = 2**language.TRIGRAM_BITS
+    counts = {lang: Counter(cell(g) for t, l in labelled if l == lang for g in grams(t)) for lang in languages}
+    logs = lambda text: [language.TEMPER * sum(math.log((counts[lang][cell(g)] + 0.5) / (sum(counts[lang].values()) + 0.5 * size)) for g in grams(text)) for lang in languages] + [language.TEMPER * len(grams(text)) * -math.log(size)]
+    soft = lambda v: [math.exp(a - max(v)) / sum(math.exp(b - max(v)) for b in v) for a in v]
+    own = {i: soft(logs(t)) for i, t, _ in rows}
+    hosts = {h: [sum(own[i][k] for i, t, s in rows if s == h and grams(t)) for k in range(3)] for h in {s for *_, s in rows if s}}
+    every = [sum(v[k] for v in hosts.values()) for k in range(3)]
+    root = [(e + 1) / (sum(every[:2]) + 2) * (1 - language.UNKNOWN) for e in every[:2]] + [language.UNKNOWN]
+    for r in got:
+        text, host = next((t, s) for i, t, s in rows if i == r.doc_id)
+        prior = [(hosts[host][k] + language.SMOOTHING * root[k]) / (sum(hosts[host]) + language.SMOOTHING) for k in range(3)] if host else root
+        want = soft([a + math.log(p) for a, p in zip(logs(text), prior)])
+        assert r.posterior == pytest.approx(max(want), abs=1e-4)
+        assert r.lang == ([*languages, "und"][want.index(max(want))] if grams(text) else "und")
+
+
+def test_long_texts_ties_and_empty_tables(spark):
+    long = "ab cd " * 100_000
+    docs = spark.createDataFrame([(1, long, "s", True, 1), (2, long, "s", False, 2), (3, "", None, None, 3)], "doc_id long, text string, source string, target boolean, score int")
+    scored = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs).collect()}
+    assert scored[1].score == scored[2].score and scored[1].n_words == 200_000 and scored[3].score is None
+    assert lm_scoring.cross_entropy_difference(docs.where("false")).count() == 0
+    # Two languages with the same texts are alike to any text: the first by name wins.
+    twins = spark.createDataFrame([("abc abd", lang) for lang in ("yy", "xx")], "text string, lang string")
+    languages, log = language.train_text_model(twins)
+    found = {r.doc_id: r.lang for r in language.identify(language.document_evidence(docs), languages, log).collect()}
+    assert found == {1: "xx", 2: "xx", 3: "und"}
+    assert language.identify(language.document_evidence(docs.where("false")), languages, log).count() == 0
+
+
+def test_user_names_are_no_hosts(spark):
+    pages = spark.createDataFrame([(1, "http://user:pw@Host.xx:80/a@b", None), (2, "http://host.yy/a@b", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.host for r in language.page_evidence(pages).collect()} == {1: "host.xx", 2: "host.yy"}

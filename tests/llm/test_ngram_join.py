@@ -102,3 +102,12 @@ def test_overlapping_lists_become_one_and_others_stay(spark):
     for docs in lists.values():
         assert any(set(docs) <= set(d) for d in found.values())
     assert len(found) <= 4
+
+
+def test_twins_of_polynomial_hashes_stay_apart(spark):
+    text = ["a"]
+    for _ in range(12):
+        text.append(text[-1] + text[-1].translate(str.maketrans("ab", "ba")))
+    rows = [(2 * n + k, t) for n in (10, 11, 12) for k, t in enumerate((text[n], text[n].translate(str.maketrans("ab", "ba"))))]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 1, i) for i, _ in rows]
