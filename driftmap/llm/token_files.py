@@ -1,7 +1,8 @@
 """Token ids in Arrow files of fixed-size lists, and the way back.
 
-Documents are encoded where they are read; only their ids, two or four bytes each, are then range-partitioned
-and sorted by doc_id.  Each task writes two Arrow files in the shared folder:
+Documents are range-partitioned and sorted by doc_id; each task encodes its own and writes two Arrow files
+in the shared folder.  (Encoding before the shuffle would move ids instead of texts, but the ids must
+then be written as well, as a range partitioning reads its input twice.)
 
 * ``*.tokens.arrow``: the ids of the task's documents one behind another, cut into sequences of
   ``length``: ``input_ids`` fixed_size_list<uint16 or uint32>, ``mask`` fixed_size_list<bool> (false
@@ -29,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmap.llm import bpe, words
+from driftmap.llm import bpe
 from driftmap.sources.scratch import materialize, scratch_path
 
 LENGTH = 2048
 BATCH = 64
-TOKENS_PER_FILE = 1 << 24
+ROWS_PER_FILE = 8192
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -84,22 +85,7 @@ def narrowest(tokenizer_path: str, end_id: int) -> pa.DataType:
     return pa.uint32() if largest_id(tokenizer_path, end_id) >> 16 else pa.uint16()
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: pa.DataType) -> DataFrame:
-    """doc_id, row (in the order of reading), n_tokens, ids (of type ``kind``, little-endian, the end id last)."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, ids, counts in bpe.encoded_groups(tokenizer_path, batch):
-                flat = np.insert(ids, np.cumsum(counts), end_id).astype(kind.to_pandas_dtype())
-                offsets = np.concatenate(([0], np.cumsum(counts + 1))) * flat.itemsize
-                blobs = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), pa.array(counts + 1), blobs], names=["doc_id", "row", "n_tokens", "ids"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(encode, "doc_id long, row long, n_tokens long, ids binary")
-
-
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, length: int = LENGTH, kind: pa.DataType | None = None, tokens_per_file: int = TOKENS_PER_FILE) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, length: int = LENGTH, kind: pa.DataType | None = None, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Write the files below ``folder``; returns (part, path, docs, tokens), a row for each file pair."""
     kind = kind or narrowest(tokenizer_path, end_id)
     if largest_id(tokenizer_path, end_id) >> kind.bit_width:
@@ -113,16 +99,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         tokens = index = None
         count = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if tokens is None:
-                streams = [fs.open_output_stream(f"{name}.{own}.{k}") for k in ("tokens", "docs")]
-                tokens, index = SequenceWriter(streams[0], length, kind), pa.ipc.new_file(streams[1], DOCS)
-            many = batch.column("n_tokens").to_numpy()
-            starts = tokens.total + np.cumsum(many) - many
-            tokens.append(words.raw(batch.column("ids"))[0].view(kind.to_pandas_dtype()))
-            index.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(starts), pa.array(many)], schema=DOCS))
-            count += len(many)
+            for rows, ids, counts in bpe.encoded_groups(tokenizer_path, batch):
+                if tokens is None:
+                    streams = [fs.open_output_stream(f"{name}.{own}.{k}") for k in ("tokens", "docs")]
+                    tokens, index = SequenceWriter(streams[0], length, kind), pa.ipc.new_file(streams[1], DOCS)
+                ends = np.cumsum(counts)
+                starts = tokens.total + ends - counts + np.arange(len(counts))
+                tokens.append(np.insert(ids, ends, end_id))
+                index.write_batch(pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(starts), pa.array(counts + 1)], schema=DOCS))
+                count += len(counts)
         if tokens is not None:
             tokens.close()
             index.close()
@@ -131,12 +116,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 fs.move(f"{name}.{own}.{k}", f"{name}.{k}.arrow")
             out = [[part], [f"{folder}/part-{part:06d}"], [count], [tokens.total]]
             yield pa.RecordBatch.from_pydict(dict(zip(("part", "path", "docs", "tokens"), out)))
-        words.give_back()
 
-    rows = materialize(encoded(docs, tokenizer_path, end_id, kind), "token-ids")
-    files = max(1, -(-(rows.agg(F.sum("n_tokens")).first()[0] or 0) // tokens_per_file))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("row")]
-    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
+    files = max(1, -(-docs.count() // rows_per_file))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_row")]
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialize(dealt.mapInArrow(write, "part long, path string, docs long, tokens long"), "token-files")
 
 
