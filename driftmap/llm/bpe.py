@@ -28,7 +28,7 @@ BLOCK = 2_000_000
 #: Bytes of distinct pieces in one call.
 CALL_BYTES = 64_000
 #: Pieces that a worker remembers, and the longest of them.
-REMEMBERED, SHORT = 100_000, 64
+REMEMBERED, SHORT = 300_000, 64
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
