@@ -18,13 +18,16 @@ def prune(knn: DataFrame, k: int) -> DataFrame:
 
 
 def symmetrize(knn: DataFrame, diagonal: str = "one") -> DataFrame:
-    """(i, j, w): the greater of both directions, a missing one counting as zero; zeros aren't stored."""
+    """(i, j, w): the greater of both directions, a missing one counting as zero; zeros aren't stored.
+    Rows that repeat a direction are summed, as entries of a sparse matrix are."""
     if diagonal not in DIAGONALS:
         raise ValueError(f"diagonal must be one of {DIAGONALS}")
-    both = knn.select("i", "j", F.col("value").alias("w")).unionByName(knn.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("value").alias("w")))
-    # Two directions of a pair, or one twice on the diagonal: a grouped maximum needs one shuffle, no join.
-    merged = both.groupBy("i", "j").agg(F.max("w").alias("w"), F.count(F.lit(1)).alias("_n"))
-    merged = merged.select("i", "j", F.when(F.col("_n") == 1, F.greatest("w", F.lit(0.0))).otherwise(F.col("w")).alias("w")).where("w <> 0")
+    there = knn.select("i", "j", F.col("value").alias("there"))
+    back = knn.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("value").alias("back"))
+    # Sums of both directions by pair need one shuffle, no join.
+    sums = there.unionByName(back, allowMissingColumns=True).groupBy("i", "j").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
+    zero = F.lit(0.0)
+    merged = sums.select("i", "j", F.greatest(F.coalesce("there", zero), F.coalesce("back", zero)).alias("w")).where("w <> 0")
     if diagonal == "keep":
         return merged
     off = merged.where("i <> j")
@@ -106,5 +109,9 @@ def tau_curve(graph: DataFrame, low: float = -10.0, high: float = 10.0, steps: i
 
 
 def best_tau(curve: DataFrame) -> DataFrame:
-    """(idx, eps): where the curve is steepest, the first such place."""
-    return curve.where("gradient IS NOT NULL").orderBy(F.col("gradient").desc(), "idx").limit(1).select("idx", "eps")
+    """(idx, eps, at_edge): where the curve is steepest, the first such place; ``at_edge`` says that it is
+    the last of the grid, which then ends too early to tell."""
+    from pyspark.sql import Window
+
+    placed = curve.withColumn("at_edge", F.col("idx") == F.max("idx").over(Window.partitionBy()))  # a row for each scale
+    return placed.where("gradient IS NOT NULL").orderBy(F.col("gradient").desc(), "idx").limit(1).select("idx", "eps", "at_edge")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmap.config import Settings
@@ -44,9 +44,12 @@ def query(oracle: str | None = None):
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """global_idx, file_idx, dataset_idx, local_idx, vec_id, pattern"""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    local = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    numbered = rows.select(F.lit(0).alias("file_idx"), F.col("label").alias("dataset_idx"), local.cast("long").alias("local_idx"), "vec_id", F.col("embedding").cast("array<double>").alias("pattern"))
-    return indexing.global_index_map(numbered)
+    own = rows.select(F.lit(0).alias("file_idx"), F.col("label").alias("dataset_idx"), "vec_id", F.col("embedding").cast("array<double>").alias("pattern"))
+    # A dataset may hold any share of the rows: numbers in a dataset are numbers of all rows less its first.
+    placed = indexing.dense_index(own, ["dataset_idx", "vec_id"], "place")
+    first = placed.groupBy("dataset_idx").agg(F.min("place").alias("first"))
+    numbered = placed.join(F.broadcast(first), "dataset_idx").withColumn("local_idx", F.col("place") - F.col("first"))  # a row for each dataset
+    return indexing.global_index_map(numbered.select("file_idx", "dataset_idx", "local_idx", "vec_id", "pattern"))
 
 
 def stats(spark: SparkSession, sf_dir: str, mask: list[float] | None = None) -> DataFrame:
@@ -376,7 +379,7 @@ def tau_gradient(spark, sf_dir):
     return rounded(curve(spark, sf_dir).select("idx", "gradient"), "gradient")
 
 
-@query(f"WITH {_CURVE} SELECT idx::INT AS idx, {R.format('eps')} AS eps FROM curve ORDER BY gradient DESC, idx LIMIT 1")
+@query(f"WITH {_CURVE} SELECT idx::INT AS idx, {R.format('eps')} AS eps, idx = {_STEPS - 1} AS at_edge FROM curve ORDER BY gradient DESC, idx LIMIT 1")
 def tau_optimal(spark, sf_dir):
     return rounded(graph.best_tau(curve(spark, sf_dir)), "eps")
 

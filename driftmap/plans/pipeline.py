@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 
 from driftmap.config import Settings
@@ -22,7 +24,10 @@ def weights(knn: DataFrame, settings: Settings) -> tuple[DataFrame, float]:
     symmetric = materialize(graph.symmetrize(graph.prune(knn, settings.neighbours_used), "keep" if settings.keep_diagonal else settings.diagonal), "graph")
     tau = settings.tau
     if tau == "auto":
-        tau = graph.best_tau(graph.tau_curve(symmetric, steps=200)).first().eps
+        found = graph.best_tau(graph.tau_curve(symmetric, steps=200)).first()
+        tau = found.eps
+        if found.at_edge:
+            warnings.warn(f"the curve of scales is steepest at its end, {tau}", stacklevel=2)
     return graph.kernel(symmetric, tau, settings.kernel_sign), tau
 
 

@@ -102,6 +102,13 @@ def test_symmetrize_by_hand(spark):
     assert graph.kernel(graph.symmetrize(knn, "one"), 0.5).where("i = j AND w = 1").count() == 3
 
 
+def test_repeated_entries_are_summed(spark):
+    """One direction twice is not both directions: (0, 1) is 0.5 + 0.25, (2, 3) less than the zero of (3, 2)."""
+    knn = spark.createDataFrame([(0, 1, 0.5), (0, 1, 0.25), (1, 0, 0.6), (2, 3, -0.1), (2, 3, -0.2), (4, 4, 0.5), (4, 4, 0.5)], "i long, j long, value double")
+    got = {(r.i, r.j): r.w for r in graph.symmetrize(knn, "keep").collect()}
+    assert got == {(0, 1): 0.75, (1, 0): 0.75, (4, 4): 1.0}
+
+
 def test_laplacians(spark):
     rng = np.random.default_rng(2)
     w = np.triu(rng.random((9, 9)) * (rng.random((9, 9)) < 0.6))
@@ -139,7 +146,10 @@ def test_tau_curve(spark):
     slope = np.gradient((density - density.min()) / (density.max() - density.min()))
     got = graph.tau_curve(table).orderBy("idx").collect()
     assert np.allclose([r.gradient for r in got], slope)
-    assert graph.best_tau(graph.tau_curve(table)).first().idx == slope.argmax()
+    best = graph.best_tau(graph.tau_curve(table)).first()
+    assert best.idx == slope.argmax() and not best.at_edge
+    short = graph.tau_curve(table, -10.0, float(grid[slope.argmax()]) - 1.5)  # ends before the steepest place
+    assert graph.best_tau(short).first().at_edge
 
 
 def test_views(spark):
