@@ -148,16 +148,17 @@ def slice_keys(slices: DataFrame, buckets: int, shared) -> DataFrame:
         for batch in batches:
             for number, rows in zip(batch.column("slice").to_pylist(), batch.column("rows")):
                 s = Slice(rows.as_buffer(), shared.value)
-                ends = [np.searchsorted(((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1)) for k in s.keys]
+                of = [((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) for k in s.keys]
+                used = np.unique(np.concatenate(of))  # a slice reaches few of very many buckets
+                ends = [(np.searchsorted(x, used).tolist(), np.searchsorted(x, used, "right").tolist()) for x in of]
                 out: list[tuple] = []
-                for b in range(buckets):
+                for at, b in enumerate(used.tolist()):
                     row: list = [number, b]
-                    for keys, counts, end in zip(s.keys, s.counts, ends):
-                        part = slice(end[b], end[b + 1])
+                    for keys, counts, (first, last) in zip(s.keys, s.counts, ends):
+                        part = slice(first[at], last[at])
                         own = keys[part]
                         row += [len(own), packed(np.diff(own, prepend=np.uint64(0))), packed(np.ascontiguousarray(counts[:, part]).reshape(-1))]
-                    if row[2] or row[5]:
-                        out.append(tuple(row))
+                    out.append(tuple(row))
                 columns = list(zip(*out)) or [()] * len(_NAMES)
                 kinds = [pa.int64(), pa.int32(), *[pa.int32(), pa.binary(), pa.binary()] * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_NAMES)
