@@ -71,9 +71,28 @@ def chunks(image: bytes) -> Iterator[tuple[bytes, bytes]]:
         raise ValueError("truncated PNG")
 
 
+def undo_by_diagonals(rows: np.ndarray, above: np.ndarray, kind: int) -> np.ndarray:
+    """Pixels of ``rows`` that all have the filter AVERAGE or PAETH, below the pixels ``above``.  A pixel
+    rests on its left, upper and upper left neighbours, so a whole diagonal is undone at once."""
+    height, width = rows.shape
+    framed = np.zeros((height + 1, width + 1), np.int16)
+    framed[0, 1:], framed[1:, 1:] = above, rows
+    for d in range(height + width - 1):
+        x = np.arange(max(0, d - height + 1), min(width, d + 1))
+        y = d - x
+        west, north, corner = framed[y + 1, x], framed[y, x + 1], framed[y, x]
+        if kind == AVERAGE:
+            guess = (west + north) // 2
+        else:  # whichever neighbour is nearest to west + north - corner, in this order
+            far = [np.abs(north - corner), np.abs(west - corner), np.abs(west + north - 2 * corner)]
+            guess = np.choose(np.argmin(far, axis=0), [west, north, corner])
+        framed[y + 1, x + 1] = (framed[y + 1, x + 1] + guess) & 255
+    return framed[1:, 1:].astype(np.uint8)
+
+
 def unfilter(rows: np.ndarray) -> np.ndarray:
-    """Pixels from filtered rows (height, 1 + width).  Runs of rows with the same filter of none, left
-    or up are undone at once by running sums modulo 256; the other two pixel by pixel."""
+    """Pixels from filtered rows (height, 1 + width).  Runs of rows with the same filter are undone at
+    once: of none, left or up by running sums modulo 256, the other two by diagonals."""
     kinds, pixels = rows[:, 0], rows[:, 1:].copy()
     edges = np.concatenate(([0], np.flatnonzero(np.diff(kinds)) + 1, [len(rows)]))
     for a, b in zip(edges[:-1], edges[1:]):
@@ -84,15 +103,7 @@ def unfilter(rows: np.ndarray) -> np.ndarray:
         elif kind == UP:
             pixels[a:b] = np.cumsum(np.vstack([above[None], pixels[a:b]]), axis=0, dtype=np.uint8)[1:]
         elif kind in (AVERAGE, PAETH):
-            for y in range(a, b):
-                row, up = pixels[y], (pixels[y - 1] if y else np.zeros(pixels.shape[1], np.uint8))
-                for x in range(len(row)):
-                    west, north, corner = int(row[x - 1]) if x else 0, int(up[x]), int(up[x - 1]) if x else 0
-                    if kind == AVERAGE:
-                        guess = (west + north) // 2
-                    else:  # whichever neighbour is nearest to west + north - corner, in this order
-                        guess = min((abs(north - corner), 0, west), (abs(west - corner), 1, north), (abs(west + north - 2 * corner), 2, corner))[2]
-                    row[x] = (int(row[x]) + guess) & 255
+            pixels[a:b] = undo_by_diagonals(pixels[a:b], above, kind)
         elif kind != NONE:
             raise ValueError(f"unknown filter {kind}")
     return pixels

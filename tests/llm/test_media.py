@@ -29,6 +29,10 @@ def test_all_filters_are_undone():
     pixels = rng.integers(0, 256, (40, 64), dtype=np.uint8)
     kinds = [*range(5), 4, 3, *rng.integers(0, 5, 33).tolist()]
     assert (media.unfilter(filtered(pixels, kinds)) == pixels).all()
+    for kind in range(5):  # one run, taller and wider than the other side
+        for shape in ((40, 64), (70, 3), (1, 9), (9, 1)):
+            part = rng.integers(0, 256, shape, dtype=np.uint8)
+            assert (media.unfilter(filtered(part, [kind] * shape[0])) == part).all()
 
 
 def test_round_trip_and_damage():
