@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 #: Bytes that may be broadcast in one join.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
