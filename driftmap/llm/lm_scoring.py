@@ -1,10 +1,12 @@
 """Cross-entropy difference of two matched n-gram models.
 
 Both models interpolate bigrams and unigrams, with the same weights, add-one floor and vocabulary:
-all words of all documents.  (A caller may ask for the ``vocabulary_size`` most frequent words; then
-everything else is one unknown word.)
-Every distinct word and bigram of the corpus keeps its exact count in either model; a bigram's key is
-a 64-bit hash of its two words.
+all words of all documents.  (A caller may ask for the ``vocabulary_size`` most frequent words; of
+words that tie at that edge none is taken, and everything else is one unknown word.)
+Every distinct word and bigram of the corpus keeps its count in either model under a 64-bit hash with a
+secret key that each run draws anew (``words.hashes``; a bigram's is the sum of its words', each from a
+lane of its own).  Two different ones are counted as one with a probability of 2^-64, whoever chose the
+texts.
 
 Counts are gathered by a shuffle.  Each slice of a few megabytes of text sends its distinct words and
 bigrams, sorted and dealt by key into buckets whose number grows with the text, and gets back the
@@ -41,7 +43,6 @@ SLICE_BYTES, LEAST_BYTES, MOST_BYTES = 4_000_000, 1 << 17, 12 << 20
 FEW_BUCKETS = 1024
 #: The keys of all words out of the vocabulary and of the place before a text's first word.
 UNKNOWN, START = np.uint64(0), np.uint64(0xA0761D6478BD642F)
-_ODD = np.uint64(0xE7037ED1A0B428DB)
 
 
 class Vocabulary:
@@ -64,22 +65,23 @@ class Vocabulary:
         return out
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, key: np.ndarray) -> DataFrame:
     """(word, n): the hash of each distinct word of all documents and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in words.slices(batch.column("text")):
-                word, n = np.unique(words.Words(texts).hash, return_counts=True)
+                word, n = np.unique(words.Words(texts).hashes(key[:1])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(docs: DataFrame, size: int) -> Vocabulary:
-    counts = materialize(word_counts(docs), "word-counts")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(size).select("word").toArrow()  # size rows
-    return Vocabulary(top.column("word").to_numpy().view(np.uint64))
+def most_frequent(docs: DataFrame, size: int, key: np.ndarray) -> Vocabulary:
+    counts = materialize(word_counts(docs, key), "word-counts")
+    top = counts.orderBy(F.col("n").desc()).limit(size + 1).toArrow()  # size + 1 rows
+    word, n = top.column("word").to_numpy(), top.column("n").to_numpy()
+    return Vocabulary(word[n > n.min()].view(np.uint64) if len(n) > size else word.view(np.uint64))
 
 
 def sliced(texts: DataFrame) -> DataFrame:
@@ -105,19 +107,22 @@ class Slice:
     """The distinct words (with START) and bigrams of a slice in the order of their keys: ``keys``, the
     place ``at`` of each word and bigram in them, and their ``counts`` in background and target."""
 
-    def __init__(self, rows: bytes, vocabulary: Vocabulary | None):
+    def __init__(self, rows: bytes, vocabulary: Vocabulary | None, key: np.ndarray):
         table = pa.ipc.open_stream(pa.py_buffer(rows)).read_all().combine_chunks()
         self.doc_id = table.column("doc_id").combine_chunks()
         self.words = w = words.Words(table.column("text").combine_chunks())
-        n = len(w.hash)
-        word = w.hash if vocabulary is None else np.where(vocabulary.numbers(w.hash) > 0, w.hash, UNKNOWN)
+        n = len(w.code)
+        word, second = w.hashes(key)
+        if vocabulary is not None:
+            unknown = vocabulary.numbers(word) == 0
+            word[unknown] = second[unknown] = UNKNOWN
         first = np.ones(n, bool)
         first[1:] = w.doc[1:] != w.doc[:-1]
         before = np.empty_like(word)
         before[1:], before[first] = word[:-1], START
         target = table.column("target").to_numpy()[w.doc].astype(np.int64)
         single, at = np.unique(np.concatenate([word, np.full(first.sum(), START)]), return_inverse=True)
-        pair, pair_at = np.unique(words.mix(before * _ODD + word), return_inverse=True)
+        pair, pair_at = np.unique(before + second, return_inverse=True)
         self.keys, self.at = (single, pair), (at[:n], pair_at)
         self.context = np.empty(n, np.int64)
         self.context[1:] = at[: max(n - 1, 0)]
@@ -147,7 +152,7 @@ def slice_keys(slices: DataFrame, buckets: int, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, rows in zip(batch.column("slice").to_pylist(), batch.column("rows")):
-                s = Slice(rows.as_buffer(), shared.value)
+                s = Slice(rows.as_buffer(), *shared.value)
                 of = [((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) for k in s.keys]
                 used = np.unique(np.concatenate(of))  # a slice reaches few of very many buckets
                 ends = [(np.searchsorted(x, used).tolist(), np.searchsorted(x, used, "right").tolist()) for x in of]
@@ -196,13 +201,14 @@ def cross_entropy_difference(docs: DataFrame, vocabulary_size: int | None = None
     slices = sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target")))
     size = slices.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(min(FEW_BUCKETS, size // LEAST_BYTES + 1), size // MOST_BYTES)
-    shared = spark.sparkContext.broadcast(None if vocabulary_size is None else most_frequent(docs, vocabulary_size))
+    key = words.new_key(2)
+    shared = spark.sparkContext.broadcast((None if vocabulary_size is None else most_frequent(docs, vocabulary_size, key), key))
     totals = materialize(slice_keys(slices, buckets, shared).groupBy("bucket").applyInArrow(add_bucket, _TOTALS), "lm-counts")
     distinct, *sums = (x or 0 for x in totals.agg(F.sum("distinct"), F.sum("background"), F.sum("target")).first())
     floor = distinct + 1  # and the unknown word
 
     def score(rows: pa.Table, found: pa.Table) -> pa.Table:
-        s = Slice(rows.column("rows")[0].as_buffer(), shared.value)
+        s = Slice(rows.column("rows")[0].as_buffer(), *shared.value)
         found = found.sort_by("bucket")
         single, pair = (np.concatenate([np.zeros((2, 0), np.int64), *(unpacked(x.as_buffer(), 2 * m).view(np.int64).reshape(2, m) for x, m in zip(found.column(f"counts{k}"), found.column(f"n{k}").to_pylist()))], axis=1) for k in "01")
         w = s.words

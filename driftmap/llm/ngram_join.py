@@ -22,9 +22,10 @@ Two texts link when their sets of distinct n-word shingles have a Jaccard simila
 Large groups of copies cost rows in proportion to their size, not to its square, as pairs that are
 already in one component need no look.  Joins back from lists are salted.
 
-A shingle is a 58-bit hash of the hashes of its words, which rest on cryptographic digests
-(``words.digests``).  Two different shingles are taken for one by chance only: for a pair of sets of a
-thousand shingles with a probability under 1e-11.
+A shingle is 58 bits of a hash under a secret key that each run draws anew (``words.shingles``): two
+different shingles are taken for one with a probability of 2^-58, also where their texts were made up
+to that end; for a pair of sets of a thousand shingles that is 3.5e-12.  The key doesn't leave the run,
+and neither results nor reruns depend on it otherwise.
 
 Defined cases: a null or empty text, or one of blanks only, has no shingles and no links; a text with
 fewer than n words is one shingle; rows that share a doc_id are one document, whose links are those
@@ -67,35 +68,35 @@ STEP = 32
 # ---- tokens
 
 
-def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
+def frequency_levels(docs: DataFrame, n: int, key: np.ndarray) -> np.ndarray:
     """uint8 level (bits of the count) of each of 2^SKETCH_BITS buckets of shingles, over all rows."""
     size = 1 << SKETCH_BITS
 
     def count(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for texts in words.slices(batch.column("text")):
-            found, _ = words.shingles(words.Words(texts), n)
+            found, _ = words.shingles(words.Words(texts), n, key)
             yield np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size)
 
     return np.minimum(np.ceil(np.log2(summed_table(docs.select("text"), size, count) + 1)), 31).astype(np.uint8)
 
 
-def token_sets(texts: pa.Array, n: int, levels: np.ndarray) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted tokens."""
-    found, doc = words.shingles(words.Words(texts), n)
+def token_sets(texts: pa.Array, key: np.ndarray, levels: np.ndarray) -> list[np.ndarray]:
+    """Each text's distinct shingles, of as many words as ``key`` has lanes, as sorted tokens."""
+    found, doc = words.shingles(words.Words(texts), len(key), key)
     level = levels[(found & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
     tokens = (level << np.uint64(HASH_BITS)) | (found & np.uint64((1 << HASH_BITS) - 1))
     edges = np.searchsorted(doc, np.arange(len(texts) + 1))
     return [np.unique(tokens[a:b]) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def prefixes(docs: DataFrame, n: int, num: int, den: int, levels) -> DataFrame:
+def prefixes(docs: DataFrame, key: np.ndarray, num: int, den: int, levels) -> DataFrame:
     """doc_id, n_shingles, two digests of the whole set and its prefix tokens, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in words.slices(batch.column("text")):
-                sets = token_sets(texts, n, levels.value)
+                sets = token_sets(texts, key, levels.value)
                 first = [s[: len(s) - -(-num * len(s) // den) + 1 + len(s) * ELL_PERCENT // 100] for s in sets]
                 flat = np.concatenate(first).astype(np.int64) if first else np.zeros(0, np.int64)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in first]))).astype(np.int32)
@@ -175,7 +176,7 @@ def cell_links(cell: pa.Table, num: int, den: int) -> Iterator[tuple[int, int]]:
                 yield a, b
 
 
-def compare(docs: DataFrame, cells: DataFrame, n: int, num: int, den: int, levels) -> DataFrame:
+def compare(docs: DataFrame, cells: DataFrame, key: np.ndarray, num: int, den: int, levels) -> DataFrame:
     """Links (a, b) found in ``cells`` (cell, doc_id, role: 1 probe, 2 member, 3 both).
 
     A cell's name is hashed to 62 bits and a role, so that a row of the join is two numbers; should two
@@ -189,7 +190,7 @@ def compare(docs: DataFrame, cells: DataFrame, n: int, num: int, den: int, level
             at = 0
             for texts in words.slices(batch.column("text")):
                 own = batch.slice(at, len(texts))
-                tokens = pa.array([s.tobytes() for s in token_sets(texts, n, levels.value)], pa.binary())
+                tokens = pa.array([s.tobytes() for s in token_sets(texts, key, levels.value)], pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column("call"), own.column("cell"), own.column("doc_id"), own.column("role"), tokens], names=["call", "cell", "doc_id", "role", "tokens"])
                 at += len(texts)
         words.give_back()
@@ -260,9 +261,9 @@ def candidate_pairs(lists: DataFrame, entries: DataFrame, num: int, den: int) ->
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))  # 2^SKETCH_BITS bytes
-    sets = materialize(prefixes(docs, n, num, den, levels), "prefixes")
+    docs, key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words.new_key(n)
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n, key))  # 2^SKETCH_BITS bytes
+    sets = materialize(prefixes(docs, key, num, den, levels), "prefixes")
     usable = docs.where("doc_id IS NOT NULL")
     # Rows that share a doc_id may differ in size: theirs counts as unknown.
     repeated = sets.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_id")
@@ -282,7 +283,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     large = entries.where(f"n > {PAIRED}")
     stars = pairs.groupBy("b").agg(F.min("a").alias("center")).select("center", F.col("b").alias("doc_id"))
     stars = stars.unionByName(large.where(close_sizes("m", "m_least", num, den)).select(F.col("least").alias("center"), "doc_id"))
-    links = equal.unionByName(compare(usable, star_cells(stars), n, num, den, levels))
+    links = equal.unionByName(compare(usable, star_cells(stars), key, num, den, levels))
     for last in (False, True):
         whole = components(links)
         labels = whole.select(F.col("id").alias("doc_id"), "component_id")
@@ -300,7 +301,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
         cells = materialize(cells, "cells")
         if cells.isEmpty():
             break
-        links = links.unionByName(compare(usable, cells, n, num, den, levels))
+        links = links.unionByName(compare(usable, cells, key, num, den, levels))
     else:
         whole = components(links)
     joined = sets.join(whole, F.col("doc_id") == F.col("id"), "left")

@@ -59,7 +59,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
     length = w.ends - w.starts
     mean = np.bincount(w.doc, length, rows) / count
     first_kind, last_kind = kind[w.starts], kind[w.ends - 1]
-    key = w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ w.hash
+    key = w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ w.code.astype(np.uint64)
     distinct = np.bincount(w.doc[np.unique(key, return_index=True)[1]], minlength=rows)
     lines = np.bincount(doc[data == 10], minlength=rows)
     share = lambda mask: np.bincount(w.doc[mask], minlength=rows) / count

@@ -1,10 +1,14 @@
 """Words and shingles of a column of texts as numpy arrays.
 
 An Arrow string array is one run of UTF-8 bytes with offsets, so words and the shingles of a whole slice
-of rows come from a few array operations.  Words are runs of anything but ASCII white space; A-Z
-count as a-z.  The words of a slice are told apart by their bytes, and each distinct one gets a 64-bit
-hash that rests on a cryptographic digest (``digests``), so no choice of texts makes words collide but
-by chance.
+of rows come from a few array operations.  Words are runs of anything but ASCII white space, or but
+the bytes that the caller names; A-Z count as a-z.  The words of a slice are told apart by their bytes.
+
+Where words must be told apart across tasks they get 64-bit hashes under a secret key that the driver
+draws anew for each run (``new_key``): SipHash-2-4 for each of several lanes, longer words through a keyed
+BLAKE2b first.  A shingle is the sum of its words' hashes, each from the lane of its place in the shingle,
+so two shingles that differ anywhere differ by an independent uniform number: they are taken for one with
+a probability of 2^-64, whoever chose the texts.
 
 A text is never cut: a task holds its longest text, and takes about twenty times its size for it.
 """
@@ -12,7 +16,9 @@ A text is never cut: a task holds its longest text, and takes about twenty times
 from __future__ import annotations
 
 import ctypes
+import secrets
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import blake2b
 
 import numpy as np
@@ -22,10 +28,10 @@ import pyarrow.compute as pc
 #: Text bytes handled at a time; the temporaries take about twenty times as much.
 SLICE_BYTES = 2_000_000
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def give_back() -> None:
@@ -45,8 +51,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_KEY = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.multiply.accumulate(np.full(64, np.uint64(0xD6E8FEB86659FD93)))
+def new_key(lanes: int) -> np.ndarray:
+    """A secret key of 128 bits for each of ``lanes``."""
+    return np.frombuffer(secrets.token_bytes(16 * lanes), np.uint64).reshape(lanes, 2)
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
@@ -74,20 +81,58 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def digests(values: pa.Array) -> np.ndarray:
-    """64-bit hashes of ``values`` (bytes): of up to seven bytes a bijection of bytes and length, so no
-    two collide; of longer ones the first 64 bits of their BLAKE2b digest."""
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def siphash(blocks: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """SipHash-2-4 (Aumasson and Bernstein, 2012) of each row of ``blocks`` (the last has the length)."""
+    # The initial state.
+    v = [np.full(len(blocks), key[k % 2] ^ np.uint64(c)) for k, c in enumerate((0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573))]
+
+    def rounds(many: int) -> None:
+        for _ in range(many):
+            v[0] += v[1]
+            v[2] += v[3]
+            v[1], v[3] = _rotated(v[1], 13) ^ v[0], _rotated(v[3], 16) ^ v[2]
+            v[0] = _rotated(v[0], 32) + v[3]
+            v[2] += v[1]
+            v[3], v[1] = _rotated(v[3], 21) ^ v[0], _rotated(v[1], 17) ^ v[2]
+            v[2] = _rotated(v[2], 32)
+
+    for k in range(blocks.shape[1]):
+        v[3] ^= blocks[:, k]
+        rounds(2)
+        v[0] ^= blocks[:, k]
+    v[2] ^= np.uint64(0xFF)
+    rounds(4)
+    return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+
+#: Longer values are hashed through BLAKE2b.
+LONG = 55
+
+
+def keyed(values: pa.Array, key: np.ndarray) -> np.ndarray:
+    """(lanes, values) hashes of ``values`` (bytes) under ``key``."""
     data, offsets = raw(values)
     sizes = np.diff(offsets)
-    small = np.flatnonzero(sizes <= 7)
-    rows = np.zeros((len(small), 8), np.uint8)
-    place = np.arange(7)
-    rows[:, :7] = np.append(data, np.zeros(7, np.uint8))[offsets[small, None] + place] * (place < sizes[small, None])
-    rows[:, 7] = sizes[small]
-    out = np.empty(len(values), np.uint64)
-    out[small] = mix(rows.view("<u8").ravel() ^ _KEY)
-    large = np.flatnonzero(sizes > 7)
-    out[large] = np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in values.take(large).to_pylist()]), "<u8")
+    out = np.empty((len(key), len(values)), np.uint64)
+    data = np.append(data, np.zeros(LONG + 1, np.uint8))
+    blocks = np.where(sizes > LONG, 0, sizes // 8 + 1)
+    for many in np.unique(blocks).tolist():
+        own = np.flatnonzero(blocks == many)
+        if many:
+            place = np.arange(8 * many)
+            rows = data[offsets[own, None] + place] * (place < sizes[own, None])
+            rows[:, -1] = sizes[own]
+        else:  # 32 bytes and a length that no short value has
+            rows = np.zeros((len(own), 40), np.uint8)
+            secret = key.tobytes()[:64]
+            rows[:, :32] = np.frombuffer(b"".join([blake2b(x, digest_size=32, key=secret).digest() for x in values.take(pa.array(own)).to_pylist()]), np.uint8).reshape(-1, 32)
+            rows[:, -1] = 255
+        for lane, k in enumerate(key):
+            out[lane, own] = siphash(np.ascontiguousarray(rows).view("<u8"), k)
     return out
 
 
@@ -99,37 +144,47 @@ def runs_by_value(data: np.ndarray, edges: np.ndarray) -> pa.DictionaryArray:
 
 
 class Words:
-    """The words of a slice of texts: ``hash`` and ``doc`` (row in the slice) of each, in order."""
+    """The words of a slice of texts in order: ``code`` (place in ``names``, its distinct words) and ``doc``
+    (row in the slice) of each."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = SPACE):
         self.data, self.offsets = raw(texts)
         self.rows = len(texts)
         # A row's first byte may start a word, whatever the row before ends with.
         head = np.zeros(len(self.data) + 1, bool)
         head[self.offsets] = True
-        word = ~_SPACE[self.data]
+        word = ~separators[self.data]
         before, after = np.zeros_like(word), np.zeros_like(word)
         before[1:], after[:-1] = word[:-1], word[1:]
         self.starts = np.flatnonzero(word & (~before | head[:-1]))
         self.ends = np.flatnonzero(word & (~after | head[1:])) + 1
-        # The runs are words and the blanks between them in turn.
-        runs = runs_by_value(_LOWER[self.data], np.stack([self.starts, self.ends], axis=1).ravel()) if len(self.starts) else None
-        self.hash = digests(runs.dictionary)[runs.indices.to_numpy()[::2]] if runs else np.zeros(0, np.uint64)
+        # The runs are words and what is between them in turn.
+        runs = runs_by_value(LOWER[self.data], np.stack([self.starts, self.ends], axis=1).ravel()) if len(self.starts) else None
+        self.names = runs.dictionary if runs else pa.array([], pa.large_binary())
+        self.code = runs.indices.to_numpy()[::2] if runs else np.zeros(0, np.int32)
         self.counts = np.diff(np.searchsorted(self.starts, self.offsets))
-        self.doc = np.repeat(np.arange(self.rows), self.counts)
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(self.rows), self.counts)
+
+    def hashes(self, key: np.ndarray) -> np.ndarray:
+        """(lanes, words): each word's hash in each lane of ``key``."""
+        return keyed(self.names, key)[:, self.code]
 
 
-def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, doc) of every run of ``n`` words; a text with fewer words is one shingle."""
-    h, doc = words.hash, words.doc
-    if not len(h):
-        return h, doc
-    left = np.repeat(np.cumsum(words.counts), words.counts) - np.arange(len(h))  # words to the end of the text
+def shingles(words: Words, n: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, doc) of every run of ``n`` words; a text with fewer words is one shingle.  ``key`` has n lanes."""
+    doc, many = words.doc, len(words.code)
+    if not many:
+        return np.zeros(0, np.uint64), doc
+    by_name = keyed(words.names, key)
+    left = np.repeat(np.cumsum(words.counts), words.counts) - np.arange(many)  # words to the end of the text
     whole = (left >= n) | (left == words.counts[doc])
-    out = h.copy()
+    out = by_name[0][words.code]
     for k in range(1, n):
-        part = np.zeros(len(h), np.uint64)
-        part[: len(h) - k] = h[k:] * _POWERS[k] + np.uint64(k)
+        part = np.zeros(many, np.uint64)
+        part[: many - k] = by_name[k][words.code[k:]]
         part[left <= k] = 0
         out += part
-    return mix(out[whole]), doc[whole]
+    return out[whole], doc[whole]

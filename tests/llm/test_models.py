@@ -21,14 +21,41 @@ def test_words_and_shingles_match_brute_force():
     split = [WORDS.findall(LOW(t)) for t in texts]
     assert w.counts.tolist() == [len(x) for x in split]
     flat = [x for s in split for x in s]
-    assert len({(a, b) for a, b in zip(flat, w.hash.tolist())}) == len(set(flat)) == len(set(w.hash.tolist()))
+    key = words.new_key(5)
+    hashes = w.hashes(key)
+    for lane in hashes:
+        assert len({(a, b) for a, b in zip(flat, lane.tolist())}) == len(set(flat)) == len(set(lane.tolist()))
     for n in (1, 3, 5):
-        h, doc = words.shingles(w, n)
+        h, doc = words.shingles(w, n, key)
         for k, s in enumerate(split):
             want = {tuple(s[i : i + n]) for i in range(len(s) - n + 1)} if len(s) >= n else ({tuple(s)} if s else set())
             assert len(set(h[doc == k].tolist())) == len(want)
 
 
+def test_siphash_vectors_and_long_words():
+    key = np.frombuffer(bytes(range(16)), np.uint64)
+    # The published vectors of 0, 7 and 15 bytes under the key 00 01 ... 0f.
+    one = lambda n: np.frombuffer(bytes(range(n)) + bytes(7 - n % 8) + bytes([n]), "<u8").reshape(1, -1)
+    assert [int(words.siphash(one(n), key)[0]) for n in (0, 7, 15)] == [0x726FDB47DD0E0E31, 0xAB0200F58B01D137, 0xA129CA6149BE45E5]
+    values = pa.array([b"x" * n for n in range(1, 200)] + [b"x" * 99 + b"y", b"\0", b"\0\0"], pa.large_binary())
+    found = words.keyed(values, words.new_key(2))
+    assert len(np.unique(found)) == 2 * len(values)
+
+
+def test_words_and_bigrams_made_up_to_collide_are_told_apart(spark):
+    pairs = [("alpha beta gamma", "river rnh9fbm qzlbf23"), ("alpha beta", 'vlnuh1l "gm=8}1')]
+    for a, b in pairs:
+        w = words.Words(pa.array([a, b]))
+        h, doc = words.shingles(w, 2, words.new_key(2))
+        assert not set(h[doc == 0].tolist()) & set(h[doc == 1].tolist())
+    docs = spark.createDataFrame([(1, pairs[1][0], True), (2, pairs[1][1], False)], "doc_id long, text string, target boolean")
+    found = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs).collect()}
+    # Four words, two for each side; neither model has seen the other's.
+    floor = -(math.log(0.4 * 1 / 7) * 2) / 2
+    seen = -(math.log(0.6 + 0.4 * 2 / 7) * 2) / 2
+    assert abs(found[1].target_loss - seen) < 1e-9 and abs(found[1].background_loss - floor) < 1e-9 and abs(found[2].target_loss - floor) < 1e-9
+
+
 def test_held_out_quality(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -59,8 +86,8 @@ def test_cross_entropy_difference_by_hand(spark):
     got = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string, target boolean"), vocabulary_size=6).collect()
     split = [(i, WORDS.findall(LOW(t)), bool(g)) for i, t, g in rows]
     every = Counter(w for _, s, _ in split for w in s)
-    hashed = {w: words.Words(pa.array([w])).hash.view(np.int64)[0] for w in every}
-    known = sorted(every, key=lambda w: (-every[w], hashed[w]))[:6]
+    edge = sorted(every.values(), reverse=True)[6]
+    known = [w for w in every if every[w] > edge]
     fold = lambda w: w if w in known else None
     models = []
     for side in (True, False):
@@ -72,7 +99,7 @@ def test_cross_entropy_difference_by_hand(spark):
         total, size = 0.0, sum(one.values())
         for a, b in zip([0, *s], s):
             context = starts if a == 0 else one[a]
-            p = 0.6 * min(1, two[a, b] / max(context, 1)) + 0.4 * (one[b] + 1) / (size + 7)
+            p = 0.6 * min(1, two[a, b] / max(context, 1)) + 0.4 * (one[b] + 1) / (size + len(known) + 1)
             total -= math.log(p)
         return total / len(s)
 

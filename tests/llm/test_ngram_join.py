@@ -111,3 +111,9 @@ def test_twins_of_polynomial_hashes_stay_apart(spark):
     rows = [(2 * n + k, t) for n in (10, 11, 12) for k, t in enumerate((text[n], text[n].translate(str.maketrans("ab", "ba"))))]
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
     assert sorted(tuple(r) for r in got) == [(i, 1, i) for i, _ in rows]
+
+
+def test_texts_made_up_to_collide_stay_apart(spark):
+    rows = [(1, "alpha beta gamma"), (2, "river rnh9fbm qzlbf23"), (3, "Alpha beta  gamma")]
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)
+    assert rows_of(found) == [(False, 1, 1, 1), (False, 2, 1, 2), (False, 3, 1, 1)]
