@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmap.functions.joins import checked_broadcast
-from driftmap.llm import exact_dedup, language, lm_scoring, media, mixing, ngram_join, oracles, packing, quality, token_files, url_filter
+from driftmap.llm import divergence, exact_dedup, language, licences, lm_scoring, media, mixing, ngram_join, oracles, packing, prefix_trie, quality, token_files, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [
@@ -74,6 +74,18 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents")).drop("found")
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": near,
     "op2_exact_dedup": exact,
@@ -85,10 +97,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": pack,
     "op9_media_png": images,
     "op10_token_files": tokens,
+    "op11_source_divergence": audit,
+    "op12_license_scan": scan,
+    "op13_prefix_trie": tree,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op2_exact_dedup": oracles.EXACT_DEDUP,
     "op5_source_mixing": oracles.source_mixing(),
     "op7_url_filter": oracles.url_filter(RULES),
+    "op11_source_divergence": oracles.source_divergence(),
+    "op12_license_scan": oracles.licence_scan(),
+    "op13_prefix_trie": oracles.prefix_tree(),
 }
