@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from driftmap.operators.indexing import dense_index
 
 
+def sample_key(seed: int, index: Column) -> Column:
+    """The SHA-256 of seed and row number, as hexadecimal digits: other engines can draw the same."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), index.cast("string")).cast("binary"), 256)
+
+
 def sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows without replacement (all, if there are fewer), the same for the same seed.
-    A row's key is arithmetic on ``global_idx`` modulo a prime, so other engines can draw the same."""
-    key = (F.col("global_idx") % 2147483647 * 48271 + seed) % 2147483647 * 69621 % 2147483629
-    return rows.orderBy(key, "global_idx").limit(n)
+    """Exactly ``n`` rows without replacement (all, if there are fewer), the same for the same seed: those
+    with the least ``sample_key``.  Every task keeps its ``n`` least and tasks' samples merge to one, so no
+    rows but those are moved or sorted."""
+    return rows.orderBy(sample_key(seed, F.col("global_idx")), "global_idx").limit(n)
 
 
 def in_box(x: Column, y: Column, x0: float, x1: float, y0: float, y1: float) -> Column:

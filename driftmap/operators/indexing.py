@@ -77,7 +77,27 @@ def lookup(rows: DataFrame, ids: list[int]) -> DataFrame:
     return rows.join(F.broadcast(wanted), "global_idx")  # a caller's list
 
 
+#: Row numbers in a folder of ``save_indexed``.
+BLOCK = 100_000
+
+
+def save_indexed(rows: DataFrame, folder: str, block: int = BLOCK) -> None:
+    """``rows`` with a folder for each ``block`` row numbers, sorted in it, for ``lookup_table``."""
+    placed = rows.withColumn("block", F.expr(f"global_idx div {block}"))
+    placed.repartitionByRange("block", "global_idx").sortWithinPartitions("block", "global_idx").write.mode("overwrite").partitionBy("block").parquet(folder)
+
+
+def lookup_table(spark, folder: str, wanted: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``save_indexed`` that ``wanted`` (pos, global_idx) asks for, with ``pos``; repeats stay.
+
+    While ``wanted`` fits a broadcast, only the folders with a wanted number are read (Spark prunes them when
+    the broadcast is there); beyond that both sides are shuffled by number, and the optimiser splits numbers
+    that are asked for very often.
+    """
+    asked = checked_broadcast(wanted.where("global_idx >= 0").select("pos", "global_idx", F.expr(f"global_idx div {block}").alias("block")))
+    return spark.read.parquet(folder).join(asked, ["block", "global_idx"]).drop("block")
+
+
 def grouped_positions(found: DataFrame) -> DataFrame:
     """``lookup`` rows with ``out``: their place when read dataset by dataset, in request order there."""
-    order = Window.orderBy("file_idx", "dataset_idx", "pos")
-    return found.withColumn("out", (F.row_number().over(order) - 1).cast("int"))
+    return dense_index(found, ["file_idx", "dataset_idx", "pos"], "out").withColumn("out", F.col("out").cast("int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType
@@ -39,16 +41,19 @@ def least_and_most(pattern: Column, rank: int) -> list[Column]:
 
 def mask_table(spark, mask: list[float]) -> DataFrame:
     """(pixel_idx, good)"""
-    return spark.range(len(mask)).select(F.col("id").cast("int").alias("pixel_idx"), good_pixels(F.array(*map(F.lit, mask)))[F.col("id").cast("int")].alias("good"))
+    values = F.from_json(F.lit(json.dumps([None if x is None else str(x) for x in mask])), "array<string>").cast("array<double>")
+    return spark.range(1).select(F.posexplode(good_pixels(values)).alias("pixel_idx", "good"))
 
 
 def masked(pattern: Column, mask: list[float] | None) -> Column:
-    """The good pixels of ``pattern``, as doubles."""
+    """The good pixels of ``pattern``, as doubles.  The mask is one literal in the plan, however many
+    pixels it has; a pattern of another size is an error."""
     values = pattern.cast("array<double>")
     if mask is None or all(not x <= 0.5 for x in mask):
         return values
-    good = F.array(*[F.lit(not x <= 0.5) for x in mask])
-    return F.filter(values, lambda x, i: good[i])
+    good = F.from_json(F.lit(json.dumps([k for k, x in enumerate(mask) if not x <= 0.5])), "array<int>")
+    fits = F.transform(good, lambda k: F.get(values, k))
+    return F.when(F.size(values) == len(mask), fits).when(values.isNotNull(), F.raise_error(F.lit(f"a pattern doesn't have the {len(mask)} pixels of the mask")))
 
 
 def mean_of(values: Column) -> Column:

@@ -14,13 +14,19 @@ output grow with the square of the patterns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmap.functions.joins import checked_broadcast
+from driftmap.operators.browse import sample
+from driftmap.operators.indexing import dense_index
+from driftmap.sources.scratch import materialize
+
 MODES = ("pearson", "covariance", "normalized", "inner")
 #: Patterns as doubles that may be broadcast.
 MATRIX_BYTES = 64_000_000
@@ -63,7 +69,7 @@ def _block(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 
 def _best_of_block(a: tuple, b: tuple, pixels: int, mode: str, k: int) -> Iterator[pa.RecordBatch]:
-    """The best k of ``b`` for each of ``a``, some rows of ``a`` at a time."""
+    """The best k of ``b`` for each of ``a``, ranked, some rows of ``a`` at a time."""
     (ia, va, ma, sa), (ib, vb, mb, sb) = a, b
     k, step = min(k, len(ib)), max(1, SCORE_BYTES // (8 * max(1, len(ib))))
     for at in range(0, len(ia) if k else 0, step):
@@ -81,7 +87,25 @@ def _best_of_block(a: tuple, b: tuple, pixels: int, mode: str, k: int) -> Iterat
         above, equal = c > last, c == last
         equal &= np.cumsum(equal, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)
         row, column = np.nonzero((above | equal) & np.isfinite(c))
-        yield pa.RecordBatch.from_pydict({"i": ia[own][row], "j": ib[column], "value": c[row, column]})
+        value = c[row, column]
+        order = np.lexsort((column, -value, row))  # ids are in order
+        row, column, value = row[order], column[order], value[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        yield pa.RecordBatch.from_pydict({"i": ia[own][row], "j": ib[column], "rank": rank.astype(np.int32), "value": value})
+
+
+def _meeting(pixels: int, mode: str, k: int) -> Callable[[pa.Table], pa.Table]:
+    """For rows of two blocks a and b (``own`` tells which): the best of each for each of the other."""
+
+    def meet(part: pa.Table) -> pa.Table:
+        a, b, side = part.column("a")[0].as_py(), part.column("b")[0].as_py(), part.column("own").to_numpy()
+        first, second = (_block(part.filter(pa.array(side == x))) for x in (a, b))
+        batches = list(_best_of_block(first, second, pixels, mode, k))
+        if a != b:
+            batches += _best_of_block(second, first, pixels, mode, k)
+        return pa.Table.from_batches(batches, pa.schema([("i", pa.int64()), ("j", pa.int64()), ("rank", pa.int32()), ("value", pa.float64())]))
+
+    return meet
 
 
 def nearest(rows: DataFrame, k: int, pixels: int | None = None, mode: str = "pearson", block_bytes: int = BLOCK_BYTES, matrix_bytes: int = MATRIX_BYTES, least_blocks: int = 1) -> DataFrame:
@@ -92,10 +116,10 @@ def nearest(rows: DataFrame, k: int, pixels: int | None = None, mode: str = "pea
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     rows = rows.select(F.col("global_idx").cast("long").alias("global_idx"), F.col("pattern").cast("array<double>").alias("pattern"), "mean", "std")
-    found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("pattern")).alias("width")).first()
-    count, width = found.n, max(1, found.width or 1)
+    first = rows.select(F.size("pattern").alias("width")).head()
+    count, width = rows.count() if first else 0, max(1, first.width if first else 1)
     pixels = pixels or width
-    schema = "i long, j long, value double"
+    schema = "i long, j long, rank int, value double"
     if count * width * 8 <= matrix_bytes and least_blocks == 1:
         block = rows.sparkSession.sparkContext.broadcast(_block(rows.toArrow()) if count else None)  # matrix_bytes at most
 
@@ -105,24 +129,142 @@ def nearest(rows: DataFrame, k: int, pixels: int | None = None, mode: str = "pea
                     yield from _best_of_block(_block(batch), block.value, pixels, mode, k)
 
         spread = rows.repartition(min(64, max(1, count // 256)), "global_idx")
-        return best(spread.mapInArrow(score, schema), k)
+        return spread.mapInArrow(score, schema)  # each pattern has met all
     blocks = max(least_blocks, -(-count // max(1, min(BLOCK_ROWS, block_bytes // (8 * width)))))
     own = rows.withColumn("own", F.pmod(F.xxhash64("global_idx"), F.lit(blocks)).cast("int"))
     # A block meets itself and those after it; the pair gives the neighbours of both.
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     met = own.withColumn("other", other).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", *COLUMNS)
 
+    return best(met.groupBy("a", "b").applyInArrow(_meeting(pixels, mode, k), schema), k)
+
+
+def between(left: DataFrame, right: DataFrame, k: int, pixels: int, mode: str = "pearson", matrix_bytes: int = MATRIX_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(i, j, rank, value): the k best of ``right`` for each pattern of ``left``, both written tables."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    left, right = (x.select(F.col("global_idx").cast("long").alias("global_idx"), F.col("pattern").cast("array<double>").alias("pattern"), "mean", "std") for x in (left, right))
+    first, sizes = right.select(F.size("pattern").alias("width")).head(), (left.count(), right.count())
+    width = max(1, first.width if first else 1)
+    schema = "i long, j long, rank int, value double"
+    if sizes[1] * width * 8 <= matrix_bytes:
+        block = left.sparkSession.sparkContext.broadcast(_block(right.toArrow()) if sizes[1] else None)  # matrix_bytes at most
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and block.value:
+                    yield from _best_of_block(_block(batch), block.value, pixels, mode, k)
+
+        return left.mapInArrow(score, schema)
+    blocks = [-(-n // max(1, min(BLOCK_ROWS, block_bytes // (8 * width)))) for n in sizes]
+    own = lambda n: F.pmod(F.xxhash64("global_idx"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = left.select(own(blocks[0]).alias("a"), every(blocks[1]).alias("b"), F.lit(True).alias("left"), *COLUMNS)
+    met = met.unionByName(right.select(every(blocks[0]).alias("a"), own(blocks[1]).alias("b"), F.lit(False).alias("left"), *COLUMNS))
+
     def meet(part: pa.Table) -> pa.Table:
-        a, b, side = part.column("a")[0].as_py(), part.column("b")[0].as_py(), part.column("own").to_numpy()
-        first, second = (_block(part.filter(pa.array(side == x))) for x in (a, b))
-        batches = [x for x in _best_of_block(first, second, pixels, mode, k)]
-        if a != b:
-            batches += _best_of_block(second, first, pixels, mode, k)
-        return pa.Table.from_batches(batches, pa.schema([("i", pa.int64()), ("j", pa.int64()), ("value", pa.float64())]))
+        side = part.column("left")
+        batches = list(_best_of_block(_block(part.filter(side)), _block(part.filter(pc.invert(side))), pixels, mode, k))
+        return pa.Table.from_batches(batches, pa.schema([("i", pa.int64()), ("j", pa.int64()), ("rank", pa.int32()), ("value", pa.float64())]))
 
     return best(met.groupBy("a", "b").applyInArrow(meet, schema), k)
 
 
+def append_neighbours(knn: DataFrame, rows: DataFrame, new: DataFrame, k: int, pixels: int | None = None, mode: str = "pearson", matrix_bytes: int = MATRIX_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(i, j, rank, value) over the patterns of ``rows`` and ``new`` together, from the neighbours ``knn`` that
+    ``rows`` (global_idx, pattern, mean, std) have: no two old patterns are compared again.
+
+    Old patterns meet the new ones and merge what they find with their ``k`` kept ones; new patterns meet old
+    and new.  ``new`` has other numbers than ``rows``; a row of ``knn`` with fewer than ``k`` neighbours keeps
+    those it has.  ``rows`` and ``new`` are read more than once, so they should be written tables.
+    """
+    first = new.select(F.size("pattern").alias("width")).head() or rows.select(F.size("pattern").alias("width")).head()
+    pixels = pixels or max(1, first.width if first else 1)
+    options = (k, pixels, mode, matrix_bytes, block_bytes)
+    found = between(rows, new, *options).unionByName(between(new, rows, *options)).unionByName(between(new, new, *options))
+    return merge_best([knn, found], k)
+
+
+#: Patterns whose angles bound those of all others, the bytes they may take, and rows of a bounded block.
+PIVOTS, PIVOT_BYTES, BOUNDED_ROWS = 64, 4 << 20, 2048
+#: Angles are trusted to this.
+SLACK = 1e-7
+
+
+def _units(block: tuple) -> np.ndarray:
+    """Patterns less their means, of length one; those without variance are zero."""
+    _, matrix, means, stds = block
+    length = stds * np.sqrt(max(1, matrix.shape[1]))
+    return np.divide(matrix - means[:, None], length[:, None], out=np.zeros_like(matrix), where=length[:, None] > 0)
+
+
+def nearest_bounded(rows: DataFrame, k: int, seed: int = 5, pivots: int = PIVOTS, block_rows: int = BOUNDED_ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of ``nearest`` in the mode pearson, the pairs of blocks (a, b) that were compared, and how
+    many pairs there are.  Where patterns lie in clusters most pairs are skipped; where they don't, none is.
+
+    Such scores are cosines of angles between centred patterns.  A seeded sample of patterns, the pivots, is
+    small enough to be broadcast.  Patterns are sorted by their nearest pivot and the angle to it and cut
+    into blocks.  A block knows the least and greatest angle of its patterns to each pivot, and, from
+    its own patterns alone, a score that the k-th neighbour of each has at least.  Two patterns are as
+    far apart as their angles to any pivot differ, so a pair of blocks whose intervals are too far
+    apart for some pivot can't hold a neighbour of either and never meets.
+    """
+    rows = rows.select(F.col("global_idx").cast("long").alias("global_idx"), F.col("pattern").cast("array<double>").alias("pattern"), "mean", "std").where("std > 0")
+    first = rows.select(F.size("pattern").alias("width")).head()
+    width = max(1, first.width if first else 1)
+    chosen = sample(rows, max(1, min(pivots, PIVOT_BYTES // (8 * width))), seed).toArrow()
+    marks = rows.sparkSession.sparkContext.broadcast(_units(_block(chosen)) if first else None)  # PIVOT_BYTES at most
+
+    def angles_of(block: tuple) -> np.ndarray:
+        return np.arccos(np.clip(_units(block) @ marks.value.T, -1, 1))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                block = _block(batch)
+                angle = angles_of(block)
+                nearest_ = angle.argmin(axis=1)
+                patterns = pa.ListArray.from_arrays(np.arange(len(angle) + 1, dtype=np.int32) * block[1].shape[1], block[1].ravel())
+                columns = [pa.array(block[0]), patterns, pa.array(block[2]), pa.array(block[3]), pa.array(nearest_), pa.array(angle.min(axis=1))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*COLUMNS, "cluster", "angle"])
+
+    placed = rows.mapInArrow(place, "global_idx long, pattern array<double>, mean double, std double, cluster long, angle double")
+    sorted_ = materialize(dense_index(placed, ["cluster", "angle", "global_idx"], "place"), "by-pivot")
+    first = F.broadcast(sorted_.groupBy("cluster").agg(F.min("place").alias("first")))  # a row a pivot
+    own = F.expr(f"cluster * {1 << 40} + (place - first) div {block_rows}")
+    blocked = sorted_.join(first, "cluster").select(own.alias("own"), *COLUMNS)
+
+    def bounds(part: pa.Table) -> pa.Table:
+        block = _block(part)
+        angle = angles_of(block)
+        found = list(_best_of_block(block, block, width, "pearson", k))
+        held = pa.Table.from_batches(found) if found else None
+        full = held is not None and len(block[0]) >= k
+        least = float(np.min(held.filter(pc.equal(held.column("rank"), k)).column("value").to_numpy())) if full else -2.0
+        return pa.table({"own": part.column("own")[:1], "low": [angle.min(axis=0)], "high": [angle.max(axis=0)], "least": [least]})
+
+    facts = materialize(blocked.groupBy("own").applyInArrow(bounds, "own long, low array<double>, high array<double>, least double"), "block-bounds")
+    number = facts.count()
+    if number * 16 * len(chosen) > MATRIX_BYTES:
+        raise ValueError("the bounds of so many blocks don't fit a broadcast: ask for larger blocks")
+    table = facts.orderBy("own").toArrow()
+    every = rows.sparkSession.sparkContext.broadcast(tuple(np.stack(table.column(c).to_numpy()) if number else None for c in ("own", "low", "high", "least")))  # MATRIX_BYTES at most
+
+    def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, low, high, least = every.value
+        for batch in batches:
+            for a, a_low, a_high, a_least in zip(*(batch.column(c).to_pylist() for c in ("own", "low", "high", "least"))):
+                gap = np.maximum(np.array(a_low) - high, low - np.array(a_high)).max(axis=1)
+                most = np.cos(np.clip(gap - SLACK, 0, np.pi))
+                other = own[(own >= a) & (most >= np.minimum(a_least, least) - SLACK)]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(len(other), a, np.int64)), "b": pa.array(other)})
+
+    pairs = materialize(facts.repartition(min(64, max(1, number // 16))).mapInArrow(meets, "a long, b long"), "block-pairs")
+    ends = pairs.select("a", "b", F.col("a").alias("own")).unionByName(pairs.where("a <> b").select("a", "b", F.col("b").alias("own")))
+    met = blocked.join(checked_broadcast(ends), "own")
+    return best(met.groupBy("a", "b").applyInArrow(_meeting(width, "pearson", k), "i long, j long, rank int, value double"), k), pairs, number * (number + 1) // 2
+
+
 def merge_best(parts: list[DataFrame], k: int) -> DataFrame:
     """The k best of neighbour tables over different columns; the order of merging doesn't matter."""
     merged = parts[0].select("i", "j", "value")

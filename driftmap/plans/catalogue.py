@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmap.config import Settings
-from driftmap.operators import browse, graph, indexing, pixels, similarity, spectral
+from driftmap.operators import browse, graph, indexing, pixels, similarity, spectral, zorder
 from driftmap.plans import pipeline
-from driftmap.sources import store
+from driftmap.sources import manifest, npy, store
 from driftmap.sources.scratch import materialize, scratch_path
 
 PIXELS, K, TAU = 64, 10, 0.5
@@ -41,23 +41,28 @@ def query(oracle: str | None = None):
 # ---- inputs
 
 
-def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """global_idx, file_idx, dataset_idx, local_idx, vec_id, pattern"""
+def placed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """global_idx, file_idx, dataset_idx, vec_id, pattern, in the order of datasets and vec_id."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     own = rows.select(F.lit(0).alias("file_idx"), F.col("label").alias("dataset_idx"), "vec_id", F.col("embedding").cast("array<double>").alias("pattern"))
+    return indexing.dense_index(own, ["dataset_idx", "vec_id"])
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """global_idx, file_idx, dataset_idx, local_idx, vec_id, pattern"""
     # A dataset may hold any share of the rows: numbers in a dataset are numbers of all rows less its first.
-    placed = indexing.dense_index(own, ["dataset_idx", "vec_id"], "place")
+    placed = placed_patterns(spark, sf_dir).withColumnRenamed("global_idx", "place")
     first = placed.groupBy("dataset_idx").agg(F.min("place").alias("first"))
     numbered = placed.join(F.broadcast(first), "dataset_idx").withColumn("local_idx", F.col("place") - F.col("first"))  # a row for each dataset
     return indexing.global_index_map(numbered.select("file_idx", "dataset_idx", "local_idx", "vec_id", "pattern"))
 
 
 def stats(spark: SparkSession, sf_dir: str, mask: list[float] | None = None) -> DataFrame:
-    return pixels.with_stats(patterns(spark, sf_dir), mask)
+    return pixels.with_stats(placed_patterns(spark, sf_dir), mask)
 
 
 def knn(spark: SparkSession, sf_dir: str, settings: Settings = Settings(neighbours_kept=K, neighbours_used=K), read_once: bool = False) -> DataFrame:
-    return pipeline.neighbours(patterns(spark, sf_dir), settings, read_once=read_once)[0]
+    return pipeline.neighbours(placed_patterns(spark, sf_dir), settings, read_once=read_once)[0]
 
 
 def weighted(spark: SparkSession, sf_dir: str, diagonal: str = "one", sign: int = -1) -> DataFrame:
@@ -230,6 +235,31 @@ def batch_grid_2d(spark, sf_dir):
     return indexing.batch_grid(spark, _total(spark, sf_dir), BATCHES, 3)
 
 
+@query(f"WITH {P} SELECT vec_id, {R.format('list_sum(v)')} AS total FROM p WHERE dataset_idx <> 1")
+def npy_patterns(spark, sf_dir):
+    """Patterns written as ``.npy`` files, listed by a manifest and read back by ranges."""
+    folder = scratch_path(spark, "arrays")
+    rows = placed_patterns(spark, sf_dir).where("dataset_idx <> 1").select(F.concat(F.array(F.col("vec_id").cast("double")), "pattern").alias("pattern"))
+    files = [r.path for r in npy.write_npy(rows, folder).orderBy("path").collect()]  # a row a file
+    manifest.write_manifest(spark, files, f"{folder}-list")
+    found = manifest.read_patterns(spark, f"{folder}-list", "npy").rows
+    total = F.aggregate(F.slice("pattern", 2, PIXELS), F.lit(0.0), lambda a, x: a + x)
+    return rounded(found.select(F.get("pattern", F.lit(0)).cast("long").alias("vec_id"), total.alias("total")), "total")
+
+
+@query(f"WITH {P} SELECT dataset_idx + 1 AS file_idx, local_idx, {R.format('list_sum(v)')} AS total FROM p WHERE dataset_idx < 2")
+def manifest_patterns(spark, sf_dir):
+    """Two datasets stored as two files, one with a name that URIs encode, read through a manifest."""
+    folder, rows = scratch_path(spark, "listed"), patterns(spark, sf_dir)
+    names = [f"{folder}/plain.parquet", f"{folder}/a+b #1 %20 é.parquet"]
+    for k, name in enumerate(names):
+        rows.where(f"dataset_idx = {k}").select(F.lit("d").alias("dataset"), "local_idx", "pattern").write.parquet(name)
+    spark.createDataFrame([(f"File:{n}",) for n in names], "value string").coalesce(1).write.text(f"{folder}-list")
+    found = manifest.read_patterns(spark, f"{folder}-list").rows
+    total = F.aggregate("pattern", F.lit(0.0), lambda a, x: a + x)
+    return rounded(found.select((F.col("file_idx") + 1).alias("file_idx"), "local_idx", total.alias("total")), "total")
+
+
 # ---- similarity
 
 
@@ -275,6 +305,22 @@ def knn_block_pairs(spark, sf_dir):
     return rounded(similarity.nearest(materialize(stats(spark, sf_dir), "stats"), K + 1, PIXELS, block_bytes=200 * 8 * PIXELS, matrix_bytes=0), "value")
 
 
+@query(f"WITH {knn_sql()} {KNN_OUT}")
+def knn_bounded(spark, sf_dir):
+    """Blocks that angles to pivots keep apart never meet."""
+    rows = materialize(stats(spark, sf_dir), "stats")
+    return rounded(similarity.nearest_bounded(rows, K + 1, block_rows=max(64, rows.count() // 32))[0], "value")
+
+
+@query(f"WITH {knn_sql()} {KNN_OUT}")
+def knn_appended(spark, sf_dir):
+    """Every third pattern comes later: the others' neighbours are kept and merged with what it brings."""
+    rows = materialize(stats(spark, sf_dir), "stats")
+    old, new = rows.where("global_idx % 3 <> 1"), rows.where("global_idx % 3 = 1")
+    before = materialize(similarity.nearest(old, K + 1, PIXELS), "knn")
+    return rounded(similarity.append_neighbours(before, old, new, K + 1, PIXELS), "value")
+
+
 @query(f"WITH {knn_sql()} {KNN_OUT}")
 def knn_blocked_merge(spark, sf_dir):
     rows = stats(spark, sf_dir)
@@ -471,12 +517,18 @@ def eigenvalues_smallest(spark, sf_dir):
     return rounded(eigen(spark, sf_dir, "smallest")[0].select("k", "value"), "value")
 
 
-@query("SELECT range::INT AS k, true AS small FROM range(6)")
+def _residual(k: int) -> str:
+    """The norm of matrix times vector k less value times vector, over that of value times vector."""
+    return f"""(SELECT sqrt(sum((x - value * v[r]) * (x - value * v[r]))) / abs(any_value(value)) FROM v{k} CROSS JOIN
+  (SELECT a.r, sum(l.l * v[b.r]) AS x FROM l JOIN ids a ON a.i = l.i JOIN ids b ON b.i = l.j CROSS JOIN v{k} GROUP BY a.r))"""
+
+
+@query(f"WITH RECURSIVE {spectrum_sql(6, 'largest')} " + " UNION ALL ".join(f"SELECT {k} AS k, {R.format('value')} AS value, {R.format(_residual(k))} AS residual FROM v{k}" for k in range(6)))
 def eigen_residuals(spark, sf_dir):
-    return eigen(spark, sf_dir)[0].select("k", (F.col("residual") < 1e-8).alias("small"))
+    return rounded(eigen(spark, sf_dir)[0].select("k", "value", "residual"), "value", "residual")
 
 
-@query("SELECT 6 AS requested, 6 AS converged, true AS in_time")
+@query(f"WITH RECURSIVE {spectrum_sql(6, 'largest')} SELECT 6 AS requested, ({' + '.join(f'({_residual(k)} < 1e-6)::INT' for k in range(6))}) AS converged, true AS in_time")
 def eigen_diagnostics(spark, sf_dir):
     told = spectral.solve(graph.laplacian(weighted(spark, sf_dir)), 6)[2]
     return spark.range(1).select(F.lit(told.requested).alias("requested"), F.lit(told.converged).alias("converged"), F.lit(told.rounds <= told.most_rounds).alias("in_time"))
@@ -487,9 +539,27 @@ def embedding_wide(spark, sf_dir):
     return rounded(spectral.embedding(eigen(spark, sf_dir, "smallest")[1], [1, 2]), "eigvec_1", "eigvec_2")
 
 
+_OFFSETS = (1, 5, 25, 125, 625)
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM customer),
+s AS (SELECT {' + '.join(f'2 - 2 * cos(2 * pi() * range * {o} / n)' for o in _OFFSETS)} AS value FROM n, range((SELECT n FROM n)))
+SELECT (row_number() OVER (ORDER BY value DESC) - 1)::INT AS k, {R.format('value')} AS value FROM s ORDER BY value DESC LIMIT 6""")
+def circulant_spectrum(spark, sf_dir):
+    """The customers in a ring, each tied to those some steps ahead: a Laplacian with a known spectrum,
+    solved by the iteration for large tables."""
+    rows = indexing.dense_index(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), ["c_custkey"], "i").select("i")
+    n = rows.count()
+    ends = [((F.col("i") + o) % n).alias(f"j{o}") for o in _OFFSETS]
+    edges = rows.select("i", F.explode(F.array(*ends)).alias("j")).where("i <> j")
+    both = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).select("i", "j", F.lit(1.0).alias("w"))
+    weights = both.groupBy("i", "j").agg(F.sum("w").alias("w"))
+    return rounded(spectral.eigenpairs(graph.laplacian(weights, "plain"), 6, "largest", dense_rows=0)[0].select("k", "value"), "value")
+
+
 # ---- views
 
-_DRAW = "(global_idx % 2147483647 * 48271 + 9) % 2147483647 * 69621 % 2147483629"
+_DRAW = "sha256('9:' || global_idx)"
 
 
 @query(f"WITH {P} SELECT global_idx, dataset_idx, local_idx FROM p ORDER BY {_DRAW}, global_idx LIMIT 50")
@@ -510,6 +580,15 @@ def lookup_grouped_order(spark, sf_dir):
     return indexing.grouped_positions(indexing.lookup(patterns(spark, sf_dir), IDS)).select("out", "pos", "global_idx")
 
 
+@query(f"WITH {P}, w AS (SELECT o_orderkey AS pos, o_custkey % 600 AS g FROM orders) SELECT pos, global_idx, vec_id FROM p JOIN w ON g = global_idx")
+def lookup_by_table(spark, sf_dir):
+    """One pattern for each order, by a table of requests with repeats and numbers that don't exist."""
+    folder = scratch_path(spark, "indexed")
+    indexing.save_indexed(patterns(spark, sf_dir), folder, 100)
+    wanted = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 600).alias("global_idx"))
+    return indexing.lookup_table(spark, folder, wanted, 100).select("pos", "global_idx", "vec_id")
+
+
 def _edges() -> str:
     terms = []
     for (x0, y0), (x1, y1) in zip(POLYGON, POLYGON[1:] + POLYGON[:1]):
@@ -523,6 +602,41 @@ def polygon_select(spark, sf_dir):
     return rounded(rows.where(browse.in_polygon(F.col("x"), F.col("y"), POLYGON)).select("global_idx", "x", "y"), "x", "y")
 
 
+_ALL = zorder.Limits(-0.5, 0.5, -0.5, 0.5)
+
+
+@query(f"WITH {XY} SELECT global_idx, {R.format('x')} AS x, {R.format('y')} AS y FROM xy WHERE ({_edges()}) % 2 = 1")
+def polygon_select_zorder(spark, sf_dir):
+    folder = scratch_path(spark, "zordered")
+    zorder.save_points(points(spark, sf_dir), folder, _ALL)
+    return rounded(zorder.select_polygon(spark, folder, POLYGON, _ALL).select("global_idx", "x", "y"), "x", "y")
+
+
+@query(f"WITH {XY} SELECT global_idx FROM xy WHERE x BETWEEN -0.05 AND 0.1 AND y BETWEEN -0.1 AND 0.07")
+def box_select_zorder(spark, sf_dir):
+    folder = scratch_path(spark, "zordered")
+    zorder.save_points(points(spark, sf_dir), folder, _ALL)
+    return zorder.select_box(spark, folder, -0.05, 0.1, -0.1, 0.07, _ALL).select("global_idx")
+
+
+_LEVELS = 6
+_PYRAMID = " UNION ALL ".join(f"SELECT {k} AS level, floor((x - -0.5::DOUBLE) / (1.0::DOUBLE / {1 << k}))::INT AS bx, floor((y - -0.5::DOUBLE) / (1.0::DOUBLE / {1 << k}))::INT AS "by", attribute FROM xy WHERE x >= -0.5 AND x < 0.5 AND y >= -0.5 AND y < 0.5" for k in range(_LEVELS + 1))
+
+
+@query(f'WITH {XY} SELECT level, bx, "by", count(*) AS n, {R.format("sum(attribute)")} AS total FROM ({_PYRAMID}) GROUP BY ALL')
+def raster_pyramid(spark, sf_dir):
+    return rounded(zorder.raster_pyramid(points(spark, sf_dir), _ALL, _LEVELS, "attribute").drop("tile"), "total")
+
+
+@query(f"""WITH {XY}, f AS (SELECT floor((x - -0.5::DOUBLE) / (1.0::DOUBLE / 32))::INT AS bx, floor((y - -0.5::DOUBLE) / (1.0::DOUBLE / 32))::INT AS "by" FROM xy WHERE x >= -0.5 AND x < 0.5 AND y >= -0.5 AND y < 0.5)
+SELECT bx, "by", count(*) AS n FROM f WHERE bx >= 16 AND bx < 24 AND "by" >= 8 AND "by" < 16 GROUP BY ALL""")
+def raster_zoom(spark, sf_dir):
+    """The fifth level of a stored pyramid, of the part (2, 1) of the second."""
+    folder = scratch_path(spark, "pyramid")
+    zorder.save_pyramid(zorder.raster_pyramid(points(spark, sf_dir), _ALL, _LEVELS), folder)
+    return zorder.read_tiles(spark, folder, 5, 0b0110, 2).select("bx", "by", "n")
+
+
 @query(f"WITH {XY} SELECT global_idx FROM xy WHERE x BETWEEN -0.05 AND 0.1 AND y BETWEEN -0.1 AND 0.07")
 def box_select(spark, sf_dir):
     return points(spark, sf_dir).where(browse.in_box(F.col("x"), F.col("y"), -0.05, 0.1, -0.1, 0.07)).select("global_idx")

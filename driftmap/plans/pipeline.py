@@ -12,8 +12,9 @@ from driftmap.sources.scratch import materialize
 
 
 def neighbours(rows: DataFrame, settings: Settings, mask: list[float] | None = None, read_once: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(knn, stats) of ``rows`` (global_idx, pattern); ``read_once`` says that knn needn't be written."""
-    stats = materialize(pixels.with_stats(rows.select("global_idx", "pattern"), mask), "stats")
+    """(knn, stats) of ``rows`` (global_idx, pattern); ``read_once`` says that nothing needs to be written."""
+    stats = pixels.with_stats(rows.select("global_idx", "pattern"), mask)
+    stats = stats if read_once else materialize(stats, "stats")
     size = len(mask) if mask and settings.inner_norm == "total" else None
     knn = similarity.nearest(stats, settings.columns_stored, size, settings.mode, least_blocks=settings.column_batches)
     return knn if read_once else materialize(knn, "knn"), stats.select("global_idx", "mean", "std")

@@ -54,24 +54,55 @@ def random_disks(spark: SparkSession, rows: int, side: int = 128, seed: int = 2)
     return spark.range(rows).select(F.col("id").alias("global_idx"), F.transform(_pixels(side), value).alias("pattern"))
 
 
+def spline_coefficients(image: np.ndarray) -> np.ndarray:
+    """The cubic B-spline coefficients whose spline has the values of ``image`` at its places, the image being
+    mirrored at its edges: a recursive filter forth and back along each axis (Unser, 1999)."""
+    pole = np.sqrt(3.0) - 2.0
+    out = np.array(image, float)
+    for axis in range(out.ndim):
+        c = np.moveaxis(out, axis, 0)  # a view
+        n = len(c)
+        if n == 1:
+            continue
+        c *= 6.0
+        powers = pole ** np.arange(2 * n - 2)
+        mirrored = np.concatenate([c, c[-2:0:-1]])
+        c[0] = np.tensordot(powers, mirrored, 1) / (1 - pole ** (2 * n - 2))
+        for k in range(1, n):
+            c[k] += pole * c[k - 1]
+        c[-1] = pole / (pole * pole - 1) * (c[-1] + pole * c[-2])
+        for k in range(n - 2, -1, -1):
+            c[k] = pole * (c[k + 1] - c[k])
+    return out
+
+
 def sampled(image: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Bilinear values of ``image`` at (ys, xs); zero outside."""
-    y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
+    """Values of the cubic spline through ``image`` at (ys, xs); zero outside."""
+    coefficients = spline_coefficients(image)
     total = np.zeros(ys.shape)
-    for dy in (0, 1):
-        for dx in (0, 1):
+
+    def weight(t: np.ndarray) -> np.ndarray:
+        t = np.abs(t)
+        return np.where(t < 1, 2 / 3 - t * t + t**3 / 2, np.maximum(2 - t, 0) ** 3 / 6)
+
+    def mirror(k: np.ndarray, n: int) -> np.ndarray:
+        k = np.abs(k) % max(1, 2 * n - 2)
+        return np.where(k < n, k, 2 * n - 2 - k)
+
+    y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
+    for dy in range(-1, 3):
+        for dx in range(-1, 3):
             y, x = y0 + dy, x0 + dx
-            ok = (y >= 0) & (y < image.shape[0]) & (x >= 0) & (x < image.shape[1])
-            weight = (1 - np.abs(ys - y)) * (1 - np.abs(xs - x))
-            total += np.where(ok, image[np.clip(y, 0, image.shape[0] - 1), np.clip(x, 0, image.shape[1] - 1)] * weight, 0)
-    return total
+            total += coefficients[mirror(y, image.shape[0]), mirror(x, image.shape[1])] * weight(ys - y) * weight(xs - x)
+    inside = (ys >= 0) & (ys <= image.shape[0] - 1) & (xs >= 0) & (xs <= image.shape[1] - 1)
+    return np.where(inside, total, 0.0)
 
 
 def centred(image: np.ndarray) -> np.ndarray:
-    """``image`` with its centre of mass moved to its middle."""
+    """``image`` with its centre of mass moved to half its size, by a spline."""
     ys, xs = np.indices(image.shape, dtype=float)
     total = image.sum() or 1.0
-    dy, dx = (image * ys).sum() / total - (image.shape[0] - 1) / 2, (image * xs).sum() / total - (image.shape[1] - 1) / 2
+    dy, dx = (image * ys).sum() / total - image.shape[0] / 2, (image * xs).sum() / total - image.shape[1] / 2
     return sampled(image, ys + dy, xs + dx)
 
 

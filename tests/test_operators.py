@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -5,8 +7,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftmap.config import Settings
-from driftmap.operators import browse, graph, indexing, pixels, similarity, spectral
+from driftmap.operators import browse, graph, indexing, pixels, similarity, spectral, zorder
 from driftmap.plans import pipeline
+from driftmap.sources import scratch
+from driftmap.sources.scratch import materialize
 
 
 def patterns(spark, values):
@@ -181,6 +185,150 @@ def test_iterated_vectors_and_residuals(spark, which):
     assert np.abs(vectors[0] - vectors[1]).max() < 1e-5
 
 
+def test_both_iterations_agree(spark, monkeypatch, which="smallest"):
+    turn = np.linalg.qr(np.random.default_rng(6).normal(size=(30, 30)))[0]
+    full = turn * np.concatenate([[0.1, 0.2, 0.3], np.linspace(0.5, 1.5, 24), [1.7, 1.8, 1.9]]) @ turn.T
+    matrix = spark.createDataFrame([(3 * i, 3 * j, float(full[i, j])) for i in range(30) for j in range(30)], "i long, j long, l double")
+    one, told = (lambda x: (x[0].orderBy("k").collect(), x[2]))(spectral.solve(matrix, 3, which, dense_rows=0))
+    assert told.method == "block-lanczos" and told.converged == 3
+    before = len(scratch._made)
+    monkeypatch.setattr(spectral, "BASIS_BYTES", 0)
+    other, told = (lambda x: (x[0].orderBy("k").collect(), x[2]))(spectral.solve(matrix, 3, which, dense_rows=0))
+    assert told.method == "chebyshev-subspace" and [r.value for r in one] == pytest.approx([r.value for r in other], abs=1e-8)
+    assert len(scratch._made) - before < 20  # the rounds' tables are freed
+
+
+def test_a_large_torus(spark):
+    """Five dimensions of ten places: values are sums of 2 - 2 cos(2 pi k / 10), the second ten times."""
+    n, side = 100_000, 10
+    rows = spark.range(n, numPartitions=8).withColumnRenamed("id", "i")
+    ends = [F.expr(f"i - i div {side**d} % {side} * {side**d} + (i div {side**d} + {s}) % {side} * {side**d}") for d in range(5) for s in (1, side - 1)]
+    graph_ = rows.select("i", F.explode(F.array(*ends)).alias("j"), F.lit(1.0).alias("w"))
+    began = time.time()
+    values, vectors, told = spectral.solve(graph.laplacian(graph_, "plain"), 10, "smallest")
+    found = values.orderBy("k").collect()
+    assert time.time() - began < 240 and told.method == "block-lanczos" and told.converged == 10
+    gap = 2 - 2 * np.cos(2 * np.pi / side)
+    assert [r.value for r in found] == pytest.approx([0.0] + [gap] * 9, abs=1e-8)
+    assert all(r.residual < 1e-8 for r in found[1:]) and vectors.count() == 10 * n
+
+
+def test_too_few_eigenpairs_are_an_error(spark, monkeypatch):
+    matrix = spark.createDataFrame([(i, j, 1.0 / (1 + i + j)) for i in range(6) for j in range(6)], "i long, j long, l double")
+    with pytest.raises(ValueError):
+        spectral.solve(matrix, 7)
+    with pytest.raises(RuntimeError):
+        spectral.solve(matrix, 2, dense_rows=0, tol=0.0, rounds=1)
+
+
+def test_samples_are_uniform_and_differ_by_seed(spark):
+    rows = spark.range(2000).withColumnRenamed("id", "global_idx")
+    draws = {s: sorted(r.global_idx for r in browse.sample(rows, 50, s).collect()) for s in range(40)}
+    assert len({tuple(d) for d in draws.values()}) == 40 and all(len(set(d)) == 50 for d in draws.values())
+    # Places in ten equal parts: 40 draws of 50 give 200 each; gaps aren't a few values that recur.
+    parts = np.bincount(np.concatenate(list(draws.values())) // 200, minlength=10)
+    assert ((parts - 200) ** 2 / 200).sum() < 28  # chi-square, 9 degrees of freedom, p < 0.001
+    gaps = np.concatenate([np.diff(d) for d in draws.values()])
+    # Gaps of a uniform draw are geometric: a quarter is at most 11, half 27, three quarters 55 (of 40).
+    quarters = np.histogram(gaps, [0, 11.5, 27.5, 55.5, 4000])[0] / len(gaps)
+    assert np.abs(quarters - 0.25).max() < 0.04 and len(np.unique(gaps)) > 100
+    assert len(set(draws[0]) & set(draws[1])) < 12
+
+
+def test_masks_of_many_pixels(spark):
+    n = 65_536
+    mask = [1.0 if k % 3 else 0.0 for k in range(n)]
+    rows = spark.range(4).select(F.col("id").alias("global_idx"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k * (F.col("id") + 1) % 1000).cast("double")).alias("pattern"))
+    rows.count()
+    began = time.time()
+    found = pixels.with_stats(rows, mask).select("global_idx", "mean", "std").orderBy("global_idx").collect()
+    took = time.time() - began
+    for r in found:
+        own = np.array([k * (r.global_idx + 1) % 1000 for k in range(n) if k % 3], float)
+        assert r.mean == pytest.approx(own.mean()) and r["std"] == pytest.approx(own.std())
+    assert took < 10
+    with pytest.raises(Exception, match="pixels of the mask"):
+        pixels.with_stats(rows.limit(1), mask[:-1]).collect()
+    assert [r.good for r in pixels.mask_table(spark, [1.0, 0.0, float("nan"), 0.5]).orderBy("pixel_idx").collect()] == [True, False, True, False]
+
+
+@pytest.mark.parametrize("matrix_bytes", [10**9, 0])
+def test_appended_neighbours(spark, matrix_bytes):
+    v = np.random.default_rng(8).normal(size=(60, 6)).round(1)
+    v[50:] = v[:10]
+    rows = materialize(pixels.with_stats(patterns(spark, v)), "stats")
+    old, new = rows.where("global_idx < 41"), rows.where("global_idx >= 41")
+    knn = similarity.nearest(old, 5)
+    got = similarity.append_neighbours(knn, old, new, 5, matrix_bytes=matrix_bytes, block_bytes=500)
+    key = lambda df: sorted((r.i, r["rank"], r.j, round(r.value, 9)) for r in df.collect())
+    assert key(got) == key(similarity.nearest(rows, 5))
+    assert key(similarity.append_neighbours(knn, old, new.where("false"), 5)) == key(knn)
+
+
+def test_bounds_skip_blocks_and_lose_nothing(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(8, 40))
+    v = np.vstack([c + 0.05 * rng.normal(size=(30, 40)) for c in centres] + [np.ones((2, 40)), centres[:3]])
+    rows = materialize(pixels.with_stats(patterns(spark, v)), "stats")
+    key = lambda df: sorted((r.i, r["rank"], r.j, round(r.value, 9)) for r in df.collect())
+    found, pairs, many = similarity.nearest_bounded(rows, 6, block_rows=15)
+    assert key(found) == key(similarity.nearest(rows, 6))
+    assert many > 17 * 18 // 2 and pairs.count() < 0.3 * many
+    loose = materialize(pixels.with_stats(patterns(spark, rng.normal(size=(70, 5)).round(1))), "stats")
+    for k, block in ((4, 8), (40, 16), (100, 16)):
+        assert key(similarity.nearest_bounded(loose, k, block_rows=block)[0]) == key(similarity.nearest(loose, k))
+    assert similarity.nearest_bounded(rows.where("false"), 3)[0].count() == 0
+
+
+def test_zordered_selections(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    at = np.vstack([rng.random((4000, 2)), rng.random((200, 2)) * 3 - 1, [[0.5, 0.5], [0, 0], [1, 1], [0.25, 0.75]]])
+    rows = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(at)] + [(9000, None, 0.5), (9001, 0.5, None)], "global_idx long, x double, y double")
+    limits, folder = zorder.Limits(0.0, 1.0, 0.0, 1.0), f"{tmp_path}/points"
+    zorder.save_points(rows, folder, limits)
+    ids = lambda df: sorted(r.global_idx for r in df.collect())
+    polygons = [[(0.1, 0.1), (0.6, 0.2), (0.5, 0.7)], [(-0.5, 0.5), (0.5, -0.5), (1.5, 0.5), (0.5, 1.5)], [(0.2, 0.2), (0.8, 0.8), (0.2, 0.8), (0.8, 0.2)], [(0.5, 0.5), (0.5, 0.5001), (0.5001, 0.5)]]
+    for polygon in polygons:
+        for depth in (2, 7):
+            want = rows.where(browse.in_polygon(F.col("x"), F.col("y"), polygon))
+            assert ids(zorder.select_polygon(spark, folder, polygon, limits, depth)) == ids(want)
+    for box in ((0.2, 0.4, 0.3, 0.9), (-2.0, 0.5, 0.5, 5.0), (0.25, 0.25, 0.75, 0.75)):
+        assert ids(zorder.select_box(spark, folder, *box, limits)) == ids(rows.where(browse.in_box(F.col("x"), F.col("y"), *box)))
+    small = zorder.select_polygon(spark, folder, polygons[0], limits)
+    assert "Or(Or(" in small._jdf.queryExecution().executedPlan().toString()
+    stored, ranges = spark.read.parquet(folder), zorder.cover(polygons[0], limits)
+    read = sum(stored.where(F.col("zkey").between(a, b)).count() for a, b, _ in ranges)
+    tested = sum(stored.where(F.col("zkey").between(a, b)).count() for a, b, whole in ranges if not whole)
+    assert small.count() <= read < 0.2 * stored.count() and tested < 0.05 * stored.count()
+
+
+def test_raster_pyramid(spark, tmp_path):
+    at = np.random.default_rng(11).random((3000, 2))
+    rows = spark.createDataFrame([(float(x), float(y), float(k)) for k, (x, y) in enumerate(at)], "x double, y double, v double")
+    pyramid = zorder.raster_pyramid(rows, zorder.Limits(0.0, 1.0, 0.0, 0.5), 4, "v")
+    inside = at[at[:, 1] < 0.5]
+    for level in range(5):
+        own = {(r.bx, r.by): r.n for r in pyramid.where(F.col("level") == level).collect()}
+        want = np.histogram2d(inside[:, 0], inside[:, 1], bins=2**level, range=((0, 1), (0, 0.5)))[0]
+        assert own == {(x, y): int(want[x, y]) for x, y in zip(*np.nonzero(want))}
+    zorder.save_pyramid(pyramid, f"{tmp_path}/p")
+    tiles = zorder.read_tiles(spark, f"{tmp_path}/p", 4, 0b10, 1)
+    assert {(r.bx // 8, r.by // 8) for r in tiles.collect()} == {(0, 1)} and tiles.agg(F.sum("n")).first()[0] == pyramid.where("level = 1 AND bx = 0 AND by = 1").first().n
+
+
+def test_lookup_by_a_million_numbers(spark, tmp_path):
+    rows = spark.range(300_000).select(F.col("id").alias("global_idx"), F.lit(0).alias("file_idx"), F.expr("int(id div 100000)").alias("dataset_idx"), (F.col("id") * 3).alias("x"))
+    indexing.save_indexed(rows, f"{tmp_path}/rows", 10_000)
+    wanted = spark.range(1_000_000).select(F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") * 7 % 150_000).alias("global_idx"))
+    found = indexing.lookup_table(spark, f"{tmp_path}/rows", wanted, 10_000)
+    assert found.count() == 1_000_000 and found.where("x <> 3 * global_idx").count() == 0
+    assert found.join(wanted.withColumnRenamed("global_idx", "g"), "pos").where("g <> global_idx").count() == 0
+    few = indexing.lookup_table(spark, f"{tmp_path}/rows", spark.createDataFrame([(1, 290_001), (0, 7), (2, 7), (3, None), (4, 10**7)], "pos long, global_idx long"), 10_000)
+    assert [(r.pos, r.global_idx) for r in few.orderBy("pos").collect()] == [(0, 7), (1, 290_001), (2, 7)]
+    assert "dynamicpruning" in few._jdf.queryExecution().executedPlan().toString()
+    assert [(r.out, r.pos) for r in indexing.grouped_positions(few).orderBy("out").collect()] == [(0, 0), (1, 2), (2, 1)]
+
+
 @pytest.mark.parametrize("bad", [{"neighbours_kept": 0}, {"tau": 1}, {"tau": -0.5}, {"neighbours_used": 2000}, {"which": "middle"}, {"shift_by_mean": 1}])
 def test_settings_are_checked(bad):
     with pytest.raises(ValueError):
