@@ -620,7 +620,7 @@ def box_select_zorder(spark, sf_dir):
 
 
 _LEVELS = 6
-_PYRAMID = " UNION ALL ".join(f"SELECT {k} AS level, floor((x - -0.5::DOUBLE) / (1.0::DOUBLE / {1 << k}))::INT AS bx, floor((y - -0.5::DOUBLE) / (1.0::DOUBLE / {1 << k}))::INT AS "by", attribute FROM xy WHERE x >= -0.5 AND x < 0.5 AND y >= -0.5 AND y < 0.5" for k in range(_LEVELS + 1))
+_PYRAMID = " UNION ALL ".join(f'SELECT {k} AS level, floor((x - -0.5::DOUBLE) / (1.0::DOUBLE / {1 << k}))::INT AS bx, floor((y - -0.5::DOUBLE) / (1.0::DOUBLE / {1 << k}))::INT AS "by", attribute FROM xy WHERE x >= -0.5 AND x < 0.5 AND y >= -0.5 AND y < 0.5' for k in range(_LEVELS + 1))
 
 
 @query(f'WITH {XY} SELECT level, bx, "by", count(*) AS n, {R.format("sum(attribute)")} AS total FROM ({_PYRAMID}) GROUP BY ALL')
