@@ -106,8 +106,9 @@ def fit_ranking(features: np.ndarray, good: np.ndarray, pairs: int = PAIRS, step
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most about ``fit_rows`` labelled rows, chosen by a hash of doc_id."""
-    marks = labels.where(f"{label} IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_good"))
+    """Features and labels of at most about ``fit_rows`` labelled doc_ids, chosen by a hash; of rows that
+    share one the least features count, so that as many rows as ids reach the driver."""
+    marks = labels.where(f"{label} IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_good")).withColumn("_id", F.col("_id").cast("long"))
     share = min(1.0, fit_rows / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * share))
 
@@ -116,10 +117,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, fit_rows:
             at = 0
             for texts in words.slices(batch.column("text")):
                 rows = [x.tobytes() for x in text_features(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("_good").slice(at, len(texts))], names=["features", "good"])
+                own = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([own.column("_id"), own.column("_good"), pa.array(rows, pa.binary())], names=["id", "good", "features"])
                 at += len(texts)
 
-    found = docs.join(checked_broadcast(marks), F.col("doc_id") == F.col("_id")).select("text", "_good").mapInArrow(run, "features binary, good int").toArrow()
+    found = docs.join(checked_broadcast(marks), F.col("doc_id") == F.col("_id")).select("_id", "_good", "text").mapInArrow(run, "id long, good int, features binary")
+    found = found.groupBy("id", "good").agg(F.min("features").alias("features")).drop("id").toArrow()
     # In an order of their own, so that the pairs don't depend on how the rows arrive.
     found = found.sort_by([("features", "ascending"), ("good", "ascending")])
     rows = np.frombuffer(b"".join(x.as_py() for x in found.column("features")), np.float32).reshape(-1, FEATURES)
