@@ -24,9 +24,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmap.functions.joins import checked_broadcast, salted_join
+from driftmap.functions.joins import salted_join
 from driftmap.llm.text import ascii_lower
-from driftmap.sources.scratch import made, materialize, numbered, release
+from driftmap.sources.scratch import made, materialize, numbered, without
 
 #: Chunks have 256 to 4,096 characters and end behind a blank that follows two letters of these
 #: classes; a text without such places is cut at the longest length.
@@ -102,6 +102,5 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
     rows, row = numbered(docs, "exact-rows")
     since = made()
-    gone = materialize(grouped_rows(rows, F.col(row)).where("NOT kept").select(F.col("_row").alias(row)), "exact-copies")
-    release(since, -1)
-    return rows.join(checked_broadcast(gone), row, "left_anti").drop(row)
+    gone = grouped_rows(rows, F.col(row)).where("NOT kept").select(F.col("_row").alias(row))
+    return without(rows, row, gone, since)

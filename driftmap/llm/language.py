@@ -5,7 +5,8 @@ The posterior of a language is proportional to
     prior(language | host) x likelihood(text) x likelihood(declared language) x likelihood(suffix)
 
 * Text: naive Bayes over hashed byte trigrams of the letters, tempered (``TEMPER``), as neighbouring
-  trigrams aren't independent.  Counts come from all labelled training texts.
+  trigrams aren't independent.  Counts come from all labelled training texts.  The table has 2^16 cells a
+  language, or, where ``lang`` has very many values, as many fewer as keep it in ``MODEL_BYTES``.
 * Declared markup language: right with probability ``DECLARED``, else any language alike.
 * Address suffix: posteriors of the texts of all pages with that suffix, add-one smoothed, relative to
   the prior of all and to the power ``SUFFIX_WEIGHT``.
@@ -38,7 +39,7 @@ from driftmap.functions.joins import checked_broadcast, salted_join
 from driftmap.llm import words
 from driftmap.llm.tables import summed_table
 from driftmap.llm.text import ascii_lower
-from driftmap.sources.scratch import made, materialize, numbered, release
+from driftmap.sources.scratch import made, materialize, numbered, without
 
 TRIGRAM_BITS = 16
 TEMPER = 0.1
@@ -46,8 +47,8 @@ DECLARED = 0.9
 SMOOTHING = 20.0
 #: Prior probability of no language at all.
 UNKNOWN = 0.01
-#: Languages are told apart up to this number (a task holds 2^TRIGRAM_BITS counts for each); more is an error.
-MOST_LANGUAGES = 200
+#: Bytes of the model's table; beyond some 250 languages trigrams share cells, so that it stays within.
+MODEL_BYTES = 64 << 20
 #: Weight of the suffix, whose pages' texts count already by host.
 SUFFIX_WEIGHT = 0.5
 NONE = "und"
@@ -57,7 +58,12 @@ _FOLD[65:91] += 32
 _FOLD[:65] = _FOLD[91:97] = _FOLD[123:128] = 32
 
 
-def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def cell_bits(languages: int) -> int:
+    """Bits of a cell's number: TRIGRAM_BITS, or as many as ``languages`` leave room for, 8 at least."""
+    return max(8, min(TRIGRAM_BITS, (MODEL_BYTES // (4 * (languages + 1))).bit_length() - 1))
+
+
+def trigrams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(cell, doc) of every byte trigram with a letter in its middle; all but letters count as blank."""
     data, offsets = words.raw(texts)
     if len(data) < 3:
@@ -66,24 +72,23 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     folded = _FOLD[data]
     use = (folded[1:-1] != 32) & (doc[2:] == doc[:-2])
     mixed = words.mix((folded[:-2] << 16 | folded[1:-1] << 8 | folded[2:])[use].astype(np.uint64))
-    return (mixed & np.uint64((1 << TRIGRAM_BITS) - 1)).astype(np.int64), doc[1:-1][use]
+    return (mixed & np.uint64((1 << bits) - 1)).astype(np.int64), doc[1:-1][use]
 
 
 def train_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their (2^TRIGRAM_BITS, languages + 1) log probabilities from ``labelled`` (text,
-    lang); the last column is ``und``, all trigrams alike."""
-    found = [r.lang for r in labelled.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"lang has more than {MOST_LANGUAGES} values; give only rows with true language names")
-    size = 1 << TRIGRAM_BITS
+    """Languages and their (cells, languages + 1) log probabilities from ``labelled`` (text, lang); the last
+    column is ``und``, all trigrams alike."""
+    found = [r.lang for r in labelled.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").collect()]  # the languages
+    place, bits = {x: k for k, x in enumerate(found)}, cell_bits(len(found))
+    size = 1 << bits
 
     def count(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         at = 0
         for texts in words.slices(batch.column("text")):
             own = batch.column("lang").slice(at, len(texts))
             at += len(texts)
-            which = np.array([found.index(x) if x in found else -1 for x in own.to_pylist()], np.int64)
-            cell, doc = trigrams(texts)
+            which = np.array([place.get(x, -1) for x in own.to_pylist()], np.int64)
+            cell, doc = trigrams(texts, bits)
             known = which[doc] >= 0
             yield np.bincount(which[doc[known]] * size + cell[known], minlength=len(found) * size)
 
@@ -94,7 +99,7 @@ def train_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def text_logs(texts: pa.Array, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, languages + 1) tempered log likelihoods, and each row's number of trigrams."""
-    cell, doc = trigrams(texts)
+    cell, doc = trigrams(texts, len(log).bit_length() - 1)
     n = np.bincount(doc, minlength=len(texts))
     out = np.stack([np.bincount(doc, log[cell, k], len(texts)) for k in range(log.shape[1])], axis=1)
     return out * TEMPER, n
@@ -203,6 +208,4 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
     since = made()
     languages, log = train_text_model(rows)
     found = identify(document_evidence(rows, row), languages, log)
-    gone = materialize(found.where("NOT kept").select(row), "rejected")
-    release(since, -1)
-    return rows.join(checked_broadcast(gone), row, "left_anti").drop(row)
+    return without(rows, row, found.where("NOT kept").select(row), since)

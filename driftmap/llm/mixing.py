@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from driftmap.functions.joins import checked_broadcast
 from driftmap.llm.text import WORD
-from driftmap.sources.scratch import free_name, made, materialize, numbered, release
+from driftmap.sources.scratch import free_name, made, materialize, numbered, release, with_marks
 
 BLOCK = 64
 #: Slots of a shard, on average.
@@ -150,7 +150,8 @@ def repeat_to_mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: in
     since, times = made(), free_name(rows, "times")
     mix = mixed_rows(rows, F.col(row), cycle, limit, block, shard, seed).where("taken > 0")
     extra = F.expr(f"int({scattered(f'abs(coalesce(doc_id, 0) % {PRIME}) + {seed}')} / {PRIME}D < (taken % size) / size)")
-    many = mix.select(F.col("_row").alias(row), F.array_repeat(F.lit(0), (F.expr("taken div size") + extra).cast("int")).alias(times))
-    many = materialize(many.where(F.size(times) > 0), "copies")
+    many = mix.select(F.col("_row").alias(row), (F.expr("taken div size") + extra).cast("int").alias(times)).where(F.col(times) > 0)
+    marked = with_marks(rows, row, many, times, limit)
     release(since, -1)
-    return rows.join(checked_broadcast(many), row).withColumn(times, F.explode(times)).drop(row, times)
+    again = F.explode(F.array_repeat(F.lit(0), F.col(times)))
+    return marked.where(F.col(times) > 0).withColumn(times, again).drop(row, times)

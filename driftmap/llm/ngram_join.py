@@ -13,7 +13,8 @@ Two texts link when their sets of distinct n-word shingles have a Jaccard simila
    can't link and are dropped before any set moves.
 3. What is left is compared in cells.  A cell's member sets form a prefix tree over their tokens; all
    probe sets walk it at once with their overlaps so far, a path shared by members is walked once, and
-   a subtree ends where what is left of its sets can't reach the overlap asked for (``trie_links``).
+   a subtree is passed over where what is left of its longest set can't reach the overlap asked for
+   (``trie_links``).
    First each document meets the smallest document it is paired with, and each large list's smallest
    document meets that list.  That takes rows in proportion to documents and lists and mostly joins
    groups of copies whole.  Pairs, and large lists, that are then in several components are compared
@@ -47,7 +48,7 @@ from driftmap.functions.joins import checked_broadcast, salted_join
 from driftmap.llm import words
 from driftmap.llm.components import components
 from driftmap.llm.tables import summed_table
-from driftmap.sources.scratch import made, materialize, numbered, release
+from driftmap.sources.scratch import made, materialize, numbered, without
 
 SKETCH_BITS = 20
 HASH_BITS = 58
@@ -127,31 +128,50 @@ def trie_links(probes: list[np.ndarray], members: list[np.ndarray], num: int, de
     inside = np.zeros((len(vocabulary) + 1, len(some)), np.uint8)  # the last row: tokens of no probe
     for column, k in enumerate(some):
         inside[np.searchsorted(vocabulary, probes[k]), column] = 1
-    links, kept, last = [], [np.zeros(len(some), np.int64)], members[order[0]][:0]
-    for k in order:
-        own = members[k]
-        m = min(len(own), len(last))
-        differs = np.flatnonzero(own[:m] != last[:m])
-        shared = int(differs[0]) if len(differs) else m
-        del kept[shared // STEP + 1 :]  # overlaps of the path so far, after 0, STEP, 2 STEP ... tokens
-        last = own
+    links, kept = [], [np.zeros(len(some), np.int64)]
+    lengths = np.array([len(members[k]) for k in order], np.int64)
+    shared = np.array([0, *(_common(members[a], members[b]) for a, b in zip(order, order[1:]))], np.int64)  # with the member before
+    n = 0
+    while n < len(order):
+        own = members[order[n]]
+        del kept[shared[n] // STEP + 1 :]  # overlaps of the path so far, after 0, STEP, 2 STEP ... tokens
         need = -(-num * (sizes + len(own)) // (num + den))
         fits = np.minimum(sizes, len(own)) >= need
-        overlap, depth = kept[-1], (len(kept) - 1) * STEP
-        at = np.searchsorted(vocabulary, own[depth:])
+        overlap, start = kept[-1], (len(kept) - 1) * STEP
+        at = np.searchsorted(vocabulary, own[start:])
         at[at == len(vocabulary)] = 0
-        at[vocabulary[at] != own[depth:]] = len(vocabulary)
-        start = depth
-        while depth < len(own) and (fits & (overlap + (len(own) - depth) >= need)).any():
+        at[vocabulary[at] != own[start:]] = len(vocabulary)
+        depth, after = start, n + 1
+        while depth < len(own):
+            if not (fits & (overlap + (len(own) - depth) >= need)).any():
+                # The members that share this path are next.  The longest of them can reach most above what is
+                # asked of it; if even that can't, all of the subtree is passed over.
+                end = after
+                while end < len(order) and shared[end] >= depth:
+                    end += 1
+                longest = int(lengths[n:end].max())
+                if not (overlap + (longest - depth) >= -(-num * (sizes + longest) // (num + den))).any():
+                    after = end
+                break
             overlap = overlap + inside[at[depth - start : depth - start + STEP]].sum(axis=0, dtype=np.int64)
             depth += STEP
             if depth <= len(own):
                 kept.append(overlap)
         if depth >= len(own):
-            links += [(some[p], k) for p in np.flatnonzero(fits & (overlap >= need) & (den * overlap >= num * (sizes + len(own) - overlap)))]
+            links += [(some[p], order[n]) for p in np.flatnonzero(fits & (overlap >= need) & (den * overlap >= num * (sizes + len(own) - overlap)))]
+        if after < len(order) and after > n + 1:
+            shared[after] = shared[n + 1 : after + 1].min()  # the path that is left of the one walked last
+        n = after
     return links
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    m = min(len(a), len(b))
+    differs = np.flatnonzero(a[:m] != b[:m])
+    return int(differs[0]) if len(differs) else m
+
+
 def cell_links(cell: pa.Table, num: int, den: int) -> Iterator[tuple[int, int]]:
     """Links of one cell, as many as connect what is connected (a spanning forest)."""
     ids, roles = cell.column("doc_id").to_numpy(), cell.column("role").to_numpy()
@@ -360,6 +380,4 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -
     members = materialize(ids.join(checked_broadcast(found.unionByName(heads)), "_row"), "near-members")
     first = members.groupBy("component_id").agg(F.min("order").alias("first"))
     gone = salted_join(members, first, ["component_id"], ["_row"]).where("order > first").select(F.col("_row").alias(row))
-    gone = materialize(gone, "near-copies")
-    release(since, -1)
-    return rows.join(checked_broadcast(gone), row, "left_anti").drop(row)
+    return without(rows, row, gone, since)
