@@ -106,50 +106,55 @@ def text_logs(texts: pa.Array, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def with_text_logs(pages: DataFrame, log, languages: list[str]) -> DataFrame:
-    """``pages`` (any columns, text last) with ``logs`` in the place of the text."""
+    """``pages`` (any columns, text last) with ``logs`` and the posterior ``p`` of the text in its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in words.slices(batch.column("text")):
                 logs, n = text_logs(texts, log.value)
+                own = np.exp(logs - logs.max(axis=1, keepdims=True))
+                own /= own.sum(axis=1, keepdims=True)
+                array = lambda x: pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
                 rest = [batch.column(k).slice(at, len(texts)) for k in range(batch.num_columns - 1)]
-                lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * logs.shape[1], logs.ravel())
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int64)), lists], names=[*batch.schema.names[:-1], "n_trigrams", "logs"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int64)), array(logs), array(own)], names=[*batch.schema.names[:-1], "n_trigrams", "logs", "p"])
                 at += len(texts)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema[:-1])
-    return pages.mapInArrow(run, f"{schema}, n_trigrams long, logs array<double>")
+    return pages.mapInArrow(run, f"{schema}, n_trigrams long, logs array<double>, p array<double>")
 
 
-def softmax(logs: Column) -> Column:
-    most = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - most))
-    return F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+def summed(size: int) -> Column:
+    """The aggregate that adds up ``p`` element by element."""
+    return F.array(*[F.coalesce(F.sum(F.get("p", F.lit(k))), F.lit(0.0)) for k in range(size)])
 
 
-def sums(size: int) -> list[Column]:
-    """Aggregates that add up ``p`` element by element."""
-    return [F.sum(F.col("p")[k]).alias(f"p{k}") for k in range(size)]
+def total(p: Column) -> Column:
+    return F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+
+
+def added(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def bound(value: Column, f) -> Column:
+    """f of ``value``, which is computed once, also where f uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def host_priors(pages: DataFrame, languages: list[str]) -> tuple[DataFrame, list[float]]:
     """(host, prior array), host sums smoothed by their domain's, those by the sums of all; and the
     prior of all."""
     size = len(languages) + 1
-    fields = [f"p{k}" for k in range(size)]
-    total = F.lit(0.0)
-    for f in fields:
-        total = total + F.col(f)
-    by_host = materialize(pages.where("host IS NOT NULL").groupBy("host", "domain").agg(*sums(size)), "hosts")
-    every = by_host.agg(*[F.sum(f).alias(f) for f in fields]).first()
-    known = sum(every[f] or 0 for f in fields[:-1])
-    root = [((every[f] or 0) + 1) / (known + size - 1) * (1 - UNKNOWN) for f in fields[:-1]] + [UNKNOWN]
-    smoothed = lambda base: F.array(*[(F.col(f) + SMOOTHING * base(k)) / (total + SMOOTHING) for k, f in enumerate(fields)])
-    domains = by_host.groupBy("domain").agg(*[F.sum(f).alias(f) for f in fields]).select("domain", smoothed(lambda k: F.lit(root[k])).alias("above"))
+    by_host = materialize(pages.where("host IS NOT NULL").groupBy("host", "domain").agg(summed(size).alias("p")), "hosts")
+    every = by_host.agg(summed(size).alias("p")).first().p
+    known = sum(every[:-1])
+    root = [(x + 1) / (known + size - 1) * (1 - UNKNOWN) for x in every[:-1]] + [UNKNOWN]
+    smoothed = lambda p, above: bound(total(p) + SMOOTHING, lambda n: F.zip_with(p, above, lambda x, y: (x + SMOOTHING * y) / n))
+    every_host = F.array(*map(F.lit, root))
+    domains = by_host.groupBy("domain").agg(summed(size).alias("_p")).select("domain", smoothed(F.col("_p"), every_host).alias("above"))
     joined = salted_join(by_host, domains.where("domain IS NOT NULL"), ["domain"], ["host"], "left")
-    above = F.coalesce("above", F.array(*map(F.lit, root)))
-    return joined.withColumn("above", above).select("host", smoothed(lambda k: F.col("above")[k]).alias("prior")), root
+    return joined.select("host", smoothed(F.col("p"), F.coalesce("above", every_host)).alias("prior")), root
 
 
 def identify(pages: DataFrame, languages: list[str], log_table: np.ndarray) -> DataFrame:
@@ -157,30 +162,29 @@ def identify(pages: DataFrame, languages: list[str], log_table: np.ndarray) -> D
     log = pages.sparkSession.sparkContext.broadcast(log_table)
     size = len(languages) + 1
     keys = pages.columns[:-5]
-    seen = with_text_logs(pages, log, languages).withColumn("p", softmax(F.col("logs")))
-    seen = materialize(seen, "seen")
+    seen = materialize(with_text_logs(pages, log, languages), "seen")
     priors, root = host_priors(seen.where("n_trigrams > 0"), languages)
-    suffixes = seen.where("suffix IS NOT NULL AND n_trigrams > 0").groupBy(F.col("suffix").alias("_suffix")).agg(*sums(size))
-    likelihood = F.array(*[(F.col(f"p{k}") + 1) / (sum((F.col(f"p{j}") for j in range(size)), F.lit(0.0)) + size) for k in range(size)])
-    suffix_rows = checked_broadcast(materialize(suffixes.select("_suffix", likelihood.alias("by_suffix")), "suffixes"))
+    every = F.array(*map(F.lit, root))
+    suffixes = seen.where("suffix IS NOT NULL AND n_trigrams > 0").groupBy(F.col("suffix").alias("_suffix")).agg(summed(size).alias("_p"))
+    # How much likelier the suffix makes each language, to its weight.
+    likelier = bound(total(F.col("_p")) + size, lambda n: F.zip_with("_p", every, lambda x, r: F.log((x + 1) / n / r) * SUFFIX_WEIGHT))
+    suffix_rows = checked_broadcast(materialize(suffixes.select("_suffix", likelier.alias("by_suffix")), "suffixes"))
     priors = materialize(priors, "priors")  # a row for each host
     few = checked_broadcast(priors)
     joined = seen.join(few, "host", "left") if few is not priors else salted_join(seen, priors, ["host"], keys, "left")
     joined = joined.join(suffix_rows, F.col("suffix") == F.col("_suffix"), "left")
-    declared = F.array_position(F.array(*map(F.lit, languages)) if languages else F.expr("array()"), F.col("declared"))
-    logs = F.array(
-        *[
-            F.col("logs")[k]
-            + F.log(F.coalesce(F.col("prior")[k], F.lit(root[k])))
-            + F.when(F.col("by_suffix").isNull(), 0.0).otherwise(F.log(F.col("by_suffix")[k] / F.lit(root[k])) * SUFFIX_WEIGHT)
-            + F.when(F.coalesce(declared, F.lit(0)) == 0, 0.0).otherwise(F.when(declared == k + 1, F.lit(float(np.log(DECLARED)))).otherwise(F.lit(float(np.log((1 - DECLARED) / max(1, size - 1))))))
-            for k in range(size)
-        ]
-    )
-    fused = joined.withColumn("posterior_all", softmax(logs)).withColumn("posterior", F.array_max("posterior_all"))
-    lang = F.element_at(F.array(*map(F.lit, [*languages, NONE])), F.array_position("posterior_all", F.col("posterior")).cast("int"))
-    no_text = F.col("n_trigrams") == 0
-    found = fused.withColumn("lang", F.when(no_text & F.coalesce(declared, F.lit(0)).eqNullSafe(0), NONE).otherwise(lang))
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, languages)) if languages else F.expr("array()"), F.col("declared")), F.lit(0))
+    joined = joined.withColumn("declared_at", place)
+    right, wrong = float(np.log(DECLARED)), float(np.log((1 - DECLARED) / max(1, size - 1)))
+    logs = added(F.col("logs"), F.transform(F.coalesce("prior", every), lambda p: F.log(p)))
+    logs = F.when(F.col("by_suffix").isNull(), logs).otherwise(added(logs, F.col("by_suffix")))
+    fused = joined.withColumn("fused", logs)
+    said = F.transform("fused", lambda x, k: x + F.when(k + 1 == F.col("declared_at"), right).otherwise(wrong))
+    fused = fused.withColumn("fused", F.when(F.col("declared_at") == 0, F.col("fused")).otherwise(said)).withColumn("most", F.array_max("fused"))
+    posterior = 1 / bound(F.col("most"), lambda m: F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - m)))
+    lang = F.element_at(F.array(*map(F.lit, [*languages, NONE])), F.array_position("fused", F.col("most")).cast("int"))
+    named = F.when((F.col("n_trigrams") == 0) & (F.col("declared_at") == 0), NONE).otherwise(lang)
+    found = fused.select(*keys, named.alias("lang"), posterior.alias("posterior"))
     return found.select(*keys, "lang", "posterior", (F.col("lang") != NONE).alias("kept"))
 
 
