@@ -37,6 +37,7 @@ memory of one task, about twenty times its size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -238,17 +239,30 @@ def star_cells(pairs: DataFrame) -> DataFrame:
     return cells.select(F.format_string("s %d %d", "center", "block").alias("cell"), "doc_id", "role")
 
 
-def list_cells(entries: DataFrame, lists: DataFrame) -> DataFrame:
-    """Cells that compare all pairs of each list: one cell if it is small, else blocks by blocks."""
-    blocks = lists.select("token", F.expr(f"CASE WHEN n <= {SMALL} THEN 1 ELSE (n - 1) div {BLOCK} + 1 END").cast("int").alias("blocks"))
-    own = salted_join(entries, blocks, ["token"], ["doc_id"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # A block meets each block after it and itself: the smaller number probes.
-    met = own.select("token", "doc_id", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    return met.select(
-        F.format_string("t %d %d %d", "token", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
-        "doc_id",
-        F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"),
-    )
+def list_cells(entries: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Cells that compare all pairs of each list (token, n) that may be close enough in size: one cell if
+    the list is small, else its documents by classes of size, in blocks, with those of their own class and the
+    next one.  ``entries`` are (token, doc_id, m); a negative size is unknown and in every class."""
+    sized = salted_join(entries, lists.select("token", "n"), ["token"], ["doc_id"])
+    small = sized.where(f"n <= {SMALL}").select(F.format_string("t %d", "token").alias("cell"), "doc_id", F.lit(3).alias("role"))
+    # Sizes of one class differ by less than what a link allows; a hair more, as logarithms round.
+    size_class = F.expr(f"int(floor(ln(m) / {math.log(den / num) * (1 + 1e-9) if num < den else 1.0}))")
+    large = sized.where(f"n > {SMALL}").drop("n")
+    known = large.where("m > 0").select("token", "doc_id", size_class.alias("s"))
+    blocks = materialize(known.groupBy("token", "s").agg(F.expr(f"int((count(1) - 1) div {BLOCK} + 1)").alias("blocks")), "size-classes")
+    classes = blocks.groupBy("token").agg(F.collect_set("s").alias("all"))
+    unknown = large.where("m <= 0").join(classes, "token", "left").select("token", "doc_id", F.explode(F.coalesce("all", F.array(F.lit(0)))).alias("s"))
+    own = salted_join(known.unionByName(unknown), blocks, ["token", "s"], ["doc_id"], "left")
+    placed = own.select("token", "doc_id", "s", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("own"))
+    near = placed.withColumn("s2", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)))
+    others = blocks.select("token", F.col("s").alias("s2"), F.col("blocks").alias("many"))
+    met = salted_join(near, others, ["token", "s2"], ["doc_id"], "left").where("many IS NOT NULL OR s = s2")
+    met = met.select("token", "doc_id", "s", "own", "s2", F.explode(F.sequence(F.lit(0), F.coalesce("many", F.lit(1)) - 1)).alias("other"))
+    # The smaller of two blocks probes.
+    mine, other = F.struct("s", "own"), F.struct(F.col("s2").alias("s"), F.col("other").alias("own"))
+    low, high = F.when(mine <= other, mine).otherwise(other), F.when(mine <= other, other).otherwise(mine)
+    name = F.format_string("t %d %d %d %d %d", "token", low["s"], low["own"], high["s"], high["own"])
+    return small.unionByName(met.select(name.alias("cell"), "doc_id", F.when(mine == other, 3).when(mine < other, 1).otherwise(2).alias("role")))
 
 
 # ---- the join
@@ -307,13 +321,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     for last in (False, True):
         whole = components(links)
         labels = whole.select(F.col("id").alias("doc_id"), "component_id")
-        labelled = large.select("token", "doc_id").join(labels, "doc_id", "left")
-        labelled = materialize(labelled.select("token", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id")).distinct(), "labelled")
+        labelled = large.select("token", "doc_id", "m").join(labels, "doc_id", "left")
+        labelled = materialize(labelled.select("token", "doc_id", "m", F.coalesce("component_id", "doc_id").alias("component_id")).distinct(), "labelled")
         open_lists = materialize(_open_lists(labelled), "open")
         if last:
-            cells = list_cells(*_merged(labelled, open_lists))
+            cells = list_cells(*_merged(labelled, open_lists), num, den)
         else:  # what pairs are not in one component yet; large lists get another centre
-            in_lists = list_cells(labelled, open_lists.where(f"n <= {SMALL}").select("token", "n"))
+            in_lists = list_cells(labelled.select("token", "doc_id", "m"), open_lists.where(f"n <= {SMALL}").select("token", "n"), num, den)
             centres = open_lists.where(f"n > {SMALL}").select("token", F.col("other").alias("center"))
             in_stars = salted_join(labelled, centres, ["token"], ["doc_id"]).select("center", "doc_id")
             cells = in_lists.unionByName(star_cells(in_stars.unionByName(_apart(pairs, whole))))
@@ -350,17 +364,17 @@ def _open_lists(labelled: DataFrame) -> DataFrame:
 
 
 def _merged(labelled: DataFrame, open_lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries (token, doc_id) and lists (token, n), where lists of mostly the same documents are one.
+    """Entries (token, doc_id, m) and lists (token, n), where lists of mostly the same documents are one.
 
     A passage that many documents share gives a list for each of its shingles.  Lists with the same
     least hash of a document (as probable as their overlap) become one if their union has at most
     twice the documents of the longest; comparing the union compares all that its lists would.
     """
-    own = materialize(labelled.select("token", "doc_id").distinct().join(checked_broadcast(open_lists.select("token", "n")), "token"), "open-entries")
+    own = materialize(labelled.select("token", "doc_id", "m").distinct().join(checked_broadcast(open_lists.select("token", "n")), "token"), "open-entries")
     twins = own.groupBy("token", "n").agg(F.min(F.xxhash64("doc_id")).alias("twin"))
     entries = salted_join(own.drop("n"), twins, ["token"], ["doc_id"])
     longest = entries.groupBy("twin").agg(F.max("n").alias("longest"))
-    unions = entries.select("twin", "doc_id").distinct()
+    unions = entries.select("twin", "doc_id", "m").distinct()
     sizes = unions.groupBy("twin").agg(F.count(F.lit(1)).alias("n"))
     merged = materialize(sizes.join(longest, "twin").where("n <= 2 * longest").select(F.col("twin").alias("token"), "n"), "merged")
     together = salted_join(unions.withColumnRenamed("twin", "token"), merged.select("token"), ["token"], ["doc_id"])
