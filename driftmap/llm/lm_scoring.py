@@ -8,11 +8,11 @@ secret key that each run draws anew (``words.hashes``; a bigram's is the sum of
 lane of its own).  Two different ones are counted as one with a probability of 2^-64, whoever chose the
 texts.
 
-Counts are gathered by a shuffle.  Each slice of a few megabytes of text sends its distinct words and
-bigrams, sorted and dealt by key into buckets whose number grows with the text, and gets back the
-corpus's counts of the same keys in the same order.  So a key has at most one entry a slice however
-common it is, and neither the driver nor a task holds a model.  The slices are then scored by their
-own counts.
+Counts are gathered by a shuffle.  A slice is up to ``PARTS`` parts of a few megabytes of text, which are read
+one after another and whose distinct words and bigrams are merged.  Each slice sends those, sorted and dealt
+by key into buckets whose number grows with the text, and gets back the corpus's counts of the same keys
+in the same order.  So a key has at most one entry a slice however common it is, and neither the driver nor a
+task holds a model.  The parts are then scored by their slice's counts.
 
 A document's score is its loss a word (in nats) under the target model less that under the background
 model: the lower, the more it is like the target.
@@ -38,8 +38,10 @@ from driftmap.llm import words
 from driftmap.sources.scratch import materialize
 
 BIGRAM_WEIGHT = 0.6
-#: Text bytes of a slice, and of a bucket: the least, and the most beyond FEW_BUCKETS of them.
-SLICE_BYTES, LEAST_BYTES, MOST_BYTES = 4_000_000, 1 << 17, 12 << 20
+#: Text bytes of a part, and parts of a slice at most.
+PART_BYTES, PARTS = 4_000_000, 8
+#: Text bytes of a bucket: the least, and the most beyond FEW_BUCKETS of them.
+LEAST_BYTES, MOST_BYTES = 1 << 17, 12 << 20
 FEW_BUCKETS = 1024
 #: The keys of all words out of the vocabulary and of the place before a text's first word.
 UNKNOWN, START = np.uint64(0), np.uint64(0xA0761D6478BD642F)
@@ -85,52 +87,75 @@ def most_frequent(docs: DataFrame, size: int, key: np.ndarray) -> Vocabulary:
 
 
 def sliced(texts: DataFrame) -> DataFrame:
-    """(slice, bytes, rows): ``texts`` (doc_id, text, target) in slices, each a compressed Arrow stream."""
+    """(slice, bytes, parts): ``texts`` (doc_id, text, target) in slices, each a list of compressed Arrow streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, size, parts = TaskContext.get().partitionId() << 32, 0, []
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int64()), "bytes": pa.array([size], pa.int64()), "parts": pa.array([parts], pa.list_(pa.binary()))})
+
         for batch in batches:
             at = 0
-            for part in words.slices(batch.column("text"), SLICE_BYTES):
+            for part in words.slices(batch.column("text"), PART_BYTES):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(batch.slice(at, len(part)))
-                size = int(pc.sum(pc.binary_length(part)).as_py() or 0)
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int64()), "bytes": pa.array([size], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-                number += 1
+                parts.append(sink.getvalue().to_pybytes())
+                size += int(pc.sum(pc.binary_length(part)).as_py() or 0)
                 at += len(part)
+                if len(parts) == PARTS or size >= PARTS * PART_BYTES:
+                    yield row()
+                    number, size, parts = number + 1, 0, []
+        if parts:
+            yield row()
 
-    return materialize(texts.mapInArrow(run, "slice long, bytes long, rows binary"), "slices")
+    return materialize(texts.mapInArrow(run, "slice long, bytes long, parts array<binary>"), "slices")
 
 
-class Slice:
-    """The distinct words (with START) and bigrams of a slice in the order of their keys: ``keys``, the
+class Part:
+    """The distinct words (with START) and bigrams of a part in the order of their keys: ``keys``, the
     place ``at`` of each word and bigram in them, and their ``counts`` in background and target."""
 
-    def __init__(self, rows: bytes, vocabulary: Vocabulary | None, key: np.ndarray):
-        table = pa.ipc.open_stream(pa.py_buffer(rows)).read_all().combine_chunks()
+    def __init__(self, rows: pa.Buffer, vocabulary: Vocabulary | None, key: np.ndarray):
+        table = pa.ipc.open_stream(rows).read_all().combine_chunks()
         self.doc_id = table.column("doc_id").combine_chunks()
-        self.words = w = words.Words(table.column("text").combine_chunks())
+        w = words.Words(table.column("text").combine_chunks())
+        self.rows, self.words, doc = w.rows, w.counts, w.doc
         n = len(w.code)
         word, second = w.hashes(key)
         if vocabulary is not None:
             unknown = vocabulary.numbers(word) == 0
             word[unknown] = second[unknown] = UNKNOWN
         first = np.ones(n, bool)
-        first[1:] = w.doc[1:] != w.doc[:-1]
+        first[1:] = doc[1:] != doc[:-1]
         before = np.empty_like(word)
         before[1:], before[first] = word[:-1], START
-        target = table.column("target").to_numpy()[w.doc].astype(np.int64)
+        target = table.column("target").to_numpy()[doc].astype(np.int64)
         single, at = np.unique(np.concatenate([word, np.full(first.sum(), START)]), return_inverse=True)
         pair, pair_at = np.unique(before + second, return_inverse=True)
-        self.keys, self.at = (single, pair), (at[:n], pair_at)
-        self.context = np.empty(n, np.int64)
-        self.context[1:] = at[: max(n - 1, 0)]
-        self.context[first] = np.searchsorted(single, START)
+        self.keys = (single, pair)
+        context = np.empty(n, np.int32)
+        context[1:] = at[: max(n - 1, 0)]
+        context[first] = np.searchsorted(single, START)
+        self.at, self.context = (at[:n].astype(np.int32), pair_at.astype(np.int32)), context
         sides = np.concatenate([target, target[first]])
         self.counts = [np.bincount(p + len(k) * s, minlength=2 * len(k)).reshape(2, -1) for p, k, s in ((at, single, sides), (pair_at, pair, target))]
 
 
+class Slice:
+    """The parts of a slice, and their distinct ``keys`` with summed ``counts``."""
+
+    def __init__(self, parts: pa.Array, vocabulary: Vocabulary | None, key: np.ndarray):
+        self.parts = [Part(x.as_buffer(), vocabulary, key) for x in parts]
+        self.keys, self.counts = [], []
+        for kind in (0, 1):
+            distinct, at = np.unique(np.concatenate([p.keys[kind] for p in self.parts]), return_inverse=True)
+            own = np.concatenate([p.counts[kind] for p in self.parts], axis=1)
+            self.keys.append(distinct)
+            self.counts.append(np.stack([np.bincount(at, side, len(distinct)).astype(np.int64) for side in own]))
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """64-bit numbers by planes of bytes, compressed."""
     return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T), "zstd", asbytes=True)
@@ -151,8 +176,8 @@ def slice_keys(slices: DataFrame, buckets: int, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, rows in zip(batch.column("slice").to_pylist(), batch.column("rows")):
-                s = Slice(rows.as_buffer(), *shared.value)
+            for number, parts in zip(batch.column("slice").to_pylist(), batch.column("parts")):
+                s = Slice(parts.values, *shared.value)
                 of = [((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) for k in s.keys]
                 used = np.unique(np.concatenate(of))  # a slice reaches few of very many buckets
                 ends = [(np.searchsorted(x, used).tolist(), np.searchsorted(x, used, "right").tolist()) for x in of]
@@ -169,7 +194,7 @@ def slice_keys(slices: DataFrame, buckets: int, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_NAMES)
         words.give_back()
 
-    return slices.select("slice", "rows").mapInArrow(run, _KEYS)
+    return slices.select("slice", "parts").mapInArrow(run, _KEYS)
 
 
 def add_bucket(table: pa.Table) -> pa.Table:
@@ -208,19 +233,24 @@ def cross_entropy_difference(docs: DataFrame, vocabulary_size: int | None = None
     floor = distinct + 1  # and the unknown word
 
     def score(rows: pa.Table, found: pa.Table) -> pa.Table:
-        s = Slice(rows.column("rows")[0].as_buffer(), *shared.value)
+        s = Slice(rows.column("parts")[0].values, *shared.value)
         found = found.sort_by("bucket")
-        single, pair = (np.concatenate([np.zeros((2, 0), np.int64), *(unpacked(x.as_buffer(), 2 * m).view(np.int64).reshape(2, m) for x, m in zip(found.column(f"counts{k}"), found.column(f"n{k}").to_pylist()))], axis=1) for k in "01")
-        w = s.words
-        n = w.counts.astype(np.float64)
-        losses = []
-        for side in (1, 0):
-            alone = (single[side][s.at[0]] + 1.0) / (sums[side] + floor)
-            both = np.minimum(pair[side][s.at[1]] / np.maximum(single[side][s.context], 1), 1.0)
-            losses.append(np.bincount(w.doc, -np.log(BIGRAM_WEIGHT * both + (1 - BIGRAM_WEIGHT) * alone), w.rows) / np.maximum(n, 1))
-        none = n == 0
-        columns = [s.doc_id, pa.array(w.counts.astype(np.int64)), *(pa.array(x, mask=none) for x in (*losses, losses[0] - losses[1]))]
-        return pa.Table.from_arrays(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+        totals = [np.concatenate([np.zeros((2, 0), np.int64), *(unpacked(x.as_buffer(), 2 * m).view(np.int64).reshape(2, m) for x, m in zip(found.column(f"counts{k}"), found.column(f"n{k}").to_pylist()))], axis=1) for k in "01"]
+        out = []
+        for part in s.parts:
+            single, pair = (total[:, np.searchsorted(keys, own)] for total, keys, own in zip(totals, s.keys, part.keys))
+            n = part.words.astype(np.float64)
+            doc = np.repeat(np.arange(part.rows), part.words)
+            losses = []
+            for side in (1, 0):
+                alone = (single[side][part.at[0]] + 1.0) / (sums[side] + floor)
+                both = np.minimum(pair[side][part.at[1]] / np.maximum(single[side][part.context], 1), 1.0)
+                losses.append(np.bincount(doc, -np.log(BIGRAM_WEIGHT * both + (1 - BIGRAM_WEIGHT) * alone), part.rows) / np.maximum(n, 1))
+            none = n == 0
+            columns = [part.doc_id, pa.array(part.words.astype(np.int64)), *(pa.array(x, mask=none) for x in (*losses, losses[0] - losses[1]))]
+            out.append(pa.Table.from_arrays(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"]))
+        words.give_back()
+        return pa.concat_tables(out)
 
     counts = totals.select("slice", "bucket", "n0", "counts0", "n1", "counts1").groupBy("slice")
-    return slices.select("slice", "rows").groupBy("slice").cogroup(counts).applyInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    return slices.select("slice", "parts").groupBy("slice").cogroup(counts).applyInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")
