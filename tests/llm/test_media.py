@@ -75,3 +75,11 @@ def test_query_columns(spark):
 def test_a_stream_without_header_is_refused():
     with pytest.raises(ValueError, match="no image header"):
         media.decode_png(media.SIGNATURE + media.chunk(b"IDAT", b"") + media.chunk(b"IEND", b""))
+
+
+def test_columns_that_clash(spark):
+    rows = [(1, "abc", 7, b"x", "f"), (2, None, 7, b"x", "f"), (None, "abc", 7, b"x", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes long, media binary, feature string")
+    got = {r.doc_id: r for r in media.media_features(df).collect()}
+    assert got[1].n_bytes == 3 and got[2].n_bytes == 0 and got[None].feature == got[1].feature and len(got) == 3
+    assert media.media_features(df.where("false")).count() == 0

@@ -263,3 +263,71 @@ def test_long_texts_ties_and_empty_tables(spark):
 def test_user_names_are_no_hosts(spark):
     pages = spark.createDataFrame([(1, "http://user:pw@Host.xx:80/a@b", None), (2, "http://host.yy/a@b", None)], "page_id long, url string, html string")
     assert {r.page_id: r.host for r in language.page_evidence(pages).collect()} == {1: "host.xx", 2: "host.yy"}
+
+
+def test_page_evidence_by_hand(spark):
+    """Text, declared language, suffix, host and domain of pages, fused by plain sums."""
+    labelled = [(t, lang) for lang, letters in (("xx", "abcd"), ("yy", "efgh")) for t in texts_of(letters, 4, 15)]
+    languages, log = language.train_text_model(spark.createDataFrame(labelled, "text string, lang string"))
+    rng = random.Random(6)
+    sites = ["a.one.xx", "b.one.xx", "one.yy", "c.two.yy", None]
+    rows = []
+    for k, t in enumerate(texts_of("abcdefgh", 7, 40)):
+        site, said = rng.choice(sites), rng.choice([None, "xx", "YY", "zz"])
+        html = f"<html{f' lang={said}' if said else ''}><script>hgfe hgfe</script><p>{t}</p></html>"
+        rows.append((k, f"http://{site}/p" if site else None, html, "clash", 1.0, "x"))
+    rows += [(90, "http://one.yy/", "<html lang='xx'></html>", "", 0.0, ""), (91, None, None, "", 0.0, ""), (None, "http://one.yy/", "<p>efgh efg</p>", "", 0.0, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, posterior double, text string")
+    evidence = [r.asDict() for r in language.page_evidence(pages).collect()]
+    assert all((e["domain"], e["suffix"]) == ((".".join(e["host"].split(".")[-2:]), e["host"].split(".")[-1]) if e["host"] else (None, None)) for e in evidence)
+
+    def logs(text):
+        fold = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+        found = [fold[k : k + 3] for k in range(len(fold) - 2) if fold[k + 1] != 32]
+        cells = [int(words.mix(np.array([g[0] << 16 | g[1] << 8 | g[2]], np.uint64))[0]) % len(log) for g in found]
+        return [language.TEMPER * sum(float(log[c, k]) for c in cells) for k in range(3)], len(found)
+
+    soft = lambda v: [math.exp(a - max(v)) / sum(math.exp(b - max(v)) for b in v) for a in v]
+    own = [(e, *logs(e["text"])) for e in evidence]
+    add = lambda chosen: [sum(soft(v)[k] for _, v, _ in chosen) for k in range(3)]
+    seen = [x for x in own if x[2]]
+    every = add([x for x in seen if x[0]["host"]])
+    root = [(e + 1) / (sum(every[:2]) + 2) * (1 - language.UNKNOWN) for e in every[:2]] + [language.UNKNOWN]
+    smooth = lambda s, above: [(s[k] + language.SMOOTHING * above[k]) / (sum(s) + language.SMOOTHING) for k in range(3)]
+    want = []
+    for e, v, n in own:
+        level = root
+        if e["host"]:
+            level = smooth(add([x for x in seen if x[0]["domain"] == e["domain"]]), root)
+            level = smooth(add([x for x in seen if x[0]["host"] == e["host"]]), level)
+        total = [a + math.log(p) for a, p in zip(v, level)]
+        if e["suffix"]:
+            of = add([x for x in seen if x[0]["suffix"] == e["suffix"]])
+            total = [a + language.SUFFIX_WEIGHT * math.log((of[k] + 1) / (sum(of) + 3) / root[k]) for k, a in enumerate(total)]
+        if e["declared"] in languages:
+            total = [a + math.log(language.DECLARED if k == languages.index(e["declared"]) else (1 - language.DECLARED) / 2) for k, a in enumerate(total)]
+        p = soft(total)
+        named = [*languages, "und"][p.index(max(p))] if n or e["declared"] in languages else "und"
+        want.append((str(e["page_id"]), named, round(max(p), 4)))
+    got = language.identify(language.page_evidence(pages), languages, log).collect()
+    assert sorted((str(r.page_id), r.lang, round(r.posterior, 4)) for r in got) == sorted(want)
+    assert len({x[1] for x in want}) == 3
+
+
+def test_very_many_languages(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}x " * 5, f"l{k:03d}", "s") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    languages, log = language.train_text_model(docs)
+    assert len(languages) == 300 and log.shape == (2 ** language.cell_bits(300), 301) and log.nbytes <= language.MODEL_BYTES
+    assert language.keep_known_languages(docs).count() > 0 and language.cell_bits(4) == language.TRIGRAM_BITS
+
+
+def test_quality_of_long_texts_ties_and_repeated_labels(spark):
+    long = "Good words here. " * 60_000
+    rows = [(k, "fine words in a row " * (k % 5 + 1) if k % 2 else "### $$$ %%%" * (k % 5 + 1), 0.5) for k in range(60)] + [(100, long, 1.0), (101, long, 1.0), (2, "### again", 0.0), (2, "### again", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(2, 0)] * 50, "doc_id long, quality int")
+    got = quality.score_quality(docs, marks).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id in (100, 101)}) == 1
+    x, good = quality.labelled_features(docs.select("doc_id", "text"), marks, "quality", 1000)
+    assert len(x) == 60 and good.sum() == 30  # a row an id, however often it occurs
