@@ -7,6 +7,8 @@ kernel turns into weight one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,11 +96,11 @@ def tau_curve(graph: DataFrame, low: float = -10.0, high: float = 10.0, steps: i
     """(idx, log_eps, eps, density, normalized, gradient) over a grid of scales, one pass over the graph."""
     from pyspark.sql import Window
 
-    gap = (high - low) / (steps - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.struct(k.alias("idx"), (F.lit(low) + k * F.lit(gap)).alias("log_eps")))
-    # The grid has a fixed, small size; sums for it combine in each task.
-    spread = graph.select("w", F.explode(grid).alias("g"))
-    sums = spread.groupBy("g.idx", "g.log_eps").agg(F.sum(F.exp(-F.col("w") / F.exp("g.log_eps"))).alias("s"))
+    scales = [low + k * (high - low) / (steps - 1) for k in range(steps)]
+    # One row with a sum for each scale; an edge is no more than one row on the way.
+    added = graph.agg(*[F.sum(F.exp(-F.col("w") / math.exp(e))).alias(f"s{k}") for k, e in enumerate(scales)])
+    each = [F.struct(F.lit(k).alias("idx"), F.lit(e).alias("log_eps"), F.col(f"s{k}").alias("s")) for k, e in enumerate(scales)]
+    sums = added.select(F.explode(F.array(*each)).alias("g")).select("g.idx", "g.log_eps", "g.s")
     curve = sums.select("idx", "log_eps", F.exp("log_eps").alias("eps"), F.log(F.col("s") + 1e-10).alias("density"))
     every, order = Window.partitionBy(), Window.orderBy("idx")
     low_, high_ = F.min("density").over(every), F.max("density").over(every)
