@@ -12,7 +12,8 @@ The permutation is a swap-or-not shuffle, a bijection for any number of blocks,
 column arithmetic; so are the random numbers, which depend on the seed and the position alone, so
 reruns agree.  All steps are DataFrame functions.  The slots are made chunk by chunk in as many tasks
 as they need, a large source is spread by its blocks, and the running totals that number its words
-go over hash buckets of documents, so it never meets in a task.
+go over hash buckets of documents, so it never meets in a task.  A bucket crowded by rows that share
+their doc_id (or have none) and their size is split by row.
 
 Defined cases: a null text has no words; a null source is a source, the last in order; sources
 without words get target 0; repeated rows, also with equal or null doc_id, are separate documents; an
@@ -37,6 +38,8 @@ ROUNDS = 8
 CHUNK, TASK_SLOTS = 4096, 100_000
 #: Documents of a bucket of running totals, if there are more than LEAST_BUCKETS such.
 BUCKET_ROWS, LEAST_BUCKETS = 20_000, 1024
+#: Rows of a source in one bucket beyond which the bucket is split by row.
+CROWDED = 100_000
 PRIME = 2147483647
 SECOND = 2147483629
 
@@ -108,8 +111,24 @@ def mix_slots(sources: DataFrame, seed: int = 11, shard: int = SHARD) -> DataFra
     return drawn.selectExpr(f"{scattered('x * x')} % {shards} AS shard", "sid", "block")
 
 
+def word_starts(named: DataFrame) -> DataFrame:
+    """``named`` (_row, doc_id, sid, size, bucket) with ``part`` and ``start``: the words of the documents
+    of its source before it, in the order of buckets, parts, doc_id, size and row."""
+    counts = named.groupBy("sid", "bucket").agg(F.count(F.lit(1)).alias("_rows")).where(f"_rows > {CROWDED}")
+    crowded = materialize(counts.select("sid", "bucket", F.expr(f"_rows div {BUCKET_ROWS} + 1").alias("_parts")), "crowded")
+    dealt = named.join(checked_broadcast(crowded), ["sid", "bucket"], "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("_row"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    place = ["bucket", "part"]
+    totals = dealt.groupBy("sid", *place).agg(F.sum("size").alias("_words"))
+    before = Window.partitionBy("sid").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("sid", *place, F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("sid", *place).orderBy(F.col("doc_id").asc_nulls_last(), "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["sid", *place])
+    return placed.withColumn("start", F.col("_base") + F.col("_inside")).drop("_base", "_inside")
+
+
 def mixed_rows(docs: DataFrame, row: Column, cycle: tuple[int, ...], limit: int, block: int, shard: int, seed: int) -> DataFrame:
-    """_row, doc_id, size, source_size, target, taken, first_shard: one row a document."""
+    """_row, doc_id, sid, start, size, source_size, target, taken, first_shard: one row a document."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = materialize(docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("size")), "sizes")
     buckets = max(LEAST_BUCKETS, sized.count() // BUCKET_ROWS)
@@ -117,19 +136,15 @@ def mixed_rows(docs: DataFrame, row: Column, cycle: tuple[int, ...], limit: int,
     ids = sources.select("sid", F.col("source").alias("_source"))
     bucket = F.expr(f"{scattered(f'abs(coalesce(doc_id, 0) % {PRIME}) + {scattered("size")}')} % {buckets}")
     named = sized.join(checked_broadcast(ids), F.col("source").eqNullSafe(F.col("_source"))).select("_row", "doc_id", "sid", "size", bucket.alias("bucket"))
-    totals = named.groupBy("sid", "bucket").agg(F.sum("size").alias("_words"))
-    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("sid", "bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = named.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("_inside"))
+    placed = word_starts(named)
     spans = F.when(F.col("size") > 0, F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))
     pieces = placed.select("_row", "doc_id", "sid", "size", "start", F.explode_outer(spans).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     uses = materialize(mix_slots(sources, seed, shard).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"), F.min("shard").alias("shard")), "uses")
     used = pieces.join(uses, ["sid", "block"], "left")
-    taken = used.groupBy("_row", "doc_id", "sid", "size").agg(F.coalesce(F.sum(overlap * F.col("uses")), F.lit(0)).alias("taken"), F.min("shard").alias("first_shard"))
+    taken = used.groupBy("_row", "doc_id", "sid", "start", "size").agg(F.coalesce(F.sum(overlap * F.col("uses")), F.lit(0)).alias("taken"), F.min("shard").alias("first_shard"))
     facts = checked_broadcast(sources.select("sid", "source_size", "target"))
-    return taken.join(facts, "sid").select("_row", "doc_id", "size", "source_size", "target", "taken", "first_shard")
+    return taken.join(facts, "sid").select("_row", "doc_id", "sid", "start", "size", "source_size", "target", "taken", "first_shard")
 
 
 def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = BLOCK, shard: int = SHARD, seed: int = 11) -> DataFrame:
@@ -139,17 +154,20 @@ def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: in
     Sources in code point order, null last, weigh ``cycle`` repeating; targets share all words by
     weight, but stop at ``limit`` times a source's size.
     """
-    return mixed_rows(docs, F.monotonically_increasing_id(), cycle, limit, block, shard, seed).drop("_row")
+    return mixed_rows(docs, F.monotonically_increasing_id(), cycle, limit, block, shard, seed).drop("_row", "sid", "start")
 
 
 def repeat_to_mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = BLOCK, shard: int = SHARD, seed: int = 11) -> DataFrame:
     """``docs`` with each row as often as the mix takes its words: the whole part of taken / size,
-    and once more with the rest as probability.  Rows without words go; rows that share a doc_id, or
+    and once more with the rest as probability, drawn for each row.  Rows without words go; rows that share a doc_id, or
     have none, are taken each by itself.  All columns stay as they are."""
     rows, row = numbered(docs, "mix-rows")
     since, times = made(), free_name(rows, "times")
     mix = mixed_rows(rows, F.col(row), cycle, limit, block, shard, seed).where("taken > 0")
-    extra = F.expr(f"int({scattered(f'abs(coalesce(doc_id, 0) % {PRIME}) + {seed}')} / {PRIME}D < (taken % size) / size)")
+    # A row's random number is that of its first word's place: rows that share a doc_id draw each its own.
+    x = scattered(f"{scattered(f'sid + {seed}')} + start")
+    mix = mix.withColumn("_x", F.expr(x))
+    extra = F.expr(f"int({scattered('_x * _x')} / {PRIME}D < (taken % size) / size)")
     many = mix.select(F.col("_row").alias(row), (F.expr("taken div size") + extra).cast("int").alias(times)).where(F.col(times) > 0)
     marked = with_marks(rows, row, many, times, limit)
     release(since, -1)

@@ -121,3 +121,32 @@ def test_rows_that_share_an_id_are_taken_each_by_itself(spark):
     assert got.columns == docs.columns
     found = [r["_id"] for r in got.collect()]
     assert "y" not in found and "n" not in found and {"x", "z"} <= set(found) and all(r["_again"] == 1 and r["a.b"] == 4 for r in got.collect())
+
+
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    """Rows without doc_id and of one size share a bucket: its parts stay small, and words are numbered without gaps."""
+    monkeypatch.setattr(mixing, "CROWDED", 100)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    facts = [(k, None, 1, 4, 7) for k in range(2000)] + [(5000 + k, k, 1, 1 + k % 3, k % 5) for k in range(60)] + [(9000, None, 2, 0, 7), (9001, None, 2, 9, 7)]
+    named = spark.createDataFrame(facts, "_row long, doc_id long, sid int, size long, bucket long")
+    got = mixing.word_starts(named).collect()
+    assert len(got) == len(facts)
+    parts = {}
+    for r in got:
+        parts[r.sid, r.bucket, r.part] = parts.get((r.sid, r.bucket, r.part), 0) + 1
+    assert max(parts.values()) < 100 and len(parts) > 30
+    for sid in (1, 2):
+        spans = sorted((r.start, r.start + r.size) for r in got if r.sid == sid and r["size"])
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_rows_without_ids_draw_their_own_repeats(spark):
+    """All documents alike and without doc_id: some come once, some twice, and the words come near the target."""
+    docs = spark.createDataFrame([(None, "w " * 10, "a", k) for k in range(3000)] + [(None, "w " * 10, "b", k) for k in range(3000, 5000)], "doc_id long, text string, source string, n int")
+    got = mixing.repeat_to_mix(docs, cycle=(1, 2), block=7)
+    times = {(r.source, r.n): r["count"] for r in got.groupBy("source", "n").count().collect()}
+    words = {s: sum(10 * n for (x, _), n in times.items() if x == s) for s in "ab"}
+    want = targets({"a": 30_000, "b": 20_000}, (1, 2))
+    for s in "ab":
+        assert abs(words[s] - want[s]) < 0.06 * want[s]
+    assert len({times.get(("b", k), 0) for k in range(3000, 5000)}) > 1
