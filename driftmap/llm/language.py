@@ -52,8 +52,12 @@ MODEL_BYTES = 64 << 20
 #: Weight of the suffix, whose pages' texts count already by host.
 SUFFIX_WEIGHT = 0.5
 NONE = "und"
+#: Bytes of text whose trigrams are made at a time.
+CHUNK = 1 << 18
+#: Bytes of texts whose likelihoods are summed at a time; a longer text is whole.
+LOG_BYTES = 500_000
 
-_FOLD = np.arange(256, dtype=np.int64)
+_FOLD = np.arange(256, dtype=np.int32)
 _FOLD[65:91] += 32
 _FOLD[:65] = _FOLD[91:97] = _FOLD[123:128] = 32
 
@@ -67,12 +71,16 @@ def trigrams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(cell, doc) of every byte trigram with a letter in its middle; all but letters count as blank."""
     data, offsets = words.raw(texts)
     if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    folded = _FOLD[data]
-    use = (folded[1:-1] != 32) & (doc[2:] == doc[:-2])
-    mixed = words.mix((folded[:-2] << 16 | folded[1:-1] << 8 | folded[2:])[use].astype(np.uint64))
-    return (mixed & np.uint64((1 << bits) - 1)).astype(np.int64), doc[1:-1][use]
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
+    use, cells = np.zeros(len(data) - 2, bool), []
+    for at in range(0, len(use), CHUNK):  # 64-bit temporaries of a chunk only
+        folded, own = _FOLD[data[at : at + CHUNK + 2]], doc[at : at + CHUNK + 2]
+        some = (folded[1:-1] != 32) & (own[2:] == own[:-2])
+        use[at : at + CHUNK] = some
+        mixed = words.mix((folded[:-2] << 16 | folded[1:-1] << 8 | folded[2:])[some].astype(np.uint64))
+        cells.append((mixed & np.uint64((1 << bits) - 1)).astype(np.int32))
+    return np.concatenate(cells), doc[1:-1][use]
 
 
 def train_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -87,7 +95,7 @@ def train_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         for texts in words.slices(batch.column("text")):
             own = batch.column("lang").slice(at, len(texts))
             at += len(texts)
-            which = np.array([place.get(x, -1) for x in own.to_pylist()], np.int64)
+            which = np.array([place.get(x, -1) for x in own.to_pylist()], np.int32)  # size times languages is far below 2^31
             cell, doc = trigrams(texts, bits)
             known = which[doc] >= 0
             yield np.bincount(which[doc[known]] * size + cell[known], minlength=len(found) * size)
@@ -111,7 +119,7 @@ def with_text_logs(pages: DataFrame, log, languages: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in words.slices(batch.column("text")):
+            for texts in words.slices(batch.column("text"), LOG_BYTES):
                 logs, n = text_logs(texts, log.value)
                 own = np.exp(logs - logs.max(axis=1, keepdims=True))
                 own /= own.sum(axis=1, keepdims=True)
@@ -119,6 +127,7 @@ def with_text_logs(pages: DataFrame, log, languages: list[str]) -> DataFrame:
                 rest = [batch.column(k).slice(at, len(texts)) for k in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int64)), array(logs), array(own)], names=[*batch.schema.names[:-1], "n_trigrams", "logs", "p"])
                 at += len(texts)
+        words.give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema[:-1])
     return pages.mapInArrow(run, f"{schema}, n_trigrams long, logs array<double>, p array<double>")
