@@ -2,7 +2,7 @@
 
 A text is cut at places where the tokenizer's own rules always cut (``piece_starts``): round the strings
 of its added tokens, before a blank that leads a word, round a single newline between words, and between
-ASCII letters and punctuation.  Most pieces of a corpus repeat, so the pieces of two megabytes are told
+ASCII letters and punctuation.  Most pieces of a corpus repeat, so the pieces of a megabyte are told
 apart by their bytes, each distinct one is encoded once, many in one call and apart by newlines, and
 short ones are remembered; the ids of all texts are put together by array indexing.
 The result is the same as encoding each text whole; the tests hold it against that.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from driftmap.llm import words
 
 #: Text bytes whose distinct pieces are encoded together.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Bytes of distinct pieces in one call.
 CALL_BYTES = 64_000
 #: Pieces that a worker remembers, and the longest of them.

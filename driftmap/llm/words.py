@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at a time; the temporaries take about twenty times as much.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
