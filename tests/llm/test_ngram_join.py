@@ -90,8 +90,8 @@ def test_empty_table(spark):
 
 def test_overlapping_lists_become_one_and_others_stay(spark):
     lists = {t: range(100) for t in (1, 2)} | {3: range(1, 99), 4: range(500, 600), 5: [*range(700, 800), 0]}
-    rows = [(t, d, d) for t, docs in lists.items() for d in docs]
-    labelled = spark.createDataFrame(rows, "token long, doc_id long, component_id long")
+    rows = [(t, d, 10, d) for t, docs in lists.items() for d in docs]
+    labelled = spark.createDataFrame(rows, "token long, doc_id long, m long, component_id long")
     sizes = spark.createDataFrame([(t, len(d)) for t, d in lists.items()], "token long, n long")
     entries, merged = ngram_join._merged(labelled, sizes)
     found = {}
