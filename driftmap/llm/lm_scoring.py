@@ -140,20 +140,52 @@ class Part:
         context[first] = np.searchsorted(single, START)
         self.at, self.context = (at[:n].astype(np.int32), pair_at.astype(np.int32)), context
         sides = np.concatenate([target, target[first]])
-        self.counts = [np.bincount(p + len(k) * s, minlength=2 * len(k)).reshape(2, -1) for p, k, s in ((at, single, sides), (pair_at, pair, target))]
+        self.counts = [np.bincount(p + len(k) * s, minlength=2 * len(k)).astype(np.int32).reshape(2, -1) for p, k, s in ((at, single, sides), (pair_at, pair, target))]
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """The distinct ones of several sorted arrays of ``keys``, and the sums of their ``counts`` in background
+    and target (32 bits: a slice has less text).  The sort is one that makes use of sorted runs."""
+    every = np.concatenate(keys)
+    if counts is None:
+        every.sort(kind="stable")
+        return every[np.append(True, every[1:] != every[:-1])] if len(every) else every, None
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    sums = np.empty((2, len(starts)), np.int32)
+    for side in (0, 1):
+        own = np.concatenate([c[side] for c in counts])
+        sums[side] = np.add.reduceat(own[order], starts) if len(starts) else 0
+    return every[starts], sums
+
+
+def slice_counts(parts: pa.Array, vocabulary: Vocabulary | None, key: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct words and bigrams of a slice, and their counts: a part leaves only its own behind."""
+    own = [[], []]
+    for x in parts:
+        part = Part(x.as_buffer(), vocabulary, key)
+        for kind in (0, 1):
+            own[kind].append((part.keys[kind], part.counts[kind]))
+        del part
+    keys, counts = [], []
+    for found in own:
+        k, c = merged(*map(list, zip(*found)))
+        found.clear()
+        keys.append(k)
+        counts.append(c)
+    return keys, counts
 
 
 class Slice:
-    """The parts of a slice, and their distinct ``keys`` with summed ``counts``."""
+    """The parts of a slice, without their counts, and their distinct ``keys``."""
 
     def __init__(self, parts: pa.Array, vocabulary: Vocabulary | None, key: np.ndarray):
-        self.parts = [Part(x.as_buffer(), vocabulary, key) for x in parts]
-        self.keys, self.counts = [], []
-        for kind in (0, 1):
-            distinct, at = np.unique(np.concatenate([p.keys[kind] for p in self.parts]), return_inverse=True)
-            own = np.concatenate([p.counts[kind] for p in self.parts], axis=1)
-            self.keys.append(distinct)
-            self.counts.append(np.stack([np.bincount(at, side, len(distinct)).astype(np.int64) for side in own]))
+        self.parts = []
+        for x in parts:
+            self.parts.append(Part(x.as_buffer(), vocabulary, key))
+            del self.parts[-1].counts
+        self.keys = [merged([p.keys[kind] for p in self.parts])[0] for kind in (0, 1)]
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -177,22 +209,25 @@ def slice_keys(slices: DataFrame, buckets: int, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, parts in zip(batch.column("slice").to_pylist(), batch.column("parts")):
-                s = Slice(parts.values, *shared.value)
-                of = [((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) for k in s.keys]
-                used = np.unique(np.concatenate(of))  # a slice reaches few of very many buckets
+                found, counts = slice_counts(parts.values, *shared.value)
+                of = [((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) for k in found]
+                used = np.unique(np.concatenate([y for x in of for y in (x[:1], x[1:][x[1:] != x[:-1]])]))  # a slice reaches few of very many buckets
                 ends = [(np.searchsorted(x, used).tolist(), np.searchsorted(x, used, "right").tolist()) for x in of]
+                del of
                 out: list[tuple] = []
                 for at, b in enumerate(used.tolist()):
                     row: list = [number, b]
-                    for keys, counts, (first, last) in zip(s.keys, s.counts, ends):
+                    for keys, n, (first, last) in zip(found, counts, ends):
                         part = slice(first[at], last[at])
                         own = keys[part]
-                        row += [len(own), packed(np.diff(own, prepend=np.uint64(0))), packed(np.ascontiguousarray(counts[:, part]).reshape(-1))]
+                        row += [len(own), packed(np.diff(own, prepend=np.uint64(0))), packed(n[:, part].astype(np.int64).reshape(-1))]
                     out.append(tuple(row))
+                del found, counts
                 columns = list(zip(*out)) or [()] * len(_NAMES)
                 kinds = [pa.int64(), pa.int32(), *[pa.int32(), pa.binary(), pa.binary()] * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_NAMES)
-        words.give_back()
+                del out, columns
+                words.give_back()
 
     return slices.select("slice", "parts").mapInArrow(run, _KEYS)
 

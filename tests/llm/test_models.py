@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -331,3 +332,31 @@ def test_quality_of_long_texts_ties_and_repeated_labels(spark):
     assert len(got) == len(rows) and len({r.score for r in got if r.doc_id in (100, 101)}) == 1
     x, good = quality.labelled_features(docs.select("doc_id", "text"), marks, "quality", 1000)
     assert len(x) == 60 and good.sum() == 30  # a row an id, however often it occurs
+
+
+def test_slices_of_the_models_merge_their_parts_in_little_memory():
+    rng, parts, size, want = np.random.default_rng(3), [], 0, Counter()
+    for _ in range(8):
+        texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 50_000) for _ in range(200)]
+        size += sum(map(len, texts))
+        want.update(w for t in texts for w in t.split())
+        rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(200), pa.int64()), "text": texts, "target": pa.array([k % 2 == 0 for k in range(200)])})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_batch(rows)
+        parts.append(sink.getvalue().to_pybytes())
+    parts, key = pa.array(parts, pa.binary()), words.new_key(2)
+    tracemalloc.start()
+    keys, counts = lm_scoring.slice_counts(parts, None, key)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9 * size  # it was 11.5 times the text when all parts were held with 64-bit counts
+    assert (np.diff(keys[0].astype(object)) > 0).all() and len(keys[0]) == len(want) + 1
+    assert sorted(counts[0].sum(axis=0)) == sorted([*want.values(), 1600])
+    assert counts[1].sum() == sum(want.values())
+    empty = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": pa.array([None], pa.string()), "target": [True]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, empty.schema) as out:
+        out.write_batch(empty)
+    keys, counts = lm_scoring.slice_counts(pa.array([sink.getvalue().to_pybytes()], pa.binary()), None, key)
+    assert [len(k) for k in keys] == [0, 0] and [c.shape for c in counts] == [(2, 0), (2, 0)]
