@@ -334,3 +334,12 @@ def test_settings_are_checked(bad):
     with pytest.raises(ValueError):
         Settings(**bad)
     assert Settings(tau="auto").columns_stored == 1001 and Settings(divide_by_std=False).mode == "covariance"
+
+
+def test_lanczos_reaches_an_end_of_the_spectrum_that_is_dense():
+    n, offsets = 6000, (1, 5, 25)
+    want = np.sort(sum(2 - 2 * np.cos(2 * np.pi * np.arange(n) * o / n) for o in offsets))[::-1][:6]
+    times = lambda b: 6 * b - sum(np.roll(b, o, axis=0) + np.roll(b, -o, axis=0) for o in offsets)
+    values, vectors, steps = spectral.lanczos(times, n, 6, True, 1e-9, 300, 1.2)  # restarts after 8 blocks took more
+    assert np.allclose(values, want, rtol=0, atol=1e-9) and steps < 300
+    assert np.abs(times(vectors) - vectors * values).max() < 1e-7
