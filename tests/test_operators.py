@@ -343,3 +343,19 @@ def test_lanczos_reaches_an_end_of_the_spectrum_that_is_dense():
     values, vectors, steps = spectral.lanczos(times, n, 6, True, 1e-9, 300, 1.2)  # restarts after 8 blocks took more
     assert np.allclose(values, want, rtol=0, atol=1e-9) and steps < 300
     assert np.abs(times(vectors) - vectors * values).max() < 1e-7
+
+
+def test_the_best_of_a_block_are_those_of_a_sort():
+    rng = np.random.default_rng(4)
+    for n, k, kind in [(1, 3, "plain"), (9, 4, "whole"), (900, 11, "plain"), (900, 2, "whole"), (900, 11, "equal"), (900, 50, "copies"), (900, 5, "undefined")]:
+        v = rng.integers(0, 2, (n, 8)).astype(float) if kind == "whole" else rng.standard_normal((n, 8))
+        v = np.ones((n, 8)) if kind == "equal" else v[rng.integers(0, 20, n)] if kind == "copies" else v
+        std = np.where(np.arange(n) % 2, np.nan if kind == "undefined" else 1.0, 0.0 if kind == "undefined" else 1.0)
+        block = (np.arange(n) * 3, v, np.zeros(n), std)
+        got = [tuple(r.values()) for x in similarity._best_of_block(block, block, 8, "pearson", k) for r in x.to_pylist()]
+        scores = v @ v.T / 8
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores = np.where(np.outer(std, std) > 0, scores / np.outer(std, std), -np.inf)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        want = [(3 * i, 3 * int(j), r + 1, scores[i, j]) for i in range(n) for r, j in enumerate(order[i]) if np.isfinite(scores[i, j])]
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
