@@ -1,5 +1,6 @@
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -31,3 +32,17 @@ def test_same_rows_as_duckdb(spark, name):
 def test_flagship(spark):
     if os.path.isdir(SF):
         assert catalogue.flagship(spark, SF).columns == ["vec_id", "label", "eigvec_0", "eigvec_1"]
+
+
+def test_blocks_of_neighbours_are_few_and_pairs_are_not_made_one_by_one(spark, tmp_path, monkeypatch):
+    """Patterns are sent once for each block, so blocks must not grow in number with the patterns."""
+    rng = random.Random(2)
+    rows = [(k, [rng.random() for _ in range(64)], k % 3) for k in range(4000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(catalogue.similarity, "pair_scores", None)
+    merged = sorted(map(tuple, catalogue.QUERIES["knn_blocked_merge"](spark, str(tmp_path)).collect()))
+    asked, nearest = [], catalogue.similarity.nearest
+    monkeypatch.setattr(catalogue.similarity, "nearest", lambda *a, **k: asked.append(k["block_bytes"]) or nearest(*a, **k))
+    pairs = sorted(map(tuple, catalogue.QUERIES["knn_block_pairs"](spark, str(tmp_path)).collect()))
+    assert -(-4000 * 64 * 8 // asked[0]) <= 16
+    assert merged == pairs and len(pairs) == 11 * 4000
