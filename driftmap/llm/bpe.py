@@ -4,7 +4,7 @@ A text is cut at places where the tokenizer's own rules always cut (``piece_star
 of its added tokens, before a blank that leads a word, round a single newline between words, and between
 ASCII letters and punctuation.  Most pieces of a corpus repeat, so the pieces of a megabyte are told
 apart by their bytes, each distinct one is encoded once, many in one call and apart by newlines, and
-short ones are remembered; the ids of all texts are put together by array indexing.
+short ones are remembered (``Known``); the ids of all texts are put together by array indexing.
 The result is the same as encoding each text whole; the tests hold it against that.
 
 Memory doesn't depend on the corpus: a task holds a slice of texts (``words.SLICE_BYTES``, or one longer
@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from driftmap.llm import words
 
@@ -27,8 +28,8 @@ from driftmap.llm import words
 BLOCK = 1_000_000
 #: Bytes of distinct pieces in one call.
 CALL_BYTES = 64_000
-#: Pieces that a worker remembers, and the longest of them.
-REMEMBERED, SHORT = 300_000, 64
+#: Pieces that a worker remembers, and the longest of them (``words.keyed`` hashes those in numpy).
+REMEMBERED, SHORT = 600_000, words.LONG
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -45,6 +46,61 @@ _MARK[48:58] = _MARK[39] = False
 _MARK &= ~_LETTER
 
 
+class Known:
+    """Pieces with their ids, as arrays: some sixty bytes a piece.  Keyed hashes lead to a piece's place, where
+    its bytes are compared."""
+
+    def __init__(self):
+        self.key = words.new_key(1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        #: Bytes and ids of the pieces one behind another, with some room, and where each piece's begin.
+        self.names, self.ids = np.zeros(0, np.uint8), np.zeros(0, "<u4")
+        self.name_starts, self.id_starts = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def hashed(self, pieces: pa.Array) -> np.ndarray:
+        return words.keyed(pieces, self.key)[0]
+
+    def find(self, pieces: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The place of each of ``pieces``, none empty, or -1."""
+        if not len(self.hashes):
+            return np.full(len(pieces), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        data, offsets = words.raw(pieces)
+        place, sizes, out = self.places[at], np.diff(offsets), np.full(len(pieces), -1)
+        own = np.flatnonzero((self.hashes[at] == hashes) & (self.name_starts[place + 1] - self.name_starts[place] == sizes))
+        if len(own):
+            same = gather(self.names, self.name_starts[place[own]], sizes[own]) == gather(data, offsets[own], sizes[own])
+            own = own[np.add.reduceat(same, np.cumsum(sizes[own]) - sizes[own], dtype=np.int64) == sizes[own]]
+            out[own] = place[own]
+        return out
+
+    def add(self, pieces: pa.Array, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        if len(self.hashes) + len(pieces) > REMEMBERED:
+            self.clear()
+        data, offsets = words.raw(pieces)
+        place = np.arange(len(self.hashes), len(self.hashes) + len(pieces), dtype=np.int32)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.places = np.insert(self.hashes, at, hashes[order]), np.insert(self.places, at, place[order])
+        self.names = _appended(self.names, int(self.name_starts[-1]), data)
+        self.ids = _appended(self.ids, int(self.id_starts[-1]), ids)
+        self.name_starts = np.append(self.name_starts, self.name_starts[-1] + offsets[1:])
+        self.id_starts = np.append(self.id_starts, self.id_starts[-1] + np.cumsum(counts))
+
+
+def _appended(values: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``values`` with ``more`` behind the first ``used``, and with room behind that."""
+    if used + len(more) > len(values):
+        larger = np.empty((used + len(more)) * 3 // 2, values.dtype)
+        larger[:used] = values[:used]
+        values = larger
+    values[used : used + len(more)] = more
+    return values
+
+
 class Encoder:
     """A tokenizer with what it knows of pieces."""
 
@@ -59,45 +115,61 @@ class Encoder:
         self.whole = any(t.lstrip or t.rstrip or t.single_word or "\n" in t.content for t in added)
         strings = sorted((t.content.encode() for t in added), key=len, reverse=True)
         self.added = re.compile(b"|".join(map(re.escape, strings))) if strings else None
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each of ``pieces``, as little-endian 32-bit numbers."""
-        known = self.known
-        fresh = [p for p in pieces if p not in known]
-        got = dict(zip(fresh, self.encoded(fresh)))
-        out = [got[p] if p in got else known[p] for p in pieces]
-        short = {p: x for p, x in got.items() if len(p) <= SHORT}
-        if len(known) + len(short) > REMEMBERED:
-            known.clear()
-        known.update(short)
-        return out
-
-    def encoded(self, pieces: list[bytes]) -> Iterator[bytes]:
-        """As ``ids``, all by the tokenizer.  Pieces without blanks, but for one in front, are encoded
-        together, each with a newline behind it."""
-        data, offsets = words.raw(pa.array(pieces, pa.large_binary()))
+        self.known = Known()
+
+    def ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count): the ids of piece k are ``ids[first[k] : first[k] + count[k]]``."""
+        known, sizes = self.known, np.asarray(pc.binary_length(pieces), np.int64)
+        short = np.flatnonzero(sizes <= SHORT)
+        brief = pieces.take(pa.array(short))
+        hashes = known.hashed(brief)
+        place = np.full(len(pieces), -1)
+        place[short] = known.find(brief, hashes)
+        old, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        count = np.zeros(len(pieces), np.int64)
+        begin = known.id_starts[place[old]]
+        count[old] = known.id_starts[place[old] + 1] - begin
+        remembered = gather(known.ids, begin, count[old])
+        fresh, count[new] = self.encoded(pieces.take(pa.array(new)))
+        first = np.zeros(len(pieces), np.int64)
+        order = np.concatenate([old, new])
+        first[order] = np.cumsum(count[order]) - count[order]
+        kept = place[short] < 0
+        if kept.any():
+            which = short[kept]
+            known.add(pieces.take(pa.array(which)), hashes[kept], gather(fresh, first[which] - len(remembered), count[which]), count[which])
+        return np.concatenate([remembered, fresh]), first, count
+
+    def encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``pieces`` one behind another, and their number for each, all by the tokenizer.
+        Pieces without blanks, but for one in front, are encoded together, each with a newline behind it."""
+        data, offsets = words.raw(pieces)
         odd = np.concatenate(([0], np.cumsum(_BLANK[data] | _UNSURE[data])))
         starts, ends = offsets[:-1], offsets[1:]
         lead = (data[starts] == 32).astype(np.int64) if len(starts) else starts
         plain = (odd[ends] == odd[starts + lead]) & (ends > starts + lead) & (self.newline is not None)
-        batch = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        # One call at a time: an encoding takes far more memory than its ids.
+        call = lambda x: np.array(self.tokenizer.encode_batch_fast([x.tobytes().decode()], add_special_tokens=False)[0].ids, "<u4")
+        parts, counts = [np.zeros(0, "<u4")], np.zeros(len(pieces), np.int64)
+        breaks = np.append(np.flatnonzero(~plain), len(pieces))
         at = 0
         while at < len(pieces):
             to = at + 1
             if plain[at]:
-                while to < len(pieces) and plain[to] and ends[to] - starts[at] < CALL_BYTES:
-                    to += 1
-                # One call at a time: an encoding takes far more memory than its ids.
-                found = np.array(batch([b"\n".join([*pieces[at:to], b""]).decode()])[0].ids, "<u4")
-                marks = np.flatnonzero(found == self.newline).tolist()
+                # Up to the next piece that isn't plain, or CALL_BYTES.
+                to = max(to, min(int(breaks[np.searchsorted(breaks, at)]), int(np.searchsorted(ends, starts[at] + CALL_BYTES))))
+                found = call(np.insert(data[starts[at] : ends[to - 1]], ends[at:to] - starts[at], 10))
+                marks = np.flatnonzero(found == self.newline)
                 if len(marks) == to - at:
-                    yield from (found[a:b].tobytes() for a, b in zip([0, *(m + 1 for m in marks)], marks))
+                    counts[at:to] = np.diff(marks, prepend=-1) - 1
+                    parts.append(np.delete(found, marks))
                     at = to
                     continue
-            for piece in pieces[at:to]:
-                yield np.array(batch([piece.decode()])[0].ids, "<u4").tobytes()
+            for k in range(at, to):
+                parts.append(call(data[starts[k] : ends[k]]))
+                counts[k] = len(parts[-1])
             at = to
+        return np.concatenate(parts), counts
 
 
 @lru_cache(maxsize=2)
@@ -163,10 +235,9 @@ def encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     found, parts, total, upto = encoder(path), [], 0, np.zeros(len(offsets), np.int64)
     for edges in pieces(found, data, offsets) if len(data) else ():
         own = words.runs_by_value(data, edges)
-        ids = found.ids(own.dictionary.to_pylist())
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ids, first, counts = found.ids(own.dictionary)
         which = own.indices.to_numpy()
-        parts.append(gather(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(counts) - counts)[which], counts[which]))
+        parts.append(gather(ids, first[which], counts[which]))
         reached = total + np.concatenate(([0], np.cumsum(counts[which])))
         a, b = np.searchsorted(offsets, edges[0]), np.searchsorted(offsets, edges[-1])
         upto[a:b] = reached[np.searchsorted(edges, offsets[a:b])]

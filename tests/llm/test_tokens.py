@@ -50,6 +50,26 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch, block):
     assert ids.tolist() == [i for x in want for i in x]
 
 
+def test_pieces_are_remembered_beyond_some_hundred_thousand():
+    """Invented words are many: what was encoded once must not be forgotten soon."""
+    texts = pa.array([" ".join(f"w{k:x}q" for k in range(a, a + 1000)) for a in range(0, 320_000, 1000)])
+    bpe.encoder.cache_clear()
+    ids, counts = bpe.encode(PATH, texts)
+    bpe.encoder(PATH).tokenizer = None  # no call may follow
+    again = bpe.encode(PATH, texts)
+    bpe.encoder.cache_clear()
+    assert again[0].tolist() == ids.tolist() and again[1].tolist() == counts.tolist()
+    assert ids[: counts[0]].tolist() == reference(texts[0].as_py(), 1)[:-1]
+
+
+def test_pieces_with_equal_hashes_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr(bpe.Known, "hashed", lambda self, pieces: np.zeros(len(pieces), np.uint64))
+    bpe.encoder.cache_clear()
+    for text in ("one two six", "two ten", "six one", "ten two two"):
+        assert bpe.encode(PATH, pa.array([text]))[0].tolist() == reference(text, 1)[:-1]
+    bpe.encoder.cache_clear()
+
+
 @pytest.mark.parametrize("lengths", [[7, 5, 5, 3, 3, 2, 1], [10, 10, 1], [], [4] * 9])
 def test_best_fit_takes_the_tightest_window(lengths):
     got = packing.best_fit(lengths, 10)
