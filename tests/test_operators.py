@@ -359,3 +359,48 @@ def test_the_best_of_a_block_are_those_of_a_sort():
         order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         want = [(3 * i, 3 * int(j), r + 1, scores[i, j]) for i in range(n) for r, j in enumerate(order[i]) if np.isfinite(scores[i, j])]
         assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
+def test_equal_patterns_tie_in_any_block():
+    """Products of blocks round equal columns unlike; the smaller index must come first all the same."""
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(2503, 64)).astype(np.float32).astype(float)
+    same = np.sort(rng.choice(len(v), 350, replace=False))
+    v[same] = v[same[0]]
+    block = (np.arange(len(v)), v, v.mean(axis=1), v.std(axis=1))
+    own = tuple(x[:199] for x in block)
+    found = {}
+    for batch in similarity._best_of_block(own, block, 64, "inner", 2500):
+        for r in batch.to_pylist():
+            found.setdefault(r["i"], []).append(r["j"])
+    assert len(found) == 199
+    for js in found.values():
+        ties = [j for j in js if j in set(same.tolist())]
+        assert ties == sorted(ties)
+
+
+@pytest.mark.parametrize("mode", similarity.MODES)
+def test_all_pairs_by_blocks(spark, mode):
+    """Whole, and with nulls where a score is undefined."""
+    v = np.random.default_rng(8).normal(size=(50, 6))
+    v[7] = 2.0
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(50, None), (51, [1.0, None, 2.0, 0.0, 1.0, 1.0]), (52, [1.0, 2.0, 4.0]), (53, [])]
+    rows = pixels.with_stats(spark.createDataFrame(rows, "global_idx long, pattern array<double>"))
+    c, m, s = v @ v.T / 6, v.mean(axis=1), v.std(axis=1)
+    want = c - np.outer(m, m) if mode in ("pearson", "covariance") else c
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = want / np.outer(s, s) if mode in ("pearson", "normalized") else want
+    for got in (similarity.pair_scores(rows, 6, mode), similarity.pair_scores(rows, 6, mode, matrix_bytes=500, block_rows=9)):
+        found = {(r.i, r.j): r.value for r in got.collect()}
+        assert len(found) == 54 * 54
+        for (i, j), value in found.items():
+            if max(i, j) < 50 and np.isfinite(want[i, j]) and not (7 in (i, j) and mode in ("pearson", "normalized")):
+                assert value == pytest.approx(want[i, j], abs=1e-12)
+            elif i == j == 52:
+                assert value is not None
+            elif i == j == 53:
+                assert value == (0 if mode == "inner" else None)
+            else:
+                assert value is None
+    some = similarity.pair_scores(rows, 6, mode, F.col("global_idx") < 2)
+    assert some.count() == 2 * 54 and some.select("i").distinct().count() == 2
