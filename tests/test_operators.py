@@ -345,6 +345,14 @@ def test_lanczos_reaches_an_end_of_the_spectrum_that_is_dense():
     assert np.abs(times(vectors) - vectors * values).max() < 1e-7
 
 
+def test_lanczos_keeps_enough_at_a_restart():
+    """Where the smallest values are dense, restarts from the wanted vectors alone took over 300 steps."""
+    held = 1.4 * np.arange(6000) / 6000
+    values, vectors, steps = spectral.lanczos(lambda b: held[:, None] * b, 6000, 6, False, 1e-9, 300, 0.2)
+    assert np.allclose(values, held[:6], rtol=0, atol=1e-9) and steps < 250
+    assert np.allclose(np.abs(vectors[:6]), np.eye(6), rtol=0, atol=1e-5)
+
+
 def test_the_best_of_a_block_are_those_of_a_sort():
     rng = np.random.default_rng(4)
     for n, k, kind in [(1, 3, "plain"), (9, 4, "whole"), (900, 11, "plain"), (900, 2, "whole"), (900, 11, "equal"), (900, 50, "copies"), (900, 5, "undefined")]:
