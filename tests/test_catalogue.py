@@ -46,3 +46,9 @@ def test_blocks_of_neighbours_are_few_and_pairs_are_not_made_one_by_one(spark, t
     pairs = sorted(map(tuple, catalogue.QUERIES["knn_block_pairs"](spark, str(tmp_path)).collect()))
     assert -(-4000 * 64 * 8 // asked[0]) <= 16
     assert merged == pairs and len(pairs) == 11 * 4000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_pairs_are_not_rounded_one_by_one(spark):
+    for name in ("sim_inner", "sim_normalized", "sim_pearson", "sim_pearson_masked_by_all_pixels"):
+        assert "round(" not in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

@@ -412,3 +412,28 @@ def test_all_pairs_by_blocks(spark, mode):
                 assert value is None
     some = similarity.pair_scores(rows, 6, mode, F.col("global_idx") < 2)
     assert some.count() == 2 * 54 and some.select("i").distinct().count() == 2
+
+
+def test_scores_are_rounded_where_they_are_made(spark):
+    """A rounding of each joined row took most of the time of the queries that make all pairs."""
+    halves = np.array([0.5, 1.5, 2.5, -0.5, -2.5, 0.4999999999999999, -0.2, 1e300, 4503599627370497.0, np.inf, np.nan])
+    got, got_scaled = halves.copy(), np.array([0.1234565, -0.1234565, -1e-9, 1e305])
+    similarity._round(got, 0)
+    similarity._round(got_scaled, 6)
+    assert np.array_equal(got, [1, 2, 3, -1, -3, 0, 0, 1e300, 4503599627370497.0, np.inf, np.nan], equal_nan=True)
+    assert not np.signbit(got[6]) and got_scaled.tolist() == [0.123457, -0.123457, 0.0, 1e305] and not np.signbit(got_scaled[2])
+    rng = np.random.default_rng(8)
+    data = [(k, rng.standard_normal(4).tolist(), float(rng.random()), 0.0 if k == 3 else None if k == 5 else 1.0) for k in range(60)]
+    rows = spark.createDataFrame(data, "global_idx long, pattern array<double>, mean double, std double")
+    for options in ({}, {"matrix_bytes": 500, "block_rows": 9}):
+        for mode in similarity.MODES:
+            plain, fine = (sorted(map(tuple, df.collect())) for df in (similarity.pair_scores(rows, 4, mode, **options).withColumn("value", F.round("value", 6) + F.lit(0.0)), similarity.pair_scores(rows, 4, mode, digits=6, **options)))
+            assert plain == fine and len(fine) == 3600
+
+
+def test_blocks_whose_pairs_are_all_kept_are_few(spark):
+    """Each pattern is sent once for each block; pairs leave in batches, so that blocks of thousands of rows fit."""
+    rows = spark.range(3000).select(F.col("id").alias("global_idx"), F.array(*[F.rand(k) for k in range(4)]).alias("pattern"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("std"))
+    found = similarity.pair_scores(rows, 4, "inner", matrix_bytes=90_000)
+    assert "sequence(0, 1," in found._jdf.queryExecution().analyzed().toString()
+    assert found.agg(F.count("value"), F.count_distinct("i", "j")).first() == (9_000_000, 9_000_000)
