@@ -353,6 +353,20 @@ def test_lanczos_keeps_enough_at_a_restart():
     assert np.allclose(np.abs(vectors[:6]), np.eye(6), rtol=0, atol=1e-5)
 
 
+def test_lanczos_goes_on_while_it_gets_on():
+    """Patterns along a curve make a band of a matrix, whose smallest values lie so close that 300 steps end too early."""
+    n, offsets = 4000, (1, 2)
+    want = np.sort(sum(2 - 2 * np.cos(2 * np.pi * np.arange(n) * o / n) for o in offsets))[:6]
+    times = lambda b: 4 * b - sum(np.roll(b, o, axis=0) + np.roll(b, -o, axis=0) for o in offsets)
+    values, vectors, steps = spectral.lanczos(times, n, 6, False, 1e-9, 300, 0.8)
+    assert np.allclose(values, want, rtol=0, atol=1e-12) and steps > 300
+    assert np.abs(times(vectors) - vectors * values).max() < 1e-8 and np.allclose(vectors.T @ vectors, np.eye(6), rtol=0, atol=1e-10)
+    # Residuals of zero can't be reached, and values that stand still end it.
+    held = np.linspace(0.1, 1.5, 400)
+    with pytest.raises(RuntimeError, match="no nearer"):
+        spectral.lanczos(lambda b: held[:, None] * b, 400, 2, False, 0.0, 100, 0.15)
+
+
 def test_the_best_of_a_block_are_those_of_a_sort():
     rng = np.random.default_rng(4)
     for n, k, kind in [(1, 3, "plain"), (9, 4, "whole"), (900, 11, "plain"), (900, 2, "whole"), (900, 11, "equal"), (900, 50, "copies"), (900, 5, "undefined")]:
