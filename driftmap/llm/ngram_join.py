@@ -10,15 +10,18 @@ Two texts link when their sets of distinct n-word shingles have a Jaccard simila
 2. Sets that link have l common tokens among their first m - ceil(num / den * m) + l (m: a set's
    size, l: 1 + 3% of it).  Those prefixes are grouped by token into lists of documents.  Lists of up
    to ``PAIRED`` documents give pairs; pairs of too different sizes, or with too few common tokens,
-   can't link and are dropped before any set moves.
+   can't link and are dropped before any set moves.  Lists of up to ``COUNTED`` documents do so later,
+   for documents that are in different components then.
 3. What is left is compared in cells.  A cell's member sets form a prefix tree over their tokens; all
    probe sets walk it at once with their overlaps so far, a path shared by members is walked once, and
    a subtree is passed over where what is left of its longest set can't reach the overlap asked for
    (``trie_links``).
    First each document meets the smallest document it is paired with, and each large list's smallest
-   document meets that list.  That takes rows in proportion to documents and lists and mostly joins
-   groups of copies whole.  Pairs, and large lists, that are then in several components are compared
-   until no pair is left that could link; large lists of mostly the same documents as one list.
+   document meets those of that list that it shares many lists with.  That takes rows in proportion to
+   documents and lists and mostly joins groups of copies whole.  Pairs, and larger lists, that are then in
+   several components are compared until no pair is left that could link; pairs that hang together as one
+   cell or by blocks, where that takes fewer sets than the pairs one by one, and larger lists of mostly the
+   same documents as one list.
 
 Large groups of copies cost rows in proportion to their size, not to its square, as pairs that are
 already in one component need no look.  Joins back from lists are salted.
@@ -57,7 +60,10 @@ HASH_BITS = 58
 BLOCK = 256
 #: Lists up to this size give pairs of documents, whose common tokens are counted.
 PAIRED = 64
-#: Larger lists up to this size are compared exhaustively in one cell.
+#: Longer lists up to this size give pairs of documents of different components.  Unlike documents share ever longer
+#: lists by chance as a corpus grows, and the sets of all their documents would be many times the texts.
+COUNTED = 4096
+#: Lists longer than that, and parts of them, up to this size are compared exhaustively in one cell.
 SMALL = 256
 #: Prefixes are longer by this share of a set, and linked sets have as many more tokens in common there.
 ELL_PERCENT = 3
@@ -239,16 +245,38 @@ def star_cells(pairs: DataFrame) -> DataFrame:
     return cells.select(F.format_string("s %d %d", "center", "block").alias("cell"), "doc_id", "role")
 
 
+def pair_cells(pairs: DataFrame) -> DataFrame:
+    """Cells that compare the documents of each of ``pairs`` (a, b).  Pairs that hang together are all pairs of
+    their documents, in blocks, where that takes fewer rows than a cell for each of the smaller documents."""
+    pairs = materialize(pairs.where("a <> b").distinct(), "pairs")
+    groups = components(pairs)
+    labelled = pairs.join(groups.select(F.col("id").alias("b"), F.col("component_id").alias("group")), "b")  # the larger of a pair has a row
+    docs = groups.groupBy(F.col("component_id").alias("group")).agg((F.count(F.lit(1)) + 1).alias("docs"))
+    facts = labelled.groupBy("group").agg(F.count(F.lit(1)).alias("pairs")).join(docs, "group")
+    facts = materialize(facts.withColumn("blocks", F.expr(f"(docs - 1) div {BLOCK} + 1")).withColumn("dense", F.expr("docs * blocks <= 2 * pairs")), "pair-groups")
+    apart = salted_join(labelled, facts.where("NOT dense").select("group"), ["group"], ["b"]).select(F.col("a").alias("center"), F.col("b").alias("doc_id"))
+    dense = facts.where("dense").select("group", "blocks")
+    members = groups.select(F.col("component_id").alias("group"), F.col("id").alias("doc_id")).unionByName(dense.select("group", F.col("group").alias("doc_id")))
+    own = salted_join(members, dense, ["group"], ["doc_id"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    met = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    name = F.format_string("p %d %d %d", "group", F.least("own", "other"), F.greatest("own", "other"))
+    role = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return star_cells(apart).unionByName(met.select(name.alias("cell"), "doc_id", role.alias("role")))
+
+
+def _size_class(num: int, den: int):
+    """Sizes of one class differ by less than what a link allows; a hair more, as logarithms round."""
+    return F.expr(f"int(floor(ln(m) / {math.log(den / num) * (1 + 1e-9) if num < den else 1.0}))")
+
+
 def list_cells(entries: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
     """Cells that compare all pairs of each list (token, n) that may be close enough in size: one cell if
     the list is small, else its documents by classes of size, in blocks, with those of their own class and the
     next one.  ``entries`` are (token, doc_id, m); a negative size is unknown and in every class."""
     sized = salted_join(entries, lists.select("token", "n"), ["token"], ["doc_id"])
     small = sized.where(f"n <= {SMALL}").select(F.format_string("t %d", "token").alias("cell"), "doc_id", F.lit(3).alias("role"))
-    # Sizes of one class differ by less than what a link allows; a hair more, as logarithms round.
-    size_class = F.expr(f"int(floor(ln(m) / {math.log(den / num) * (1 + 1e-9) if num < den else 1.0}))")
     large = sized.where(f"n > {SMALL}").drop("n")
-    known = large.where("m > 0").select("token", "doc_id", size_class.alias("s"))
+    known = large.where("m > 0").select("token", "doc_id", _size_class(num, den).alias("s"))
     blocks = materialize(known.groupBy("token", "s").agg(F.expr(f"int((count(1) - 1) div {BLOCK} + 1)").alias("blocks")), "size-classes")
     classes = blocks.groupBy("token").agg(F.collect_set("s").alias("all"))
     unknown = large.where("m <= 0").join(classes, "token", "left").select("token", "doc_id", F.explode(F.coalesce("all", F.array(F.lit(0)))).alias("s"))
@@ -293,6 +321,26 @@ def candidate_pairs(lists: DataFrame, entries: DataFrame, num: int, den: int) ->
     return pairs.join(large, "a", "left").where(enough).select("a", "b")
 
 
+def counted_pairs(labelled: DataFrame, lists: DataFrame, larger: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) with a < b of the documents of different components that meet in ``lists`` (token, same: lists
+    equal to it, itself included), have close sizes and may have as many common prefix tokens as linked documents must have
+    there and in lists that are longer still, of which ``larger`` (doc_id, n) counts a document's.
+
+    Common tokens in shorter lists need no count: documents that have some have met there, and all of their
+    longer lists counted for them (``candidate_pairs``)."""
+    own = materialize(labelled.join(checked_broadcast(lists), "token"), "counted-entries")
+    known = own.where("m > 0").withColumn("s", _size_class(num, den))
+    side = lambda df, end, *keys: df.select("token", *keys, *[F.col(c).alias(f"{c}_{end}") for c in ("doc_id", "m", "component_id")])
+    # The second of two documents is in the class of the first or in the next.
+    second = known.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("next")).withColumn("s", F.col("s") - F.col("next"))
+    met = side(known, "x", "s", "same").join(side(second, "y", "s", "next"), ["token", "s"]).where("next = 1 OR doc_id_x < doc_id_y").drop("s", "next")
+    unknown = side(own.where("m <= 0"), "x", "same").join(side(own, "y"), "token")
+    met = met.unionByName(unknown).where(f"doc_id_x <> doc_id_y AND component_id_x <> component_id_y AND {close_sizes('m_x', 'm_y', num, den)}")
+    pairs = met.groupBy(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).agg(F.sum("same").alias("common"), F.min(F.least("m_x", "m_y")).alias("m"))
+    more = checked_broadcast(larger.select(F.col("doc_id").alias("a"), F.col("n").alias("more")))
+    return pairs.join(more, "a", "left").where(f"m < 0 OR common + coalesce(more, 0) >= {ell('m')}").select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a document."""
     docs, key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words.new_key(n)
@@ -303,8 +351,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     repeated = sets.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_id")
     same = ["n_shingles", "d1", "d2"]
     whole_sets = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = whole_sets.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("first")).where("_n > 1").drop("_n")
-    classed = salted_join(whole_sets, classes, same, ["doc_id"], "left")
+    classes = materialize(whole_sets.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("first")).where("_n > 1").drop("_n"), "classes")
+    few = checked_broadcast(classes)  # prefixes stay where they are
+    classed = whole_sets.join(few, same, "left") if few is not classes else salted_join(whole_sets, classes, same, ["doc_id"], "left")
     equal = materialize(classed.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "equal")
     sized = classed.where("first IS NULL OR doc_id = first").join(checked_broadcast(repeated), F.col("doc_id") == F.col("_id"), "left")
     tokens = sized.select(F.explode("prefix").alias("token"), "doc_id", F.when(F.col("_id").isNull(), F.col("n_shingles")).otherwise(-1).alias("m"))
@@ -316,7 +365,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     pairs = materialize(candidate_pairs(lists, entries, num, den), "candidates")
     large = entries.where(f"n > {PAIRED}")
     stars = pairs.groupBy("b").agg(F.min("a").alias("center")).select("center", F.col("b").alias("doc_id"))
-    stars = stars.unionByName(large.where(close_sizes("m", "m_least", num, den)).select(F.col("least").alias("center"), "doc_id"))
+    shared = large.where(close_sizes("m", "m_least", num, den)).groupBy(F.col("least").alias("center"), "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("m", "m_least")).alias("m"))
+    # Copies share most lists with their smallest; what others have by chance is left to the pairs.
+    stars = stars.unionByName(shared.where(f"m < 0 OR 2 * n >= {ell('m')}").select("center", "doc_id"))
     links = equal.unionByName(compare(usable, star_cells(stars), key, num, den, levels))
     for last in (False, True):
         whole = components(links)
@@ -327,11 +378,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
         if last:
             cells = list_cells(*_merged(labelled, open_lists), num, den)
         else:  # what pairs are not in one component yet; large lists get another centre
-            in_lists = list_cells(labelled.select("token", "doc_id", "m"), open_lists.where(f"n <= {SMALL}").select("token", "n"), num, den)
-            centres = open_lists.where(f"n > {SMALL}").select("token", F.col("other").alias("center"))
+            larger = entries.where(f"n > {COUNTED}").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+            counted = counted_pairs(labelled, open_lists.where(f"n <= {COUNTED}").select("token", "same"), larger, num, den)
+            centres = open_lists.where(f"n > {COUNTED}").select("token", F.col("other").alias("center"))
             in_stars = salted_join(labelled, centres, ["token"], ["doc_id"]).select("center", "doc_id")
-            cells = in_lists.unionByName(star_cells(in_stars.unionByName(_apart(pairs, whole))))
-            large = large.join(open_lists.where(f"n > {SMALL}").select("token"), "token", "left_semi")
+            cells = star_cells(in_stars).unionByName(pair_cells(_apart(pairs, whole).unionByName(counted)))
+            large = large.join(open_lists.where(f"n > {COUNTED}").select("token"), "token", "left_semi")
         cells = materialize(cells, "cells")
         if cells.isEmpty():
             break
@@ -343,15 +395,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 
 
 def _apart(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """(center, doc_id) of the ``pairs`` whose ends are in different components."""
+    """Those of ``pairs`` (a, b) whose ends are in different components."""
     label = lambda end: whole.select(F.col("id").alias(end), F.col("component_id").alias(f"c{end}"))
     found = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    return found.where("coalesce(ca, a) <> coalesce(cb, b)").select(F.col("a").alias("center"), F.col("b").alias("doc_id"))
+    return found.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
 def _open_lists(labelled: DataFrame) -> DataFrame:
-    """(token, n, other) of lists with documents of several components, of equal lists one; ``other``
-    is a document outside the component with the smallest number."""
+    """(token, n, other, same) of lists with documents of several components, of equal lists one; ``other``
+    is a document outside the component with the smallest number, ``same`` how many are equal."""
     found = labelled.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("component_id").alias("low"),
@@ -360,7 +412,7 @@ def _open_lists(labelled: DataFrame) -> DataFrame:
         F.sum(F.expr("xxhash64(doc_id) >> 20")).alias("s1"),
         F.sum(F.expr("xxhash64(doc_id, 1) >> 20")).alias("s2"),
     )
-    return found.where("low < high").groupBy("n", "s1", "s2").agg(F.min("token").alias("token"), F.max("other").alias("other")).select("token", "n", "other")
+    return found.where("low < high").groupBy("n", "s1", "s2").agg(F.min("token").alias("token"), F.max("other").alias("other"), F.count(F.lit(1)).alias("same")).select("token", "n", "other", "same")
 
 
 def _merged(labelled: DataFrame, open_lists: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -68,6 +68,33 @@ def test_blocks_of_large_lists(spark, monkeypatch):
     assert rows_of(ngram_join.jaccard_components(df, 2, 7, 10)) == brute(rows, 2, 7, 10)
 
 
+def test_pairs_of_longer_lists_are_counted(spark, monkeypatch):
+    """Lists beyond COUNTED by blocks, others by pairs; pairs that hang together in several blocks."""
+    for counted in (5, 4096):
+        for name, value in (("BLOCK", 4), ("SMALL", 3), ("PAIRED", 2), ("COUNTED", counted)):
+            monkeypatch.setattr(ngram_join, name, value)
+        rows = list(enumerate(corpus(3, 120, vocabulary=6, group=0.8))) + [(7, "w1 w2 w3 w4"), (7, "w3 w1")]
+        df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA)
+        found = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(df, 2, 7, 10).collect()}
+        assert found == {(i, c) for _, i, _, c in brute(rows, 2, 7, 10)}
+
+
+def test_sets_of_unlike_documents_with_common_shingles_stay(spark, monkeypatch):
+    """Each document is in several lists by chance; its set isn't sent for each of them."""
+    rng, sent, compare = random.Random(6), [], ngram_join.compare
+
+    def counting(docs, cells, *rest):
+        sent.append(cells.count())
+        return compare(docs, cells, *rest)
+
+    monkeypatch.setattr(ngram_join, "compare", counting)
+    monkeypatch.setattr(ngram_join, "PAIRED", 4)
+    rows = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(190, 210)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(ngram_join.jaccard_components(df, 2, 9, 10)) == brute(rows, 2, 9, 10)
+    assert sum(sent) <= 2 * len(rows)
+
+
 def test_trie_matches_all_pairs():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 90, rng.integers(0, 120)).astype(np.uint64)) for _ in range(40)]
