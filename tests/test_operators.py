@@ -367,6 +367,34 @@ def test_lanczos_goes_on_while_it_gets_on():
         spectral.lanczos(lambda b: held[:, None] * b, 400, 2, False, 0.0, 100, 0.15)
 
 
+def test_few_blocks_of_a_basis_take_few_steps(spark, monkeypatch):
+    """With a basis of six blocks Lanczos restarts so often that it takes over 1,000 steps there."""
+    assert spectral.lanczos_room(615_360, 6)[2] and spectral.lanczos_room(900_000, 6)[2]  # no joins there
+    n, offsets = 6000, (1, 5, 25)
+    want = np.sort(sum(2 - 2 * np.cos(2 * np.pi * np.arange(n) * o / n) for o in offsets))
+    times = lambda b: 6 * b - sum(np.roll(b, o, axis=0) + np.roll(b, -o, axis=0) for o in offsets)
+    monkeypatch.setattr(spectral, "BASIS_BYTES", 8 * n * 48)
+    for largest, end in ((True, want[::-1][:6]), (False, want[:6])):
+        values, vectors, steps = spectral.davidson(times, n, 6, largest, 1e-9, 300, (0.0, 12.0), 1.2)
+        assert np.allclose(values, end, rtol=0, atol=1e-9) and steps < 1000
+        assert np.abs(times(vectors) - vectors * values).max() < 1e-7 and np.allclose(vectors.T @ vectors, np.eye(6), rtol=0, atol=1e-10)
+    held = np.linspace(0.1, 1.5, 400)
+    monkeypatch.setattr(spectral, "BASIS_BYTES", 8 * 400 * 16)
+    with pytest.raises(RuntimeError, match="no nearer"):
+        spectral.davidson(lambda b: held[:, None] * b, 400, 2, False, 0.0, 100, (0.1, 1.5), 0.15)
+    # A hub makes plain discs wide.
+    star = np.eye(50)
+    star[0, 1:] = star[1:, 0] = -1 / 7
+    low, high = spectral.closer_bounds(lambda x: np.abs(star) @ x, 50, 1.0, (-6.0, 8.0))
+    assert -0.4 < low <= 0 + 1e-9 and 2 - 1e-9 <= high < 2.4
+    rows = [(i, j, 1.0 + (i % 7 + 1) / 10 if i == j else -0.3) for i in range(60) for j in {i, (i + 1) % 60, (i - 1) % 60}]
+    matrix = spark.createDataFrame(rows, "i long, j long, l double")
+    exact = spectral.solve(matrix, 3, "smallest")[0].collect()
+    monkeypatch.setattr(spectral, "BASIS_BYTES", 8 * 60 * 30)
+    found, _, told = spectral.solve(matrix, 3, "smallest", dense_rows=0)
+    assert told.method == "chebyshev-davidson" and [r.value for r in found.collect()] == pytest.approx([r.value for r in exact], abs=1e-8)
+
+
 def test_the_best_of_a_block_are_those_of_a_sort():
     rng = np.random.default_rng(4)
     for n, k, kind in [(1, 3, "plain"), (9, 4, "whole"), (900, 11, "plain"), (900, 2, "whole"), (900, 11, "equal"), (900, 50, "copies"), (900, 5, "undefined")]:
